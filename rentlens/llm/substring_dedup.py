@@ -26,6 +26,8 @@ from .scratch import partitions
 from .textkernel import Block, U, block_of, blocks, mix, packed, rolled, unpacked
 
 WIDTH, MER, HOT_SHARE = 35, 8, 4096
+#: Bytes of text whose super-k-mers are packed together.
+SENT_BYTES = 8 << 20
 #: Stands for a null id in the keys that rows are dealt by.
 NO_ID = -(1 << 63)
 _TOP = U(1 << 63)
@@ -86,6 +88,28 @@ def _super_kmers(b: Block, width: int, mer: int, hot: np.ndarray) -> tuple[np.nd
     return doc[first], first, np.flatnonzero(ends) + 1 - first, least[first]
 
 
+def _sealed(buckets: dict[int, list]) -> pa.RecordBatch:
+    """One compressed row for each bucket: strings, their windows, and the texts and places that hold them."""
+    zip_, blobs = zstandard.ZstdCompressor(3), []
+    for parts in buckets.values():
+        base = np.cumsum([0, *(len(p[1]) for p in parts)])
+        text, size, n, owner, key, mark, at = zip(*parts, strict=True)
+        blobs.append(
+            zip_.compress(
+                packed(
+                    np.frombuffer(b"".join(text), np.uint8),
+                    np.concatenate(size).astype(np.int32),
+                    np.concatenate(n).astype(np.int32),
+                    np.concatenate([o + x for o, x in zip(owner, base, strict=False)]).astype(np.int32),
+                    np.concatenate(key).astype(np.int64),
+                    np.concatenate(mark).astype(np.int32),
+                    np.concatenate(at).astype(np.int32),
+                )
+            )
+        )
+    return pa.RecordBatch.from_arrays([pa.array(list(buckets), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
 def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataFrame:
     """(key, mark, start, stop): word spans of ``rows`` (key, mark, text) that repeated windows cover."""
     spark = rows.sparkSession
@@ -93,11 +117,14 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
     hot = _hot_runs(rows, mer)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(3)
         for batch in batches:
             keys, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             buckets: dict[int, list] = {}
+            size = 0
             for b in blocks(batch.column(2)):
+                if (size := size + len(b.data)) > SENT_BYTES and buckets:
+                    yield _sealed(buckets)
+                    buckets, size = {}, len(b.data)
                 doc, first, n, least = _super_kmers(b, width, mer, hot)
                 if not len(first):
                     continue
@@ -126,21 +153,8 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
                     who = doc[hits[p:q]] + b.rows
                     sizes = np.array([len(x) for x in pieces[i:j]], np.int32)
                     buckets.setdefault(k, []).append((b"".join(pieces[i:j]), sizes, n[one[order[i:j]]], owner[p:q] - i, keys[who], marks[who], at[p:q] - b.first[doc[hits[p:q]]]))
-            out: list[tuple[int, bytes]] = []
-            for k, parts in buckets.items():
-                at = np.cumsum([0, *(len(p[1]) for p in parts)])
-                blob = packed(
-                    np.frombuffer(b"".join(p[0] for p in parts), np.uint8),
-                    np.concatenate([p[1] for p in parts]).astype(np.int32),
-                    np.concatenate([p[2] for p in parts]).astype(np.int32),
-                    np.concatenate([p[3] + x for p, x in zip(parts, at, strict=False)]).astype(np.int32),
-                    np.concatenate([p[4] for p in parts]).astype(np.int64),
-                    np.concatenate([p[5] for p in parts]).astype(np.int32),
-                    np.concatenate([p[6] for p in parts]).astype(np.int32),
-                )
-                out.append((k, zip_.compress(blob)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
+            if buckets:
+                yield _sealed(buckets)
 
     def count(blobs: list[bytes]) -> pa.RecordBatch | None:
         open_ = zstandard.ZstdDecompressor()
