@@ -16,7 +16,7 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
     """Link every node's larger (both) or other smaller neighbours, and itself, to its least neighbour."""
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     seen = edges.union(turned) if both else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = store(seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     near = seen.join(least, "a")
     if both:
         out = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

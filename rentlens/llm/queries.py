@@ -4,22 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import ngram_jaccard, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similar_groups(_table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {
+    "op3_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM w WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+inter AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM inter JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * m >= 80 * (s.n + t.n - m)),
+reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(r.b, w.doc_id)) AS component_id, coalesce(l.n, 0)::BIGINT AS n_links
+FROM w LEFT JOIN sizes s USING (doc_id)
+LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = w.doc_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = w.doc_id""",
     "op10_substring_dedup": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
