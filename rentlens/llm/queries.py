@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_jaccard, substring_dedup
+from . import fingerprints, ngram_jaccard, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_groups(_table(spark, sf_dir, "documents")).drop("mark")
 
@@ -20,6 +24,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
