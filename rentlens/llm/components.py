@@ -45,3 +45,35 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("the components did not settle")
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return pairs.union(pairs.select(F.col("label").alias("node"), "label").distinct())
+
+
+def class_components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, component_id, n_links) of every class of equal rows.
+
+    classes: class, first (least id) and copies. links: tree edges a, b between classes, and rows with b null that
+    add ``linked`` directly linked rows to class a. n_links counts the other rows of the class too. Written out, so
+    that rows join it by class without a key that holds them together.
+    """
+    members = components(links.where("b is not null").select("a", "b"))
+    members = store(members.join(classes, F.col("node") == F.col("class")).select("node", "label", "first"))
+    least = store(members.groupBy("label").agg(F.min("first").alias("least")))
+    named = members.join(least, "label").select(F.col("node").alias("class"), "least")
+    degree = links.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("linked").alias("linked"))
+    full = classes.join(named, "class", "left").join(degree, "class", "left")
+    return store(full.select("class", F.coalesce("least", "first").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
+
+
+def forest(a, b):
+    """The links of two arrays that join trees not yet joined."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = top(x), top(y)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            yield x, y

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import class_components, components, forest
 from .scratch import partitions, store
 from .textkernel import Block, U, blocks, mix, packed, rolled, unpacked
 
@@ -250,21 +250,6 @@ def trie_links(built: list[np.ndarray], built_size: np.ndarray, probes: list[np.
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up.setdefault(y, y)
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = top(x), top(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            yield x, y
-
-
 def _links(candidates: DataFrame, share: int) -> DataFrame:
     """(a, b, linked): tree edges between classes (linked null), and linked documents of a class (b null)."""
     spark = candidates.sparkSession
@@ -294,7 +279,7 @@ def _links(candidates: DataFrame, share: int) -> DataFrame:
         left, right = np.array(names)[x], np.array(names2)[y]
         who, at = np.unique(np.concatenate([left, right]), return_inverse=True)
         linked = np.bincount(at, weights=np.concatenate([np.array(copies2)[y], np.array(copies)[x]])).astype(np.int64)
-        tree = list(_forest(left, right))
+        tree = list(forest(left, right))
         a = pa.array([*(p for p, _ in tree), *who.tolist()], pa.int64())
         b = pa.array([*(q for _, q in tree), *[None] * len(who)], pa.int64())
         return pa.RecordBatch.from_arrays([a, b, pa.array([*[None] * len(tree), *linked.tolist()], pa.int64())], ["a", "b", "linked"])
@@ -331,16 +316,7 @@ def similar_groups(docs: DataFrame, n: int = N, share: int = SHARE, id_col: str
     candidates = _candidates(_repeated(docs, n, text_col), share)
     candidates = store(candidates.join(classes.select("class", "copies"), "class"))
     links = store(_links(candidates, share))
-    members = components(links.where("b is not null").select("a", "b"))
-    members = store(members.join(classes, F.col("node") == F.col("class")).select("node", "label", "first"))
-    least = members.groupBy("label").agg(F.min("first").alias("least"))
-    named = members.join(store(least), "label").select(F.col("node").alias("class"), "least")
-    degree = links.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("linked").alias("linked"))
-    full = store(
-        classes.join(named, "class", "left")
-        .join(degree, "class", "left")
-        .select("class", F.coalesce("least", "first").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    )
+    full = class_components(classes, links)
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.join(full, "class", "left").select("doc_id", "mark", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

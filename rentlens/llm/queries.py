@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, ngram_jaccard, substring_dedup
+from . import fingerprints, metric_join, ngram_jaccard, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_groups(_table(spark, sf_dir, "documents")).drop("mark")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
 
@@ -26,10 +30,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {
+    "op5_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT t.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, least(t.vec_id, coalesce(r.b, t.vec_id)) AS component_id,
+       t.vec_id <= coalesce(r.b, t.vec_id) AS kept
+FROM embeddings t LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = t.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = t.vec_id""",
     "op3_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
