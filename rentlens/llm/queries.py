@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, metric_join, ngram_jaccard, substring_dedup
+from . import fingerprints, metric_join, ngram_jaccard, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
 
@@ -31,6 +35,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op7_toxicity": op7_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
