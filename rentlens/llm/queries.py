@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, metric_join, ngram_jaccard, substring_dedup, toxicity
+from . import fingerprints, metric_join, ngram_jaccard, substring_dedup, subword_quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
