@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, metric_join, ngram_jaccard, substring_dedup, subword_quality, toxicity
+from . import fingerprints, metric_join, mixing, ngram_jaccard, packing, substring_dedup, subword_quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
 
@@ -41,6 +49,8 @@ QUERIES = {
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op4_mixing": op4_mixing,
+    "op6_packing": op6_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

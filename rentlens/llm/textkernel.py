@@ -151,3 +151,20 @@ def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
         out.append(np.frombuffer(blob, kind, int(size) // np.dtype(kind).itemsize, at))
         at += int(size)
     return out
+
+
+def word_counts(column: pa.Array) -> np.ndarray:
+    """Words of each text of a column."""
+    data, offsets = _bytes_of(column)
+    out, i, n = np.zeros(len(offsets) - 1, np.int64), 0, len(offsets) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_BYTES, "right")) - 1))
+        inside = ~_SPACE[data[offsets[i] : offsets[j]]]
+        starts = inside.copy()
+        starts[1:] &= ~inside[:-1]
+        edge = offsets[i:j] - offsets[i]
+        edge = edge[edge < len(inside)]
+        starts[edge] = inside[edge]
+        out[i:j] = np.diff(np.concatenate([[0], np.cumsum(starts)])[offsets[i : j + 1] - offsets[i]])
+        i = j
+    return out
