@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, metric_join, mixing, ngram_jaccard, packing, substring_dedup, subword_quality, toxicity
+from . import chat_format, fingerprints, licenses, metric_join, mixing, ngram_jaccard, packing, substring_dedup, subword_quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(_table(spark, sf_dir, "conversations"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(_table(spark, sf_dir, "documents"))
 
@@ -39,11 +43,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_fingerprints": op2_fingerprints,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
@@ -51,10 +60,21 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op4_mixing": op4_mixing,
     "op6_packing": op6_packing,
+    "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {
+    "op1_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations),
+c AS (
+  SELECT conv_id, count(*) AS n, string_agg('<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(text, '<|', '< |')
+         || chr(10) || '<|end|>' || chr(10), '' ORDER BY place) AS s FROM t GROUP BY conv_id)
+SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, s AS text FROM c
+WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.n > c.n AND starts_with(d.s, c.s)) GROUP BY n, s""",
     "op5_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
