@@ -18,13 +18,18 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def utm(lon: Column, lat: Column, zone=UTM16) -> tuple[Column, Column]:
-    """Easting and northing by the fourth-order series in the third flattening."""
-    lon0, k0, e0, a, f = zone
+def utm_series(zone=UTM16) -> tuple[float, float, tuple[float, ...]]:
+    """Radius of the rectifying sphere, eccentricity, and coefficients, to the fourth order in the third flattening."""
+    *_, a, f = zone
     n = f / (2 - f)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
-    e = 2 * math.sqrt(n) / (1 + n)
+    return a / (1 + n) * (1 + n**2 / 4 + n**4 / 64), 2 * math.sqrt(n) / (1 + n), alpha
+
+
+def utm(lon: Column, lat: Column, zone=UTM16) -> tuple[Column, Column]:
+    """Easting and northing by the fourth-order series in the third flattening."""
+    lon0, k0, e0, *_ = zone
+    radius, e, alpha = utm_series(zone)
     phi, lam = F.radians(lat), F.radians(lon - lon0)
     t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))

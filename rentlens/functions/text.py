@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Keywords by amenity.
 AMENITIES = {
@@ -30,13 +31,13 @@ WINDOW_BEFORE, WINDOW_AFTER, PERMIT_WINDOW, HEADER_LINES = 55, 80, 100, 6
 RULE = "----------------------------------------"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC without format characters; ASCII passes as it is."""
     return s.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Cf"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_marks(s: pd.Series) -> pd.Series:
     """NFKD without combining marks; ASCII passes as it is."""
     return s.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
@@ -57,7 +58,7 @@ def amenities(text: Column, patterns: dict[str, str] | None = None) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e.value.isNotNull()))
 
 
-@F.pandas_udf("array<struct<number:string,raw:string,method:string,evidence:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("number", "raw", "method", "evidence")])))
 def permits(s: pd.Series) -> pd.Series:
     """Permit numbers of a text with their evidence, exact ones first, each number once.
 

@@ -20,7 +20,7 @@ def _drain(df: DataFrame, mode: str) -> DataFrame:
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def deduplicated(events: DataFrame, late: str = "30 days") -> DataFrame:
