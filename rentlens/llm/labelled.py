@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def held_out(id_col: str | Column) -> Column:
     """Rows that nothing is learnt from: crc32 of the id as text is divisible by 5 (a null id's is 0)."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col) if isinstance(id_col, str) else id_col, F.lit("")).cast("string")), F.lit(5)) == 0
+    return F.pmod(F.crc32(F.coalesce((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

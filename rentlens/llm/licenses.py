@@ -22,17 +22,17 @@ from .toxicity import _is_in, _letters
 
 #: Licence families and the names that notices give them.
 FAMILIES = {
-    "Apache-2.0": ("the Apache License, Version 2.0", "Apache License 2.0", "the Apache 2.0 license"),
-    "BSD": ("the BSD 3-Clause License", "the BSD 2-Clause License", "a BSD-style license", "the BSD license"),
-    "CC-BY": ("CC BY 4.0", "the Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 3.0"),
-    "CC-BY-NC": ("CC BY-NC 4.0", "the Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC-SA 4.0"),
-    "CC-BY-SA": ("CC BY-SA 4.0", "the Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 3.0"),
-    "CC0": ("CC0 1.0", "the CC0 1.0 Universal public domain dedication", "Creative Commons Zero"),
-    "GPL": ("the GNU General Public License, version 3", "the GNU General Public License version 2", "the GNU GPL v3", "GPL-3.0"),
-    "LGPL": ("the GNU Lesser General Public License, version 3", "the GNU LGPL v2.1", "LGPL-3.0"),
-    "AGPL": ("the GNU Affero General Public License, version 3", "the GNU AGPL v3", "AGPL-3.0"),
-    "MIT": ("the MIT License", "the MIT/X11 license", "an MIT-style license"),
-    "MPL": ("the Mozilla Public License, version 2.0", "the MPL 2.0", "Mozilla Public License 2.0"),
+    "Apache-2.0": ("the Apache License, Version 2.0", "Apache License 2.0", "the Apache 2.0 license", "Apache-2.0"),
+    "BSD": ("the BSD 3-Clause License", "the BSD 2-Clause License", "a BSD-style license", "the BSD license", "BSD-3-Clause", "BSD-2-Clause"),
+    "CC-BY": ("CC BY 4.0", "the Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 3.0", "CC-BY-4.0"),
+    "CC-BY-NC": ("CC BY-NC 4.0", "the Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC-SA 4.0", "CC-BY-NC-4.0"),
+    "CC-BY-SA": ("CC BY-SA 4.0", "the Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 3.0", "CC-BY-SA-4.0"),
+    "CC0": ("CC0 1.0", "the CC0 1.0 Universal public domain dedication", "Creative Commons Zero", "CC0-1.0"),
+    "GPL": ("the GNU General Public License, version 3", "the GNU General Public License version 2", "the GNU GPL v3", "GPL-3.0", "GPL-3.0-or-later", "GPL-2.0-only"),
+    "LGPL": ("the GNU Lesser General Public License, version 3", "the GNU LGPL v2.1", "LGPL-3.0", "LGPL-2.1-or-later"),
+    "AGPL": ("the GNU Affero General Public License, version 3", "the GNU AGPL v3", "AGPL-3.0", "AGPL-3.0-or-later"),
+    "MIT": ("the MIT License", "the MIT/X11 license", "an MIT-style license", "MIT"),
+    "MPL": ("the Mozilla Public License, version 2.0", "the MPL 2.0", "Mozilla Public License 2.0", "MPL-2.0"),
 }
 #: Sentences that give notice of a licence.
 FRAMES = (
@@ -63,7 +63,7 @@ LOOK_ALIKES = (
 UNKNOWN = "unknown"
 #: Paragraphs of the corpus that train the unknown class, at most; made notices per family; share of a paragraph's or
 #: a template's word pairs, whichever has fewer, that have to be shared.
-SAMPLE, MADE, CONFIRM = 4000, 160, 0.6
+SAMPLE, MADE, CONFIRM = 4000, 200, 0.6
 _COMMON = 0.02
 
 
@@ -175,18 +175,17 @@ def train(corpus: list[str], seed: int = 5) -> Model:
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def _pairs(text: str) -> set:
-    w = _WORD.findall(text.lower())
-    return set(zip(w, w[1:], strict=False)) or {tuple(w)}
-
-
 def confirm(text: str, family: str) -> float:
     """The best share of word pairs, of the shorter of the two, that the text has in common with a template."""
-    mine = _pairs(text)
-    best = 0.0
+    words = _WORD.findall(text.lower())
+    mine, best = set(zip(words, words[1:], strict=False)), 0.0
     for name in FAMILIES[family]:
-        theirs = _pairs(name)
-        best = max(best, len(mine & theirs) / max(1, min(len(mine), len(theirs))))
+        of = _WORD.findall(name.lower())
+        if len(of) == 1:  # a name without pairs is there or not
+            best = max(best, float(of[0] in words))
+        elif mine:
+            theirs = set(zip(of, of[1:], strict=False))
+            best = max(best, len(mine & theirs) / min(len(mine), len(theirs)))
     return best
 
 

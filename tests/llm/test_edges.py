@@ -1,0 +1,146 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
+
+import hashlib
+
+import pytest
+
+from rentlens.llm import chat_format, fingerprints, licenses, metric_join, mixing, ngram_jaccard, packing, substring_dedup, subword_quality, toxicity
+from rentlens.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, class string, n_words int, shard string, component_id string, bucket string"
+LONG = " ".join(f"w{i % 5000}" for i in range(60_000))
+ROWS = [
+    (1, "a b c d e f g h", "en", "s1"),
+    (1, "a b c d e f g h", "en", "s1"),  # repeated row
+    (2, "A B  c\td\ne f g h", None, None),  # the same words
+    (2, "another text under one id", "en", "s2"),
+    (3, None, "en", "s2"),
+    (4, "", "en", "s1"),
+    (5, " \n\t ", "en", "s1"),
+    (6, LONG, "en", "s3"),
+    (7, LONG + " tail", "en", "s3"),
+    (None, "a row without an id", "en", None),
+    (8, "one", None, "s2"),
+    (9, "é ü ñ ß 漢字   nbsp <|endoftext|>", "de", "s1"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, None, 0.5, "x", 1, "y", "z", "b") for r in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, None), (99, 1, 1), (None, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+
+
+def test_substring_dedup(docs, empty):
+    texts = [(substring_dedup.NO_ID if r[0] is None else r[0], r[1]) for r in ROWS]
+    got = substring_dedup.dedup(docs)
+    assert got.columns == [*(c for c in docs.columns if c != "n_words"), "n_words", "n_removed", "kept_text"]
+    rows = sorted((substring_dedup.NO_ID if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got.collect())
+    assert rows == sorted(substring_dedup.brute_force(texts))
+    assert any(r[2] for r in rows)
+    assert substring_dedup.dedup(empty).count() == 0
+
+
+def test_ngram_jaccard(docs, empty):
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.similar_groups(docs).collect() if r.doc_id is not None)
+    known = [(r[0], r[1]) for r in ROWS if r[0] is not None]
+    assert got == sorted(ngram_jaccard.brute_force(known))
+    assert ngram_jaccard.similar_groups(empty).count() == 0
+    kept = ngram_jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted([(1, ROWS[0][1]), (2, ROWS[3][1]), (3, ""), (4, ""), (5, ROWS[6][1]), (6, LONG), (-1, ROWS[9][1]), (8, "one"), (9, ROWS[11][1])])
+
+
+def test_fingerprints(docs, empty):
+    got = fingerprints.edited_pairs(docs).collect()
+    assert len(got) == len(ROWS)
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for r, following in zip(order, order[1:] + order[:1]):
+        t, f = r[1] or "", following[1] or ""
+        h = len(t) // 2
+        want.append((r[0], len(t), hashlib.sha256((t[: len(t) - h] + f[:h]).encode()).hexdigest()))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=key) == sorted(want, key=key)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    prints = {r.doc_id: r.fingerprint for r in got}
+    assert prints[3] == prints[4] != prints[5]
+    assert fingerprints.edited_pairs(empty).count() == 0
+    assert fingerprints.edited_pairs(docs.where("doc_id = 8")).first().n_chars == 3
+
+
+def test_mixing(docs, empty):
+    got = mixing.taken(docs).collect()
+    assert len(got) == len(ROWS)
+    assert all(r.taken <= 3 * r.size and r.size == len((t or "").encode().split()) for r, t in zip(sorted(got, key=lambda r: (r.doc_id or -1, r.size)), [x[1] for x in sorted(ROWS, key=lambda x: (x[0] or -1, len((x[1] or "").encode().split())))]))
+    assert mixing.taken(empty).count() == 0 and mixing.mix(empty).count() == 0
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*(c for c in docs.columns if c != "shard"), "shard"]
+
+
+def test_packing(docs, empty):
+    got = packing.pack(packing.pieces(docs)).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in ROWS}
+    _packed_right(got)
+    assert packing.pack(packing.pieces(empty)).count() == 0
+
+
+def _packed_right(rows, length=1024):
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, size in sorted(places):
+            assert offset == at
+            at += size
+        assert at <= length
+
+
+def test_classifiers(docs, empty, labels):
+    for f in (toxicity.toxicity, subword_quality.quality):
+        got = f(docs, labels).collect()
+        assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+        assert {r.score for r in got if r.doc_id == 3} == {r.score for r in got if r.doc_id == 4}
+        assert f(docs, labels.limit(0)).count() == len(ROWS)
+        assert f(empty, labels).count() == 0
+    scored = toxicity.scored(docs, toxicity.fit(docs, labels))
+    assert scored.columns == [*(c for c in docs.columns if c != "score"), "score", "predicted"]
+
+
+def test_licenses(docs, empty):
+    model = licenses.train(["some words of a text", "the rest of it"])
+    assert licenses.license_paragraphs(docs, model).count() == 0
+    assert licenses.scan(empty).count() == 0
+
+
+def test_chat(spark):
+    schema = "conv_id long, turn long, role string, text string, text2 string, place string, key string"
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 0, None, None), (None, 0, "user", "no id"), (5, None, "user", "x" * 100_000), (6, 0, "user", "tie b"), (6, 0, "user", "tie a")]
+    got = chat_format.render(spark.createDataFrame([(*t, "a", "b", "c") for t in turns], schema)).collect()
+    assert sorted((r.conv_id or -1, r.n_turns, r.n_copies) for r in got) == [(-1, 1, 1), (1, 2, 2), (4, 1, 1), (5, 1, 1), (6, 2, 1)]
+    assert next(r.text for r in got if r.conv_id == 6) == "<|user|>\ntie a\n<|end|>\n<|user|>\ntie b\n<|end|>\n"
+    assert chat_format.render(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_embeddings(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [0.0, 1.0]), (9, [0.0, 1.0]), (10, [1.0, 0.0, 0.0]), (11, [float("inf"), 1.0])]
+    df = spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<double>, class int")
+    assert sorted(map(tuple, metric_join.near_duplicates(df).collect())) == sorted(metric_join.brute_force(rows))
+    assert metric_join.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -1,0 +1,219 @@
+"""Operators against brute force, round trips and held-out accuracy."""
+
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rentlens.llm import fingerprints, licenses, metric_join, mixing, ngram_jaccard, packing, queries, substring_dedup
+from rentlens.llm.textkernel import blocks, word_counts
+
+SF = "/root/testdata/sf0.001"
+SF1 = "/root/testdata/sf0.01"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB \t\n\x0b\x1f é漢 ", max_size=30)), max_size=8))
+def test_words(texts):
+    got, order = [], {}
+    for b in blocks(pa.array(texts, pa.string()), most=20):
+        for i in range(b.texts):
+            got.append([order.setdefault(int(h), len(order)) for h in b.hashes[b.first[i] : b.first[i + 1]]])
+    seen = {}
+    assert got == [[seen.setdefault(w, len(seen)) for w in (t or "").encode().split()] for t in texts]
+    assert word_counts(pa.array(texts, pa.string())).tolist() == [len((t or "").encode().split()) for t in texts]
+
+
+def _texts(seed: int, n: int) -> list[tuple[int, str]]:
+    """Random texts with copies, near copies and shared passages."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefg", k=3))
+    passage, base, out = [word() for _ in range(50)], [word() for _ in range(90)], []
+    for i in range(n):
+        kind = rng.random()
+        w = list(base) if kind < 0.5 else [word() for _ in range(rng.randint(0, 120))]
+        if kind < 0.4:
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = word()
+        if 0.45 < kind < 0.8:
+            at = rng.randint(0, len(w))
+            w[at:at] = passage
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_and_substrings_match_brute_force(spark, seed):
+    rows = _texts(seed, 300)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.similar_groups(df).collect())
+    assert got == sorted(ngram_jaccard.brute_force(rows))
+    assert any(r[3] for r in got)
+    cut = sorted(map(tuple, substring_dedup.digest(substring_dedup.dedup(df)).collect()))
+    assert cut == sorted(substring_dedup.brute_force(rows))
+
+
+def test_common_runs_rank_last(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_hot_runs", lambda rows, mer: np.sort(_runs(rows, mer)))
+    rows = _texts(3, 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.digest(substring_dedup.dedup(df)).collect())) == sorted(substring_dedup.brute_force(rows))
+
+
+def _runs(rows, mer):
+    from rentlens.llm.textkernel import rolled
+
+    column = pa.array([r[0] for r in rows.select("text").collect()], pa.string())
+    found = np.concatenate([rolled(b.hashes, mer) for b in blocks(column)])
+    values, counts = np.unique(found, return_counts=True)
+    return values[counts > 3]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(1, 40), min_size=1), min_size=1, max_size=12), st.sampled_from([50, 80, 100]))
+def test_trie(sets, share):
+    arrays = [np.array(sorted(s), "<u8") for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    x, y = ngram_jaccard.trie_links(arrays, sizes, arrays, sizes, share)
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * len(a & b) >= share * len(a | b)}
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) == want and len(x) == len(want)
+
+
+def test_fingerprints_are_homomorphic(spark):
+    texts = [(1, "one two\nthree four five"), (2, "three four five\none two"), (3, "one two"), (4, "three four five"), (5, "one two\nthree four six")]
+    rows = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert rows[1].fingerprint == rows[2].fingerprint != rows[5].fingerprint
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(rows[1].lanes, rows[3].lanes, rows[4].lanes)], "whole array<long>, a array<long>, b array<long>")
+    made = df.select(fingerprints.combined(F.col("a"), F.col("b")).alias("sum"), fingerprints.combined(F.col("whole"), F.col("a"), -1).alias("less")).first()
+    assert made["sum"] == rows[1].lanes and made["less"] == rows[4].lanes
+
+
+def test_edited_texts_are_nearer_than_the_next(spark):
+    rows = queries.op2_fingerprints(spark, SF1).toPandas()
+    assert (rows.near_edited > rows.near_next).mean() > 0.97
+
+
+def test_embedding_chunks(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "CHUNK", 16)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 8))
+    x[50:120] = x[0] + rng.normal(size=(70, 8)) * 0.12
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, metric_join.near_duplicates(df).collect())) == sorted(metric_join.brute_force(rows))
+
+
+def test_targets():
+    assert mixing.targets([100, 100, 100]) == [300 * 5 / 8, 300 * 2 / 8, 300 / 8]
+    t = mixing.targets([10, 1000, 1000])
+    assert t[0] == 30 and abs(sum(t) - 2010) < 1e-9 and abs(t[1] / t[2] - 2) < 1e-9
+    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 500), min_size=1, max_size=6), st.integers(1, 20))
+def test_split_tree_is_exact(quotas, shards):
+    got = mixing.split_tree(np.array(quotas), shards, 1)
+    assert got.sum(0).tolist() == quotas and (got >= 0).all()
+    assert got.sum(1).max() - got.sum(1).min() <= max(2, int(np.ceil(np.log2(shards))) + 1)
+
+
+def test_mix_meets_its_targets_and_repeats(spark):
+    a, b = queries.op4_mixing(spark, SF1).toPandas(), queries.op4_mixing(spark, SF1).toPandas()
+    assert a.sort_values("doc_id").reset_index(drop=True).equals(b.sort_values("doc_id").reset_index(drop=True))
+    docs = spark.read.parquet(f"{SF1}/documents.parquet")
+    by = a.merge(docs.select("doc_id", "source").toPandas(), on="doc_id").groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((by.taken - by.target).abs() / by.target < 0.05).all()
+    copies = mixing.mix(docs).groupBy("doc_id").count().toPandas().merge(a, on="doc_id", how="right").fillna(0)
+    assert (copies["count"] * copies["size"] == copies.taken).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x2FF), max_size=80))
+def test_fast_ids_are_the_tokenizers(text):
+    paths = packing.vocabulary_path("byte_bpe_50k.json"), packing.vocabulary_path("byte_bpe_50k.tiktoken")
+    slow, _ = packing._encoders(*paths)
+    assert packing.token_ids(text, *paths) == slow.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 64), st.integers(1, 40)), max_size=20))
+def test_packing_plan_uses_every_piece_once(found):
+    have = np.zeros(65, np.int64)
+    for size, n in found:
+        have[size] += n
+    used = np.zeros(65, np.int64)
+    sequences = 0
+    for sizes, n in packing.packing_plan(have, 64):
+        assert sum(sizes) <= 64 and n > 0
+        sequences += n
+        for s in sizes:
+            used[s] += n
+    assert (used == have).all()
+    bound = -(-int((have * np.arange(65)).sum()) // 64)
+    assert sequences <= 1.7 * bound + 1
+
+
+def test_packing_round_trip(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    cut = packing.pack(packing.pieces(docs, with_ids=True))
+    rows = cut.collect()
+    paths = packing.vocabulary_path("byte_bpe_50k.json"), packing.vocabulary_path("byte_bpe_50k.tiktoken")
+    whole = {r.doc_id: [*packing.token_ids(r.text or "", *paths), 2] for r in docs.collect()}
+    held = {r.sequence_id: r.ids for r in packing.sequences(cut).collect()}
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        ids = held[r.sequence_id][r.offset : r.offset + r.length]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32 and r.start == len(got.get(r.doc_id, []))
+        got.setdefault(r.doc_id, []).extend(ids)
+    assert got == whole
+    assert len(held) <= -(-sum(map(len, whole.values())) // 1024) + 4
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op7_toxicity", "toxic", 0.95), ("op8_quality", "quality", 0.97)])
+def test_held_out_accuracy(spark, name, label, least):
+    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.1").where("held_out").select("doc_id", "predicted")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    found = rows.join(labels, "doc_id").toPandas()
+    assert len(found) > 500 and (found.predicted == found[label]).mean() >= least
+    assert zlib.crc32(b"0") % 5 == spark.sql("select crc32('0') % 5").first()[0]
+
+
+def test_licences(spark):
+    found = queries.op9_license_scan(spark, SF1).collect()
+    lines = {(r.doc_id, i) for r in spark.read.parquet(f"{SF1}/documents.parquet").collect() for i, x in enumerate(r.text.split("\n")) if "icense" in x or "CC BY" in x}
+    assert {(r.doc_id, r.paragraph) for r in found} == lines
+    model = licenses.fit(spark.read.parquet(f"{SF1}/documents.parquet"))
+    tries = [("This project is distributed under the terms of the MIT license, see below.", "MIT"), ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("Her driver's license expired in May.", None), ("Licensed premises are open until late.", None), ("You may share this under CC BY-SA 4.0.", "CC-BY-SA")]
+    df = spark.createDataFrame([(i, f"first line\n{t}") for i, (t, _) in enumerate(tries)], "doc_id long, text string")
+    got = {r.doc_id: (r.paragraph, r.family) for r in licenses.license_paragraphs(df, model).collect()}
+    assert got == {i: (1, f) for i, (_, f) in enumerate(tries) if f}
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = docs.columns
+    stage = dict(cp.STAGES)
+    clean = cp.store(stage["toxicity"](spark, docs, SF))
+    assert clean.columns == names and 0 < clean.count() <= docs.count()
+    one = cp.store(stage["ngram_jaccard_join"](spark, clean, SF))
+    want = {r[0] for r in ngram_jaccard.brute_force([(r.doc_id, r.text) for r in clean.collect()]) if r[0] == r[2]}
+    assert one.columns == names and sorted(r.doc_id for r in one.collect()) == sorted(want)
+    cut = cp.store(stage["substring_dedup"](spark, one, SF))
+    brute = {r[0]: r[2] for r in substring_dedup.brute_force([(r.doc_id, r.text) for r in one.collect()])}
+    before = {r.doc_id: r.text for r in one.collect()}
+    for r in cut.collect():
+        assert r.n_chars == len(r.text) and len(r.text.split()) == len(before[r.doc_id].split()) - brute[r.doc_id]
+    mixed = cp.store(stage["mixing"](spark, cut, SF))
+    assert mixed.columns == names
+    packed = stage["best_fit_packing"](spark, mixed, SF)
+    assert packed.where("piece = 0").count() == mixed.count()
+    assert cp.run(spark, SF).count() == packed.count()
