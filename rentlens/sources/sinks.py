@@ -66,3 +66,15 @@ def checksums(df: DataFrame, part: str, value: str) -> DataFrame:
 def oversized(files: DataFrame, most: int = 100 * 1024 * 1024) -> DataFrame:
     """Files (path, size) over a limit."""
     return files.where(F.col("size") > most).select("path", "size")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the folder of ``spark.checkpoint.dir`` and read back: one computation, a short plan."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rentlens-")
+    path = f"{base}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
