@@ -199,7 +199,8 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     order = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = store(counts.select("__bucket", "length", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("__before")))
     inside = Window.partitionBy("__bucket", "length").orderBy("doc_id", "piece", "ids_crc32")
-    rows = cut.join(starts, ["__bucket", "length"]).withColumn("__number", F.col("__before") + F.row_number().over(inside) - 1)
+    # Both sides grow with the input: neither is sent to all tasks.
+    rows = cut.join(starts.hint("merge"), ["__bucket", "length"]).withColumn("__number", F.col("__before") + F.row_number().over(inside) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
