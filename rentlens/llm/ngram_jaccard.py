@@ -145,7 +145,7 @@ def _repeated(docs: DataFrame, n: int, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
 
     sent = docs.select(F.col(text_col).alias("text")).mapInArrow(ship, "bucket int, blob binary")
-    sent = sent.repartition(dealt, "bucket").sortWithinPartitions("bucket")
+    sent = sent.repartitionById(dealt, "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(_by_bucket(meet), "bucket int, blob binary")
 
 
@@ -194,7 +194,7 @@ def _candidates(repeated: DataFrame, share: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["class", "size", "grams", "prefix"])
 
     dealt = partitions(repeated.sparkSession)
-    rows = repeated.repartition(dealt, "bucket").sortWithinPartitions("bucket")
+    rows = repeated.repartitionById(dealt, "bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(_by_bucket(gather), "class long, size int, grams binary, prefix array<long>")
 
 

@@ -216,7 +216,8 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
             yield found
 
     sent = rows.select("key", "mark", "text").mapInArrow(ship, "bucket int, blob binary")
-    sent = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    # A task gets four buckets, whatever their numbers hash to.
+    sent = sent.repartitionById(dealt // 4, F.pmod("bucket", F.lit(dealt // 4)).cast("int")).sortWithinPartitions("bucket")
     return sent.mapInArrow(reduce, "key long, mark int, start int, stop int")
 
 
