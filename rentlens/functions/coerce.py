@@ -60,7 +60,7 @@ def parcel_key(c: Column) -> Column:
 def host_key(user_id: Column, profile_url: Column, name: Column) -> Column:
     """The host's user id, else the profile address, else the name."""
     filled = lambda c: F.nullif(F.trim(F.coalesce(c.cast("string"), F.lit(""))), F.lit(""))
-    return F.coalesce(filled(user_id), F.lower(filled(profile_url)), F.concat(F.lit("name:"), F.coalesce(F.trim(name), F.lit(""))))
+    return F.coalesce(filled(user_id), F.lower(filled(profile_url)), F.concat(F.lit("name:"), F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("(unknown)"))))
 
 
 def url_key(url: Column) -> Column:
@@ -71,9 +71,10 @@ def url_key(url: Column) -> Column:
     return F.when(room != "", F.concat(host, F.lit(":"), room)).otherwise(F.concat(host, path))
 
 
-def combo_key(m: Column) -> Column:
-    """Sorted keys of a map, joined."""
-    return F.array_join(F.array_sort(F.map_keys(m)), "|")
+def combo_key(m: Column, shown: tuple[str, ...] | None = None) -> Column:
+    """Sorted keys of a map, joined; of those in ``shown``, if given."""
+    keys = F.map_keys(m) if shown is None else F.array_intersect(F.map_keys(m), F.array(*map(F.lit, shown)))
+    return F.coalesce(F.array_join(F.array_sort(keys), "|"), F.lit(""))
 
 
 def record_text(*names: str) -> Column:

@@ -176,8 +176,8 @@ def penetration_yards(spark, wkt: str, other: str, steps: int = 18) -> float:
     a, b = reader.read(wkt), reader.read(other)
     if not a.intersects(b):
         return 0.0
-    lo, hi = 0.0, math.sqrt(b.getArea())
+    lo, hi = 0.0, 50_000.0
     for _ in range(steps):
         middle = (lo + hi) / 2
         lo, hi = (middle, hi) if a.intersects(b.buffer(-middle)) and not b.buffer(-middle).isEmpty() else (lo, middle)
-    return lo / 0.9144
+    return round(lo / 0.9144, 1)

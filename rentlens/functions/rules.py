@@ -13,21 +13,33 @@ PARCEL_ORDER = ("current", "revoked", "suspended", "expired")
 LISTING_ORDER = ("current", "expired")
 
 
-def capacity(bedrooms: Column) -> Column:
-    """Guests allowed: two a bedroom and four, twelve at most; null if bedrooms are unknown."""
-    return F.when(bedrooms.isNotNull(), F.least(2 * bedrooms + 4, F.lit(MOST_GUESTS).cast("double")))
+def capacity(bedrooms: Column, licenses: Column | None = None) -> Column:
+    """Guests allowed: two a bedroom and four, twelve at most; null if bedrooms are unknown or negative.
+
+    With exactly two licences: two a bedroom and eight, twenty-four at most.
+    """
+    one = F.when(bedrooms >= 0, F.least(2 * bedrooms + 4, F.lit(float(MOST_GUESTS))))
+    if licenses is None:
+        return one
+    return F.when(licenses == 2, F.when(bedrooms >= 0, F.least(2 * bedrooms + 8, F.lit(float(MOST_GUESTS_TWO))))).otherwise(one)
 
 
 def overage(bedrooms: Column, guests: Column, licenses: Column | None = None) -> Column:
-    """Guests over what is allowed; null if guests are unknown. Unknown bedrooms: over the most that any home has.
+    """Guests over what capacity() allows; null if guests are unknown.
 
-    With two licences: two a bedroom and eight, twenty-four at most.
+    With unknown bedrooms only guests over the most that any home may have count; fewer are unknown, not 0.
     """
-    one = F.greatest(F.lit(0.0), guests - F.coalesce(capacity(bedrooms), F.lit(float(MOST_GUESTS))))
-    if licenses is None:
-        return F.when(guests.isNotNull(), one)
-    two_allowed = F.when(bedrooms.isNotNull(), F.least(2 * bedrooms + 8, F.lit(float(MOST_GUESTS_TWO)))).otherwise(F.lit(float(MOST_GUESTS_TWO)))
-    return F.when(guests.isNotNull(), F.when(licenses == 2, F.greatest(F.lit(0.0), guests - two_allowed)).otherwise(one))
+    allowed = capacity(bedrooms, licenses)
+    most = F.lit(float(MOST_GUESTS)) if licenses is None else F.when(licenses == 2, float(MOST_GUESTS_TWO)).otherwise(float(MOST_GUESTS))
+    return F.when(allowed.isNotNull(), F.when(guests.isNotNull(), F.greatest(F.lit(0.0), guests - allowed))).when(guests > most, guests - most)
+
+
+def over_occupancy(hotel: Column, bedrooms: Column, licenses: Column, over: Column, exclude_large: bool = True, exclude_multiple: bool = True) -> Column:
+    """Whether a listing counts as over capacity: no hotel, by choice not large nor of several licences, over by one or more."""
+    out = ~F.coalesce(hotel, F.lit(False)) & F.coalesce(over >= 1, F.lit(False))
+    if exclude_large:
+        out = out & ~F.coalesce(bedrooms > LARGE_BEDROOMS, F.lit(False))
+    return out & ~F.coalesce(licenses > 1, F.lit(False)) if exclude_multiple else out
 
 
 def permit_status(status: Column, expiry: Column, as_of: Column) -> Column:
@@ -38,9 +50,9 @@ def permit_status(status: Column, expiry: Column, as_of: Column) -> Column:
 
 
 def listing_status(statuses: Column, numbers: Column) -> Column:
-    """current > expired > the least other; unmatched with numbers only, unknown without."""
+    """current > expired > other; unmatched with numbers only, unknown without."""
     out = F.when(F.array_contains(statuses, "current"), "current").when(F.array_contains(statuses, "expired"), "expired")
-    return out.when(F.size(statuses) > 0, F.array_min(statuses)).when(F.size(numbers) > 0, "unmatched").otherwise("unknown")
+    return out.when(F.size(statuses) > 0, "other").when(F.size(numbers) > 0, "unmatched").otherwise("unknown")
 
 
 def rank_of(status: Column, order: tuple[str, ...] = PARCEL_ORDER) -> Column:
@@ -70,17 +82,15 @@ def license_count(detected: Column, numbers: Column) -> Column:
     return F.greatest(F.coalesce(detected, F.lit(0)), F.coalesce(F.size(F.array_distinct(numbers)), F.lit(0)))
 
 
-def community_status(status: Column) -> Column:
-    return F.when(status.isin("hotel", "licensed", "unlicensed", "nearby"), status).otherwise("unknown")
-
-
-def marker_color(hotel: Column, status: Column, overlap: Column) -> Column:
-    """First that holds: hotel, current permit, reaches a licensed parcel, reaches none, unknown."""
-    return F.when(hotel, "hotel").when(status == "current", "licensed").when(overlap, "near").when(~overlap, "unlicensed").otherwise("unknown")
+def auto_match_status(hotel: Column, licensed: Column, unlicensed: Column, near: Column) -> Column:
+    """hotel; licensed, if the parcels of all matches by name have a current permit; nearby; unlicensed, if none has; unknown."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    out = F.when(yes(hotel), "hotel").when(yes(licensed) & ~yes(unlicensed), "licensed").when(yes(near), "nearby")
+    return out.when(yes(unlicensed) & ~yes(licensed), "unlicensed").otherwise("unknown")
 
 
 def distance_band(m: Column) -> Column:
-    return F.when(m <= 100, "0-100 m").when(m <= 500, "100-500 m").when(m <= 1000, "500-1000 m").when(m.isNotNull(), "over 1000 m")
+    return F.when(m <= 1000, "within_1km").when(m.isNotNull(), "1km_to_1.1km_buffer")
 
 
 def percent(part: Column, whole: Column) -> Column:

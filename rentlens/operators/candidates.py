@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import buckets, names
+from ..functions import buckets, coerce, names, rules
 
 #: Ranks of kinds of match; matches that count only within WEAK_M.
 WEAK = ("partial_name_match", "fuzzy_one_name_match")
@@ -16,21 +16,45 @@ def typed_matches(candidates: DataFrame, properties: DataFrame, permits: DataFra
     """(listing_id, parcel, type, distance_m, permit_ids) of candidates (listing_id, id, distance_m, host tokens).
 
     The type is what the owner's name gives, else distance; the first permit of the parcel (by ordinal) whose owner
-    matches replaces it, with permit_ before. Candidates without a property are left out.
+    matches replaces it, with permit_ before. permit_ids are all of the parcel's; parcels match by letters and digits.
+    Candidates without a property are left out.
     """
     named = candidates.join(properties.select("id", "parcel", F.col("owner_tokens")), "id")
     kind = F.coalesce(names.name_match(F.col("host_tokens"), F.col("owner_tokens"), nicknames), F.lit("distance"))
     rows = named.select("listing_id", "id", "parcel", "distance_m", "host_tokens", kind.alias("kind"))
-    hits = rows.join(permits.select("parcel", F.col("owner_tokens").alias("permit_owner"), "permit_id", "ordinal"), "parcel")
-    hits = hits.withColumn("m", names.name_match(F.col("host_tokens"), F.col("permit_owner"), nicknames)).where("m is not null")
-    hits = hits.groupBy("listing_id", "id").agg(F.min_by("m", "ordinal").alias("m"), F.array_sort(F.collect_set("permit_id")).alias("permit_ids"))
+    plain = F.regexp_replace("parcel", "[^0-9A-Za-z]", "")
+    known = permits.select(plain.alias("__k"), F.col("owner_tokens").alias("permit_owner"), "permit_id", "ordinal")
+    hits = rows.withColumn("__k", plain).join(known, "__k")
+    hits = hits.withColumn("m", names.name_match(F.col("host_tokens"), F.col("permit_owner"), nicknames))
+    first = F.min_by("m", F.when(F.col("m").isNotNull(), F.col("ordinal")))
+    hits = hits.groupBy("listing_id", "id").agg(first.alias("m"), F.array_sort(F.collect_set("permit_id")).alias("permit_ids"))
     out = rows.join(hits, ["listing_id", "id"], "left")
     return out.select("listing_id", "parcel", F.coalesce(F.concat(F.lit("permit_"), "m"), "kind").alias("type"), "distance_m", "permit_ids")
 
 
+def license_matches(matched: DataFrame, permits: DataFrame) -> DataFrame:
+    """Rows like typed_matches() for the permits that a listing's own numbers name. matched: merge.matched_permits()."""
+    pairs = matched.select("listing_id", F.explode("permits.id").alias("permit_id")).join(permits.select(F.col("id").alias("permit_id"), "parcel"), "permit_id")
+    return pairs.select("listing_id", "parcel", F.lit("license_number").alias("type"), F.lit(None).cast("double").alias("distance_m"), F.array("permit_id").alias("permit_ids"))
+
+
+def auto_match(listings: DataFrame, matches: DataFrame, current: DataFrame, near_m: float = rules.TOLERANCE_M) -> DataFrame:
+    """(listing_id, auto_status) of rules.auto_match_status().
+
+    listings: listing_id, likely_hotel, overlap, nearest_licensed_parcel_m. matches: listing_id, type, parcel; only
+    those by an owner's name count. current: parcel, of the current permits.
+    """
+    k = coerce.parcel_key(F.col("parcel"))
+    has = current.select(k.alias("__k"), F.lit(True).alias("has")).where("__k <> ''").distinct()
+    named = matches.where(F.contains("type", F.lit("owner_"))).select("listing_id", k.alias("__k")).where("__k <> ''").join(has, "__k", "left")
+    found = named.groupBy("listing_id").agg(F.bool_or(F.col("has").isNotNull()).alias("yes"), F.bool_or(F.col("has").isNull()).alias("no"))
+    near = F.coalesce("overlap", F.lit(False)) | F.coalesce(F.col("nearest_licensed_parcel_m") <= near_m, F.lit(False))
+    return listings.join(found, "listing_id", "left").select("listing_id", rules.auto_match_status(F.col("likely_hotel"), F.col("yes"), F.col("no"), near).alias("auto_status"))
+
+
 def kind_rank(kind: Column) -> Column:
-    """A permit first, then a name, then distance."""
-    return F.when(F.startswith(kind, F.lit("permit_")), 0).when(kind != "distance", 1).otherwise(2)
+    """A licence number first, then a name, then distance."""
+    return F.when(kind == "license_number", 0).when(kind != "distance", 1).otherwise(2)
 
 
 def listing_lists(matches: DataFrame) -> DataFrame:
@@ -40,9 +64,9 @@ def listing_lists(matches: DataFrame) -> DataFrame:
 
 
 def reverse_index(matches: DataFrame) -> DataFrame:
-    """Listings of each parcel: permits, names, distances; unknown distances last. With the shard of the parcel."""
+    """Listings of each parcel: licence numbers, names, distances; unknown distances last. With the shard of the parcel."""
     order = F.struct(kind_rank(F.col("type")).alias("rank"), F.coalesce("distance_m", F.lit(float("inf"))).alias("d"), "listing_id", "type")
-    listed = matches.groupBy("parcel").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(x.listing_id.alias("listing_id"), x.type.alias("type"))).alias("listings"))
+    listed = matches.where("parcel <> ''").groupBy("parcel").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(x.listing_id.alias("listing_id"), x.type.alias("type"), F.when(x.d < float("inf"), x.d).alias("distance_m"))).alias("listings"))
     return listed.withColumn("bucket", buckets.sha_prefix(F.col("parcel")))
 
 

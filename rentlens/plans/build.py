@@ -77,7 +77,7 @@ def listings(spark: SparkSession, root: str, at: Inputs) -> tuple[DataFrame, Dat
     fields = {c: F.coalesce(c, F.lit("")) for c in ("title", "rental_type", "property_type", "room_type", "location_name", "description", "host_name")}
     hotel = hotels.classify(fields, F.col("reported"), F.col("tipped"))
     n = rules.license_count(F.size("permit_numbers"), F.col("permit_numbers"))
-    rows = rows.withColumns({"hotel": hotel, "licenses": n, "allowed": rules.capacity(F.col("bedrooms")), "over_capacity": rules.overage(F.col("bedrooms"), F.col("occupancy"), n), "host_key": coerce.host_key(F.col("host_user_id"), F.col("host_profile_url"), F.col("host_name")), "party": F.exists(F.map_keys(F.coalesce("amenities", F.create_map().cast("map<string,string>"))), lambda k: k.isin("bachelor_party", "bachelorette_party", "dance_pole"))})
+    rows = rows.withColumns({"hotel": hotel, "licenses": n, "allowed": rules.capacity(F.col("bedrooms"), n), "over_capacity": rules.overage(F.col("bedrooms"), F.col("occupancy"), n), "host_key": coerce.host_key(F.col("host_user_id"), F.col("host_profile_url"), F.col("host_name")), "party": F.coalesce(F.size("amenities") > 0, F.lit(False))})
     return settled(rows), changes, warnings
 
 
@@ -110,6 +110,7 @@ def build(spark: SparkSession, root: str, as_of: str, at: Inputs | None = None)
         rows = rows.withColumn("boundary_distance_m", F.lit(None).cast("double"))
     rows, outside = merge.same_partition(settled(rows), F.col("boundary_distance_m") >= -(SCOPE_M + rules.SLACK))
     out = {"permits": p, "repairs": changes, "warnings": warnings, "out_of_scope": outside, "permit_evidence": rows.select("listing_id", F.explode("evidence").alias("e")).select("listing_id", "e.*")}
+    direct = candidates.license_matches(rows.select("listing_id", F.col("matched_permits").alias("permits")), p)
     best = merge.parcel_status(p.where("parcel <> ''"), rules.PARCEL_ORDER)
     if tables.exists(spark, f"{root}/{at.parcels}"):
         paths = tables.manifest_paths(spark, root, fallback=at.parcels)
@@ -124,17 +125,22 @@ def build(spark: SparkSession, root: str, as_of: str, at: Inputs | None = None)
         close = settled(spatial.polygons_within(spots, parcel, "x", "y", "xy", RADIUS_M).select("listing_id", "id", F.round("distance_m", 3).alias("distance_m"), names.tokens(F.col("host_name")).alias("host_tokens")))
         edges = nicknames.token_map(tables.names(spark, f"{root}/{at.names}"))
         nick = F.create_map(*(v for k, ns in edges.items() for v in (F.lit(k), F.array(*map(F.lit, ns))))) if edges else F.create_map().cast("map<string,array<string>>")
-        current = p.where("status = 'current'").select("parcel", names.tokens(F.col("owner")).alias("owner_tokens"), F.col("id").alias("permit_id"), F.col("id").alias("ordinal"))
+        owned = p.select("parcel", names.tokens(F.col("owner")).alias("owner_tokens"), F.col("id").alias("permit_id"), F.col("id").alias("ordinal"))
         owners = settled(parcel.select("id", "parcel", names.tokens(F.col("owner")).alias("owner_tokens")))
-        found = settled(candidates.typed_matches(close, owners, settled(current), nick))
-        rows = rows.join(candidates.listing_lists(found), "listing_id", "left")
+        found = settled(candidates.typed_matches(close, owners, settled(owned), nick).unionByName(direct))
         tile = geo.tile_key(F.col("rings")[0][0][0], F.col("rings")[0][0][1])
-        out |= {"matches": found, "property_matches": candidates.reverse_index(found), "parcels": parcel.drop("xy").join(best, "parcel", "left").withColumn("tile", tile)}
+        out |= {"parcels": parcel.drop("xy").join(best, "parcel", "left").withColumn("tile", tile)}
     else:
+        found = settled(direct)
         rows = rows.withColumn("nearest_licensed_parcel_m", F.lit(None).cast("double"))
+    out |= {"matches": found, "property_matches": candidates.reverse_index(found)}
+    rows = rows.join(candidates.listing_lists(found), "listing_id", "left")
+    rows = rows.withColumn("preliminary_matches", F.filter("matches", lambda m: m.type != "distance"))
     overlap = rules.circle_overlaps(F.col("nearest_licensed_parcel_m"), F.col("privacy_radius_meters"))
     rows = rows.withColumns({"circle_overlaps_parcel": overlap, "likely_unlicensed": rules.likely_unlicensed(F.col("hotel.likely_hotel"), rules.in_scope(F.col("boundary_distance_m")), overlap), "cell_id": F.when(F.col("x").isNotNull(), geo.cell(F.col("x"), F.col("y"), CELL_M))})
     rows = settled(rows)
+    auto = candidates.auto_match(rows.select("listing_id", F.col("hotel.likely_hotel").alias("likely_hotel"), F.col("circle_overlaps_parcel").alias("overlap"), "nearest_licensed_parcel_m"), found, best.where("status = 'current'"))
+    rows = settled(rows.join(auto, "listing_id"))
     out["listings"] = rows.orderBy("listing_id")
     yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     counts = rows.agg(F.count("*").alias("listings"), yes(F.col("point").isNotNull()).alias("mapped"), yes(F.col("hotel.likely_hotel")).alias("hotels"), yes(F.col("text_scanned")).alias("scanned"), yes(F.col("over_capacity") > 0).alias("over_capacity"), yes(F.col("party")).alias("party"), yes(F.size("permit_numbers") > 0).alias("with_permits"), yes(F.col("likely_unlicensed")).alias("likely_unlicensed"), yes(F.col("privacy_radius_meters").isNull()).alias("unknown_radius"))

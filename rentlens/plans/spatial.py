@@ -162,11 +162,11 @@ def _matches(spark, sf_dir):
     """Candidates by distance; whether a host's name fits follows from the ids."""
     a, b = sides(spark, sf_dir)
     pairs = spatial.within_radius(a, b, METRES).withColumn("distance_m", F.round("distance_m", 3))
-    kind = F.when(F.col("r_id") % 7 == 0, "permit_owner_name").when(F.col("r_id") % 7 == 1, "owner_nickname").otherwise("distance")
+    kind = F.when(F.col("r_id") % 7 == 0, "license_number").when(F.col("r_id") % 7 == 1, "owner_nickname").otherwise("distance")
     return pairs.select(F.col("vec_id").alias("listing_id"), F.concat(F.lit("P"), "r_id").alias("parcel"), kind.alias("type"), "distance_m")
 
 
-_MATCHES = f"""{_POINTS}, {_LEFT}, m AS (SELECT vec_id AS listing_id, 'P' || r_id AS parcel, CASE r_id % 7 WHEN 0 THEN 'permit_owner_name' WHEN 1 THEN 'owner_nickname' ELSE 'distance' END AS type,
+_MATCHES = f"""{_POINTS}, {_LEFT}, m AS (SELECT vec_id AS listing_id, 'P' || r_id AS parcel, CASE r_id % 7 WHEN 0 THEN 'license_number' WHEN 1 THEN 'owner_nickname' ELSE 'distance' END AS type,
   round({_HAVERSINE}, 3) AS distance_m FROM a, b WHERE {_HAVERSINE} <= 550)"""
 
 
@@ -175,7 +175,7 @@ def candidate_rank_lists(spark, sf_dir):
     return candidates.listing_lists(_matches(spark, sf_dir)).select("listing_id", F.col("matches.parcel").alias("parcels"))
 
 
-@query(f"""WITH {_MATCHES} SELECT parcel, list(listing_id ORDER BY CASE WHEN type LIKE 'permit%' THEN 0 WHEN type <> 'distance' THEN 1 ELSE 2 END, distance_m, listing_id) AS listings,
+@query(f"""WITH {_MATCHES} SELECT parcel, list(listing_id ORDER BY CASE WHEN type = 'license_number' THEN 0 WHEN type <> 'distance' THEN 1 ELSE 2 END, distance_m, listing_id) AS listings,
   substr(sha256(parcel), 1, 2) AS bucket FROM m GROUP BY parcel""")
 def reverse_index_buckets(spark, sf_dir):
     return candidates.reverse_index(_matches(spark, sf_dir)).select("parcel", F.col("listings.listing_id").alias("listings"), "bucket")
@@ -186,11 +186,11 @@ def match_type_histogram(spark, sf_dir):
     return _matches(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("listing_id").alias("listings"))
 
 
-@query(f"""WITH {_MATCHES}, s AS (SELECT *, CASE type WHEN 'permit_owner_name' THEN 0.97 WHEN 'owner_nickname' THEN 0.75 ELSE 0.1 END::DOUBLE AS score FROM m)
+@query(f"""WITH {_MATCHES}, s AS (SELECT *, CASE type WHEN 'license_number' THEN 0.97 WHEN 'owner_nickname' THEN 0.75 ELSE 0.1 END::DOUBLE AS score FROM m)
 SELECT listing_id, score, distance_m, parcel, n AS candidate_count FROM (SELECT *, count(*) OVER (PARTITION BY listing_id) AS n, row_number() OVER (PARTITION BY listing_id ORDER BY score DESC, distance_m) AS r FROM s) WHERE r = 1""")
 def best_candidate(spark, sf_dir):
     kind = F.col("type")
-    score = F.when(kind == "permit_owner_name", 0.97).when(kind == "owner_nickname", 0.75).otherwise(0.1)
+    score = F.when(kind == "license_number", 0.97).when(kind == "owner_nickname", 0.75).otherwise(0.1)
     return candidates.best_of(_matches(spark, sf_dir).withColumn("score", score), "listing_id", columns=("parcel",))
 
 

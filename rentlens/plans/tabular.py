@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import buckets, coerce, rules
+from ..functions import buckets, coerce, labels, rules
 from ..operators import candidates, merge, screening
 from ..streaming import events as event_streams
 from .registry import query, table
@@ -29,9 +29,9 @@ def permit_status_rollup(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, least(2.0 * (p_partkey % 8) + 4, 12.0) AS allowed,
-  greatest(0.0, p_size - CASE WHEN p_partkey % 5 = 0 THEN 12.0 ELSE least(2.0 * (p_partkey % 8) + 4, 12.0) END) AS over_one,
-  greatest(0.0, p_size - CASE WHEN p_partkey % 3 = 2 THEN CASE WHEN p_partkey % 5 = 0 THEN 24.0 ELSE least(2.0 * (p_partkey % 8) + 8, 24.0) END
-    ELSE CASE WHEN p_partkey % 5 = 0 THEN 12.0 ELSE least(2.0 * (p_partkey % 8) + 4, 12.0) END END) AS over_detected FROM part""")
+  CASE WHEN p_partkey % 5 <> 0 THEN greatest(0.0, p_size - least(2.0 * (p_partkey % 8) + 4, 12.0)) WHEN p_size > 12 THEN p_size - 12.0 END AS over_one,
+  CASE WHEN p_partkey % 5 <> 0 THEN greatest(0.0, p_size - CASE WHEN p_partkey % 3 = 2 THEN least(2.0 * (p_partkey % 8) + 8, 24.0) ELSE least(2.0 * (p_partkey % 8) + 4, 12.0) END)
+    WHEN p_size > CASE WHEN p_partkey % 3 = 2 THEN 24 ELSE 12 END THEN p_size - CASE WHEN p_partkey % 3 = 2 THEN 24.0 ELSE 12.0 END END AS over_detected FROM part""")
 def capacity_overage(spark, sf_dir):
     beds = (F.col("p_partkey") % 8).cast("double")
     known = F.when(F.col("p_partkey") % 5 != 0, beds)
@@ -42,11 +42,11 @@ def capacity_overage(spark, sf_dir):
 @query("""WITH r AS (SELECT p_partkey, p_partkey % 11 = 0 AS hotel, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 8 END AS b, p_partkey % 3 AS l,
   CASE WHEN p_partkey % 7 <> 0 THEN greatest(0, p_size - least(2 * (p_partkey % 8) + 4, 12)) END AS o FROM part),
 s AS (SELECT *, NOT hotel AND coalesce(b > 5, false) AS large, NOT hotel AND NOT coalesce(b > 5, false) AND l > 1 AS multiple FROM r),
-t AS (SELECT *, NOT hotel AND NOT large AND NOT multiple AND (b IS NULL OR o IS NULL) AS unknown FROM s)
+t AS (SELECT *, NOT hotel AND NOT large AND NOT multiple AND o IS NULL AS unknown FROM s)
 SELECT count(*) AS total, count(*) FILTER (hotel) AS hotels, count(*) FILTER (large) AS large, count(*) FILTER (multiple) AS multiple,
   count(*) FILTER (unknown) AS unknown, count(*) FILTER (NOT hotel AND NOT large AND NOT multiple AND NOT unknown) AS eligible,
-  count(*) FILTER (NOT hotel AND NOT large AND NOT multiple AND NOT unknown AND o > 0) AS over,
-  round(100.0 * count(*) FILTER (NOT hotel AND NOT large AND NOT multiple AND NOT unknown AND o > 0)
+  count(*) FILTER (NOT hotel AND NOT large AND NOT multiple AND NOT unknown AND o >= 1) AS over,
+  round(100.0 * count(*) FILTER (NOT hotel AND NOT large AND NOT multiple AND NOT unknown AND o >= 1)
     / nullif(count(*) FILTER (NOT hotel AND NOT large AND NOT multiple AND NOT unknown), 0), 6)::DOUBLE AS percent_over FROM t""")
 def occupancy_funnel(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -58,7 +58,7 @@ def occupancy_funnel(spark, sf_dir):
 @query(f"""WITH c AS (SELECT (SELECT count(*) FROM part) * 4 AS total, (SELECT count(*) FROM part WHERE p_partkey % 11 = 0) AS hotels,
   (SELECT count(*) FROM orders WHERE {_STATUS} = 'current') AS current)
 SELECT total, hotels, current, greatest(0, total - hotels - current) AS shortfall,
-  round(100.0 * greatest(0, total - hotels - current) / nullif(total - hotels, 0), 6)::DOUBLE AS percent, greatest(0, total - hotels - current) * 313 AS fees FROM c""")
+  round(100.0 * greatest(0, total - hotels - current) / nullif(total, 0), 6)::DOUBLE AS percent, greatest(0, total - hotels - current) * 313 AS fees FROM c""")
 def inventory_shortfall(spark, sf_dir):
     p = table(spark, sf_dir, "part").agg((F.count("*") * 4).alias("total"), F.count_if(F.col("p_partkey") % 11 == 0).alias("hotels"))
     current = permits(spark, sf_dir).agg(F.count_if(F.col("status") == "current").alias("current"))
@@ -67,7 +67,7 @@ def inventory_shortfall(spark, sf_dir):
 
 @query(f"""WITH m AS (SELECT DISTINCT l_partkey, {_STATUS} AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT p_partkey, CASE WHEN bool_or(status = 'current') THEN 'current' WHEN bool_or(status = 'expired') THEN 'expired'
-  WHEN count(status) > 0 THEN min(status) WHEN p_partkey % 2 = 0 THEN 'unmatched' ELSE 'unknown' END AS status
+  WHEN count(status) > 0 THEN 'other' WHEN p_partkey % 2 = 0 THEN 'unmatched' ELSE 'unknown' END AS status
 FROM part LEFT JOIN m ON l_partkey = p_partkey GROUP BY p_partkey""")
 def listing_status_precedence(spark, sf_dir):
     o = permits(spark, sf_dir).select("o_orderkey", "status")
@@ -203,9 +203,45 @@ def host_rollup_sorted(spark, sf_dir):
     return screening.sorted_hosts(screening.hosts(listings(spark, sf_dir)), "likely")
 
 
-@query("SELECT p_brand AS host_key, array_to_string(list_sort(string_split(p_name, ' ')), '|') AS combo, count(*) AS n FROM part GROUP BY ALL")
+@query("SELECT p_brand AS host_key, array_to_string(list_sort(string_split(p_name, ' ')), '|') AS combo, count(*) AS n FROM part WHERE p_partkey % 4 = 0 OR p_size > 20 GROUP BY ALL")
 def combo_counts(spark, sf_dir):
-    return listings(spark, sf_dir).groupBy("host_key", "combo").agg(F.count("*").alias("n"))
+    return screening.host_combos(listings(spark, sf_dir))
+
+
+@query("SELECT p_partkey FROM part WHERE p_type IN ('ECONOMY', 'STANDARD', 'PROMO') AND (p_partkey % 4 = 0 OR p_size > 20) AND p_partkey % 5 NOT IN (1, 2)")
+def faceted_sets(spark, sf_dir):
+    rows = listings(spark, sf_dir).withColumn("community_status", F.when(F.col("p_partkey") % 5 == 1, "no_license_at_address").when(F.col("p_partkey") % 5 == 2, "license_at_address").otherwise("none"))
+    return screening.Facets(rental_types=("ECONOMY", "STANDARD", "PROMO"), party=True, community=("undetermined",)).apply(rows).select("p_partkey")
+
+
+@query("""SELECT count(*) AS listings, count(*) FILTER (p_partkey % 4 <> 0) AS known, count(*) FILTER (p_partkey % 4 <> 0 AND p_size > 20) AS likely, count(*) FILTER (p_partkey % 4 = 0) AS unknown,
+  round(100.0 * count(*) FILTER (p_partkey % 4 <> 0 AND p_size > 20) / nullif(count(*) FILTER (p_partkey % 4 <> 0), 0), 6)::DOUBLE AS percent FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0""")
+def spatial_screening_rate(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select((k % 11 == 0).alias("likely_hotel"), (k % 7 != 0).alias("in_scope"), F.when(k % 4 != 0, F.col("p_size") <= 20).alias("overlap"))
+    return screening.spatial_rate(rows)
+
+
+@query("""SELECT p_partkey, CASE WHEN h THEN '#f97316' WHEN s = 'expired' THEN '#facc15' WHEN s = 'current' THEN '#22c55e' WHEN o THEN '#fb7185' WHEN s = 'other' THEN '#c4b5fd' ELSE '#e2e8f0' END AS color,
+  CASE WHEN o THEN '#dc2626' ELSE '#2563eb' END AS stroke, p_size || CASE WHEN o THEN chr(10) || '+' || (p_size - 20) ELSE '' END AS label
+FROM (SELECT p_partkey, p_size, p_partkey % 11 = 0 AS h, p_size > 20 AS o, CASE p_partkey % 4 WHEN 0 THEN 'expired' WHEN 1 THEN 'current' WHEN 2 THEN 'other' ELSE 'unknown' END AS s FROM part)""")
+def marker_styles(spark, sf_dir):
+    k = F.col("p_partkey")
+    status = F.when(k % 4 == 0, "expired").when(k % 4 == 1, "current").when(k % 4 == 2, "other").otherwise("unknown")
+    over = F.col("p_size") > 20
+    return table(spark, sf_dir, "part").select("p_partkey", labels.marker_color(k % 11 == 0, status, over).alias("color"), labels.marker_stroke(over).alias("stroke"), labels.marker_label(F.col("p_size"), F.col("p_size") - 20, over).alias("label"))
+
+
+@query("""WITH m AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber % 2 = 0), f AS (SELECT l_orderkey, bool_or(l_partkey % 3 = 0) AS y, bool_or(l_partkey % 3 <> 0) AS n FROM m GROUP BY l_orderkey),
+j AS (SELECT o_orderkey, o_orderkey % 13 = 0 AS h, o_orderkey % 5 = 0 AS near, coalesce(y, false) AS y, coalesce(n, false) AS n FROM orders LEFT JOIN f ON o_orderkey = l_orderkey)
+SELECT o_orderkey AS listing_id, CASE WHEN h THEN 'hotel' WHEN y AND NOT n THEN 'licensed' WHEN near THEN 'nearby' WHEN n AND NOT y THEN 'unlicensed' ELSE 'unknown' END AS auto_status FROM j""")
+def auto_match_statuses(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("listing_id"), (k % 13 == 0).alias("likely_hotel"), F.lit(None).cast("boolean").alias("overlap"), F.when(k % 5 == 0, 9.0).otherwise(900.0).alias("nearest_licensed_parcel_m"))
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "permit_owner_name").otherwise("distance")
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("listing_id"), kind.alias("type"), F.concat(F.lit("p-"), "l_partkey").alias("parcel"))
+    current = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("parcel"))
+    return candidates.auto_match(rows, found, current)
 
 
 @query("""SELECT c_name, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 256)::INT AS bucket,

@@ -44,7 +44,8 @@ def test_build(spark, root):
     assert (a.own_address, a.nearest_licensed_parcel_m, a.circle_overlaps_parcel, a.likely_unlicensed) == ("12 Oak St", 0.0, True, False)
     assert b.hotel.rule == "inn_default" and b.status == "unknown" and b.circle_overlaps_parcel is False and not b.likely_unlicensed
     assert c.point is None and c.circle_overlaps_parcel is None and c.boundary_distance_m is None
-    assert {(m.parcel, m.type) for m in a.matches} == {("00000000001", "permit_owner_nickname"), ("00000000002", "distance")}
+    assert {(m.parcel, m.type) for m in a.matches} == {("00000000001", "license_number"), ("00000000001", "permit_owner_nickname"), ("00000000002", "distance")}
+    assert [m.type for m in a.preliminary_matches] == ["license_number", "permit_owner_nickname"] and a.auto_status == "licensed"
     assert {(r.field, r.before, r.after) for r in made["repairs"].collect()} >= {("bedrooms", "2.0", "3.0"), ("title", None, "Old Inn")}
     assert {r.id: (r.permit_number, r.status) for r in made["permits"].collect()} == {"1": ("2023000001", "current"), "2": ("2022000009", "expired")}
     report = made["report"].first()
@@ -65,7 +66,7 @@ def test_hosts(spark):
     licenses = spark.createDataFrame([("L1", "William Poe", LON, LAT + 0.001), ("L2", "Bill Poe", LON, LAT + 0.002), ("L3", "Quill Press", LON, LAT), ("L4", "Bill Poe", LON + 1, LAT)], "license_number string, business_name string, r_lon double, r_lat double")
     researched = spark.createDataFrame([("https://www.x.example/rooms/2",)], "url string")
     got = {r.url[-1]: r for r in hosts.match_hosts(listings, licenses, researched).collect()}
-    assert [c.license_number for c in got["1"].candidates] == ["L2", "L1"] and got["1"].match_type == "exact_full_name" and got["1"].distance_band == "100-500 m"
+    assert [c.license_number for c in got["1"].candidates] == ["L2", "L1"] and got["1"].match_type == "exact_full_name" and got["1"].distance_band == "within_1km"
     assert got["2"].researched and got["2"].candidate_count == 0
     assert got["3"].candidate_count == 0  # a partial name over 500 m away
     assert got["4"].match_type is None

@@ -42,6 +42,7 @@ def test_keys(spark):
     assert one(spark, coerce.url_key(c("https://www.X.example/rooms/plus/12?x=1"))) == "x.example:12"
     assert one(spark, coerce.url_key(c("https://x.example/a/b//"))) == "x.example/a/b"
     assert one(spark, coerce.host_key(c(" "), c(None), c("Bob "))) == "name:Bob"
+    assert one(spark, coerce.host_key(c(None), c(None), c(" "))) == "name:(unknown)"
     assert one(spark, coerce.host_key(c("7"), c("u"), c("Bob"))) == "7"
     assert one(spark, coerce.parcel_key(c("0a-1 2"))) == "0A12" and one(spark, coerce.pin(c(" 0a 1"))) == "0A1"
     assert one(spark, coerce.html_escape(c("<a & 'b'>"))) == "&lt;a &amp; &#39;b&#39;&gt;"
@@ -56,7 +57,7 @@ def test_keys(spark):
     assert one(spark, buckets.polynomial(c("OAK 12"))) == python and one(spark, buckets.polynomial(c(""))) == 0
 
 
-@pytest.mark.parametrize(("beds", "guests", "licenses", "want"), [(3.0, 12.0, None, 2.0), (5.0, 12.0, None, 0.0), (None, 13.0, None, 1.0), (None, 12.0, None, 0.0), (3.0, None, None, None), (3.0, 15.0, 2, 1.0), (None, 25.0, 2, 1.0), (3.0, 12.0, 3, 2.0), (12.0, 30.0, 2, 6.0)])
+@pytest.mark.parametrize(("beds", "guests", "licenses", "want"), [(3.0, 12.0, None, 2.0), (5.0, 12.0, None, 0.0), (None, 13.0, None, 1.0), (None, 12.0, None, None), (-1.0, 12.0, None, None), (None, 24.0, 2, None), (3.0, None, None, None), (3.0, 15.0, 2, 1.0), (None, 25.0, 2, 1.0), (3.0, 12.0, 3, 2.0), (12.0, 30.0, 2, 6.0)])
 def test_overage(spark, beds, guests, licenses, want):
     number = None if licenses is None else F.lit(licenses)
     assert one(spark, rules.overage(c(beds, "double"), c(guests, "double"), number)) == want
@@ -68,7 +69,7 @@ def test_statuses(spark):
     assert s("ISSUED", "05/01/2024") == "current" and s("issued", "2024-04-30 10:00") == "expired"
     assert s("EXPIRED", "2030-01-01") == "expired" and s("Revoked", None) == "revoked" and s(None, None) == "unknown" and s("ISSUED", "soon") == "current"
     lists = lambda st, n: one(spark, rules.listing_status(F.array(*map(F.lit, st)).cast("array<string>"), F.array(*map(F.lit, n)).cast("array<string>")))
-    assert [lists(["expired", "current"], ["1"]), lists(["revoked", "expired"], ["1"]), lists(["revoked"], ["1"]), lists([], ["1"]), lists([], [])] == ["current", "expired", "revoked", "unmatched", "unknown"]
+    assert [lists(["expired", "current"], ["1"]), lists(["revoked", "expired"], ["1"]), lists(["revoked"], ["1"]), lists([], ["1"]), lists([], [])] == ["current", "expired", "other", "unmatched", "unknown"]
 
 
 def test_overlap_is_null_when_unknown(spark):

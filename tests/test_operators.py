@@ -95,10 +95,17 @@ def test_screening(spark):
     schema = "listing_id string, ordinal int, likely_hotel boolean, bedrooms double, licenses int, over_capacity double"
     rows = [("a", 0, True, 1.0, 0, 0.0), ("a", 1, False, 1.0, 0, 3.0), ("b", 0, True, None, 0, None), ("c", 0, None, 6.0, 0, 0.0), ("d", 0, False, 2.0, 2, 0.0), ("e", 0, False, None, 0, 1.0), ("f", 0, False, 2.0, 1, 0.0)]
     got = screening.funnel(spark.createDataFrame(rows, schema)).first()
-    assert tuple(got) == (6, 1, 1, 1, 1, 2, 1, 50.0)
+    assert tuple(got) == (6, 1, 1, 1, 0, 3, 2, 66.666667)
     assert screening.funnel(spark.createDataFrame([], schema)).first()["percent_over"] is None
-    kinds = spark.createDataFrame([(True, ["distance"]), (False, ["permit_owner_name"]), (False, ["distance"]), (False, []), (False, None)], "h boolean, k array<string>")
-    assert [r[0] for r in kinds.select(screening.auto_match_status(F.col("h"), F.col("k"))).collect()] == ["hotel", "licensed", "nearby", "unlicensed", "unknown"]
+    assert tuple(screening.funnel(spark.createDataFrame(rows, schema), exclude_large=False, exclude_multiple=False).first()) == (6, 1, 0, 0, 0, 5, 2, 40.0)
+    listed = spark.createDataFrame([("h", True, True, 1.0), ("l", False, None, None), ("n", None, True, None), ("m", False, None, 9.144), ("u", False, False, 9.2), ("b", False, None, None), ("x", False, None, None)], "listing_id string, likely_hotel boolean, overlap boolean, nearest_licensed_parcel_m double")
+    found = spark.createDataFrame([("l", "owner_name", "0-1"), ("u", "owner_nickname", "2"), ("b", "owner_name", "01"), ("b", "permit_owner_name", "2"), ("x", "distance", "01"), ("x", "owner_name", ""), ("h", "owner_name", "01")], "listing_id string, type string, parcel string")
+    got = candidates.auto_match(listed, found, spark.createDataFrame([("0 1",), (None,)], "parcel string"))
+    assert {r.listing_id: r.auto_status for r in got.collect()} == {"h": "hotel", "l": "licensed", "n": "nearby", "m": "nearby", "u": "unlicensed", "b": "unknown", "x": "unknown"}
+    assert screening.spatial_rate(spark.createDataFrame([], "likely_hotel boolean, in_scope boolean, overlap boolean")).first() == (0, 0, 0, 0, None)
+    few = screening.first_rows(spark.range(5), ["id"], 3)
+    assert [tuple(r) for r in few.collect()] == [(0, True), (1, True), (2, True)] and not screening.first_rows(spark.range(3), ["id"], 3).first().more
+    assert not screening.Facets().active and screening.Facets(party=True).active
 
 
 def test_candidates_keep_ambiguity(spark):
