@@ -91,6 +91,19 @@ def covers(x: Column, y: Column, rings: Column) -> Column:
     return inside(x, y, rings) | (edge_distance(x, y, rings) == 0)
 
 
+def intersects(a: Column, b: Column) -> Column:
+    """Whether two polygons share a point: edges that meet, or one that holds the other."""
+    side = lambda p, q, r: F.signum((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+
+    def meet(s: Column, t: Column) -> Column:
+        apart = lambda i: (F.least(s.a[i], s.b[i]) > F.greatest(t.a[i], t.b[i])) | (F.least(t.a[i], t.b[i]) > F.greatest(s.a[i], s.b[i]))
+        return ~apart(0) & ~apart(1) & (side(s.a, s.b, t.a) * side(s.a, s.b, t.b) <= 0) & (side(t.a, t.b, s.a) * side(t.a, t.b, s.b) <= 0)
+
+    edges = lambda rings: F.flatten(F.transform(rings, _segments))
+    held = lambda p, rings: covers(p[0][0][0], p[0][0][1], rings)
+    return F.exists(edges(a), lambda s: F.exists(edges(b), lambda t: meet(s, t))) | held(a, b) | held(b, a)
+
+
 def polygon_distance(x: Column, y: Column, rings: Column) -> Column:
     """0 inside, else the distance to the nearest edge."""
     return F.when(inside(x, y, rings), F.lit(0.0)).otherwise(edge_distance(x, y, rings))

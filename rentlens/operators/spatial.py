@@ -78,6 +78,20 @@ def polygons_at(points: DataFrame, polygons: DataFrame, x: str, y: str, rings: s
     return q.join(p, ["__cx", "__cy"]).where(held).drop("__cx", "__cy", "__b")
 
 
+def polygon_pairs(left: DataFrame, right: DataFrame, rings: str, right_rings: str, size: float) -> DataFrame:
+    """Pairs of polygons that share a point, once each. Both are copied to the cells of ``size`` that their boxes touch."""
+    def at(df: DataFrame, name: str, p: str) -> DataFrame:
+        b = df.withColumn(p, geo.bbox(F.col(name)))
+        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{p}.{lo}") / size), F.floor(F.col(f"{p}.{hi}") / size))
+        return b.withColumn("__cx", F.explode(span("x0", "x1"))).withColumn("__cy", F.explode(span("y0", "y1")))
+
+    pairs = at(left, rings, "__a").join(at(right, right_rings, "__b"), ["__cx", "__cy"])
+    x, y = F.greatest("__a.x0", "__b.x0"), F.greatest("__a.y0", "__b.y0")
+    one = (F.floor(x / size) == F.col("__cx")) & (F.floor(y / size) == F.col("__cy"))  # the cell of the boxes' common corner
+    boxes = (x <= F.least("__a.x1", "__b.x1")) & (y <= F.least("__a.y1", "__b.y1"))
+    return pairs.where(one & boxes).where(geo.intersects(F.col(rings), F.col(right_rings))).drop("__a", "__b", "__cx", "__cy")
+
+
 def containing(points: DataFrame, polygons: DataFrame, key: str, x: str, y: str, rings: str, order: list[str], size: float) -> DataFrame:
     """The smallest polygon that covers each point; ties by ``order``. Points in none are left out."""
     found = polygons_at(points, polygons, x, y, rings, size).where(geo.covers(F.col(x), F.col(y), F.col(rings)))

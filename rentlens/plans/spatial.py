@@ -63,10 +63,10 @@ def neighbourhood_balance(spark, sf_dir):
     return spatial.balance(*_cells(spark, sf_dir), size=500.0, reach=500.0)
 
 
-def _boxes(spark, sf_dir):
+def _boxes(spark, sf_dir, wider=0.0):
     n = table(spark, sf_dir, "nation")
     x, y = F.lit(-86.80) + F.col("n_nationkey") * 0.0015, F.lit(36.14) + (F.col("n_nationkey") % 7) * 0.004
-    w = F.lit(0.006) + (F.col("n_nationkey") % 4) * 0.0015
+    w = F.lit(0.006 + wider) + (F.col("n_nationkey") % 4) * 0.0015
     return n.select("n_nationkey", geo.box(x, y, x + w, y + w).alias("rings"))
 
 
@@ -97,6 +97,14 @@ def polygons_within_reach(spark, sf_dir):
     return found.select("vec_id", "n_nationkey", F.round("distance_m", 8).alias("distance"))
 
 
+@query(f"""WITH {_BOXES}, v AS (SELECT n_nationkey, x0, y0, w + 0.0001 AS w FROM x) SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM v a, v b WHERE a.n_nationkey < b.n_nationkey
+  AND a.x0 <= b.x0 + b.w AND b.x0 <= a.x0 + a.w AND a.y0 <= b.y0 + b.w AND b.y0 <= a.y0 + a.w""")
+def polygons_meeting(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir, 0.0001)  # no two only touch: decimals and doubles would differ on that
+    other = boxes.select(F.col("n_nationkey").alias("b"), F.col("rings").alias("b_rings"))
+    return spatial.polygon_pairs(boxes.withColumnRenamed("n_nationkey", "a"), other, "rings", "b_rings", 0.005).where("a < b").select("a", "b")
+
+
 _EDGE = """CASE WHEN lon BETWEEN -86.79 AND -86.77 AND lat BETWEEN 36.15 AND 36.17 THEN least(lon + 86.79, -86.77 - lon, lat - 36.15, 36.17 - lat)
   ELSE -sqrt(greatest(-86.79 - lon, 0, lon + 86.77) ** 2 + greatest(36.15 - lat, 0, lat - 36.17) ** 2) END"""
 

@@ -1,9 +1,14 @@
 """Lookups and labels on invented rows, with nulls, blanks, ties and empty tables."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
+from rentlens import tools
 from rentlens.functions import geo, labels
-from rentlens.operators import candidates, lookups
+from rentlens.operators import candidates, lookups, spatial
+from rentlens.sources import remote
 
 
 def test_labels(spark):
@@ -63,3 +68,54 @@ def test_records_and_places(spark):
     g = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1)], "g string, o int")
     assert sorted(tuple(r) for r in lookups.sized_groups(g, "g", "o").collect()) == [("a", 1, 2, 0), ("a", 2, 2, 1), ("b", 1, 1, 0)]
     assert sorted(tuple(r) for r in lookups.grouped_status(g, "g", "o").collect()) == [("a", 2, 2), ("b", 1, 1)]
+
+
+def test_polygon_pairs(spark):
+    square = lambda x, y, w: [[[x, y], [x + w, y], [x + w, y + w], [x, y + w], [x, y]]]
+    slope = [[[0.0, 1.5], [1.5, 0.0], [2.0, 2.0], [0.0, 1.5]]]
+    shapes = [("big", square(0.0, 0.0, 4.0)), ("within", square(1.0, 1.0, 1.0)), ("touches", square(4.0, 0.0, 1.0)), ("corner", square(4.0, 4.0, 1.0)), ("far", square(9.0, 9.0, 1.0)), ("near slope", square(0.0, 0.0, 0.7)), ("slope", slope)]
+    a = spark.createDataFrame(shapes, "a string, rings array<array<array<double>>>")
+    for size in (0.3, 2.5, 50.0):
+        got = spatial.polygon_pairs(a, a.toDF("b", "b_rings"), "rings", "b_rings", size).where("a < b").select("a", "b").collect()
+        assert sorted(map(tuple, got)) == [("big", "corner"), ("big", "near slope"), ("big", "slope"), ("big", "touches"), ("big", "within"), ("slope", "within")]
+    assert spatial.polygon_pairs(a.limit(0), a.toDF("b", "b_rings"), "rings", "b_rings", 1.0).count() == 0
+
+
+def test_remote(spark, tmp_path):
+    cache, asked = f"file://{tmp_path}/cache.json", []
+
+    def giving(raw):
+        def fetch(n):
+            asked.append(n)
+            if isinstance(raw, Exception):
+                raise raw
+            return raw[:n]
+
+        return fetch
+
+    get = lambda raw, now, **k: [r.asDict() for r in remote.refresh(spark, cache, giving(raw), "url", now, **k).collect()]
+    assert get(OSError("down"), 0.0) == []
+    first = [{"url": "a", "note": "x\ny"}, {"url": "b", "note": None}]
+    assert get("\ufeffurl,note\na,\"x\ny\"\n\nb\n".encode(), 300.0) == first and len(asked) == 2
+    assert get(b"url\nc\n", 400.0) == first and len(asked) == 2
+    for raw in (OSError("down"), b"other\n1\n", b"", b"url\n" + b"x" * 50, b"url\n\xff"):
+        assert get(raw, 900.0, force=True, most=20) == first
+    assert json.loads((tmp_path / "cache.json").read_text())["error"]
+    assert get(b"url\nc\n", 901.0) == first and get(b"url\nc\n", 1200.0) == [{"url": "c"}]
+
+
+def test_names_tool(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("name1,relationship,name2\nRobert ,has_nickname,Bob\nrobert,has_nickname,bob\nann,has_nickname,o'ann\n")
+    run = lambda *a: tools.main([*a, "-i", f"file://{tmp_path}/n.csv", "-o", f"file://{tmp_path}/out"], spark)
+    lines = lambda: [r[0] for r in spark.read.text(f"file://{tmp_path}/out").collect()]
+    run("normalize")
+    assert lines() == ["name1,relationship,name2", "ann,has_nickname,o'ann", "robert,has_nickname,bob"]
+    run("sql", "--type", "wide")
+    assert lines()[0].startswith("CREATE TABLE nicknames (canonical_name") and "INSERT INTO nicknames (canonical_name, nickname_1) VALUES ('ann', 'o''ann');" in lines()
+    run("sql")
+    assert lines()[0].startswith("CREATE TABLE name_relationships") and len(lines()) == 4
+    run("constant")
+    assert len(json.loads(lines()[0])) == 3
+    (tmp_path / "n.csv").write_text("a,b\n")
+    with pytest.raises(SystemExit):
+        run("normalize")
