@@ -50,8 +50,9 @@ def address_points(keys: DataFrame, shards: DataFrame, records: DataFrame) -> Da
     asked = keys.select(coerce.squeeze_upper(F.col("key")).alias("address"), "key").withColumn("bucket", buckets.polynomial(F.col("address")))
     tiles = asked.join(shards, ["bucket", "address"]).select("key", F.col("address").alias("__k"), F.explode("tiles").alias("tile"))
     whole = coerce.squeeze_upper(F.col("address"))
-    hit = (whole == F.col("__k")) | (F.trim(F.split(whole, ",")[0]) == F.col("__k"))
-    rows = tiles.join(records, "tile").where(hit & F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    forms = F.array_distinct(F.array(whole, F.trim(F.split(whole, ",")[0])))
+    named = records.where("lon is not null and lat is not null").withColumn("__k", F.explode(forms))
+    rows = tiles.join(named, ["tile", "__k"])  # by tile alone, every record of a tile would meet every key
     return rows.groupBy("key", "lon", "lat").agg(F.max("address").alias("address"))
 
 
