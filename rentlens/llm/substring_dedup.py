@@ -128,24 +128,20 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
                 doc, first, n, least = _super_kmers(b, width, mer, hot)
                 if not len(first):
                     continue
-                # Equal strings of the block are sent once: by their words' hashes and number.
-                sums = np.zeros(len(b.hashes) + 1, U)
-                np.cumsum(mix(b.hashes) * (U(2) * np.arange(len(b.hashes)).astype(U) + U(1)), out=sums[1:])
-                plain = np.zeros(len(b.hashes) + 1, U)
-                np.cumsum(mix(b.hashes), out=plain[1:])
+                # Equal strings of the block are sent once; their bytes are compared.
                 last = first + n + width - 1
-                total = plain[last] - plain[first]
-                shape = mix((sums[last] - sums[first] - U(2) * first.astype(U) * total) ^ mix(total + n.astype(U)))
-                _, one, which = np.unique(shape, return_index=True, return_inverse=True)
+                text = b.data.tobytes()
+                found: dict[bytes, int] = {}
+                which = np.array([found.setdefault(text[x:y], len(found)) for x, y in zip(b.start[first].tolist(), b.end[last - 1].tolist(), strict=True)])
+                strings = list(found)
+                one = np.unique(which, return_index=True)[1]
                 bucket = (mix(least[one]) % U(dealt)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 place = np.empty(len(one), np.int64)
                 place[order] = np.arange(len(one))
                 hits = np.argsort(place[which], kind="stable")
                 owner, at = place[which][hits], first[hits]
-                text = b.data.tobytes()
-                lo, hi = b.start[first[one[order]]].tolist(), b.end[last[one[order]] - 1].tolist()
-                pieces = [text[x:y] for x, y in zip(lo, hi, strict=True)]
+                pieces = [strings[i] for i in order.tolist()]
                 cut = np.searchsorted(bucket[order], np.arange(dealt + 1))
                 cut_hits = np.searchsorted(owner, cut)
                 for k in np.flatnonzero(np.diff(cut)).tolist():

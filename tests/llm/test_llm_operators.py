@@ -57,6 +57,14 @@ def test_jaccard_and_substrings_match_brute_force(spark, seed):
     assert cut == sorted(substring_dedup.brute_force(rows))
 
 
+def test_substrings_of_few_words(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("ab", k=rng.randint(35, 44)))) for i in range(1000)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:100])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, substring_dedup.digest(substring_dedup.dedup(df)).collect())) == sorted(substring_dedup.brute_force(rows))
+
+
 def test_common_runs_rank_last(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "_hot_runs", lambda rows, mer: np.sort(_runs(rows, mer)))
     rows = _texts(3, 120)
