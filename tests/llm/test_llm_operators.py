@@ -205,6 +205,22 @@ def test_licences(spark):
     assert got == {i: (1, f) for i, (_, f) in enumerate(tries) if f}
 
 
+def test_licence_bodies_and_wrapped_lines(spark):
+    import textwrap
+
+    model = licenses.fit(spark.read.parquet(f"{SF1}/documents.parquet"))
+    whole = [(f, b) for f, bodies in licenses.BODIES.items() for b in bodies]
+    rows = [b for _, b in whole] + [textwrap.fill(b, 60) for _, b in whole]
+    rows += ["Licensed under the Apache License,\nVersion 2.0 only.", "Released under the GNU General\nPublic License, version 3."]
+    want = [f for f, _ in whole] * 2 + ["Apache-2.0", "GPL"]
+    rows += ["The restaurant is provided for any person.\nThe software of the house is in the hands of the author."]
+    df = spark.createDataFrame([(i, f"first words here\n\n{t}") for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {}
+    for r in licenses.license_paragraphs(df, model).collect():
+        got.setdefault(r.doc_id, set()).add(r.family)
+    assert got == {i: {f} for i, f in enumerate(want)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
