@@ -218,3 +218,43 @@ def typed_candidate_matches(spark, sf_dir):
     # Pairs whose names share a word only are left to the unit tests.
     both = found.join(near.select("listing_id", "id", "host_tokens").withColumn("parcel", F.concat(F.lit("P"), "id")), ["listing_id", "parcel"]).join(properties.select("parcel", "owner_tokens"), "parcel")
     return both.where((F.col("host_tokens") == F.col("owner_tokens")) | ~F.arrays_overlap("host_tokens", "owner_tokens")).select("listing_id", "parcel", "type", "distance_m")
+
+
+#: Given names that stand for hosts and owners, and each one's nicknames and full names.
+_GIVEN = sorted({t.lower() for line in names.VARIANTS.split("\n") for t in line.split()})
+
+
+def nickname_map() -> dict[str, list[str]]:
+    """Neighbours of each given name: the first of its line, and of a first one all others."""
+    out: dict[str, set[str]] = {}
+    for line in filter(None, names.VARIANTS.lower().split("\n")):
+        full, *short = line.split()
+        for t in short:
+            out.setdefault(full, set()).add(t)
+            out.setdefault(t, set()).add(full)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@query()
+def typed_candidate_matches_whole(spark, sf_dir):
+    """Every typed match, without SQL. A host goes by given name and part name, the given name, or both without the adjective."""
+    a, b = sides(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), names.ascii_tokens(F.col("p_name")).alias("w"))
+    least, n = parts.agg(F.min("k"), F.max("k") - F.min("k") + 1).first()
+    given = lambda i: F.element_at(F.array(*map(F.lit, _GIVEN)), (F.pmod(i, F.lit(len(_GIVEN))) + 1).cast("int"))
+
+    def named(df, key, column, tokens):
+        i = F.col(key)
+        found = df.join(parts, F.pmod(i, F.lit(n)) + F.lit(least) == F.col("k"), "left")
+        return found.withColumn(column, tokens(i, given(i), F.coalesce("w", F.array().cast("array<string>")))).drop("k", "w")
+
+    def host(i, g, w):
+        return F.when(i % 3 == 0, F.concat(F.array(g), w)).when(i % 3 == 1, F.array(g)).otherwise(F.concat(F.array(g), F.slice(w, 2, 9)))
+
+    hosts = named(a, "vec_id", "host_tokens", host)
+    owners = named(b, "r_id", "owner_tokens", lambda i, g, w: F.concat(F.array(g), w))
+    properties = owners.select(F.col("r_id").alias("id"), F.concat(F.lit("P"), "r_id").alias("parcel"), "owner_tokens")
+    permit = properties.where("id % 3 = 0").select("parcel", "owner_tokens", F.col("id").alias("permit_id"), F.lit(0).alias("ordinal"))
+    near = spatial.within_radius(hosts, b, METRES).select(F.col("vec_id").alias("listing_id"), F.col("r_id").alias("id"), F.round("distance_m", 3).alias("distance_m"), "host_tokens")
+    nick = F.create_map(*(v for k, ns in nickname_map().items() for v in (F.lit(k), F.array(*map(F.lit, ns)))))
+    return candidates.typed_matches(near, properties, permit, nick).select("listing_id", "parcel", "type", "distance_m")

@@ -186,3 +186,36 @@ def test_incremental(spark, tmp_path):
     assert sum(seen) == 2
     with pytest.raises(ValueError, match="interval"):
         watch.watch(df, print, "x", interval=1)
+
+
+def test_every_typed_match_has_a_row(spark):
+    from rentlens.plans import spatial as plans
+    from rentlens.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    part = {r.p_partkey: r.p_name.split() for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    given, nick = plans._GIVEN, plans.nickname_map()
+    assert "robert" in nick["bob"] and "bob" in nick["robert"]
+    spots = [(r.vec_id, (r.lon, r.lat)) for r in plans.points(spark, sf).collect()]
+    kinds, want = set(), set()
+    for i, x in spots:
+        g, w = given[i % len(given)], part[i % len(part)]
+        host = ([g, *w], [g], [g, *w[1:]])[i % 3]
+        for j, y in spots:
+            if i % 2 or not j % 2 or haversine(x, y) > 550:
+                continue
+            owner = [given[j % len(given)], *part[j % len(part)]]
+            if host == owner or (len(host) > 1 and set(host) <= set(owner)):
+                kind = "owner_name"
+            elif len(host) == 1 and host[0] in owner:
+                kind = "owner_first_name"
+            elif any(set(nick.get(h, ())) & set(owner) for h in host) and (len(host) == 1 or set(host) & set(owner)):
+                kind = "owner_nickname"
+            else:
+                kind = None
+            kind = "distance" if kind is None else f"permit_{kind}" if j % 3 == 0 else kind
+            kinds.add(kind)
+            want.add((i, f"P{j}", kind))
+    rows = QUERIES["typed_candidate_matches_whole"](spark, sf).collect()
+    assert len(rows) == len(want) and {(r.listing_id, r.parcel, r.type) for r in rows} == want
+    assert {"distance", "owner_first_name", "owner_nickname", "permit_owner_nickname"} <= kinds
