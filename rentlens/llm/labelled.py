@@ -12,17 +12,26 @@ def held_out(id_col: str | Column) -> Column:
     return F.pmod(F.crc32(F.coalesce((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
+def _ours(labels: DataFrame, label: str, id_col: str) -> DataFrame:
+    return labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).distinct()
+
+
+def sampled_shares(labels: DataFrame, label: str, most: tuple[int, int], id_col: str = "doc_id") -> dict[int, int]:
+    """Millionths of each class's labels that labelled_sample() takes."""
+    sizes = {r["y"]: r["n"] for r in _ours(labels, label, id_col).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return {y: int(min(1.0, most[y] / n) * 1_000_000) for y, n in sizes.items()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(y, text) of about ``most[y]`` labelled documents of each class at most, all of a smaller class.
 
     Chosen by a hash of the id among the labels that are not held out, so the choice does not depend on order or on
     partitions. The chosen labels, of which there are no more than that, are sent to all tasks: documents stay in place.
     """
-    ours = labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).distinct()
-    sizes = {r["y"]: r["n"] for r in ours.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    ours, shares = _ours(labels, label, id_col), sampled_shares(labels, label, most, id_col)
     share = F.lit(0)
-    for y, n in sizes.items():
-        share = F.when(F.col("y") == y, F.lit(int(min(1.0, most[y] / n) * 1_000_000))).otherwise(share)
+    for y, part in shares.items():
+        share = F.when(F.col("y") == y, F.lit(part)).otherwise(share)
     ours = ours.where(F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1_000_000)) < share)
     return docs.join(F.broadcast(ours), docs[id_col] == F.col("__id")).select("y", F.col(text_col).alias("text"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import first_of_copies, fit_logistic, held_out, labelled_sample, sigmoid
+from .labelled import first_of_copies, fit_logistic, held_out, labelled_sample, sampled_shares, sigmoid
 from .textkernel import Block, U, block_of, blocks, mix, packed, rolled, unpacked
 
 #: Labelled rows to learn from at most, clean and toxic.
@@ -199,7 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[
     all_features = np.concatenate([feature, more + n])[order]
     cut = np.searchsorted(np.concatenate([doc, more_doc])[order], np.arange(len(parts) + 1))
     weight, bias = fit_logistic([all_features[i:j] for i, j in zip(cut, cut[1:], strict=False)], n + votes.shape[1], q)
-    model.weight, model.bias = weight, bias
+    # The classes are sampled apart; their odds are those of all labels.
+    shares = sampled_shares(labels, label, sample, id_col)
+    model.weight, model.bias = weight, bias + float(np.log(shares[0] / shares[1]))
     return model
 
 

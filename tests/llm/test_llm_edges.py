@@ -2,7 +2,9 @@
 
 import hashlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rentlens.llm import chat_format, fingerprints, licenses, metric_join, mixing, ngram_jaccard, packing, substring_dedup, subword_quality, toxicity
 from rentlens.llm.components import components
@@ -144,3 +146,13 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_toxicity_keeps_the_odds_of_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda rows, n, q: (np.zeros(n), 0.0))
+    rows = [(i, f"text {i} of words", int(i % 10 == 0)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    assert toxicity.fit(docs, labels).bias == 0
+    clean = labels.where(~toxicity.held_out("doc_id") & F.expr("toxic = 0")).count()
+    assert abs(toxicity.fit(docs, labels, sample=(100, 3000)).bias - np.log(100 / clean)) < 1e-4
