@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import class_components, components, forest
 from .scratch import partitions, store
-from .textkernel import Block, U, blocks, mix, packed, rolled, unpacked
+from .textkernel import Block, U, blocks, mix, packed, rolled, text_mark, unpacked
 
 N, SHARE = 5, 80  # words; per cent
 #: Sets in a chunk that others are compared with, and bytes of text whose sets are packed together.
@@ -67,8 +67,8 @@ def shingle_classes(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_co
             none = np.array(sizes) == 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(names, U).view(np.int64), mask=none)], ["doc_id", "mark", "n_shingles", "class"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.coalesce(text_col, F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(go, "doc_id long, mark int, n_shingles long, class long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(text_col).alias("mark"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(go, "doc_id long, mark long, n_shingles long, class long")
 
 
 def _ranges(order_key: np.ndarray, dealt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +308,7 @@ def similar_groups(docs: DataFrame, n: int = N, share: int = SHARE, id_col: str
     fewer words has one shingle, all of it. component_id is the least id that links reach, itself included; n_links
     counts directly linked rows, exact copies among them. Null and empty texts, and those of white space, have no
     shingles, link with nothing and are their own component. Rows that repeat an id with another text are texts of
-    their own; a null id takes part, but names no component unless alone. mark is a 32-bit hash of the text. Other
+    their own; a null id takes part, but names no component unless alone. mark is a 64-bit hash of the text. Other
     columns are not used. No rows give no rows.
     """
     found = shingle_classes(docs, n, id_col, text_col)
@@ -327,7 +327,7 @@ def keep_one(docs: DataFrame, n: int = N, share: int = SHARE, id_col: str = "doc
 
     kept = similar_groups(docs, n, share, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.struct("doc_id", "mark").alias("__row")).distinct()
-    rows = docs.withColumn("__row", F.struct(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.coalesce(text_col, F.lit(""))).alias("mark")))
+    rows = docs.withColumn("__row", F.struct(F.col(id_col).cast("long").alias("doc_id"), text_mark(text_col).alias("mark")))
     rows = rows.join(kept, "__row", "left_semi")
     once = Window.partitionBy("__row").orderBy(F.lit(0))
     return rows.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)

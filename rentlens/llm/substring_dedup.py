@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import partitions
-from .textkernel import Block, U, block_of, blocks, mix, packed, rolled, unpacked
+from .textkernel import Block, U, block_of, blocks, mix, packed, rolled, text_mark, unpacked
 
 WIDTH, MER, HOT_SHARE = 35, 8, 4096
 #: Bytes of text whose super-k-mers are packed together.
@@ -102,7 +102,7 @@ def _sealed(buckets: dict[int, list]) -> pa.RecordBatch:
                     np.concatenate(n).astype(np.int32),
                     np.concatenate([o + x for o, x in zip(owner, base, strict=False)]).astype(np.int32),
                     np.concatenate(key).astype(np.int64),
-                    np.concatenate(mark).astype(np.int32),
+                    np.concatenate(mark).astype(np.int64),
                     np.concatenate(at).astype(np.int32),
                 )
             )
@@ -154,7 +154,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
 
     def count(blobs: list[bytes]) -> pa.RecordBatch | None:
         open_ = zstandard.ZstdDecompressor()
-        parts = [unpacked(open_.decompress(x), "u1", "<i4", "<i4", "<i4", "<i8", "<i4", "<i4") for x in blobs]
+        parts = [unpacked(open_.decompress(x), "u1", "<i4", "<i4", "<i4", "<i8", "<i8", "<i4") for x in blobs]
         base = np.cumsum([0, *(len(p[1]) for p in parts)])
         owner = np.concatenate([p[3] + x for p, x in zip(parts, base, strict=False)])
         key, mark, at = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
@@ -214,7 +214,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
     sent = rows.select("key", "mark", "text").mapInArrow(ship, "bucket int, blob binary")
     # A task gets four buckets, whatever their numbers hash to.
     sent = sent.repartitionById(dealt // 4, F.pmod("bucket", F.lit(dealt // 4)).cast("int")).sortWithinPartitions("bucket")
-    return sent.mapInArrow(reduce, "key long, mark int, start int, stop int")
+    return sent.mapInArrow(reduce, "key long, mark long, start int, stop int")
 
 
 def _cover(n: int, spans: list) -> np.ndarray:
@@ -237,9 +237,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, mer: int = MER, id_col: str = "do
         raise ValueError("mer has to lie under width")
     names = ("n_words", "n_removed", "kept_text")
     docs = docs.drop(*names)
-    rows = docs.select(rows_key(id_col).alias("key"), F.hash(F.coalesce(text_col, F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
+    rows = docs.select(rows_key(id_col).alias("key"), text_mark(text_col).alias("mark"), F.col(text_col).alias("text"))
     spans = repeated_spans(rows, width, mer).groupBy("key", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    wide = docs.withColumns({"__key": rows_key(id_col), "__mark": F.hash(F.coalesce(text_col, F.lit("")))})
+    wide = docs.withColumns({"__key": rows_key(id_col), "__mark": text_mark(text_col)})
     wide = wide.join(spans.withColumnsRenamed({"key": "__key", "mark": "__mark"}), ["__key", "__mark"], "left").drop("__key", "__mark")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, n_removed long, kept_text string"
 

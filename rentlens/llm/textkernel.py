@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 U = np.uint64
 BLOCK_BYTES = 1 << 20
@@ -138,6 +140,12 @@ def rolled(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * _power(pow(base, -1, 1 << 64), n)[:n])
 
 
+def text_mark(text_col: str) -> Column:
+    """Tells texts of one id apart: a 64-bit hash of the text and its length; null is empty."""
+    text = F.coalesce(text_col, F.lit(""))
+    return F.xxhash64(text, F.octet_length(text))
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one byte string: lengths in bytes, then contents."""
     raw = [np.ascontiguousarray(a).tobytes() for a in arrays]

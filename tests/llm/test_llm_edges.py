@@ -156,3 +156,15 @@ def test_toxicity_keeps_the_odds_of_all_labels(spark, monkeypatch):
     assert toxicity.fit(docs, labels).bias == 0
     clean = labels.where(~toxicity.held_out("doc_id") & F.expr("toxic = 0")).count()
     assert abs(toxicity.fit(docs, labels, sample=(100, 3000)).bias - np.log(100 / clean)) < 1e-4
+
+
+def test_texts_of_one_id_whose_short_hashes_collide(spark):
+    passage = " ".join(f"p{i}" for i in range(36))
+    made = spark.range(400_000).select(F.expr(f"if(id % 2 = 0, concat('{passage} t', id), concat('t', id, ' {passage}'))").alias("text"))
+    alike = made.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").collect()
+    a, b = next((x, y) for r in alike for x in r.texts for y in r.texts if x.startswith("t") and y.startswith("p"))
+    rows = [(None, a), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[1:] for r in substring_dedup.digest(substring_dedup.dedup(df)).collect())
+    assert got == sorted(r[1:] for r in substring_dedup.brute_force(rows))
+    assert {r.text for r in ngram_jaccard.keep_one(df, share=100).collect()} == {a, b}
