@@ -49,10 +49,15 @@ def _summed(rows: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
     return wide.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("lanes"))
 
 
-def _vector(side: int) -> Column:
-    """The lanes that estimate likeness, as signed numbers under 2 ** 15."""
+def _sums(side: int) -> Column:
+    """The lanes that estimate likeness, as they were summed."""
     zeros = "array(0L, 0L, 0L, 0L, 0L, 0L, 0L, 0L)"
-    return F.expr(f"transform(flatten(transform(sequence(0, {LANES // 8 - 1}), g -> coalesce(lanes[16 * {side} + g], {zeros}))), x -> pmod(x + 32768, 65536) - 32768)")
+    return F.expr(f"flatten(transform(sequence(0, {LANES // 8 - 1}), g -> coalesce(lanes[16 * {side} + g], {zeros})))")
+
+
+def _vector(side: int) -> Column:
+    """_sums() as signed numbers under 2 ** 15."""
+    return F.transform(_sums(side), lambda x: F.pmod(x + 32768, F.lit(65536)) - 32768)
 
 
 def _text_form(vector: str, side: int) -> Column:
@@ -113,7 +118,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 AS int)), substring(following, 1, cast(n_chars div 2 AS int)))"))
     rows = rows.select("bucket", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(_units("text")).alias("u0"), F.expr(_units("edited")).alias("u1"), F.expr(f"if(last, {_units('following')}, array())").alias("u2"))
     lanes = _summed(rows, ["bucket", "place", "doc_id", "n_chars", "edited_sha256"], ["u0", "u1", "u2"])
-    lanes = lanes.withColumns({f"v{i}": _vector(i) for i in range(3)})
+    lanes = lanes.withColumns({f"v{i}": _sums(i) for i in range(3)})
     near = Window.partitionBy("bucket").orderBy("place")
     lanes = lanes.withColumn("v2", F.coalesce(F.lead("v0").over(near), "v2"))
     return lanes.select("doc_id", "n_chars", "edited_sha256", _text_form("v0", 0).alias("fingerprint"), _text_form("v1", 1).alias("edited_fingerprint"), _likeness("v0", "v1").alias("near_edited"), _likeness("v0", "v2").alias("near_next"))

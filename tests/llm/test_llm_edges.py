@@ -168,3 +168,9 @@ def test_texts_of_one_id_whose_short_hashes_collide(spark):
     got = sorted(tuple(r)[1:] for r in substring_dedup.digest(substring_dedup.dedup(df)).collect())
     assert got == sorted(r[1:] for r in substring_dedup.brute_force(rows))
     assert {r.text for r in ngram_jaccard.keep_one(df, share=100).collect()} == {a, b}
+
+
+def test_likeness_of_a_pair_repeated_often(spark):
+    df = spark.createDataFrame([(2, "a b " * 40_000), (1, "a b " * 20_000)], "doc_id long, text string")
+    near = {r.doc_id: r.near_next for r in fingerprints.edited_pairs(df).collect()}
+    assert abs(near[2] - 0.8) < 0.01 and abs(near[1] - 0.8) < 0.01
