@@ -140,10 +140,10 @@ def rolled(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * _power(pow(base, -1, 1 << 64), n)[:n])
 
 
-def text_mark(text_col: str) -> Column:
-    """Tells texts of one id apart: a 64-bit hash of the text and its length; null is empty."""
-    text = F.coalesce(text_col, F.lit(""))
-    return F.xxhash64(text, F.octet_length(text))
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """key and mark: 128 bits that tell rows apart by id and text. A null id is a value of its own, a null text empty."""
+    of = (F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
+    return F.xxhash64(F.lit("key"), *of).alias("key"), F.xxhash64(F.lit("mark"), *of).alias("mark")
 
 
 def packed(*arrays: np.ndarray) -> bytes:
