@@ -13,27 +13,33 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def _ours(labels: DataFrame, label: str, id_col: str) -> DataFrame:
-    return labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).distinct()
+    """(id, y): each label that is not held out, once."""
+    return labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).distinct()
 
 
-def sampled_shares(labels: DataFrame, label: str, most: tuple[int, int], id_col: str = "doc_id") -> dict[int, int]:
-    """Millionths of each class's labels that labelled_sample() takes."""
+def sampled_shares(labels: DataFrame, label: str, most: tuple[int, int], id_col: str = "doc_id") -> dict[int, float]:
+    """The share of each class's labels that labelled_sample() takes."""
     sizes = {r["y"]: r["n"] for r in _ours(labels, label, id_col).groupBy("y").agg(F.count("*").alias("n")).collect()}
-    return {y: int(min(1.0, most[y] / n) * 1_000_000) for y, n in sizes.items()}
+    return {y: min(1.0, most[y] / n) for y, n in sizes.items()}
+
+
+def chosen_labels(labels: DataFrame, label: str, most: tuple[int, int], id_col: str = "doc_id") -> DataFrame:
+    """(id, y) of ``most[y]`` labels of each class, or all of a smaller class: those of the least hash of the id."""
+    ours = _ours(labels, label, id_col)
+    parts = [ours.where(F.col("y") == y).orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(n) for y, n in enumerate(most)]
+    return parts[0].union(parts[1])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(y, text) of about ``most[y]`` labelled documents of each class at most, all of a smaller class.
+    """(y, text) of at most ``most[y]`` labelled documents of each class.
 
     Chosen by a hash of the id among the labels that are not held out, so the choice does not depend on order or on
-    partitions. The chosen labels, of which there are no more than that, are sent to all tasks: documents stay in place.
+    partitions. The chosen labels, of which there are no more than that, are sent to all tasks: documents stay in
+    place. Of the documents that share an id the least text counts, so repeated rows add nothing.
     """
-    ours, shares = _ours(labels, label, id_col), sampled_shares(labels, label, most, id_col)
-    share = F.lit(0)
-    for y, part in shares.items():
-        share = F.when(F.col("y") == y, F.lit(part)).otherwise(share)
-    ours = ours.where(F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1_000_000)) < share)
-    return docs.join(F.broadcast(ours), docs[id_col] == F.col("__id")).select("y", F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = rows.join(F.broadcast(chosen_labels(labels, label, most, id_col)), "id")
+    return found.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
 
 
 def first_of_copies(marks: np.ndarray, y: np.ndarray) -> np.ndarray:

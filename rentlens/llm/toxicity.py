@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicons of words and of word beginnings, found on labelled rows or fixed, and patterns.
-A generative model of their votes estimates each voter's accuracy, and how far voters repeat each other, by
-expectation maximisation; the label, where there is one, is one more voter. A linear classifier on words, beginnings
-and votes then learns the model's posterior labels and scores every text.
+Many voters look at a text: lexicons of words and of word beginnings, found on labelled rows; fixed lexicons; and
+patterns of both. A generative model of their votes, fitted to labelled and unlabelled documents without their labels,
+of a few latent classes estimates each voter's rates, and so how far voters repeat each other, by expectation
+maximisation. Labels say which of its classes are the toxic ones, and nothing else there. A linear classifier on words, beginnings and votes then
+learns the model's posterior labels and scores every text.
 """
 
 from __future__ import annotations
@@ -15,20 +16,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .labelled import first_of_copies, fit_logistic, held_out, labelled_sample, sampled_shares, sigmoid
+from .labelled import chosen_labels, first_of_copies, fit_logistic, held_out, sampled_shares, sigmoid
+from .scratch import columns
 from .textkernel import Block, U, block_of, blocks, mix, packed, rolled, unpacked
 
-#: Labelled rows to learn from at most, clean and toxic.
-SAMPLE = (8000, 3000)
-#: Bytes of a word's beginning that count as a feature; 0 is the whole word.
+#: Labelled rows to learn from at most, clean and toxic; unlabelled ones, about.
+SAMPLE, UNLABELLED = (6000, 3000), 3000
+#: Bytes of a word's beginning that count as a feature; 0 is the whole word. Each is a kind of lexicon, in BANDS by
+#: how much its entries say.
 STEMS = (0, 4, 5, 6)
 BANDS = 3
-#: Fixed lexicons of insults and of contempt, lower case.
+#: Latent classes of the label model.
+CLASSES = 12
+#: Fixed lexicons, lower case.
 INSULTS = ("idiot", "moron", "loser", "scum", "clown", "trash", "imbecile", "jerk", "fool", "vermin")
 CONTEMPT = ("stupid", "worthless", "pathetic", "disgusting", "dumb", "ugly", "filthy", "useless", "vile", "despicable")
+CURSES = ("damn", "crap", "bastard", "bitch", "asshole", "bullshit", "fuck", "fucking", "shit", "piss")
+THREATS = ("kill", "murder", "hurt", "strangle", "destroy", "burn", "beat", "punish", "suffer", "drown")
+HATE = ("hate", "loathe", "despise", "detest", "disgust", "subhuman", "inferior", "parasites", "savages", "filth")
 SECOND_PERSON = ("you", "your", "you're", "yourself")
-PATTERNS = ("insults", "contempt", "addressed insult", "shouted insult")
+LEXICONS = (INSULTS, CONTEMPT, CURSES, THREATS, HATE)
+#: The voters that are not learned, in order: the lexicons, then patterns over them.
+PATTERNS = ("insults", "contempt", "curses", "threats", "hate", "addressed insult", "shouted insult", "insult with contempt", "repeated insults", "several lexicons", "threat to the reader", "exclaimed insult")
 _MASK = (1 << 20) - 1
 
 
@@ -41,25 +52,27 @@ def _letters(b: Block) -> tuple[np.ndarray, np.ndarray]:
     """Byte bounds of the words without marks around them: ASCII that is neither letter nor digit."""
     mark = np.ones(256, bool)
     mark[48:58] = mark[65:91] = mark[97:123] = mark[128:] = False
-    outside = np.append(mark[b.data], False)
-    start, end = b.start.copy(), b.end.copy()
-    for _ in range(4):
-        start += (start < end - 1) & outside[start]
-        end -= (end - 1 > start) & outside[end - 1]
-    return start, end
+    inner = np.flatnonzero(~mark[b.data])  # the bytes that a word may begin and end with
+    if not len(inner):
+        return b.start, b.start + 1
+    first = np.searchsorted(inner, b.start)
+    start = np.minimum(inner[np.minimum(first, len(inner) - 1)], b.end - 1)
+    start = np.where(first < len(inner), start, b.end - 1)
+    end = inner[np.maximum(np.searchsorted(inner, b.end) - 1, 0)] + 1
+    return start, np.maximum(end, start + 1)
 
 
 def features(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text and feature (half a hash), for each word itself, then each beginning of longer words; words' hashes."""
+    """Text and feature (its kind and half a hash), for each word itself, then each beginning of longer words; words' hashes."""
     start, end = _letters(b)
     doc = b.doc_of_word()
     words = b.span_hash(start, end)
-    docs, found = [doc], [words]
-    for k in STEMS[1:]:
+    docs, found = [doc], [words >> U(34)]
+    for kind, k in enumerate(STEMS[1:], 1):
         longer = end - start > k
         docs.append(doc[longer])
-        found.append(mix(b.span_hash(start[longer], start[longer] + k) + U(k)))
-    return np.concatenate(docs), np.concatenate(found) >> U(32), words
+        found.append(mix(b.span_hash(start[longer], start[longer] + k) + U(k)) >> U(34) | U(kind << 30))
+    return np.concatenate(docs), np.concatenate(found), words
 
 
 def _is_in(sorted_set: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -71,22 +84,29 @@ def _is_in(sorted_set: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _pattern_votes(b: Block, words: np.ndarray) -> np.ndarray:
     """Texts x PATTERNS."""
     doc = b.doc_of_word()
-    insult, contempt, second = (_is_in(_lexicon(x), words) for x in (INSULTS, CONTEMPT, SECOND_PERSON))
-    bad = insult | contempt
-    near = np.zeros(len(words), bool)
+    held = [_is_in(_lexicon(x), words) for x in LEXICONS]
+    insult, contempt, curse, threat, hate = held
+    second = _is_in(_lexicon(SECOND_PERSON), words)
+    bad = insult | contempt | curse
+    near, after = np.zeros(len(words), bool), np.zeros(len(words), bool)
     for k in (1, 2, 3):
         near[k:] |= second[:-k] & (doc[k:] == doc[:-k])
+        after[:-k] |= second[k:] & (doc[k:] == doc[:-k])
     upper = (b.data >= 65) & (b.data <= 90)
-    loud = np.zeros(len(words), bool)
+    loud, shout = np.zeros(len(words), bool), np.zeros(len(words), bool)
     if len(words):
         total = np.concatenate([[0], np.cumsum(upper)])
         loud = 2 * (total[b.end] - total[b.start]) > b.end - b.start
-    return np.stack([np.bincount(doc[x], minlength=b.texts) > 0 for x in (insult, contempt, bad & near, bad & loud)], axis=1)
+        shout = b.data[b.end - 1] == 33
+    times = lambda x: np.bincount(doc[x], minlength=b.texts)
+    hits = [times(x) for x in held]
+    more = [times(bad & near) > 0, times(bad & loud) > 0, (hits[0] > 0) & (hits[1] > 0), hits[0] > 2, sum((h > 0).astype(int) for h in hits) > 2, times(threat & (near | after)) > 0, times(bad & shout) > 0]
+    return np.stack([*(h > 0 for h in hits), *more], axis=1)
 
 
 @dataclass
 class Model:
-    """known: sorted feature hashes; band: lexicon of each, -1 for none; weight, bias: the linear classifier's."""
+    """known: sorted features; band: lexicon of each; weight, bias: the linear classifier's; lexicons: how many."""
 
     known: np.ndarray
     band: np.ndarray
@@ -94,6 +114,11 @@ class Model:
     bias: float
     lexicons: int
 
+    @property
+    def voters(self) -> int:
+        """Each lexicon votes for a text with one of its entries; each kind of them for one with three; then patterns."""
+        return self.lexicons + self.lexicons // BANDS + len(PATTERNS)
+
     def found(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text and known feature, each pair once, and pattern votes."""
         doc, seen, words = features(b)
@@ -105,12 +130,11 @@ class Model:
         return pairs // (len(self.known) + 1), pairs % (len(self.known) + 1), _pattern_votes(b, words)
 
     def votes(self, texts: int, doc: np.ndarray, feature: np.ndarray, patterns: np.ndarray) -> np.ndarray:
-        """Texts x voters, 1 or 0: lexicons, then patterns."""
-        out = np.zeros((texts, self.lexicons + len(PATTERNS)), bool)
-        ours = self.band[feature] >= 0
-        out[doc[ours], self.band[feature[ours]]] = True
-        out[:, self.lexicons :] = patterns
-        return out
+        """Texts x voters, 1 or 0."""
+        n = self.lexicons
+        hits = np.bincount(doc * max(n, 1) + self.band[feature], minlength=texts * max(n, 1)).reshape(texts, -1)[:, :n] if len(doc) else np.zeros((texts, n), int)
+        often = hits.reshape(texts, -1, BANDS).sum(2) > 1 if n else hits > 1
+        return np.concatenate([hits > 0, often, patterns], axis=1)
 
     def score(self, b: Block) -> np.ndarray:
         doc, feature, patterns = self.found(b)
@@ -119,41 +143,109 @@ class Model:
         return sigmoid(self.bias + np.bincount(doc, weights=self.weight[:n][feature], minlength=b.texts) + votes @ self.weight[n:])
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of label 1, accuracies (voters x class: rate of a positive vote) and correlations of the voters.
-
-    votes: texts x voters, 1 or 0 (no vote). gold: 0, 1, or -1 for none. The model has a rate for every voter and class, and for
-    every pair of voters the correlation of their votes that the class does not explain; a voter that repeats others
-    counts less, by one over one plus the sum of its correlations. Label noise is estimated like a voter's.
+@dataclass
+class LabelModel:
+    """share: of each latent class; rate: classes x voters, how often a voter votes for a text of the class."""
+
+    share: np.ndarray
+    rate: np.ndarray
+
+    def members(self, votes: np.ndarray) -> np.ndarray:
+        """Texts x classes: the posterior of each class."""
+        v = votes.astype(float)
+        log = np.log(self.share) + v @ np.log(self.rate).T + (1 - v) @ np.log(1 - self.rate).T
+        q = np.exp(log - log.max(1, keepdims=True))
+        return q / q.sum(1, keepdims=True)
+
+    def named(self, members: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which classes are toxic: most of their labelled texts are, or, without any, they have more votes than most."""
+        known = y >= 0
+        size, ones = members[known].sum(0), members[known & (y == 1)].sum(0)
+        return np.where(size >= 1, 2 * ones > size, self.rate.mean(1) > self.share @ self.rate.mean(1))
+
+    def voters(self, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the two groups of classes: rates (2 x voters), and correlations (2 x voters x voters) within each.
+
+        Voters that repeat one another vote together in some classes of a group and not in others.
+        """
+        rates, correlations = [], []
+        for ours in (~toxic, toxic):
+            w = self.share[ours] / max(self.share[ours].sum(), 1e-12)
+            mean = w @ self.rate[ours]
+            rest = self.rate[ours] - mean
+            both = (rest * w[:, None]).T @ rest + np.diag(w @ (self.rate[ours] * (1 - self.rate[ours])))
+            spread = np.sqrt(np.diag(both) + 1e-12)
+            rates.append(mean)
+            correlations.append(both / np.outer(spread, spread))
+        return np.array(rates), np.array(correlations)
+
+
+def label_model(votes: np.ndarray, classes: int = CLASSES, rounds: int = 100) -> LabelModel:
+    """The generative model of the votes, by expectation maximisation; no label goes in.
+
+    votes: texts x voters, 1 or 0. Within a latent class voters err apart from each other; that voters repeat each
+    other, and that toxic texts differ in what they have, shows in there being several classes of a label. It begins
+    with votes that are frequent and far from each other, the most frequent first.
     """
-    v = votes.astype(float)
-    known = gold >= 0
-    q = np.where(known, gold, v.any(1)).astype(float)
-    noise = 0.02
-    c = np.eye(v.shape[1])
+    seen, times = np.unique(votes, axis=0, return_counts=True)
+    v, n = seen.astype(float), times.astype(float)
+    begin = [int(np.argmax(n))]
+    far = np.abs(v - v[begin[0]]).sum(1)
+    while len(begin) < classes and far.max() > 0:
+        begin.append(int(np.argmax(far * np.sqrt(n))))
+        far = np.minimum(far, np.abs(v - v[begin[-1]]).sum(1))
+    model = LabelModel(np.full(len(begin), 1 / len(begin)), 0.1 + 0.8 * v[begin])
     for _ in range(rounds):
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        rate = np.stack([((1 - q) @ v + 0.5) / ((1 - q).sum() + 5), (q @ v + 0.5) / (q.sum() + 5)], axis=1)
-        rate = np.clip(rate, 1e-4, 1 - 1e-4)
-        rest = v - ((1 - q)[:, None] * rate[:, 0] + q[:, None] * rate[:, 1])
-        spread = np.sqrt((rest * rest).mean(0) + 1e-9)
-        c = (rest.T @ rest) / len(v) / np.outer(spread, spread)
-        weight = 1 / (1 + np.clip(c - np.diag(np.diag(c)), 0, 1).sum(1))
-        log = np.log(prior / (1 - prior)) + (v * np.log(rate[:, 1] / rate[:, 0]) + (1 - v) * np.log((1 - rate[:, 1]) / (1 - rate[:, 0]))) @ weight
-        log = log + np.where(known, np.log((1 - noise) / noise) * (2 * gold - 1), 0)
-        q = sigmoid(log)
-        if known.any():
-            noise = float(np.clip(np.abs(q - gold)[known].mean(), 0.002, 0.1))
-    return q, rate, c
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model, learnt on the driver from a sample of labelled rows; see SAMPLE."""
+        w = model.members(seen) * n[:, None]
+        size = w.sum(0)
+        before, model = model, LabelModel((size + 1) / (size.sum() + len(begin)), np.clip((w.T @ v + 0.5) / (size[:, None] + 1), 1e-4, 1 - 1e-4))
+        if np.abs(before.rate - model.rate).max() < 1e-6:
+            break
+    return model
+
+
+def _lexicons(parts: list, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features whose share of toxic texts is beyond chance, over as many features as there are, and the lexicon of each.
+
+    Only labelled rows are looked at. parts: each row's distinct features.
+    """
+    labelled = np.flatnonzero(y >= 0)
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    cells = np.zeros(1 << 22, np.int32)  # toxic rows by a part of the feature: what few of them have is not looked at
+    seen = np.zeros(1 << 22, bool)
+    for i in labelled.tolist():
+        seen[parts[i] & 0x3FFFFF] = True
+        if y[i] == 1:
+            cells[parts[i] & 0x3FFFFF] += 1
+    kept = [parts[i][cells[parts[i] & 0x3FFFFF] >= 4] for i in labelled.tolist()]
+    known, at = np.unique(np.concatenate(kept), return_inverse=True)
+    own = np.repeat(labelled, [len(p) for p in kept])
+    df, df1 = np.bincount(at, minlength=len(known)), np.bincount(at, weights=y[own], minlength=len(known))
+    p = n1 / (n1 + n0)
+    rate = np.clip(df1 / df, 1e-9, 1 - 1e-9)
+    surprise = df * (rate * np.log(rate / p) + (1 - rate) * np.log((1 - rate) / (1 - p)))
+    chosen = (rate > p) & (surprise > np.log(max(int(seen.sum()), 1000))) & (df1 / n1 > 5 * (df - df1) / n0)
+    gain = np.log((df1[chosen] + 0.5) / n1) - np.log((df[chosen] - df1[chosen] + 0.5) / n0)
+    known = known[chosen]
+    kind = (known >> 30).astype(np.int64)
+    lexicon = np.zeros(len(known), np.int64)
+    for k in range(len(STEMS)):
+        ours = np.flatnonzero(kind == k)
+        rank = np.argsort(np.argsort(-gain[ours], kind="stable"), kind="stable")
+        lexicon[ours] = k * BANDS + rank * BANDS // max(1, len(ours))
+    return known.astype(U), lexicon
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, label: str, sample: tuple[int, int], unlabelled: int, id_col: str, text_col: str) -> tuple[np.ndarray, list, np.ndarray]:
+    """Labels (-1 for none), distinct features and pattern votes of the sample, from one pass over the documents.
+
+    Unlabelled documents are chosen by a hash of the text, and not from those held out; copies count once.
+    """
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs, marks = [], []
-            for b in blocks(batch.column(1), lower=True):
+            for b in blocks(batch.column(2), lower=True):
                 doc, seen, words = features(b)
                 votes = _pattern_votes(b, words)
                 grams = rolled(b.hashes, 5)
@@ -163,44 +255,47 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[
                     blobs.append(packed(np.unique(seen[order[cut[i] : cut[i + 1]]]).astype(np.uint32), votes[i]))
                     own = grams[b.first[i] : max(b.first[i + 1] - 4, b.first[i])]
                     marks.append(int((own.min() if len(own) else b.hashes[b.first[i] : b.first[i + 1]].sum(dtype=U)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), pa.array(marks, pa.int64())], ["y", "blob", "mark"])
-
-    rows = labelled_sample(docs, labels, label, sample, id_col, text_col).mapInArrow(shrink, "y int, blob binary, mark long").toArrow()
-    y, marks = np.array(rows.column("y").to_pylist(), np.int64), np.array(rows.column("mark").to_pylist(), np.int64)
-    parts = [unpacked(x, "<u4", "?") for x in rows.column("blob").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary()), pa.array(marks, pa.int64())], ["id", "y", "blob", "mark"])
+
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    share = min(1.0, unlabelled / max(1, docs.count()))
+    ours = chosen_labels(labels, label, sample, id_col).select(F.col("id").cast("string").alias("id"), "y")
+    some = ~held_out("id") & (F.pmod(F.xxhash64(F.lit("unlabelled"), "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    rows = rows.join(F.broadcast(ours), "id", "left").where(F.col("y").isNotNull() | some)  # no more labels than the sample's bound
+    # Of rows that repeat, a few leave each task and one the next.
+    made = rows.select("id", "y", "text").mapInArrow(shrink, "id string, y int, blob binary, mark long")
+    taught = made.where("y is not null").groupBy("id", "y").agg(F.min(F.struct("mark", "blob")).alias("one"))
+    others = made.where("y is null").groupBy("mark").agg(F.min("blob").alias("blob")).orderBy("mark").limit(2 * unlabelled)
+    got = taught.select("y", "one.mark", "one.blob").union(others.select(F.lit(-1).alias("y"), "mark", "blob")).toArrow()
+    y, marks = np.array(got.column("y").to_pylist(), np.int64), np.array(got.column("mark").to_pylist(), np.int64)
     keep = first_of_copies(marks, y)
-    y, parts = y[keep], [parts[i] for i in keep.tolist()]
+    blobs = got.column("blob")
+    parts = [unpacked(blobs[i].as_py(), "<u4", "?") for i in keep.tolist()]
+    return y[keep], [p[0] for p in parts], np.array([p[1] for p in parts], bool).reshape(len(parts), len(PATTERNS))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[int, int] = SAMPLE, unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model, learnt on the driver from samples of labelled and unlabelled rows; see SAMPLE."""
+    y, parts, patterns = _sampled(docs, labels, label, sample, unlabelled, id_col, text_col)
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     if not n1 or not n0:  # nothing to learn from: the fixed lexicons decide
         return Model(np.zeros(0, U), np.zeros(0, np.int64), np.full(len(PATTERNS), 4.0), -3.0, 0)
-    flat, own = np.concatenate([p[0] for p in parts]), np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    known, at = np.unique(flat, return_inverse=True)
-    df = np.bincount(at, minlength=len(known))
-    df1 = np.bincount(at, weights=y[own], minlength=len(known))
-    # A feature joins the lexicons if its share of toxic texts is beyond chance, over as many features as there are.
-    p = n1 / (n1 + n0)
-    rate = np.clip(df1 / df, 1e-9, 1 - 1e-9)
-    surprise = df * (rate * np.log(rate / p) + (1 - rate) * np.log((1 - rate) / (1 - p)))
-    chosen = (rate > p) & (surprise > np.log(100 * max(len(known), 1000))) & (df1 / n1 > 5 * (df - df1) / n0)
-    gain = np.where(chosen, np.log((df1 + 0.5) / n1) - np.log((df - df1 + 0.5) / n0), 0)
-    place = np.full(len(known), -1)
-    place[chosen] = np.arange(chosen.sum())
-    rank = np.argsort(np.argsort(-gain[chosen], kind="stable"), kind="stable")
-    bands = rank * BANDS // max(1, len(rank))
-    known = known[chosen]
-    model = Model(known.astype(U), bands, np.zeros(0), 0.0, BANDS)
-    inside = place[at] >= 0
-    doc, feature = own[inside], place[at[inside]]
-    votes = model.votes(len(parts), doc, feature, np.stack([p[1] for p in parts]).astype(bool))
-    q, _, _ = label_model(votes, y)
-    n = len(known)
-    more_doc, more = np.nonzero(votes)
-    order = np.argsort(np.concatenate([doc, more_doc]), kind="stable")
-    all_features = np.concatenate([feature, more + n])[order]
-    cut = np.searchsorted(np.concatenate([doc, more_doc])[order], np.arange(len(parts) + 1))
-    weight, bias = fit_logistic([all_features[i:j] for i, j in zip(cut, cut[1:], strict=False)], n + votes.shape[1], q)
-    # The classes are sampled apart; their odds are those of all labels.
+    known, lexicon = _lexicons(parts, y)
+    model = Model(known, lexicon, np.zeros(0), 0.0, len(STEMS) * BANDS)
+    hits = [np.searchsorted(known, p[_is_in(known, p.astype(U))]) for p in parts]
+    doc, feature = np.repeat(np.arange(len(parts)), [len(h) for h in hits]), np.concatenate(hits).astype(np.int64)
+    votes = model.votes(len(parts), doc, feature, patterns)
+    taught = y >= 0
+    made = label_model(votes)
+    members = made.members(votes)
+    q = members @ made.named(members, y)  # labels name the classes
+    # The classes of the labelled rows are sampled apart; unlabelled rows are thinned to match.
     shares = sampled_shares(labels, label, sample, id_col)
+    often = np.where(q >= 0.5, shares[1], shares[0]) / max(shares.values())
+    use = np.flatnonzero(taught | (mix(np.arange(len(y)).astype(U)) / 2.0**64 < often))
+    n = len(known)
+    rows = [np.append(hits[i], np.flatnonzero(votes[i]) + n) for i in use.tolist()]
+    weight, bias = fit_logistic(rows, n + votes.shape[1], q[use])
     model.weight, model.bias = weight, bias + float(np.log(shares[0] / shares[1]))
     return model
 
@@ -211,8 +306,8 @@ def scored(docs: DataFrame, model: Model, cut: float = 0.5, text_col: str = "tex
     Whole texts are scored; null and empty ones like a text without words. Nothing but the text counts. Other columns
     pass through; a column named as one that is added is replaced.
     """
-    docs = docs.drop(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {names[0]} double, {names[1]} int"
+    docs = docs.select(*columns(docs, names))
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
