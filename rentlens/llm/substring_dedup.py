@@ -8,6 +8,9 @@ Runs that are very common would draw their neighbourhood into one bucket. They r
 only windows that consist of them alone use them, and such strings are equal, shipped once for each map batch.
 What counts as very common is a share of all runs, so at most ``2 * HOT_SHARE`` of them exist in any corpus.
 
+A string that a map batch holds twice repeats, whatever others hold: all of its windows do. Its places stay there and
+only the string travels, to be counted. So a passage of every text brings one string a batch to its bucket.
+
 Windows are told apart by two independent 64-bit hashes of their words.
 """
 
@@ -21,20 +24,21 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scratch import partitions
-from .textkernel import Block, U, block_of, blocks, mix, packed, rolled, text_mark, unpacked
+from .scratch import as_row, partitions, store
+from .textkernel import Block, U, block_of, blocks, mix, packed, rolled, row_key, unpacked
 
 WIDTH, MER, HOT_SHARE = 35, 8, 4096
-#: Bytes of text whose super-k-mers are packed together.
-SENT_BYTES = 8 << 20
-#: Stands for a null id in the keys that rows are dealt by.
-NO_ID = -(1 << 63)
+#: Bytes of text whose super-k-mers are packed together; words of the corpus for each task that counts, at most.
+SENT_BYTES, TASK_WORDS = 8 << 20, 8_000_000
+#: Of the compression of what travels.
+LEVEL = 3
 _TOP = U(1 << 63)
 
 
-def _hot_runs(rows: DataFrame, mer: int) -> np.ndarray:
-    """Runs that make up over 1 / HOT_SHARE of all runs: any such run has half that share in some map task."""
+def _hot_runs(rows: DataFrame, mer: int) -> tuple[np.ndarray, int]:
+    """Runs that make up over 1 / HOT_SHARE of all runs (any such run has half that share in some map task); all runs' number."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, kept = 0, []
@@ -53,10 +57,10 @@ def _hot_runs(rows: DataFrame, mer: int) -> np.ndarray:
                 ["run", "n", "is_total"],
             )
 
-    found = rows.select("text").mapInArrow(counted, "run long, n long, is_total boolean").groupBy("run", "is_total").agg(F.sum("n").alias("n"))
+    found = store(rows.select("text").mapInArrow(counted, "run long, n long, is_total boolean").groupBy("run", "is_total").agg(F.sum("n").alias("n")))
     total = found.where("is_total").agg(F.sum("n")).first()[0] or 0
     hot = found.where(~F.col("is_total") & (F.col("n") >= max(64, total // (2 * HOT_SHARE)))).select("run").collect()
-    return np.sort(np.array([r[0] for r in hot], np.int64).view(U))
+    return np.sort(np.array([r[0] for r in hot], np.int64).view(U)), total
 
 
 def _least_of(keys: np.ndarray, k: int) -> np.ndarray:
@@ -88,77 +92,97 @@ def _super_kmers(b: Block, width: int, mer: int, hot: np.ndarray) -> tuple[np.nd
     return doc[first], first, np.flatnonzero(ends) + 1 - first, least[first]
 
 
-def _sealed(buckets: dict[int, list]) -> pa.RecordBatch:
-    """One compressed row for each bucket: strings, their windows, and the texts and places that hold them."""
-    zip_, blobs = zstandard.ZstdCompressor(3), []
-    for parts in buckets.values():
-        base = np.cumsum([0, *(len(p[1]) for p in parts)])
-        text, size, n, owner, key, mark, at = zip(*parts, strict=True)
-        blobs.append(
-            zip_.compress(
-                packed(
-                    np.frombuffer(b"".join(text), np.uint8),
-                    np.concatenate(size).astype(np.int32),
-                    np.concatenate(n).astype(np.int32),
-                    np.concatenate([o + x for o, x in zip(owner, base, strict=False)]).astype(np.int32),
-                    np.concatenate(key).astype(np.int64),
-                    np.concatenate(mark).astype(np.int64),
-                    np.concatenate(at).astype(np.int32),
-                )
-            )
-        )
-    return pa.RecordBatch.from_arrays([pa.array(list(buckets), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+def _merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of rows, those that touch joined."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    base = row * (int(stop.max(initial=0)) + 2)
+    reach = np.maximum.accumulate(base + stop)
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = base[1:] + start[1:] > reach[:-1]
+    at = np.flatnonzero(fresh)
+    return row[at], start[at], (reach - base)[np.append(at[1:], len(row)) - 1] if len(row) else stop
+
+
+class _Batch:
+    """Super-k-mers of some text: each string once, and the places of all."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.windows, self.least, self.places = [], [], []
+        self.size = 0
+
+    def add(self, b: Block, width: int, doc: np.ndarray, first: np.ndarray, n: np.ndarray, least: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> None:
+        last, text, known = first + n + width - 1, b.data.tobytes(), self.known
+        before = len(known)
+        which = np.array([known.setdefault(text[x:y], len(known)) for x, y in zip(b.start[first].tolist(), b.end[last - 1].tolist(), strict=True)], np.int64)
+        fresh, at = np.unique(which, return_index=True)
+        at = at[fresh >= before]
+        self.windows.append(n[at])
+        self.least.append(least[at])
+        self.places.append((which, keys[doc + b.rows], marks[doc + b.rows], first - b.first[doc], n))
+        self.size += len(b.data)
+
+    def sealed(self, width: int, dealt: int) -> Iterator[tuple[int, bytes, bool]]:
+        """(bucket, blob, whether it holds spans): the strings of each bucket, and the spans of those that are here twice."""
+        if not self.known:
+            return
+        zip_ = zstandard.ZstdCompressor(LEVEL)
+        strings = list(self.known)
+        windows, least = np.concatenate(self.windows), np.concatenate(self.least)
+        which, key, mark, at, n = (np.concatenate(x) for x in zip(*self.places, strict=True))
+        often = np.bincount(which, minlength=len(strings)) > 1
+        here = often[which]
+        if here.any():
+            one, row = np.unique(np.stack([key[here], mark[here]]), axis=1, return_inverse=True)
+            row, start, stop = _merged(row.ravel(), at[here], at[here] + n[here] + width - 1)
+            blob = packed(one[0][row], one[1][row], start.astype(np.int32), stop.astype(np.int32))
+            yield int(mix(one[0][:1].view(U))[0] % U(dealt)), zip_.compress(blob), True
+        place = np.empty(len(strings), np.int64)  # of the one place of a string that is here once
+        place[which] = np.arange(len(which))
+        bucket = (mix(least) % U(dealt)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(dealt + 1))
+        sizes = np.fromiter(map(len, strings), np.int32, len(strings))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            own = order[cut[k] : cut[k + 1]]
+            single = ~often[own]
+            of = place[own[single]]
+            text = np.frombuffer(b"".join([strings[i] for i in own.tolist()]), np.uint8)
+            yield k, zip_.compress(packed(text, sizes[own], windows[own].astype(np.int32), single, key[of], mark[of], at[of].astype(np.int32))), False
 
 
 def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataFrame:
     """(key, mark, start, stop): word spans of ``rows`` (key, mark, text) that repeated windows cover."""
-    spark = rows.sparkSession
-    dealt = 4 * partitions(spark)
-    hot = _hot_runs(rows, mer)
+    hot, total = _hot_runs(rows, mer)
+    tasks = partitions(rows.sparkSession, total, TASK_WORDS)
+    dealt = 4 * tasks  # a task has four buckets, one after the other
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(held: _Batch) -> Iterator[pa.RecordBatch]:
+            made = list(held.sealed(width, dealt))
+            if made:
+                bucket, blob, spans = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary()), pa.array(spans)], ["bucket", "blob", "spans"])
+
+        held = _Batch()
         for batch in batches:
             keys, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            buckets: dict[int, list] = {}
-            size = 0
             for b in blocks(batch.column(2)):
-                if (size := size + len(b.data)) > SENT_BYTES and buckets:
-                    yield _sealed(buckets)
-                    buckets, size = {}, len(b.data)
+                if held.size + len(b.data) > SENT_BYTES:
+                    yield from sent(held)
+                    held = _Batch()
                 doc, first, n, least = _super_kmers(b, width, mer, hot)
-                if not len(first):
-                    continue
-                # Equal strings of the block are sent once; their bytes are compared.
-                last = first + n + width - 1
-                text = b.data.tobytes()
-                found: dict[bytes, int] = {}
-                which = np.array([found.setdefault(text[x:y], len(found)) for x, y in zip(b.start[first].tolist(), b.end[last - 1].tolist(), strict=True)])
-                strings = list(found)
-                one = np.unique(which, return_index=True)[1]
-                bucket = (mix(least[one]) % U(dealt)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                place = np.empty(len(one), np.int64)
-                place[order] = np.arange(len(one))
-                hits = np.argsort(place[which], kind="stable")
-                owner, at = place[which][hits], first[hits]
-                pieces = [strings[i] for i in order.tolist()]
-                cut = np.searchsorted(bucket[order], np.arange(dealt + 1))
-                cut_hits = np.searchsorted(owner, cut)
-                for k in np.flatnonzero(np.diff(cut)).tolist():
-                    i, j, p, q = cut[k], cut[k + 1], cut_hits[k], cut_hits[k + 1]
-                    who = doc[hits[p:q]] + b.rows
-                    sizes = np.array([len(x) for x in pieces[i:j]], np.int32)
-                    buckets.setdefault(k, []).append((b"".join(pieces[i:j]), sizes, n[one[order[i:j]]], owner[p:q] - i, keys[who], marks[who], at[p:q] - b.first[doc[hits[p:q]]]))
-            if buckets:
-                yield _sealed(buckets)
+                if len(first):
+                    held.add(b, width, doc, first, n, least, keys, marks)
+        yield from sent(held)
 
     def count(blobs: list[bytes]) -> pa.RecordBatch | None:
         open_ = zstandard.ZstdDecompressor()
-        parts = [unpacked(open_.decompress(x), "u1", "<i4", "<i4", "<i4", "<i8", "<i8", "<i4") for x in blobs]
+        parts = [unpacked(open_.decompress(x), "u1", "<i4", "<i4", "?", "<i8", "<i8", "<i4") for x in blobs]
         base = np.cumsum([0, *(len(p[1]) for p in parts)])
-        owner = np.concatenate([p[3] + x for p, x in zip(parts, base, strict=False)])
-        key, mark, at = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
-        times = np.bincount(owner, minlength=base[-1])
+        single, key, mark, at = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5, 6))
+        times = np.where(single, 1, 2)
         one, two, string, place = [], [], [], []
         for p, x in zip(parts, base, strict=False):
             b = block_of(p[0], np.concatenate([[0], np.cumsum(p[1], dtype=np.int64)]))
@@ -172,14 +196,13 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
         order = np.argsort(h, kind="stable")
         same = np.zeros(len(h), bool)  # as the window before it in the order
         same[1:] = h[order[1:]] == h[order[:-1]]
-        tied = same.copy()
-        tied[:-1] |= same[1:]
         if (g[order][1:][same[1:]] != g[order][:-1][same[1:]]).any():  # one hash, several windows
             order = np.lexsort((g, h))
             same[1:] = (h[order[1:]] == h[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
         group = np.cumsum(~same) - 1
         often = np.zeros(len(h), bool)
         often[order] = (np.bincount(group, weights=times[string[order]]) > 1.5)[group]
+        often &= single[string]  # the others' places know
         string, place = string[often], place[often]
         if not len(string):
             return None
@@ -189,19 +212,18 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
         begins[1:] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)
         i = np.flatnonzero(begins)
         n = np.diff(np.append(i, len(string)))
-        string, place = string[i], place[i]
-        # Every text that holds a string gets the string's spans.
-        by = np.argsort(owner, kind="stable")
-        lo, hi = np.searchsorted(owner[by], string), np.searchsorted(owner[by], string, "right")
-        span = np.repeat(np.arange(len(string)), hi - lo)
-        hit = by[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(span))]
-        start = at[hit] + place[span]
-        return pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(mark[hit]), pa.array(start.astype(np.int32)), pa.array((start + n[span] + width - 1).astype(np.int32))], ["key", "mark", "start", "stop"])
+        of = (np.cumsum(single) - 1)[string[i]]
+        start = at[of] + place[i]
+        return pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(mark[of]), pa.array(start.astype(np.int32)), pa.array((start + n + width - 1).astype(np.int32))], ["key", "mark", "start", "stop"])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for bucket, blob, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if spans:
+                    found = unpacked(zstandard.ZstdDecompressor().decompress(blob.as_py()), "<i8", "<i8", "<i4", "<i4")
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "mark", "start", "stop"])
+                    continue
                 if bucket != now and held:
                     if (found := count(held)) is not None:
                         yield found
@@ -211,18 +233,26 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
         if held and (found := count(held)) is not None:
             yield found
 
-    sent = rows.select("key", "mark", "text").mapInArrow(ship, "bucket int, blob binary")
+    sent = rows.select("key", "mark", "text").mapInArrow(ship, "bucket int, blob binary, spans boolean")
     # A task gets four buckets, whatever their numbers hash to.
-    sent = sent.repartitionById(dealt // 4, F.pmod("bucket", F.lit(dealt // 4)).cast("int")).sortWithinPartitions("bucket")
+    sent = sent.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
     return sent.mapInArrow(reduce, "key long, mark long, start int, stop int")
 
 
-def _cover(n: int, spans: list) -> np.ndarray:
-    step = np.zeros(n + 1, np.int64)
-    for s in spans:
-        step[s["start"]] += 1
-        step[s["stop"]] -= 1
-    return np.cumsum(step[:-1]) > 0
+def _kept(b: Block, keep: np.ndarray) -> pa.Array:
+    """The texts of a block, of the words to keep alone, joined by one space."""
+    doc = b.doc_of_word()[keep]
+    start, size = b.start[keep], (b.end - b.start)[keep] + 1
+    last = np.ones(len(doc), bool)
+    last[:-1] = doc[1:] != doc[:-1]
+    size -= last  # no space behind a text's last word
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    data = b.data[np.minimum(at, len(b.data) - 1)] if len(at) else np.zeros(0, np.uint8)
+    data[(ends - 1)[~last]] = 32
+    offsets = np.zeros(b.texts + 1, np.int64)
+    np.cumsum(np.bincount(doc, weights=size, minlength=b.texts).astype(np.int64), out=offsets[1:])
+    return pa.LargeStringArray.from_buffers(b.texts, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, mer: int = MER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,39 +261,38 @@ def dedup(docs: DataFrame, width: int = WIDTH, mer: int = MER, id_col: str = "do
     A window of ``width`` words repeats if its words also start anywhere else, the same text included; windows are
     judged on the input. Null and empty texts have no words, and kept_text ''. Texts of fewer than ``width`` words
     keep all. Rows that repeat whole, with equal ids or not, remove each other's windows. A null id is a value like
-    any other. Other columns pass through; a column named as one that is added is replaced.
+    any other. No rows give no rows. Other columns pass through, whatever their names; a column named as one that is
+    added is replaced.
     """
     if not 1 <= mer < width:
         raise ValueError("mer has to lie under width")
     names = ("n_words", "n_removed", "kept_text")
-    docs = docs.drop(*names)
-    rows = docs.select(rows_key(id_col).alias("key"), text_mark(text_col).alias("mark"), F.col(text_col).alias("text"))
-    spans = repeated_spans(rows, width, mer).groupBy("key", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    wide = docs.withColumns({"__key": rows_key(id_col), "__mark": text_mark(text_col)})
-    wide = wide.join(spans.withColumnsRenamed({"key": "__key", "mark": "__mark"}), ["__key", "__mark"], "left").drop("__key", "__mark")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, n_removed long, kept_text string"
+    spans = repeated_spans(docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")), width, mer)
+    spans = spans.groupBy("key", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    row = as_row(docs, names)
+    wide = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row_key(id_col, text_col)).join(spans, ["key", "mark"], "left")
+    wide = wide.select("row", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"))
+    schema = T.StructType([wide.schema["row"], *(T.StructField(n, T.LongType()) for n in names[:2]), T.StructField(names[2], T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            listed = batch.column("spans")
+            owner = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
+            flat = listed.flatten()
+            start, stop = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             words, removed, kept = [], [], []
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                found = (text or "").encode().split()
-                gone = 0
-                words.append(len(found))
-                if spans:
-                    covered = _cover(len(found), spans)
-                    gone = int(covered.sum())
-                    found = [w for w, c in zip(found, covered.tolist(), strict=True) if not c]
-                removed.append(gone)
-                kept.append(b" ".join(found).decode())
-            own = [batch.column(f) for f in batch.schema.names if f != "__spans"]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*(f for f in batch.schema.names if f != "__spans"), *names])
-
-    return wide.select(*docs.columns, "__spans").mapInArrow(cut, schema)
-
-
-def rows_key(id_col: str):
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+            for b in blocks(batch.column("text")):
+                ours = slice(*np.searchsorted(owner, [b.rows, b.rows + b.texts]))
+                base = b.first[owner[ours] - b.rows]
+                step = np.bincount(base + start[ours], minlength=len(b.start) + 1) - np.bincount(base + stop[ours], minlength=len(b.start) + 1)
+                keep = np.cumsum(step[: len(b.start)]) == 0
+                words.append(np.diff(b.first))
+                removed.append(np.bincount(b.doc_of_word()[~keep], minlength=b.texts))
+                kept.append(_kept(b, keep))
+            if kept:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(removed), pa.int64()), pa.concat_arrays(kept)], ["row", *names])
+
+    return wide.mapInArrow(cut, schema).select("row.*", *names)
 
 
 def digest(kept: DataFrame) -> DataFrame:
