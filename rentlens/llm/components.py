@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import store
 
+#: Links that one task joins at once; more go through rounds until no more than that are left.
+AT_ONCE = 1 << 18
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -25,17 +31,36 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node that is not the least of its tree, with that one."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = top(x), top(y)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+    nodes = [x for x in up if top(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["a", "b"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the least node reachable.
 
-    Each round links nodes to the least neighbour (large star, then small star); a chain of n nodes takes about
+    AT_ONCE links or fewer, which rounds of stars may have left, are joined in one task by trees. Each round links nodes to the least neighbour (large star, then small star); a chain of n nodes takes about
     log n rounds. A hub is a key with many rows in a join that Spark may split, never a collected list. Null ends
     and self links are dropped; no edges give no rows.
     """
     now = store(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
     mark = _mark(now)
     for _ in range(rounds):
-        if not mark[0]:
+        if mark[0] <= AT_ONCE:
+            now = now.coalesce(1).mapInArrow(_joined, "a long, b long")
             break
         new = store(_stars(_stars(now, True), False))
         before, mark, now = mark, _mark(new), new
@@ -43,6 +68,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("the components did not settle")
+    now = store(now)
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return pairs.union(pairs.select(F.col("label").alias("node"), "label").distinct())
 

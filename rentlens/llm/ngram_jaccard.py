@@ -2,13 +2,16 @@
 
 1. Every text becomes the set of hashes of its n-grams. Texts with one set form a class, named by a hash of the set.
 2. All (n-gram, class) pairs are dealt by n-gram, as packed arrays. Where they meet, n-grams of a single class go:
-   they can be in no intersection. The rest return to their class with their document frequency.
+   they can be in no intersection. The rest return to their class with their document frequency. The pairs of very
+   common n-grams are dealt by class too: such an n-gram stays whatever its count, and comes last in the order.
 3. A class links only if its repeated n-grams reach ``share`` of its set; the others are done.
-4. The rest are ordered by (frequency, hash), rarest first. Two sets that link share an n-gram of their prefixes
-   (all but the last ``ceil(share * size) - 1`` n-grams), so components over shared prefix n-grams hold all links.
-5. Within such a component, fixed-size chunks of sets meet each other once. One chunk's sets form a trie, ordered
-   by how common an n-gram is in it; the other chunk's sets go down the trie together, share the overlap counted on
-   common paths, and leave a subtree when what remains of path or set cannot reach the share.
+4. One order holds for all n-grams: by (frequency, hash), rarest first. Two sets that link share an n-gram of their
+   prefixes (all but the last ``ceil(share * size) - 1`` n-grams), so components over shared prefix n-grams hold all
+   links.
+5. Within such a component, chunks of sets meet each other once. One chunk's sets form a prefix tree in that order,
+   the commonest n-gram first; a node holds all n-grams up to where its sets differ. The other chunk's sets go down
+   the tree together by the places where they hold an n-gram, share the overlap counted on common paths, and leave a
+   subtree when what remains of path or set cannot reach the share.
 6. Links that join trees of a forest go on to connected components; the rest are counted and dropped.
 
 A 64-bit hash stands for an n-gram and for a set: of m sets, two collide with odds m * m / 2 ** 65.
@@ -20,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import class_components, components, forest
-from .scratch import partitions, store
-from .textkernel import Block, U, blocks, mix, packed, rolled, text_mark, unpacked
+from .scratch import as_row, partitions, store
+from .textkernel import Block, U, blocks, mix, packed, rolled, row_key, unpacked
 
 N, SHARE = 5, 80  # words; per cent
-#: Sets in a chunk that others are compared with, and bytes of text whose sets are packed together.
-CHUNK, SENT_BYTES = 128, 8 << 20
+#: Sets in a chunk that others are compared with, and about the n-grams of all of them; bytes of text whose sets are
+#: packed together; n-grams of a bucket.
+CHUNK, CHUNK_GRAMS, SENT_BYTES, BUCKET_GRAMS = 128, 1 << 20, 8 << 20, 6_000_000
+#: N-grams that make up over 1 / HOT_SHARE of all are very common, and count as of this frequency.
+HOT_SHARE, HOT = 4096, (1 << 31) - 1
 
 
 def _sets(b: Block, n: int) -> Iterator[np.ndarray]:
@@ -54,21 +60,41 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def shingle_classes(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, n_shingles, class) of every text; class is null where there are no words."""
+def shingle_classes(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray, int]:
+    """(doc_id, key, mark, n_shingles, class) of every text, written out; the very common n-grams; the n-grams of all.
+
+    class is null where there are no words. At most 2 * HOT_SHARE n-grams are very common, as each is that share.
+    """
+    kind = "doc_id long, key long, mark long, n_shingles long, class long, gram long, times long"
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names = [], []
-            for b in blocks(batch.column(2), lower=True):
-                for s in _sets(b, n):
-                    sizes.append(len(s))
-                    names.append(_name(s))
+            sizes, names, often = [], [], []
+            for b in blocks(batch.column(3), lower=True):
+                sets = list(_sets(b, n))
+                sizes += [len(s) for s in sets]
+                names += [_name(s) for s in sets]
+                values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, U), return_counts=True)
+                much = counts >= max(2, int(counts.sum()) // (2 * HOT_SHARE))
+                often.append((values[much], counts[much]))
             none = np.array(sizes) == 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(names, U).view(np.int64), mask=none)], ["doc_id", "mark", "n_shingles", "class"])
+            rows, hot = len(sizes), (np.concatenate([x[k] for x in often] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            grams, times = hot
+            more = lambda column, kind=pa.int64(): pa.concat_arrays([column.cast(kind), pa.nulls(len(grams), kind)])
+            columns = [more(batch.column(i)) for i in range(3)] + [more(pa.array(sizes, pa.int64())), more(pa.array(np.array(names, U).view(np.int64), mask=none))]
+            own = [pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(x.astype(U).view(np.int64))]) for x in (grams, times)]
+            yield pa.RecordBatch.from_arrays([*columns, *own], [c.split()[0] for c in kind.split(", ")])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
+    made = store(rows.mapInArrow(go, kind))
+    found = made.where("key is not null").drop("gram", "times")
+    total = found.agg(F.sum("n_shingles")).first()[0] or 0
+    hot = made.where("key is null").groupBy("gram").agg(F.sum("times").alias("n")).where(F.col("n") >= max(64, total // (2 * HOT_SHARE)))
+    return found, np.sort(np.array([r[0] for r in hot.select("gram").collect()], np.int64).view(U)), total
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(go, "doc_id long, mark long, n_shingles long, class long")
+def _among(sorted_set: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, x), len(sorted_set) - 1)] == x if len(sorted_set) else np.zeros(len(x), bool)
 
 
 def _ranges(order_key: np.ndarray, dealt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,16 +102,16 @@ def _ranges(order_key: np.ndarray, dealt: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(order_key[order], np.arange(dealt + 1))
 
 
-def _repeated(docs: DataFrame, n: int, text_col: str) -> DataFrame:
-    """(bucket, blob) of class, size, run, n-grams and frequencies, for the n-grams of two classes or more."""
-    dealt = partitions(docs.sparkSession)
+def _repeated(docs: DataFrame, n: int, text_col: str, hot: np.ndarray, dealt: int) -> DataFrame:
+    """(bucket, blob) of class, size, run, n-grams and frequencies, for the n-grams of two classes or more, and for ``hot``."""
 
     def seal(names: list, sets: list) -> pa.RecordBatch:
         name, one = np.unique(np.array(names, U), return_index=True)
         sets = [sets[i] for i in one.tolist()]
         sizes = np.array([len(s) for s in sets])
         grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        order, cut = _ranges((grams % U(dealt)).astype(np.uint32 if dealt > 65535 else np.uint16), dealt)
+        to = np.where(_among(hot, grams), mix(grams ^ name[owner]), grams) % U(dealt)
+        order, cut = _ranges(to.astype(np.uint32 if dealt > 65535 else np.uint16), dealt)
         grams, owner = grams[order], owner[order]
         keys, blobs = [], []
         for k in np.flatnonzero(np.diff(cut)).tolist():
@@ -119,6 +145,7 @@ def _repeated(docs: DataFrame, n: int, text_col: str) -> DataFrame:
         tied = np.zeros(len(g), bool)
         tied[1:] = g[1:] == g[:-1]
         tied[:-1] |= tied[1:]
+        tied |= _among(hot, g)
         g, owner = g[tied], owner[order[tied]]
         order = np.lexsort((name[owner], g))
         g, owner = g[order], owner[order]
@@ -128,7 +155,7 @@ def _repeated(docs: DataFrame, n: int, text_col: str) -> DataFrame:
         if not len(g):
             return None
         group = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1
-        often = np.bincount(group)[group].astype(np.int32)
+        often = np.where(_among(hot, g), HOT, np.bincount(group)[group]).astype(np.int32)
         g, owner, often = g[often > 1], owner[often > 1], often[often > 1]
         if not len(g):
             return None
@@ -168,8 +195,8 @@ def _by_bucket(f):
     return go
 
 
-def _candidates(repeated: DataFrame, share: int) -> DataFrame:
-    """(class, size, grams, prefix) of the classes whose repeated n-grams reach the share."""
+def _candidates(repeated: DataFrame, share: int, dealt: int) -> DataFrame:
+    """(class, size, grams, often, prefix) of the classes whose repeated n-grams reach the share; grams with their frequencies."""
 
     def gather(blobs: list[bytes]) -> pa.RecordBatch | None:
         parts = [unpacked(x, "<u8", "<i4", "<i4", "<u8", "<i4") for x in blobs]
@@ -179,7 +206,7 @@ def _candidates(repeated: DataFrame, share: int) -> DataFrame:
         who, grams, often = who[order], grams[order], often[order]
         begins = np.flatnonzero(np.append(True, name[who[1:]] != name[who[:-1]]))
         ends = np.append(begins[1:], len(who))
-        out: tuple[list, ...] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
             m = int(size[who[i]])
             if 100 * (j - i) < share * m:
@@ -187,91 +214,104 @@ def _candidates(repeated: DataFrame, share: int) -> DataFrame:
             prefix = m - -(-share * m // 100) + 1 - (m - (j - i))
             out[0].append(int(name[who[i]].view(np.int64)))
             out[1].append(m)
-            out[2].append(np.sort(grams[i:j]).tobytes())
-            out[3].append(grams[i : i + prefix].view(np.int64).tolist())
+            out[2].append(grams[i:j].tobytes())
+            out[3].append(often[i:j].tobytes())
+            out[4].append(grams[i : i + prefix].view(np.int64).tolist())
         if not out[0]:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["class", "size", "grams", "prefix"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["class", "size", "grams", "often", "prefix"])
 
-    dealt = partitions(repeated.sparkSession)
     rows = repeated.repartitionById(dealt, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(_by_bucket(gather), "class long, size int, grams binary, prefix array<long>")
+    return rows.mapInArrow(_by_bucket(gather), "class long, size int, grams binary, often binary, prefix array<long>")
 
 
 def trie_links(built: list[np.ndarray], built_size: np.ndarray, probes: list[np.ndarray], probe_size: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (in built, in probes) of the pairs of sets that reach the share.
 
-    The sets hold only n-grams that others have too; the sizes are those of the whole sets.
+    A set is the ascending places of its n-grams in one order; n-grams that no other set has may be left out, as the
+    sizes are those of the whole sets. What is kept is in proportion to the sets.
     """
-    words, counts = np.unique(np.concatenate(built), return_counts=True)
-    words = words[np.lexsort((words, -counts))]
-    sorted_at = np.argsort(words)
-
-    def incidence(sets: list[np.ndarray]) -> np.ndarray:
-        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = np.minimum(np.searchsorted(words, flat, sorter=sorted_at), len(words) - 1)
-        found = words[sorted_at[at]] == flat
-        out = np.zeros((len(sets), len(words)), np.uint8)
-        out[row[found], sorted_at[at[found]]] = 1
-        return out
-
-    rows = incidence(built)
-    order = np.lexsort(np.packbits(rows, axis=1).T[::-1])[::-1]  # paths in order, those with the common n-grams first
-    rows, size = rows[order], built_size[order].astype(np.int64)
-    has = np.ascontiguousarray(incidence(probes).T)
-    after = np.zeros((len(rows), len(words) + 1), np.int32)  # n-grams of a path from a column on
-    after[:, :-1] = rows[:, ::-1].cumsum(1, dtype=np.int32)[:, ::-1]
-    left = np.zeros((len(words) + 1, len(probes)), np.int32)  # n-grams of a probe from a column on
-    left[:-1] = has[::-1].cumsum(0, dtype=np.int32)[::-1]
+    order = sorted(range(len(built)), key=lambda i: built[i].astype(">u8").tobytes())
+    rows, size = [built[i] for i in order], built_size[order].astype(np.int64)
+    length = np.array([len(r) for r in rows])
+    same = np.zeros(len(rows) + 1, np.int64)  # n-grams that a path begins with as the one before it
+    for i in range(1, len(rows)):
+        m = min(len(rows[i - 1]), len(rows[i]))
+        differ = np.flatnonzero(rows[i - 1][:m] != rows[i][:m])
+        same[i] = differ[0] if len(differ) else m
+    flat = np.concatenate(probes).astype(np.int64) if probes else np.zeros(0, np.int64)
+    own = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
+    ends = np.cumsum([len(p) for p in probes])
+    span = int(max(flat.max(initial=0), max((int(r[-1]) for r in rows if len(r)), default=0))) + 2
+    keyed = own * span + flat  # sorted, as every probe is
+    by = np.argsort(flat, kind="stable")
+    places, holders = flat[by], own[by]
     wide = probe_size.astype(np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    stack = [(0, len(rows), 0, np.zeros(len(probes), np.int32), np.arange(len(probes)))]
+    stack = [(0, len(rows), 0, np.zeros(len(probes), np.int64), np.arange(len(probes)))]
     while stack:
-        lo, hi, column, overlap, active = stack.pop()
-        differ = np.flatnonzero(rows[lo, column:] != rows[hi - 1, column:])
-        to = column + int(differ[0]) if len(differ) else len(words)
-        shared = np.flatnonzero(rows[lo, column:to]) + column
-        if len(shared):
-            overlap = overlap + has[shared[:, None], active].sum(0, dtype=np.int32)
-        rest = np.minimum(left[to, active], after[lo:hi, to].max())
-        stay = (100 + share) * (overlap + rest).astype(np.int64) >= share * (wide[active] + size[lo:hi].min())
+        lo, hi, depth, overlap, active = stack.pop()
+        to = int(same[lo + 1 : hi].min()) if hi - lo > 1 else int(length[lo])
+        edge = rows[lo][depth:to]
+        if len(edge):
+            first, last = np.searchsorted(places, edge), np.searchsorted(places, edge, "right")
+            n = last - first
+            held = holders[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            overlap = overlap + np.bincount(held, minlength=len(probes))[active]
+        past = int(rows[lo][to - 1]) if to else -1
+        left = ends[active] - np.searchsorted(keyed, active * span + past, "right")
+        rest = np.minimum(left, int(length[lo:hi].max()) - to)
+        stay = (100 + share) * (overlap + rest) >= share * (wide[active] + int(size[lo:hi].min()))
         overlap, active = overlap[stay], active[stay]
         if not len(active):
             continue
-        if to == len(words):
-            for r in range(lo, hi):
-                good = (100 + share) * overlap.astype(np.int64) >= share * (wide[active] + size[r])
-                found.append((np.full(int(good.sum()), order[r]), active[good]))
-        else:
-            middle = lo + int(rows[lo:hi, to].sum())
-            stack += [(lo, middle, to, overlap, active), (middle, hi, to, overlap, active)]
+        while lo < hi and length[lo] == to:  # paths that end here
+            good = (100 + share) * overlap >= share * (wide[active] + size[lo])
+            found.append((np.full(int(good.sum()), order[lo]), active[good]))
+            lo += 1
+        cuts = [lo, *(np.flatnonzero(same[lo + 1 : hi] == to) + lo + 1).tolist(), hi]
+        stack += [(i, j, to, overlap, active) for i, j in zip(cuts, cuts[1:], strict=False) if i < j]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _links(candidates: DataFrame, share: int) -> DataFrame:
+def _places(sets: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
+    """The ascending places of each set's n-grams that are known."""
+    out = []
+    for grams, _ in sets:
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        out.append(np.sort(rank[at[known[at] == grams]]))
+    return out
+
+
+def _links(candidates: DataFrame, share: int, dealt: int) -> DataFrame:
     """(a, b, linked): tree edges between classes (linked null), and linked documents of a class (b null)."""
-    spark = candidates.sparkSession
-    dealt = partitions(spark)
     posted = candidates.select("class", F.explode("prefix").alias("gram"))
     least = store(posted.groupBy("gram").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").select("gram", "least"))
     cells = components(posted.join(least, "gram").select(F.col("class").alias("a"), F.col("least").alias("b")))
-    large = store(cells.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK))
-    cells = cells.join(large, "label", "left").select(F.col("node").alias("class"), F.col("label").alias("cell"), F.ceil(F.coalesce("members", F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks"))
+    sized = candidates.select(F.col("class").alias("node"), (F.length("grams") / 8).alias("grams"))
+    large = cells.join(sized, "node").groupBy("label").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("grams") / CHUNK_GRAMS)).cast("int").alias("chunks"))
+    large = store(large.where("chunks > 1"))
+    cells = cells.join(large, "label", "left").select(F.col("node").alias("class"), F.col("label").alias("cell"), F.coalesce("chunks", F.lit(1)).alias("chunks"))
     rows = candidates.drop("prefix").join(cells, "class")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select("cell", i.alias("i"), j.alias("j"), (F.col("own") != i).alias("probe"), "class", "size", "copies", "grams", F.pmod(F.xxhash64("cell") + i * F.col("chunks") + j, F.lit(dealt)).cast("int").alias("to"))
+    rows = rows.select("cell", i.alias("i"), j.alias("j"), (F.col("own") != i).alias("probe"), "class", "size", "copies", "grams", "often", F.pmod(F.xxhash64("cell") + i * F.col("chunks") + j, F.lit(dealt)).cast("int").alias("to"))
 
     def join(built: list, probes: list) -> pa.RecordBatch | None:
         alone = not probes
         if alone:
             probes = built
-        names, sizes, copies, grams = zip(*built, strict=True)
-        names2, sizes2, copies2, grams2 = zip(*probes, strict=True)
-        x, y = trie_links([np.frombuffer(g, "<u8") for g in grams], np.array(sizes), [np.frombuffer(g, "<u8") for g in grams2], np.array(sizes2), share)
+        names, sizes, copies, sets = zip(*built, strict=True)
+        names2, sizes2, copies2, sets2 = zip(*probes, strict=True)
+        known, at = np.unique(np.concatenate([g for g, _ in sets]), return_index=True)
+        often = np.concatenate([o for _, o in sets])[at]
+        rank = np.empty(len(known), np.int64)
+        rank[np.lexsort((known, often))[::-1]] = np.arange(len(known))  # the global order from its end
+        mine = _places(sets, known, rank)
+        x, y = trie_links(mine, np.array(sizes), mine if alone else _places(sets2, known, rank), np.array(sizes2), share)
         if alone:
             x, y = x[x < y], y[x < y]
         if not len(x):
@@ -293,7 +333,7 @@ def _links(candidates: DataFrame, share: int) -> DataFrame:
                     if built and (probes or now[1] == now[2]) and (found := join(built, probes)) is not None:
                         yield found
                     now, built, probes = key, [], []
-                (probes if r["probe"] else built).append((r["class"], r["size"], r["copies"], r["grams"]))
+                (probes if r["probe"] else built).append((r["class"], r["size"], r["copies"], (np.frombuffer(r["grams"], "<u8"), np.frombuffer(r["often"], "<i4"))))
         if built and (probes or now[1] == now[2]) and (found := join(built, probes)) is not None:
             yield found
 
@@ -302,35 +342,36 @@ def _links(candidates: DataFrame, share: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, n: int = N, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, n_shingles, component_id, n_links) of every row of ``docs``.
+    """(doc_id, key, mark, n_shingles, component_id, n_links) of every row of ``docs``.
 
     Two texts link if 100 * intersection >= share * union of their sets of distinct ``n``-word shingles; a text of
     fewer words has one shingle, all of it. component_id is the least id that links reach, itself included; n_links
     counts directly linked rows, exact copies among them. Null and empty texts, and those of white space, have no
     shingles, link with nothing and are their own component. Rows that repeat an id with another text are texts of
-    their own; a null id takes part, but names no component unless alone. mark is a 64-bit hash of the text. Other
-    columns are not used. No rows give no rows.
+    their own; a null id takes part, but names no component unless alone. key and mark are a 128-bit hash of id and
+    text. Other columns are not used. No rows give no rows.
     """
-    found = shingle_classes(docs, n, id_col, text_col)
+    found, hot, total = shingle_classes(docs, n, id_col, text_col)
+    dealt = partitions(docs.sparkSession, total, BUCKET_GRAMS)
     classes = store(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    candidates = _candidates(_repeated(docs, n, text_col), share)
+    candidates = _candidates(_repeated(docs, n, text_col, hot, dealt), share, dealt)
     candidates = store(candidates.join(classes.select("class", "copies"), "class"))
-    links = store(_links(candidates, share))
+    links = store(_links(candidates, share, dealt))
     full = class_components(classes, links)
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.join(full, "class", "left").select("doc_id", "mark", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found.join(full, "class", "left").select("doc_id", "key", "mark", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, n: int = N, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, once: one document of each group of similar ones."""
-    from pyspark.sql import Window
-
-    kept = similar_groups(docs, n, share, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.struct("doc_id", "mark").alias("__row")).distinct()
-    rows = docs.withColumn("__row", F.struct(F.col(id_col).cast("long").alias("doc_id"), text_mark(text_col).alias("mark")))
-    rows = rows.join(kept, "__row", "left_semi")
-    once = Window.partitionBy("__row").orderBy(F.lit(0))
-    return rows.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    """The rows of ``docs`` whose id names their component, once: one document of each group of similar ones.
+
+    All columns pass through, whatever their names. See similar_groups() for nulls, ties and empty tables; of rows that
+    repeat whole one stays.
+    """
+    kept = similar_groups(docs, n, share, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key", "mark").distinct()
+    rows = docs.select(as_row(docs), *row_key(id_col, text_col)).join(kept, ["key", "mark"], "left_semi")
+    once = Window.partitionBy("key", "mark").orderBy(F.lit(0))
+    return rows.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
 
 
 def brute_force(texts: list[tuple], n: int = N, share: int = SHARE) -> list[tuple]:

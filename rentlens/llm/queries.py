@@ -20,7 +20,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.similar_groups(_table(spark, sf_dir, "documents")).drop("mark")
+    return ngram_jaccard.similar_groups(_table(spark, sf_dir, "documents")).drop("key", "mark")
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,10 +43,10 @@ def labels(spark):
 
 
 def test_substring_dedup(docs, empty):
-    texts = [(substring_dedup.NO_ID if r[0] is None else r[0], r[1]) for r in ROWS]
+    texts = [(-1 if r[0] is None else r[0], r[1]) for r in ROWS]
     got = substring_dedup.dedup(docs)
     assert got.columns == [*(c for c in docs.columns if c != "n_words"), "n_words", "n_removed", "kept_text"]
-    rows = sorted((substring_dedup.NO_ID if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got.collect())
+    rows = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got.collect())
     assert rows == sorted(substring_dedup.brute_force(texts))
     assert any(r[2] for r in rows)
     assert substring_dedup.dedup(empty).count() == 0
@@ -141,7 +141,9 @@ def test_embeddings(spark):
     assert metric_join.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 1 << 18])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr("rentlens.llm.components.AT_ONCE", at_once)
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rentlens.llm import fingerprints, licenses, metric_join, mixing, ngram_jaccard, packing, queries, substring_dedup
+from rentlens.llm import fingerprints, licenses, metric_join, mixing, ngram_jaccard, packing, queries, substring_dedup, toxicity
 from rentlens.llm.textkernel import blocks, word_counts
 
 SF = "/root/testdata/sf0.001"
@@ -66,7 +66,7 @@ def test_substrings_of_few_words(spark):
 
 
 def test_common_runs_rank_last(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "_hot_runs", lambda rows, mer: np.sort(_runs(rows, mer)))
+    monkeypatch.setattr(substring_dedup, "_hot_runs", lambda rows, mer: (np.sort(_runs(rows, mer)), 1))
     rows = _texts(3, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, substring_dedup.digest(substring_dedup.dedup(df)).collect())) == sorted(substring_dedup.brute_force(rows))
@@ -91,6 +91,61 @@ def test_trie(sets, share):
     assert set(zip(x.tolist(), y.tolist(), strict=True)) == want and len(x) == len(want)
 
 
+def test_voters_agree_without_labels():
+    """On made votes the label model, which sees no label, finds rates, correlations and classes."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(6000) < 0.15).astype(int)
+    kind = rng.integers(0, 2, len(y))  # toxic texts are of two kinds, and each voter knows one
+    rates = np.array([[0.02, 0.85, 0.05], [0.03, 0.8, 0.1], [0.02, 0.04, 0.9], [0.04, 0.1, 0.75], [0.05, 0.6, 0.6], [0.01, 0.5, 0.5], [0.06, 0.7, 0.2], [0.06, 0.2, 0.7]])
+    p = np.where(y[:, None] == 0, rates[:, 0], np.where(kind[:, None] == 0, rates[:, 1], rates[:, 2]))
+    votes = rng.random(p.shape) < p
+    votes = np.concatenate([votes, votes[:, :1]], axis=1)  # a voter that repeats another
+    made = toxicity.label_model(votes, classes=4)
+    members = made.members(votes)
+    none = np.full(len(y), -1)
+    q = members @ made.named(members, none) > 0.5
+    assert (q == y).mean() > max((votes[:, i] == y).mean() for i in range(votes.shape[1])) + 0.02
+    found, correlation = made.voters(made.named(members, none))
+    assert np.abs(found[0, :8] - rates[:, 0]).max() < 0.03
+    assert np.abs(found[1, :8] - rates[:, 1:].mean(1)).max() < 0.1
+    assert correlation[1][0, 8] > 0.7 > correlation[1][0, 4]
+
+
+def test_label_model_steps_as_plain_loops():
+    rng = np.random.default_rng(1)
+    votes = rng.random((40, 5)) < 0.4
+    one = toxicity.label_model(votes, classes=2, rounds=1)
+    seen = [tuple(v) for v in np.unique(votes, axis=0)]
+    times = {v: sum(tuple(x) == v for x in votes) for v in seen}
+    first = max(seen, key=lambda v: times[v])
+    far = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    second = max(seen, key=lambda v: far(v, first) * times[v] ** 0.5)
+    rate = [[0.9 if x else 0.1 for x in c] for c in (first, second)]
+    weight = {}
+    for v in seen:
+        like = [0.5 * np.prod([r if x else 1 - r for x, r in zip(v, rs, strict=True)]) for rs in rate]
+        weight[v] = [x / sum(like) * times[v] for x in like]
+    for k in (0, 1):
+        size = sum(w[k] for w in weight.values())
+        assert abs(one.share[k] - (size + 1) / (len(votes) + 2)) < 1e-9
+        for j in range(5):
+            assert abs(one.rate[k, j] - (sum(w[k] for v, w in weight.items() if v[j]) + 0.5) / (size + 1)) < 1e-9
+
+
+def test_posteriors_without_labels_beat_each_voter(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    y, parts, patterns = toxicity._sampled(docs, labels, "toxic", toxicity.SAMPLE, toxicity.UNLABELLED, "doc_id", "text")
+    known, lexicon = toxicity._lexicons(parts, y)
+    model = toxicity.Model(known, lexicon, np.zeros(0), 0.0, len(toxicity.STEMS) * toxicity.BANDS)
+    hits = [np.searchsorted(known, p[toxicity._is_in(known, p.astype("u8"))]) for p in parts]
+    votes = model.votes(len(parts), np.repeat(np.arange(len(parts)), [len(h) for h in hits]), np.concatenate(hits).astype(int), patterns)
+    assert votes.shape[1] == model.voters > 20 and (y < 0).sum() > 1000
+    made = toxicity.label_model(votes)
+    members = made.members(votes)
+    q, taught = members @ made.named(members, y) > 0.5, y >= 0
+    assert (q[taught] == y[taught]).mean() > max((votes[taught, i] == y[taught]).mean() for i in range(votes.shape[1]))
+
+
 def test_fingerprints_are_homomorphic(spark):
     texts = [(1, "one two\nthree four five"), (2, "three four five\none two"), (3, "one two"), (4, "three four five"), (5, "one two\nthree four six")]
     rows = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
@@ -142,6 +197,31 @@ def test_mix_meets_its_targets_and_repeats(spark):
     assert (copies["count"] * copies["size"] == copies.taken).all()
 
 
+def test_mix_draws_as_brute_force_and_shards_as_the_tree(spark):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet")
+    rows = mixing.sized(docs)
+    sources, dealt = mixing.plan(rows)
+    taken = {r.doc_id: r for r in queries.op4_mixing(spark, SF1).collect()}
+    listed = [(r.doc_id, r.source, r.place, r.size) for r in rows.collect()]
+    want = mixing.brute_force(listed)
+    assert {d: want[d] * n for d, _, _, n in listed} == {d: r.taken for d, r in taken.items()}
+    names = sorted({s for _, s, _, _ in listed})
+    draws = np.zeros_like(dealt)  # blocks of each source that a shard gets, by pass
+    seen = set()
+    blocks = {d: (s, place // mixing.PARTS) for d, s, place, _ in listed}
+    for d, r in taken.items():
+        assert len(r.shards) == want[d] == len(r.places)
+        for k, shard in enumerate(r.shards):
+            draw = (*blocks[d], k)
+            assert (draw, shard) in seen or all(x != draw for x, _ in seen)  # one draw of a block lies in one shard
+            if (draw, shard) not in seen:
+                seen.add((draw, shard))
+                draws[shard, names.index(blocks[d][0])] += 1
+    assert (draws <= dealt).all()  # blocks without documents are drawn too
+    mixed = mixing.mix(docs).select("doc_id", "shard").collect()
+    assert sorted((r.doc_id, r.shard) for r in mixed) == sorted((d, s) for d, r in taken.items() for s in r.shards)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet=st.characters(max_codepoint=0x2FF), max_size=80))
 def test_fast_ids_are_the_tokenizers(text):
