@@ -29,11 +29,11 @@ from pyspark.sql import types as T
 from .scratch import as_row, partitions, store
 from .textkernel import Block, U, block_of, blocks, mix, packed, rolled, row_key, unpacked
 
-WIDTH, MER, HOT_SHARE = 35, 8, 4096
+WIDTH, MER, HOT_SHARE = 35, 6, 4096
 #: Bytes of text whose super-k-mers are packed together; words of the corpus for each task that counts, at most.
 SENT_BYTES, TASK_WORDS = 8 << 20, 8_000_000
 #: Of the compression of what travels.
-LEVEL = 3
+LEVEL = 6
 _TOP = U(1 << 63)
 
 
@@ -269,9 +269,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, mer: int = MER, id_col: str = "do
     names = ("n_words", "n_removed", "kept_text")
     spans = repeated_spans(docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")), width, mer)
     spans = spans.groupBy("key", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    row = as_row(docs, names)
-    wide = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row_key(id_col, text_col)).join(spans, ["key", "mark"], "left")
-    wide = wide.select("row", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"))
+    wide = docs.select(as_row(docs, names), *row_key(id_col, text_col)).join(spans, ["key", "mark"], "left")
+    wide = wide.select("row", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"))
     schema = T.StructType([wide.schema["row"], *(T.StructField(n, T.LongType()) for n in names[:2]), T.StructField(names[2], T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +280,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, mer: int = MER, id_col: str = "do
             flat = listed.flatten()
             start, stop = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             words, removed, kept = [], [], []
-            for b in blocks(batch.column("text")):
+            for b in blocks(batch.column("row").field(text_col)):
                 ours = slice(*np.searchsorted(owner, [b.rows, b.rows + b.texts]))
                 base = b.first[owner[ours] - b.rows]
                 step = np.bincount(base + start[ours], minlength=len(b.start) + 1) - np.bincount(base + stop[ours], minlength=len(b.start) + 1)
