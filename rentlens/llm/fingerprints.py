@@ -4,7 +4,7 @@ A text is the multiset of its paragraphs (lines). Each paragraph hashes to a wid
 the sum of its paragraphs' vectors, modulo 2 ** 16 in the first LANES lanes and modulo 2 ** 32 in the last four. So
 the order of paragraphs does not matter, and a paragraph is added or taken away by adding or subtracting its vector.
 
-The last lanes are halves of two 64-bit hashes of the whole paragraph: they decide equality. In the first lanes, each
+The last lanes are halves of two 64-bit hashes of the whole paragraph, the second with another seed: they decide equality. In the first lanes, each
 pair of neighbouring words of the paragraph (the first word pairs with nothing) adds or subtracts one in one lane, so
 that their inner products estimate how many word pairs two texts share.
 """
@@ -19,6 +19,8 @@ from .scratch import store
 LANES = 64
 #: Ids whose documents are next to each other, as a power of 2: a window never holds more distinct ids.
 BUCKET_BITS = 8
+#: Null ids have no order of their own: this many bits of a hash share them out.
+NULL_BITS = 12
 _NULL_BUCKET = -(1 << 62)
 
 
@@ -28,7 +30,7 @@ def _units(text: str) -> str:
         "transform(array(filter(split(p, '[ \\\\t\\\\x0B\\\\f\\\\r]+'), x -> x <> '')), ws -> "
         "transform(ws, (x, i) -> xxhash64(if(i = 0, '', ws[i - 1]), x) & ~1L))[0]"
     )
-    return f"flatten(transform(split({text}, '\\n'), p -> concat(array((xxhash64(p) & ~3L) | 1L, xxhash64(p, 'second') | 3L), {pairs})))"
+    return f"flatten(transform(split({text}, '\\n'), p -> concat(array((xxhash64(p) & ~3L) | 1L, xxhash64('second', p) | 3L), {pairs})))"
 
 
 def _summed(rows: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
@@ -101,16 +103,20 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprints of every text and of its edited text, and how like they are.
 
     The edited text's last floor(n_chars / 2) code points are the first as many (or all) of the next document, in
-    descending order of id; the first follows the last. Null texts are empty; null ids come last; rows of one id
-    follow each other by text. Every row counts, repeated ones too. No rows give no rows. Other columns are not used.
+    descending order of id; the first follows the last. Null texts are empty; null ids come last, in descending order
+    of a hash of the text; rows of one id follow each other by text. Every row counts, repeated ones too. No rows give
+    no rows. Other columns are not used.
 
-    Texts are dealt once, by runs of ids; a run's last document looks up the first of the next run.
+    Texts are dealt once, by runs of ids, or of hashes; a run's last document looks up the first of the next run.
     """
-    key = F.coalesce(F.expr(f"cast({id_col} AS long) >> {BUCKET_BITS}"), F.lit(_NULL_BUCKET))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), key.alias("bucket")).repartition("bucket")
-    run = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    named, nameless = F.expr(f"cast(doc_id AS long) >> {BUCKET_BITS}"), F.lit(_NULL_BUCKET) + F.shiftright("hash", 64 - NULL_BITS)
+    listed = rows.where("doc_id is not null").select(named.alias("bucket")).union(rows.where("doc_id is null").select(nameless.alias("bucket"))).distinct()
+    rows = rows.withColumn("bucket", F.coalesce(named, nameless)).repartition("bucket")
+    run = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("hash"), "text")
     heads = rows.withColumn("place", F.row_number().over(run)).where("place = 1").select("bucket", F.col("text").alias("head"))
-    follows = _following(docs.select(key.alias("bucket")).distinct())
+    follows = _following(listed)
     heads = heads.join(follows, "bucket").select(F.col("target").alias("bucket"), "head")
     rows = rows.withColumns({"place": F.row_number().over(run), "following": F.lead("text").over(run)})
     rows = rows.join(heads.withColumnRenamed("bucket", "target"), F.expr("bucket = target AND following IS NULL"), "left")
@@ -122,3 +128,47 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = Window.partitionBy("bucket").orderBy("place")
     lanes = lanes.withColumn("v2", F.coalesce(F.lead("v0").over(near), "v2"))
     return lanes.select("doc_id", "n_chars", "edited_sha256", _text_form("v0", 0).alias("fingerprint"), _text_form("v1", 1).alias("edited_fingerprint"), _likeness("v0", "v1").alias("near_edited"), _likeness("v0", "v2").alias("near_next"))
+
+
+def brute_force(rows: list[tuple]) -> list[tuple]:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of (id, text) rows, for tests."""
+    import hashlib
+    import re
+
+    import xxhash
+
+    def spark_hash(*parts: str) -> int:
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode(), seed)
+        return seed
+
+    def lanes(text: str) -> list[int]:
+        out = [0] * (LANES + 4)
+        for p in text.split("\n"):
+            for i, h in enumerate((spark_hash(p) & ~3 | 1, spark_hash("second", p) | 3)):
+                out[LANES + 2 * i] += h >> 2 & 0x7FFFFFFF
+                out[LANES + 2 * i + 1] += h >> 33
+            words = [w for w in re.split("[ \t\x0b\x0c\r]+", p) if w]
+            for before, w in zip(["", *words], words, strict=False):
+                h = spark_hash(before, w)
+                out[8 * (h >> 4 & 7) + (h >> 1 & 7)] += -1 if h >> 7 & 1 else 1
+        return out
+
+    def form(x: list[int]) -> str:
+        return "".join(f"{v % 65536:04x}" for v in x[:LANES]) + "".join(f"{v % (1 << 32):08x}" for v in x[LANES:])
+
+    def near(x: list[int], y: list[int]) -> float:
+        dot = lambda a, b: sum(p * q for p, q in zip(a[:LANES], b[:LANES], strict=True))
+        both = dot(x, x) + dot(y, y)
+        return min(1.0, max(0.0, 2 * dot(x, y) / both)) if both else 1.0
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -signed(spark_hash(r[1] or "")) if r[0] is None else 0, r[1] or ""))
+    out = []
+    for (d, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        t, u = t or "", u or ""
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        x, y, z = lanes(t), lanes(edited), lanes(u)
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), form(x), form(y), near(x, y), near(x, z)))
+    return out
