@@ -1,8 +1,10 @@
 """A quality classifier on supervised subword embeddings.
 
-A word's features are its own hash and those of its three-byte runs, its first and its last three bytes, all in fixed
-numbers of buckets. A word is the mean of its features' learned vectors, and a text the mean of its words; the word
-pairs of a word with itself share one more vector, weighted by their share. A softmax over the sum gives the class. Vectors and softmax are trained together by stochastic gradient descent in numpy.
+A word's features are its own hash and those of its runs of three and four code points, with its ends marked, all in
+fixed numbers of buckets. A word is the mean of its features' learned vectors, and a text the mean of its words. Pairs
+of neighbouring words have vectors too, by the difference of their hashes, so that all pairs of a word with itself
+share one; their mean is added. A softmax over the sum gives the class. Vectors and softmax are trained together by
+stochastic gradient descent in numpy.
 """
 
 from __future__ import annotations
@@ -13,43 +15,43 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import first_of_copies, held_out, labelled_sample, sigmoid
+from .scratch import as_row
 from .textkernel import Block, U, blocks, mix, packed, rolled, unpacked
 
 #: Labelled rows to learn from at most, of low and of high quality.
-SAMPLE = (4000, 6000)
-BUCKETS, DIMENSIONS, EPOCHS, BATCH = 1 << 15, 8, 12, 64
-#: The feature of a word that repeats the one before it.
-REPEAT = 2 * BUCKETS - 1
+SAMPLE = (3000, 4500)
+BUCKETS, DIMENSIONS, EPOCHS, BATCH = 1 << 15, 8, 5, 64
+#: Code points of a run; all features: of words, runs and pairs.
+RUNS, FEATURES = (3, 4), 3 * BUCKETS
 
 
 def _word_features(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's distinct words: features, offsets of each word's, and the word of each word in the text."""
     _, one, which = np.unique(b.hashes, return_index=True, return_inverse=True)
-    start, end = b.start[one], b.end[one]
-    size = end - start
-    runs = np.maximum(size - 2, 0)
-    count = 1 + runs + 2 * (runs > 0)
-    at = np.cumsum(count) - count
-    out = np.empty(int(count.sum()), np.int64)
-    out[at] = (mix(b.hashes[one]) % U(BUCKETS)).astype(np.int64)
-    word = np.repeat(np.arange(len(one)), runs)
-    inner = np.arange(len(word)) - np.repeat(np.cumsum(runs) - runs, runs)
-    begin = start[word] + inner
-    gram = b.span_hash(begin, begin + 3)
-    out[at[word] + 1 + inner] = (gram % U(BUCKETS - 1)).astype(np.int64) + BUCKETS
-    long = np.flatnonzero(runs > 0)
-    for k, edge in ((1, start[long]), (2, end[long] - 3)):
-        out[at[long] + runs[long] + k] = (mix(b.span_hash(edge, edge + 3) + U(k)) % U(BUCKETS - 1)).astype(np.int64) + BUCKETS
-    return out, np.append(at, len(out)), which
-
-
-def _repeats(b: Block) -> np.ndarray:
-    """The share of each text's words that repeat the word before."""
+    points = np.append(np.flatnonzero((b.data & 0xC0) != 0x80), len(b.data))  # where code points begin
+    first, last = np.searchsorted(points, b.start[one]), np.searchsorted(points, b.end[one])
+    owner, found = [np.arange(len(one))], [mix(b.hashes[one]) % U(BUCKETS)]
+    for n in RUNS:
+        runs = np.maximum(last - first - n + 1, 0)
+        word = np.repeat(np.arange(len(one)), runs)
+        at = first[word] + np.arange(len(word)) - np.repeat(np.cumsum(runs) - runs, runs)
+        ends = (at == first[word]).astype(U) + U(2) * (at + n == last[word]).astype(U)  # a run at an end is another
+        owner.append(word)
+        found.append(mix(b.span_hash(points[at], points[at + n]) + ends) % U(BUCKETS) + U(BUCKETS))
+    owner, found = np.concatenate(owner), np.concatenate(found).astype(np.int64)
+    order = np.argsort(owner, kind="stable")
+    return found[order], np.searchsorted(owner[order], np.arange(len(one) + 1)), which
+
+
+def _pairs(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Text and feature of each pair of neighbouring words."""
     doc = b.doc_of_word()
-    same = (b.hashes[1:] == b.hashes[:-1]) & (doc[1:] == doc[:-1])
-    return np.bincount(doc[1:][same], minlength=b.texts) / np.maximum(np.diff(b.first), 1)
+    same = np.flatnonzero(doc[1:] == doc[:-1])
+    return doc[same], (mix(b.hashes[same + 1] - b.hashes[same]) % U(BUCKETS)).astype(np.int64) + 2 * BUCKETS
 
 
 @dataclass
@@ -65,14 +67,16 @@ class Model:
             words = np.add.reduceat(self.vectors[features], at[:-1], axis=0) / np.diff(at)[:, None]
             filled = np.flatnonzero(np.diff(b.first))
             total[filled] = np.add.reduceat(words[which], b.first[filled], axis=0) / np.diff(b.first)[filled, None]
-            total += _repeats(b)[:, None] * self.vectors[REPEAT]
+            doc, pair = _pairs(b)
+            more = np.flatnonzero(np.diff(b.first) > 1)
+            total[more] += np.add.reduceat(self.vectors[pair], np.searchsorted(doc, more), axis=0) / np.diff(b.first)[more, None] if len(more) else 0
         return sigmoid(total @ self.softmax[:-1] + self.softmax[-1])
 
 
 def train(ids: list[np.ndarray], weights: list[np.ndarray], y: np.ndarray, prior: float, seed: int = 11) -> Model:
     """ids, weights: features of each text and their shares. prior: share of class 1 to be expected."""
     rng = np.random.default_rng(seed)
-    n = 2 * BUCKETS
+    n = FEATURES
     vectors = rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32)
     soft, bias = rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)
     grown, grown_soft = np.full((n, DIMENSIONS), 1e-8, np.float32), np.full((DIMENSIONS + 1, 2), 1e-8)
@@ -100,10 +104,10 @@ def train(ids: list[np.ndarray], weights: list[np.ndarray], y: np.ndarray, prior
             soft -= step[:-1]
             bias -= step[-1]
             own = np.repeat(np.arange(len(at)), sizes[at])
-            for d in range(DIMENSIONS):
-                gd = np.bincount(flat, weights=share * to_mean[own, d], minlength=n).astype(np.float32)
-                grown[:, d] += gd * gd
-                vectors[:, d] -= rate * gd / np.sqrt(grown[:, d])
+            used, place = np.unique(flat, return_inverse=True)
+            g = np.stack([np.bincount(place, weights=share * to_mean[own, d], minlength=len(used)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
+            grown[used] += g * g
+            vectors[used] -= rate * g / np.sqrt(grown[used])
     seen = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     prior = np.clip(prior, 1e-3, 1 - 1e-3)
     shift = np.log(prior / (1 - prior)) - np.log(seen / (1 - seen))
@@ -112,14 +116,13 @@ def train(ids: list[np.ndarray], weights: list[np.ndarray], y: np.ndarray, prior
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model, learnt on the driver from a sample of labelled rows; see SAMPLE."""
-    from pyspark.sql import functions as F
-
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs, marks = [], []
             for b in blocks(batch.column(1)):
                 features, at, which = _word_features(b)
-                grams, repeats = rolled(b.hashes, 5), _repeats(b)
+                grams, (doc, pair) = rolled(b.hashes, 5), _pairs(b)
+                cut = np.searchsorted(doc, np.arange(b.texts + 1))
                 for i in range(b.texts):
                     lo, hi = b.first[i], b.first[i + 1]
                     words, times = np.unique(which[lo:hi], return_counts=True)
@@ -128,19 +131,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: tupl
                     flat = features[np.repeat(at[words] - (np.cumsum(size) - size), size) + np.arange(len(own))]
                     ids, place = np.unique(flat, return_inverse=True)
                     share = np.bincount(place, weights=(times / np.maximum(size, 1))[own] / max(1, hi - lo), minlength=len(ids))
-                    ids, share = np.append(ids, REPEAT), np.append(share, repeats[i])
-                    blobs.append(packed(ids.astype(np.uint16), share.astype(np.float32)))
+                    near, often = np.unique(pair[cut[i] : cut[i + 1]], return_counts=True)
+                    ids, share = np.append(ids, near), np.append(share, often / max(1, hi - lo))
+                    blobs.append(packed(ids.astype(np.uint32), share.astype(np.float16)))
                     own5 = grams[lo : max(hi - 4, lo)]
                     marks.append(int((own5.min() if len(own5) else b.hashes[lo:hi].sum(dtype=U)).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), pa.array(marks, pa.int64())], ["y", "blob", "mark"])
 
     rows = labelled_sample(docs, labels, label, sample, id_col, text_col).mapInArrow(shrink, "y int, blob binary, mark long").toArrow()
     y, marks = np.array(rows.column("y").to_pylist(), np.int64), np.array(rows.column("mark").to_pylist(), np.int64)
-    blobs = rows.column("blob").to_pylist()
+    blobs = rows.column("blob")
     keep = first_of_copies(marks, y)
-    y, parts = y[keep], [unpacked(blobs[i], "<u2", "<f4") for i in keep.tolist()]
+    y, parts = y[keep], [unpacked(blobs[i].as_py(), "<u4", "<f2") for i in keep.tolist()]
     if not len(y) or y.min() == y.max():  # nothing to tell apart
-        return Model(np.zeros((2 * BUCKETS, DIMENSIONS), np.float32), np.append(np.zeros(DIMENSIONS), 4.0 if len(y) and y[0] else (-4.0 if len(y) else 0.0)))
+        return Model(np.zeros((FEATURES, DIMENSIONS), np.float32), np.append(np.zeros(DIMENSIONS), 4.0 if len(y) and y[0] else (-4.0 if len(y) else 0.0)))
     ours = labels.where(~held_out(id_col) & F.col(label).isin(0, 1))
     prior = ours.agg(F.avg(F.col(label).cast("double"))).first()[0]
     return train([p[0] for p in parts], [p[1] for p in parts], y, prior)
@@ -152,22 +156,23 @@ def scored(docs: DataFrame, model: Model, cut: float = 0.3, text_col: str = "tex
     Whole texts are scored; null and empty ones get the score of the bias. Nothing but the text counts. Other columns
     pass through; a column named as one that is added is replaced.
     """
-    docs = docs.drop(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {names[0]} double, {names[1]} int"
+    rows = docs.select(as_row(docs, names))
+    schema = T.StructType([*rows.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS and DIMENSIONS
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.concatenate([sent.value.score(b) for b in blocks(batch.column(text_col))] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= cut).astype(np.int32))], [*batch.schema.names, *names])
+            s = np.concatenate([sent.value.score(b) for b in blocks(batch.column(0).field(text_col))] or [np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["row", *names])
 
-    return docs.mapInArrow(go, schema)
+    return rows.mapInArrow(go, schema).select("row.*", *(F.col(f"`{n}`") for n in names))
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; learns from labels that are not held out.
 
-    Null labels and ids without a document teach nothing. Labels of one class only give every text that class.
+    Null labels and ids without a document teach nothing. Labels of one class only give every text that class. No
+    documents give no rows; rows that repeat are scored alike, and teach once.
     """
     rows = docs.select("doc_id", "text", held_out("doc_id").alias("held_out"))
     return scored(rows, fit(docs, labels, label, sample)).select("doc_id", "held_out", "score", "predicted")
