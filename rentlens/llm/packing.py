@@ -1,7 +1,7 @@
 """Packing documents into sequences by patterns found with non-negative least squares.
 
 Documents become pieces of at most ``length`` tokens. How many pieces there are of each length is all the driver sees.
-It enumerates patterns of a few lengths that fill a sequence, fits how often to use each to the histogram by
+It enumerates all patterns of up to three lengths that fill a sequence, fits how often to use each to the histogram by
 non-negative least squares, rounds down, and packs what is left by best fit, longest first, whole runs of equal pieces
 at a time. Pieces of one length are alike, so the n-th of them takes the n-th place that the patterns have for that
 length; pieces are numbered in buckets, whose counts give every bucket its first number.
@@ -18,15 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scratch import partitions, store
+from .scratch import as_row, partitions, store
 
 LENGTH, END = 1024, 2
 VOCABULARY = "byte_bpe_50k"
-#: Patterns with three pieces for each longest piece; steps of the least-squares fit.
-TRIPLES, STEPS = 4, 300
-#: Texts of other characters go to the tokenizers library: white space and special tokens are its own there.
-_OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-ɏ]|<\\|")
+#: Steps of the least-squares fit.
+STEPS = 100
+#: Texts of other characters go to the tokenizers library: white space and special tokens are its own there. So do long
+#: runs without a break, which cost the other more than in proportion.
+_OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-ɏ]|<\\||[^\\s]{400}|\\s{400}")
 
 
 def vocabulary_path(name: str) -> str:
@@ -90,30 +92,28 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = END, json_path: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
-def _patterns(have: np.ndarray, length: int) -> list[tuple[int, ...]]:
-    """Patterns of one to three lengths that occur and fill a sequence, longest first."""
+def _patterns(have: np.ndarray, length: int) -> np.ndarray:
+    """All patterns of one to three lengths that occur and fill a sequence, longest first, with 0 for no piece."""
     there = np.flatnonzero(have)
-    out = {(length,)} if have[length] else set()
-    for a in there[there < length].tolist()[::-1]:
+    there = there[there > 0]
+    out = [np.array([[length, 0, 0]], np.int64)] if have[length] else []
+    for a in there[(there < length) & (3 * there >= length)].tolist()[::-1]:
         rest = length - a
-        if a >= rest and have[rest]:
-            out.add((a, rest))
-        if 3 * a >= length:
-            fits = there[(there <= min(a, rest)) & (2 * there >= rest) & (there < rest)]
-            fits = fits[have[rest - fits] > 0]
-            for b in fits[np.unique(np.linspace(0, len(fits) - 1, TRIPLES).astype(int))].tolist() if len(fits) else []:
-                out.add((a, b, rest - b))
-    return sorted(out, reverse=True)
+        b = there[(there <= min(a, rest)) & (2 * there >= rest)][::-1]
+        b = b[(b == rest) | (have[rest - b] > 0)]
+        out.append(np.stack([np.full(len(b), a), b, rest - b], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
-def _least_squares(patterns: list[tuple[int, ...]], have: np.ndarray) -> np.ndarray:
+def _least_squares(patterns: np.ndarray, have: np.ndarray) -> np.ndarray:
     """How often to use each pattern: x >= 0 of the least squared error to the histogram, by multiplicative steps."""
-    slot, own = np.array([p for q in patterns for p in q]), np.repeat(np.arange(len(patterns)), [len(q) for q in patterns])
-    want = np.bincount(own, weights=have[slot], minlength=len(patterns))
-    x = np.ones(len(patterns)) * max(1.0, have.sum() / max(1, len(slot)))
+    have = np.where(np.arange(len(have)) > 0, have, 0).astype(float)
+    real = patterns > 0
+    want = np.where(real, have[patterns], 0).sum(1)
+    x = np.full(len(patterns), max(1.0, have.sum() / max(1, real.sum())))
     for _ in range(STEPS):
-        made = np.bincount(slot, weights=x[own], minlength=len(have))
-        x *= want / np.maximum(np.bincount(own, weights=made[slot], minlength=len(patterns)), 1e-12)
+        made = np.bincount(patterns.ravel(), weights=(x[:, None] * real).ravel(), minlength=len(have))
+        x *= want / np.maximum(np.where(real, made[patterns], 0).sum(1), 1e-12)
     return x
 
 
@@ -149,14 +149,15 @@ def packing_plan(have: np.ndarray, length: int) -> list[tuple[tuple[int, ...], i
     have = have.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
     patterns = _patterns(have, length)
-    if patterns:
-        x = _least_squares(patterns, have.astype(float))
+    if len(patterns):
+        x = _least_squares(patterns, have)
         for i in np.argsort(-x, kind="stable").tolist():
-            sizes, counts = np.unique(patterns[i], return_counts=True)
-            n = min(int(x[i]), int((have[sizes] // counts).min()))
-            if n:
-                have[sizes] -= n * counts
-                out.append((patterns[i], n))
+            sizes = tuple(p for p in patterns[i].tolist() if p)
+            n = min(int(x[i]), *(int(have[s]) // sizes.count(s) for s in sizes))
+            if n > 0:
+                for s in sizes:
+                    have[s] -= n
+                out.append((sizes, n))
     return out + _best_fit(have, length)
 
 
@@ -186,33 +187,34 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Every row gets a place; no two places overlap, and a sequence has no gap. Equal rows get places of their own.
     Rows are numbered within their length: bucket by bucket, so no task sees all of a length. No rows give no rows.
+    Other columns pass through, whatever their names; those named as one that is added are replaced.
     """
     spark = cut.sparkSession
     buckets = 4 * partitions(spark)
-    names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
-    cut = store(cut.select(*names).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")))
-    counts = store(cut.groupBy("__bucket", "length").agg(F.count("*").alias("n")))
+    added = ("sequence_id", "offset")
+    cut = store(cut.select(as_row(cut, added), "doc_id", "piece", "ids_crc32", "length", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int").alias("bucket")))
+    counts = store(cut.groupBy("bucket", "length").agg(F.count("*").alias("n")))
     have = np.zeros(length + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         have[r["length"]] = r["n"]
     first, base, offsets, bounds = _slots(packing_plan(have, length), length)
-    order = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = store(counts.select("__bucket", "length", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("__before")))
-    inside = Window.partitionBy("__bucket", "length").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = store(counts.select("bucket", "length", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")))
+    inside = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32")
     # Both sides grow with the input: neither is sent to all tasks.
-    rows = cut.join(starts.hint("merge"), ["__bucket", "length"]).withColumn("__number", F.col("__before") + F.row_number().over(inside) - 1)
+    rows = cut.join(starts.hint("merge"), ["bucket", "length"]).withColumn("number", F.col("before") + F.row_number().over(inside) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, number = batch.column("length").to_numpy(), batch.column("__number").to_numpy()
+            size, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()
             at = np.empty(len(size), np.int64)
             for s in np.unique(size).tolist():
                 own = size == s
                 at[own] = bounds[s] + np.searchsorted(first[bounds[s] : bounds[s + 1]], number[own], "right") - 1
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(base[at] + number - first[at]), pa.array(offsets[at])], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(base[at] + number - first[at]), pa.array(offsets[at])], ["row", *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields if f.name in names)
-    return rows.select(*names, "__number").mapInArrow(place, schema + ", sequence_id long, offset long")
+    schema = T.StructType([cut.schema["row"], *(T.StructField(n, T.LongType()) for n in added)])
+    return rows.select("row", "length", "number").mapInArrow(place, schema).select("row.*", *added)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
