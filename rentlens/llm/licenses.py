@@ -152,6 +152,8 @@ UNKNOWN = "unknown"
 #: a template's word pairs, whichever has fewer, that have to be shared; word pairs that a part of a body shares at
 #: least; training texts made of each body.
 SAMPLE, MADE, CONFIRM, LEAST_PAIRS, CUTS = 4000, 200, 0.6, 8, 24
+#: Words of a sampled paragraph, of a longer one as many from anywhere in it.
+STRETCH = 400
 _COMMON = 0.02
 
 
@@ -202,7 +204,7 @@ def train(corpus: list[str], seed: int = 5) -> Model:
     """The classifier; ``corpus``: paragraphs that stand for everything else."""
     rng = np.random.default_rng(seed)
     classes = [*FAMILIES, UNKNOWN]
-    plain = [w for t in corpus for w in t.split()[:30]] or ["word"]
+    plain = [w for t in corpus for w in t.split()] or ["word"]
     texts, y = [], []
 
     def noisy(t: str) -> str:
@@ -306,14 +308,27 @@ def _is_body(text: str) -> bool:
     return any(len(mine & t) >= min(LEAST_PAIRS, len(t)) and len(mine & t) >= CONFIRM * min(len(mine), len(t)) for bodies in _BODY_PAIRS.values() for t in bodies)
 
 
+def _gives_licence(text: str) -> bool:
+    """Whether a template confirms a paragraph that speaks of a licence: it must not train the unknown class."""
+    return _is_body(text) or bool(_NAMED.search(text)) and any(confirm(text, family) >= CONFIRM for family in FAMILIES)
+
+
+_NAMED = re.compile(r"(?i)licen[sc]e|copyright|public domain|creative commons|\bCC[ -0]")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Model:
-    """The model, with some ``sample`` paragraphs of the corpus as unknown, chosen by hash; they end up on the driver."""
+    """The model, with about ``sample`` paragraphs of the corpus as unknown, twice as many at most; the driver holds them.
+
+    A text is chosen by its hash, and a paragraph of it too, so rows that repeat, null texts among them, add nothing.
+    Paragraphs that only sound like a licence stay: they are the hard cases.
+    """
     n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64(F.hash(text_col), F.lit("licence")), F.lit(1_000_000)) < F.lit(int(min(1.0, sample / max(1, n)) * 1_000_000)))
-    pick = F.expr("lines[pmod(hash(text), size(lines))]")
-    rows = some.select(F.split(F.coalesce(text_col, F.lit("")), "\n").alias("lines"), F.col(text_col).alias("text")).select(F.substring(pick, 1, 2000).alias("line"))
-    named = re.compile(r"(?i)licen[sc]e|copyright|public domain")
-    return train(sorted(r[0] for r in rows.collect() if r[0] and not named.search(r[0]) and not _is_body(r[0])))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(F.lit("licence"), F.col(text_col)).alias("hash"))
+    some = texts.where(F.pmod("hash", F.lit(1_000_000)) < F.lit(int(min(1.0, sample / max(1, n)) * 1_000_000)))
+    line = some.select("hash", F.expr("split(element_at(split(text, '\\n'), cast(1 + pmod(xxhash64(hash), size(split(text, '\\n'))) AS int)), '[ \\t]+')").alias("w"))
+    part = F.slice("w", (F.lit(1) + F.pmod(F.xxhash64(F.lit("part"), "hash"), F.greatest(F.lit(1), F.size("w") - STRETCH + 1))).cast("int"), F.lit(STRETCH))
+    rows = line.select("hash", F.array_join(part, " ").alias("line")).groupBy("hash").agg(F.min("line").alias("line")).orderBy("hash").limit(2 * sample)
+    return train(sorted(r["line"] for r in rows.collect() if r["line"].strip() and not _gives_licence(r["line"])))
 
 
 def license_paragraphs(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
