@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import chosen_labels, first_of_copies, fit_logistic, held_out, sampled_shares, sigmoid
-from .scratch import columns
+from .scratch import as_row
 from .textkernel import Block, U, block_of, blocks, mix, packed, rolled, unpacked
 
 #: Labelled rows to learn from at most, clean and toxic; unlabelled ones, about.
@@ -306,15 +306,15 @@ def scored(docs: DataFrame, model: Model, cut: float = 0.5, text_col: str = "tex
     Whole texts are scored; null and empty ones like a text without words. Nothing but the text counts. Other columns
     pass through; a column named as one that is added is replaced.
     """
-    docs = docs.select(*columns(docs, names))
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
+    rows = docs.select(as_row(docs, names))
+    schema = T.StructType([*rows.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.concatenate([model.score(b) for b in blocks(batch.column(text_col), lower=True)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= cut).astype(np.int32))], [*batch.schema.names, *names])
+            s = np.concatenate([model.score(b) for b in blocks(batch.column(0).field(text_col), lower=True)] or [np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["row", *names])
 
-    return docs.mapInArrow(go, schema)
+    return rows.mapInArrow(go, schema).select("row.*", *(F.col(f"`{n}`") for n in names))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> DataFrame:

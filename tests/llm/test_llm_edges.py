@@ -89,6 +89,18 @@ def test_mixing(docs, empty):
     assert mixed.columns == [*(c for c in docs.columns if c != "shard"), "shard"]
 
 
+@pytest.mark.parametrize("long", [False, True])
+def test_fingerprints_match_brute_force(spark, long):
+    rows = [(i * 100 + (i > 5), t) for i, t in enumerate(["a b c\nd e", "d e\na b c", "", None, " \t\n\n x", "é 漢字 \u2028 ß", "a b c d\r\ne f g", "one", "one two three four five six", "a  b"])]
+    rows += [(None, "null id"), (None, "another null id"), (None, None), (None, "third"), (700, "the same id"), (700, "a text of the same id")]
+    rows += [(5000 + i, " ".join(f"w{j % (i + 2)}" for j in range(60_000 if long else 30))) for i in range(3)]
+    got = fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    got, want = sorted(map(tuple, got), key=key), sorted(fingerprints.brute_force(rows), key=key)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert all(abs(x - y) < 1e-12 for g, w in zip(got, want) for x, y in zip(g[5:], w[5:]))
+
+
 def test_packing(docs, empty):
     got = packing.pack(packing.pieces(docs)).collect()
     assert {r.doc_id for r in got} == {r[0] for r in ROWS}
@@ -125,6 +137,77 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licence_lines_beside_edge_rows(spark, docs):
+    """A licence line in a repeated row, without an id, within a very long text, and beside nulls and empty texts."""
+    notice = "Released under the MIT License."
+    long = f"{LONG}\n{notice}\n{LONG}"
+    more = [(20, notice), (20, notice), (None, f"x\n{notice}"), (21, long), (22, None), (23, ""), (24, f"{notice} {'tail ' * 9000}")]
+    rows = spark.createDataFrame(more, "doc_id long, text string").withColumn("family", F.lit("clash"))
+    both = rows.unionByName(docs.select("doc_id", "text", F.lit("clash").alias("family")))
+    model = licenses.fit(both)
+    got = sorted((r.doc_id or -1, r.paragraph, r.family) for r in licenses.license_paragraphs(both, model).collect())
+    assert [g for g in got if g[0] != 24] == [(-1, 1, "MIT"), (20, 0, "MIT"), (20, 0, "MIT"), (21, 1, "MIT")]
+
+
+def test_licence_sample_is_bounded(spark):
+    import rentlens.llm.licenses as m
+
+    seen = []
+    rows = spark.createDataFrame([(i, "one text of many copies" if i % 2 else f"text {i} that speaks of a license to dream") for i in range(4000)], "doc_id long, text string")
+    held, m.train = m.train, lambda corpus, seed=5: seen.extend(corpus)
+    try:
+        m.fit(rows, sample=200)
+    finally:
+        m.train = held
+    assert 20 < len(seen) <= 400 and len(set(seen)) == len(seen) and any("license" in x for x in seen)
+
+
+CLASHES = ["target", "copies", "ranks", "place", "key", "y", "__n", "__key", "row", "spans", "bucket", "number", "n", "Doc.x", "id", "hash", "a`b", "order_key", "edge", "mark", "shards", "blob"]
+
+
+def test_columns_that_clash(spark, labels):
+    """Operators and stages pass on columns whatever their names, as they are."""
+    import corpus_pipeline as cp
+
+    shared = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{shared} own {i}" if i < 4 else f"text {i} of some words", "en", f"s{i % 2}", 10, *(100 * k + i for k in range(len(CLASHES)))) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *CLASHES])
+    held = lambda out: {(r["doc_id"], *(r[c] for c in CLASHES)) for r in out.collect()}
+    full = held(df)
+    assert held(substring_dedup.dedup(df)) == full
+    assert held(toxicity.scored(df, toxicity.fit(df, labels))) == full
+    assert held(subword_quality.scored(df, subword_quality.fit(df, labels))) == full
+    assert mixing.taken(df).count() == fingerprints.edited_pairs(df).count() == 12 and licenses.scan(df, licenses.train(["some words"])).count() == 0
+    cut = packing.pieces(df).join(df.drop("text", "lang", "source", "n_chars"), "doc_id")
+    assert held(packing.pack(cut)) == full
+    docs = df
+    for stage in (cp.one_of_similar, cp.drop_repeats, cp.mix_sources):
+        docs = cp.store(stage(spark, docs, ""))
+        assert docs.columns == df.columns and 0 < docs.count() and held(docs) <= full
+
+
+def test_stages_and_run_on_edge_rows(spark, tmp_path, docs, labels):
+    """Nulls, empty and very long texts, ties, repeated rows and an empty table, through every stage."""
+    import corpus_pipeline as cp
+
+    wide = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, rows in (("edge", wide), ("empty", wide.limit(0))):
+        folder = f"file://{tmp_path}/{name}"
+        rows.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        counts = [now.count()]
+        for _, stage in cp.STAGES:
+            now = cp.store(stage(spark, now, folder))
+            counts.append(now.count())
+        assert cp.run(spark, folder).count() == counts[-1]
+        if name == "empty":
+            assert counts == [0] * 6
+        else:
+            assert now.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+            assert counts[0] >= counts[1] >= counts[2] == counts[3] > 0 and counts[5] >= counts[4] > 0
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, text2 string, place string, key string"
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 0, None, None), (None, 0, "user", "no id"), (5, None, "user", "x" * 100_000), (6, 0, "user", "tie b"), (6, 0, "user", "tie a")]
@@ -134,6 +217,16 @@ def test_chat(spark):
     assert chat_format.render(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_embeddings_of_many_lengths_and_parallel_pivots(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "CHUNK", 8)
+    monkeypatch.setattr(metric_join, "PROBES", 16)
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=2 + i % 5) * (1 if i % 3 else 1000)).tolist()) for i in range(150)]
+    rows += [(200 + i, [float(i + 1), 2.0 * (i + 1), -1.0 * (i + 1)]) for i in range(60)]  # parallel, of one place
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, metric_join.near_duplicates(df).collect())) == sorted(metric_join.brute_force(rows))
+
+
 def test_embeddings(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [0.0, 1.0]), (9, [0.0, 1.0]), (10, [1.0, 0.0, 0.0]), (11, [float("inf"), 1.0])]
     df = spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<double>, class int")

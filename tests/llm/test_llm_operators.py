@@ -146,6 +146,38 @@ def test_posteriors_without_labels_beat_each_voter(spark):
     assert (q[taught] == y[taught]).mean() > max((votes[taught, i] == y[taught]).mean() for i in range(votes.shape[1]))
 
 
+def test_trie_of_long_sets_stays_small():
+    """Sets of 20,000 n-grams each: what a tree holds is in proportion to them, not to their union times their number."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.choice(1 << 40, 20_000, replace=False)).astype("<u8")
+    sets = []
+    for _ in range(120):
+        own = base.copy()
+        own[rng.choice(len(own), 900, replace=False)] = rng.integers(1 << 40, 1 << 41, 900)
+        sets.append(np.unique(own))
+    sizes = np.array([len(s) for s in sets])
+    tracemalloc.start()
+    x, y = ngram_jaccard.trie_links(sets, sizes, sets, sizes, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
+    want = {(i, j) for i, a in enumerate(sets[:12]) for j, b in enumerate(sets) if 100 * (m := len(np.intersect1d(a, b))) >= 80 * (len(a) + len(b) - m)}
+    assert {(i, j) for i, j in zip(x.tolist(), y.tolist(), strict=True) if i < 12} == want
+
+
+def test_jaccard_with_very_common_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "HOT_SHARE", 40)
+    rng = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(i, f"{common} " + " ".join(rng.choices("abcdefgh", k=rng.randint(0, 40)))) for i in range(200)] + [(300 + i, common) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(ngram_jaccard.shingle_classes(df)[1])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.similar_groups(df).collect())
+    assert got == sorted(ngram_jaccard.brute_force(rows))
+
+
 def test_fingerprints_are_homomorphic(spark):
     texts = [(1, "one two\nthree four five"), (2, "three four five\none two"), (3, "one two"), (4, "three four five"), (5, "one two\nthree four six")]
     rows = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
@@ -230,6 +262,23 @@ def test_fast_ids_are_the_tokenizers(text):
     assert packing.token_ids(text, *paths) == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_fast_ids_are_the_tokenizers_on_whole_documents(spark):
+    paths = packing.vocabulary_path("byte_bpe_50k.json"), packing.vocabulary_path("byte_bpe_50k.tiktoken")
+    slow, _ = packing._encoders(*paths)
+    texts = [r.text for r in spark.read.parquet(f"{SF1}/documents.parquet").select("text").collect()]
+    texts += ["a" * 200_000, " " * 200_000, "ab " * 50_000, "x\n" * 30_000, "!" * 200_000, "1" * 5000, "é" * 5000, "a" * 399 + " " * 399]
+    for t, want in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert packing.token_ids(t, *paths) == want.ids
+
+
+def test_plans_are_near_the_bound():
+    rng = np.random.default_rng(0)
+    for lengths in (np.clip(rng.lognormal(6, 1, 20_000).astype(int), 1, 1024), rng.integers(1, 300, 20_000), rng.integers(520, 1025, 3000), np.full(999, 342)):
+        have = np.bincount(lengths, minlength=1025)
+        bound = max(-(-int(lengths.sum()) // 1024), int(have[513:].sum()))
+        assert sum(n for _, n in packing.packing_plan(have, 1024)) <= 1.01 * bound + 167
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 64), st.integers(1, 40)), max_size=20))
 def test_packing_plan_uses_every_piece_once(found):
