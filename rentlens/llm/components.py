@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import store
+from .textkernel import lean
 
 #: Links that one task joins at once; more go through rounds until no more than that are left.
 AT_ONCE = 1 << 18
@@ -60,7 +61,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = _mark(now)
     for _ in range(rounds):
         if mark[0] <= AT_ONCE:
-            now = now.coalesce(1).mapInArrow(_joined, "a long, b long")
+            now = now.coalesce(1).mapInArrow(lean(_joined), "a long, b long")
             break
         new = store(_stars(_stars(now, True), False))
         before, mark, now = mark, _mark(new), new

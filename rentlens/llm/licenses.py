@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import Block, U, block_of, blocks, mix
+from .textkernel import Block, U, block_of, blocks, lean, mix
 from .toxicity import _is_in, _letters
 
 #: Licence families and the names that notices give them.
@@ -405,7 +405,7 @@ def license_paragraphs(docs: DataFrame, model: Model, least: float = 0.5, id_col
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(line, pa.int64()), pa.array(family, pa.string()), pa.array(sure, pa.float64()), pa.array(overlap, pa.float64()), pa.array(texts, pa.string())], ["doc_id", "paragraph", "family", "confidence", "overlap", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(go, f"doc_id {kind}, paragraph long, family string, confidence double, overlap double, text string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(go), f"doc_id {kind}, paragraph long, family string, confidence double, overlap double, text string")
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:

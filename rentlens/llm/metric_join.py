@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from .components import class_components, forest
 from .scratch import partitions, store
+from .textkernel import lean
 
 COSINE = 0.95
 #: Vectors in a chunk of a cell, pivots at most, and probes compared at once.
@@ -51,7 +52,7 @@ def _rows(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, str
             raw = pa.Array.from_buffers(pa.large_binary(), len(column), [pa.array(good).buffers()[1], pa.py_buffer(at * x.itemsize), pa.py_buffer(x)])
             yield pa.RecordBatch.from_arrays([batch.column(0), raw.cast(pa.binary())], ["vec_id", "raw"])
 
-    return vectors.select(F.col(id_col).cast("long"), vec_col).mapInArrow(go, "vec_id long, raw binary"), kind
+    return vectors.select(F.col(id_col).cast("long"), vec_col).mapInArrow(lean(go), "vec_id long, raw binary"), kind
 
 
 def _host(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -80,7 +81,7 @@ def _links(classes: DataFrame, kind: str, cosine: float) -> DataFrame:
                 cells[own] = (_units(batch.column(2).take(pa.array(own)).to_pylist(), kind) @ pivots[n].T).argmax(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], ["class", "copies", "raw", "size", "cell"])
 
-    same = store(classes.select("class", "copies", "raw", "size").mapInArrow(home, "class long, copies long, raw binary, size int, cell int"))
+    same = store(classes.select("class", "copies", "raw", "size").mapInArrow(lean(home), "class long, copies long, raw binary, size int, cell int"))
     members = {n: np.zeros(len(p), np.int64) for n, p in pivots.items()}
     if pivots:
         for r in same.where(F.col("size").isin(*pivots)).groupBy("size", "cell").agg(F.count("*").alias("n")).collect():
@@ -174,9 +175,9 @@ def _links(classes: DataFrame, kind: str, cosine: float) -> DataFrame:
         if built and probes:
             yield from compare(probes, False)
 
-    sent = same.mapInArrow(deal, "part int, probe boolean, class long, copies long, raw binary")
+    sent = same.mapInArrow(lean(deal), "part int, probe boolean, class long, copies long, raw binary")
     sent = sent.repartitionById(dealt, F.pmod("part", F.lit(dealt)).cast("int")).sortWithinPartitions("part", "probe")
-    return sent.mapInArrow(meet, "a long, b long, linked long")
+    return sent.mapInArrow(lean(meet), "a long, b long, linked long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

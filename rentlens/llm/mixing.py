@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import as_row, partitions, store
-from .textkernel import word_counts
+from .textkernel import lean, word_counts
 
 #: Weights of the sources in order of code points, repeating; most times a document is taken.
 WEIGHTS, MOST_TIMES = (5, 2, 1), 3
@@ -94,7 +94,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(word_counts(batch.column(3)))], ["doc_id", "source", "place", "size"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _place(id_col, text_col).alias("place"), F.col(text_col).alias("text"))
-    return store(rows.mapInArrow(count, f"doc_id {docs.schema[id_col].dataType.simpleString()}, source string, place int, size long"))
+    return store(rows.mapInArrow(lean(count), f"doc_id {docs.schema[id_col].dataType.simpleString()}, source string, place int, size long"))
 
 
 def _edge_blocks(docs: np.ndarray) -> int:

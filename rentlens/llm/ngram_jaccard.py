@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import class_components, components, forest
 from .scratch import as_row, partitions, store
-from .textkernel import Block, U, blocks, mix, packed, rolled, row_key, unpacked
+from .textkernel import Block, U, blocks, lean, mix, packed, rolled, row_key, unpacked
 
 N, SHARE = 5, 80  # words; per cent
 #: Sets in a chunk that others are compared with, and about the n-grams of all of them; bytes of text whose sets are
@@ -86,7 +86,7 @@ def shingle_classes(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([*columns, *own], [c.split()[0] for c in kind.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
-    made = store(rows.mapInArrow(go, kind))
+    made = store(rows.mapInArrow(lean(go), kind))
     found = made.where("key is not null").drop("gram", "times")
     total = found.agg(F.sum("n_shingles")).first()[0] or 0
     hot = made.where("key is null").groupBy("gram").agg(F.sum("times").alias("n")).where(F.col("n") >= max(64, total // (2 * HOT_SHARE)))
@@ -171,9 +171,9 @@ def _repeated(docs: DataFrame, n: int, text_col: str, hot: np.ndarray, dealt: in
             out.append(packed(who[at][begins], size[owner[at][begins]], np.diff(np.append(begins, len(at))).astype(np.int32), g[at], often[at]))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(ship, "bucket int, blob binary")
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(ship), "bucket int, blob binary")
     sent = sent.repartitionById(dealt, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(_by_bucket(meet), "bucket int, blob binary")
+    return sent.mapInArrow(lean(_by_bucket(meet)), "bucket int, blob binary")
 
 
 def _by_bucket(f):
@@ -222,7 +222,7 @@ def _candidates(repeated: DataFrame, share: int, dealt: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["class", "size", "grams", "often", "prefix"])
 
     rows = repeated.repartitionById(dealt, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(_by_bucket(gather), "class long, size int, grams binary, often binary, prefix array<long>")
+    return rows.mapInArrow(lean(_by_bucket(gather)), "class long, size int, grams binary, often binary, prefix array<long>")
 
 
 def trie_links(built: list[np.ndarray], built_size: np.ndarray, probes: list[np.ndarray], probe_size: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
@@ -338,7 +338,7 @@ def _links(candidates: DataFrame, share: int, dealt: int) -> DataFrame:
             yield found
 
     rows = rows.repartitionById(dealt, "to").sortWithinPartitions("cell", "i", "j")
-    return rows.drop("to").mapInArrow(meet, "a long, b long, linked long")
+    return rows.drop("to").mapInArrow(lean(meet), "a long, b long, linked long")
 
 
 def similar_groups(docs: DataFrame, n: int = N, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

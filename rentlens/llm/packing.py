@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import as_row, partitions, store
+from .textkernel import lean
 
 LENGTH, END = 1024, 2
 VOCABULARY = "byte_bpe_50k"
@@ -89,7 +90,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = END, json_path: str
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.list_(pa.int32()))] if with_ids else [])], ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
 def _patterns(have: np.ndarray, length: int) -> np.ndarray:
@@ -214,7 +215,7 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(base[at] + number - first[at]), pa.array(offsets[at])], ["row", *added])
 
     schema = T.StructType([cut.schema["row"], *(T.StructField(n, T.LongType()) for n in added)])
-    return rows.select("row", "length", "number").mapInArrow(place, schema).select("row.*", *added)
+    return rows.select("row", "length", "number").mapInArrow(lean(place), schema).select("row.*", *added)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

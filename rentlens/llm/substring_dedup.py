@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import as_row, partitions, store
-from .textkernel import Block, U, block_of, blocks, mix, packed, rolled, row_key, unpacked
+from .textkernel import Block, U, block_of, blocks, lean, mix, packed, rolled, row_key, unpacked
 
 WIDTH, MER, HOT_SHARE = 35, 6, 4096
 #: Bytes of text whose super-k-mers are packed together; words of the corpus for each task that counts, at most.
@@ -57,7 +57,7 @@ def _hot_runs(rows: DataFrame, mer: int) -> tuple[np.ndarray, int]:
                 ["run", "n", "is_total"],
             )
 
-    found = store(rows.select("text").mapInArrow(counted, "run long, n long, is_total boolean").groupBy("run", "is_total").agg(F.sum("n").alias("n")))
+    found = store(rows.select("text").mapInArrow(lean(counted), "run long, n long, is_total boolean").groupBy("run", "is_total").agg(F.sum("n").alias("n")))
     total = found.where("is_total").agg(F.sum("n")).first()[0] or 0
     hot = found.where(~F.col("is_total") & (F.col("n") >= max(64, total // (2 * HOT_SHARE)))).select("run").collect()
     return np.sort(np.array([r[0] for r in hot], np.int64).view(U)), total
@@ -233,10 +233,10 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
         if held and (found := count(held)) is not None:
             yield found
 
-    sent = rows.select("key", "mark", "text").mapInArrow(ship, "bucket int, blob binary, spans boolean")
+    sent = rows.select("key", "mark", "text").mapInArrow(lean(ship), "bucket int, blob binary, spans boolean")
     # A task gets four buckets, whatever their numbers hash to.
     sent = sent.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
-    return sent.mapInArrow(reduce, "key long, mark long, start int, stop int")
+    return sent.mapInArrow(lean(reduce), "key long, mark long, start int, stop int")
 
 
 def _kept(b: Block, keep: np.ndarray) -> pa.Array:
@@ -291,7 +291,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, mer: int = MER, id_col: str = "do
             if kept:
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(removed), pa.int64()), pa.concat_arrays(kept)], ["row", *names])
 
-    return wide.mapInArrow(cut, schema).select("row.*", *names)
+    return wide.mapInArrow(lean(cut), schema).select("row.*", *names)
 
 
 def digest(kept: DataFrame) -> DataFrame:

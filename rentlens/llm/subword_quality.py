@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .labelled import first_of_copies, held_out, labelled_sample, sigmoid
 from .scratch import as_row
-from .textkernel import Block, U, blocks, mix, packed, rolled, unpacked
+from .textkernel import Block, U, blocks, lean, mix, packed, rolled, unpacked
 
 #: Labelled rows to learn from at most, of low and of high quality.
 SAMPLE = (3000, 4500)
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: tupl
                     marks.append(int((own5.min() if len(own5) else b.hashes[lo:hi].sum(dtype=U)).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), pa.array(marks, pa.int64())], ["y", "blob", "mark"])
 
-    rows = labelled_sample(docs, labels, label, sample, id_col, text_col).mapInArrow(shrink, "y int, blob binary, mark long").toArrow()
+    rows = labelled_sample(docs, labels, label, sample, id_col, text_col).mapInArrow(lean(shrink), "y int, blob binary, mark long").toArrow()
     y, marks = np.array(rows.column("y").to_pylist(), np.int64), np.array(rows.column("mark").to_pylist(), np.int64)
     blobs = rows.column("blob")
     keep = first_of_copies(marks, y)
@@ -165,7 +165,7 @@ def scored(docs: DataFrame, model: Model, cut: float = 0.3, text_col: str = "tex
             s = np.concatenate([sent.value.score(b) for b in blocks(batch.column(0).field(text_col))] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["row", *names])
 
-    return rows.mapInArrow(go, schema).select("row.*", *(F.col(f"`{n}`") for n in names))
+    return rows.mapInArrow(lean(go), schema).select("row.*", *(F.col(f"`{n}`") for n in names))
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: tuple[int, int] = SAMPLE) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .labelled import chosen_labels, first_of_copies, fit_logistic, held_out, sampled_shares, sigmoid
 from .scratch import as_row
-from .textkernel import Block, U, block_of, blocks, mix, packed, rolled, unpacked
+from .textkernel import Block, U, block_of, blocks, lean, mix, packed, rolled, unpacked
 
 #: Labelled rows to learn from at most, clean and toxic; unlabelled ones, about.
 SAMPLE, UNLABELLED = (6000, 3000), 3000
@@ -263,7 +263,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, label: str, sample: tuple[int,
     some = ~held_out("id") & (F.pmod(F.xxhash64(F.lit("unlabelled"), "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     rows = rows.join(F.broadcast(ours), "id", "left").where(F.col("y").isNotNull() | some)  # no more labels than the sample's bound
     # Of rows that repeat, a few leave each task and one the next.
-    made = rows.select("id", "y", "text").mapInArrow(shrink, "id string, y int, blob binary, mark long")
+    made = rows.select("id", "y", "text").mapInArrow(lean(shrink), "id string, y int, blob binary, mark long")
     taught = made.where("y is not null").groupBy("id", "y").agg(F.min(F.struct("mark", "blob")).alias("one"))
     others = made.where("y is null").groupBy("mark").agg(F.min("blob").alias("blob")).orderBy("mark").limit(2 * unlabelled)
     got = taught.select("y", "one.mark", "one.blob").union(others.select(F.lit(-1).alias("y"), "mark", "blob")).toArrow()
@@ -314,7 +314,7 @@ def scored(docs: DataFrame, model: Model, cut: float = 0.5, text_col: str = "tex
             s = np.concatenate([model.score(b) for b in blocks(batch.column(0).field(text_col), lower=True)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["row", *names])
 
-    return rows.mapInArrow(go, schema).select("row.*", *(F.col(f"`{n}`") for n in names))
+    return rows.mapInArrow(lean(go), schema).select("row.*", *(F.col(f"`{n}`") for n in names))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> DataFrame:
