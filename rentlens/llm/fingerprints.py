@@ -110,11 +110,10 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are dealt once, by runs of ids, or of hashes; a run's last document looks up the first of the next run.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.withColumn("hash", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    named, nameless = F.expr(f"cast(doc_id AS long) >> {BUCKET_BITS}"), F.lit(_NULL_BUCKET) + F.shiftright("hash", 64 - NULL_BITS)
+    named, nameless = F.expr(f"cast(doc_id AS long) >> {BUCKET_BITS}"), F.lit(_NULL_BUCKET) + F.shiftright(F.xxhash64("text"), 64 - NULL_BITS)
     listed = rows.where("doc_id is not null").select(named.alias("bucket")).union(rows.where("doc_id is null").select(nameless.alias("bucket"))).distinct()
     rows = rows.withColumn("bucket", F.coalesce(named, nameless)).repartition("bucket")
-    run = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("hash"), "text")
+    run = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).desc(), "text")
     heads = rows.withColumn("place", F.row_number().over(run)).where("place = 1").select("bucket", F.col("text").alias("head"))
     follows = _following(listed)
     heads = heads.join(follows, "bucket").select(F.col("target").alias("bucket"), "head")
