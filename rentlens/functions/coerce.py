@@ -82,10 +82,10 @@ def record_text(*names: str) -> Column:
     return F.lower(F.to_json(F.struct(*(names or ("*",)))))
 
 
-def text_of_keys(m: Column, words: tuple[str, ...]) -> Column:
-    """Values of the map entries whose key holds one of the words, one a line, in the order of the keys."""
+def text_of_keys(m: Column, words: tuple[str, ...], keyed: bool = False) -> Column:
+    """Values of the map entries whose key holds one of the words, one a line, in the order of the keys; with ``key: ``."""
     kept = F.map_filter(m, lambda k, _: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(k), w)))
-    return F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: e.value), "\n")
+    return F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat_ws(": ", e.key, e.value) if keyed else e.value), "\n")
 
 
 def before_marker(text: Column, marker: str = "=== HOST DETAILS ===") -> Column:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .coerce import before_marker
+from .text import first_hit, nfkc, place_of
+
 #: Hotel brands, and local hotels by name; both can be replaced.
 BRANDS = (
     "wyndham|marriott|hilton|hyatt|sheraton|westin|doubletree|hampton inn|homewood suites|home2 suites|embassy suites|holiday inn|staybridge suites|candlewood suites|residence inn|"
@@ -31,7 +34,9 @@ ITSELF = (
 TINY, ROOM, INN = r"\btiny[\s_-]*(?:home|house)s?\b", r"\bhotel[ _-]*room\b|\broom in (?:a |boutique )?hotel\b", r"\binn\b"
 TYPES = ("rental_type", "property_type", "room_type", "accommodation_type")
 IDENTITY = ("title", "name", "host_name")
-BEFORE, AFTER, EVIDENCE = 65, 30, 450
+BEFORE, AFTER, EVIDENCE, MENTION_BEFORE, MENTION_AFTER = 65, 30, 450, 80, 120
+INN_SAYS = "Inn mentioned in listing; default hotel classification. "
+OVERRIDE_SAYS = "User override: AvantStay Nashville + SoBro. "
 
 
 def _any(fields: dict[str, Column], names, pattern: str) -> Column:
@@ -44,45 +49,66 @@ def explicit_room(fields: dict[str, Column]) -> Column:
     return _any(fields, TYPES, ROOM)
 
 
-def _sentence_hit(text: Column, kind: str, named: str) -> Column:
+def _windowed(text: Column, pattern: str, said: str) -> Column:
+    """What a rule says and a field around the first hit; null without one."""
+    return F.concat(F.lit(said), first_hit(text, pattern, MENTION_BEFORE, MENTION_AFTER))
+
+
+def _sentence(text: Column, kind: str, named: str) -> Column:
     """The first sentence of a field that says the place is a hotel; kind: type, identity or narrative."""
-    pattern = f"(?iuU)(?:{named}|{GENERIC})"
 
     def says(s: Column) -> Column:
         # A name goes before a generic word, wherever it stands in the sentence.
-        at = F.coalesce(F.nullif(F.regexp_instr(s, F.lit(f"(?iuU)(?:{named})")), F.lit(0)), F.regexp_instr(s, F.lit(pattern)))
-        hit = F.coalesce(F.nullif(F.regexp_extract(s, f"(?iuU)(?:{named})", 0), F.lit("")), F.regexp_extract(s, pattern, 0))
-        start = F.greatest(at - BEFORE, F.lit(1))
-        around = F.substring(s, start, at - start + F.char_length(hit) + AFTER)
-        good = at > 0
+        at = F.coalesce(place_of(s, named), place_of(s, GENERIC))
+        size = F.char_length(_hit(s, named))
+        start = F.greatest(at - BEFORE, F.lit(0))
+        around = F.substring(s, start + 1, at - start + size + AFTER)
+        good = at.isNotNull()
         if kind != "type":
             good = good & ~around.rlike(f"(?iuU){ELSEWHERE}")
         return good & s.rlike(f"(?iuU){ITSELF}") if kind == "narrative" else good
 
-    return F.substring(F.trim(F.get(F.filter(F.split(text, r"[\n.!?;]+"), says), F.lit(0))), 1, EVIDENCE)
+    return F.get(F.filter(F.split(text, r"[\n.!?;]+"), says), F.lit(0))
+
+
+def _hit(text: Column, named: str) -> Column:
+    """A hotel's name, else a generic word; '' without either."""
+    name = F.nullif(F.regexp_extract(text, f"(?iuU)(?:{named})", 0), F.lit(""))
+    return F.coalesce(name, F.regexp_extract(text, f"(?iuU)(?:{GENERIC})", 0))
+
+
+def _found(field: str, match: Column, rule: str, evidence: Column) -> Column:
+    """One piece of evidence: field, match, rule and evidence; its evidence is null where there is none."""
+    return F.struct(F.lit(field).alias("field"), F.nullif(match, F.lit("")).alias("match"), F.lit(rule).alias("rule"), evidence.alias("evidence"))
 
 
 def classify(fields: dict[str, Column], reported: Column, not_hotel: Column, brands: str = BRANDS, local: str = LOCAL, override: tuple[str, str] = ("avantstay nashville", "sobro")) -> Column:
-    """struct(likely_hotel, rule, evidence) of a listing; ``fields`` are its texts in the order they are read.
+    """struct(likely_hotel, rule, evidence, hits) of a listing; ``fields`` are its texts in the order they are read.
 
     In turn: a tiny home is none; a tip that it is none holds, unless a type says hotel room; a report holds; ``inn``
     in a field; a host (override) that mentions a place; a hotel's name or word in a sentence that is about the place.
+    hits has all evidence of the last three with its field and match: one of the first two each, one a field of the
+    last. What follows the marker of the host's details counts for the last only; where a place is (location_name) not
+    for that one. Fields are brought to NFKC here.
     """
     named = rf"\b(?:{brands}|{local})\b"
-    own = {k: F.substring_index(v, "=== HOST DETAILS ===", 1) for k, v in fields.items() if k != "host_name"}
-    inn = F.coalesce(*(F.when(v.rlike(f"(?iuU){INN}"), F.trim(F.substring(v, 1, EVIDENCE))) for v in own.values()), F.lit(None).cast("string"))
+    fields = {k: nfkc(v) for k, v in fields.items()}
+    own = {k: before_marker(v) for k, v in fields.items() if k not in ("host_name", "host_details")}
     host = F.lower(F.trim(F.regexp_replace(fields["host_name"], r"\s+", " "))) if "host_name" in fields else F.lit(None).cast("string")
-    place = F.coalesce(*(F.when((host == override[0]) & v.rlike(rf"(?iuU)\b{override[1]}\b"), F.trim(F.substring(v, 1, EVIDENCE))) for v in own.values()), F.lit(None).cast("string"))
-    kinds = {k: "type" if k in TYPES else "identity" if k in IDENTITY else "narrative" for k in fields}
-    said = F.coalesce(*(_sentence_hit(v, kinds[k], named) for k, v in fields.items()))
-    made = lambda hotel, rule, evidence: F.struct(F.lit(hotel).alias("likely_hotel"), F.lit(rule).alias("rule"), evidence.cast("string").alias("evidence"))
+    first = lambda hits: F.slice(F.filter(F.array(*hits), lambda h: h.evidence.isNotNull()), 1, 1)
+    inn = first(_found(k, F.regexp_extract(v, f"(?iuU){INN}", 0), "inn_default", _windowed(v, INN, INN_SAYS)) for k, v in own.items())
+    place = first(_found(k, F.regexp_extract(v, rf"(?iuU)\b{override[1]}\b", 0), "host_override", F.when(host == override[0], _windowed(v, rf"\b{override[1]}\b", OVERRIDE_SAYS))) for k, v in own.items())
+    kinds = {k: "type" if k in TYPES else "identity" if k in IDENTITY else "narrative" for k in fields if k != "location_name"}
+    sentences = {k: _sentence(fields[k], kind, named) for k, kind in kinds.items()}
+    said = F.filter(F.array(*(_found(k, _hit(v, named), "hotel_words", F.substring(F.trim(v), 1, EVIDENCE)) for k, v in sentences.items())), lambda h: h.evidence.isNotNull())
+    hits = F.concat(inn, place, said)
+    none = F.slice(hits, 1, 0)
+    made = lambda hotel, rule, evidence, hits: F.struct(F.lit(hotel).alias("likely_hotel"), rule.alias("rule"), evidence.cast("string").alias("evidence"), hits.alias("hits"))
     no = F.lit(None)
     return (
-        F.when(_any(fields, (*TYPES, "title", "name"), TINY), made(False, "tiny_home", no))
-        .when(F.coalesce(not_hotel, F.lit(False)) & ~explicit_room(fields), made(False, "user_submitted_not_hotel", no))
-        .when(F.coalesce(reported, F.lit(False)), made(True, "hotel_submission", no))
-        .when(inn.isNotNull(), made(True, "inn_default", inn))
-        .when(place.isNotNull(), made(True, "host_override", place))
-        .when(said.isNotNull(), made(True, "hotel_words", said))
-        .otherwise(made(False, "none", no))
+        F.when(_any(fields, (*TYPES, "title", "name"), TINY), made(False, F.lit("tiny_home"), no, none))
+        .when(F.coalesce(not_hotel, F.lit(False)) & ~explicit_room(fields), made(False, F.lit("user_submitted_not_hotel"), no, none))
+        .when(F.coalesce(reported, F.lit(False)), made(True, F.lit("hotel_submission"), no, none))
+        .when(F.size(hits) > 0, made(True, hits[0]["rule"], hits[0]["evidence"], hits))
+        .otherwise(made(False, F.lit("none"), no, none))
     )

@@ -43,12 +43,18 @@ def without_marks(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
+def place_of(text: Column, pattern: str) -> Column:
+    """Code points before a pattern's first hit, as substring() counts them; null without one."""
+    p = f"(?iuU)(?:{pattern})"
+    return F.when(text.rlike(p), F.char_length(F.split(text, p, 2)[0]))
+
+
 def first_hit(text: Column, pattern: str, before: int = WINDOW_BEFORE, after: int = WINDOW_AFTER) -> Column:
     """The first hit of a pattern with some characters around it, trimmed; null without one."""
-    at = F.regexp_instr(text, F.lit(f"(?iuU)(?:{pattern})"))
-    hit = F.regexp_extract(text, f"(?iuU)(?:{pattern})", 0)
-    start = F.greatest(at - before, F.lit(1))
-    return F.when(at > 0, F.trim(F.substring(text, start, at - start + F.char_length(hit) + after)))
+    at = place_of(text, pattern)
+    start = F.greatest(at - before, F.lit(0))
+    hit = F.char_length(F.regexp_extract(text, f"(?iuU)(?:{pattern})", 0))
+    return F.trim(F.substring(text, start + 1, at - start + hit + after))
 
 
 def amenities(text: Column, patterns: dict[str, str] | None = None) -> Column:
@@ -96,7 +102,7 @@ def header(text: Column) -> Column:
 
 def occupancy(text: Column) -> Column:
     """struct(guests, bedrooms) of a ``N guests · M bedrooms`` header; null without one."""
-    p = r"(?iuU)(\d+)\+?\s*guests?\s*[·•|,-]\s*(\d+)\s*bedrooms?"
+    p = r"(?iuU)(?<!\d)(\d+)\+?\s+guests?\s*[·•|]\s*(\d+)\s+bedrooms?\b"
     return F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 1).cast("int").alias("guests"), F.regexp_extract(text, p, 2).cast("int").alias("bedrooms")))
 
 

@@ -16,7 +16,7 @@ from ..operators import candidates, merge, nicknames, screening, spatial
 from ..sources import sinks, tables
 from ..sources.sinks import settled
 
-FIELDS = ("url", "title", "description", "host_name", "host_user_id", "host_profile_url", "rental_type", "property_type", "room_type", "location_name", "permit_number")
+FIELDS = ("url", "title", "name", "description", "host_name", "host_user_id", "host_profile_url", "rental_type", "property_type", "room_type", "accommodation_type", "location_name", "host_details", "permit_number")
 NUMBERS = ("bedrooms", "occupancy", "latitude", "longitude", "privacy_radius_meters")
 PERMIT_COLUMNS = ["ObjectId", "Permit #", "Address", "Parcel", "Permit Owner Name", "Permit Subtype Description", "Permit Status", "Expiration Date", "Date Issued", "Longitude", "Latitude"]
 RADIUS_M, SCOPE_M, CELL_M = 550.0, 550.0, 500.0
@@ -68,13 +68,13 @@ def listings(spark: SparkSession, root: str, at: Inputs) -> tuple[DataFrame, Dat
     before = settled(merge.merge_sources(first, "listing_id", columns))
     merged = settled(merge.merge_sources([header, *first, own, *known], "listing_id", columns))  # a header fills what nothing else has
     changes = merge.repairs(before, merged.join(before.select("listing_id"), "listing_id", "left_semi"), "listing_id", columns)
-    rows = merged.join(scanned.select("listing_id", F.col("permits").alias("found"), "amenities", F.lit(True).alias("text_scanned")), "listing_id", "left")
+    rows = merged.join(scanned.select("listing_id", F.col("permits").alias("found"), "amenities", "hotel_text", F.lit(True).alias("text_scanned")), "listing_id", "left")
     rows = rows.join(known[0].withColumn("reported", F.lit(True)), "listing_id", "left").join(known[1].withColumn("tipped", F.lit(True)), "listing_id", "left")
     said = text.permits(text.nfkc(F.concat_ws("\n", "title", "description", F.concat(F.lit("permit "), "permit_number"))))
     rows = rows.withColumn("evidence", F.concat(F.coalesce("found", F.array().cast("array<struct<number:string,raw:string,method:string,evidence:string>>")), said))
     rows = rows.withColumns({c: F.col(c).cast("double") for c in NUMBERS}).withColumns({"permit_numbers": F.array_distinct(F.col("evidence.number")), "point": coerce.point(F.col("longitude"), F.col("latitude"))})
     rows = settled(rows.drop("found"))
-    fields = {c: F.coalesce(c, F.lit("")) for c in ("title", "rental_type", "property_type", "room_type", "location_name", "description", "host_name")}
+    fields = {c: F.coalesce(c, F.lit("")) for c in ("title", "name", "rental_type", "property_type", "room_type", "accommodation_type", "location_name", "description", "host_name", "host_details", "hotel_text")}
     hotel = hotels.classify(fields, F.col("reported"), F.col("tipped"))
     n = rules.license_count(F.size("permit_numbers"), F.col("permit_numbers"))
     rows = rows.withColumns({"hotel": hotel, "licenses": n, "allowed": rules.capacity(F.col("bedrooms"), n), "over_capacity": rules.overage(F.col("bedrooms"), F.col("occupancy"), n), "host_key": coerce.host_key(F.col("host_user_id"), F.col("host_profile_url"), F.col("host_name")), "party": F.coalesce(F.size("amenities") > 0, F.lit(False))})

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.coerce import number, pin
+from ..functions.coerce import before_marker, number, pin, text_of_keys
+from .sinks import settled
+
+#: A metadata entry is scanned if its key holds one of these.
+SCANNED = ("description", "title", "registration", "license", "permit", "amenit", "rule")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -49,16 +53,20 @@ def listing_folders(spark: SparkSession, *roots: str) -> DataFrame:
 
 
 def scanned_listings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(listing_id, attrs, occupancy, permits, amenities) of listing_folders(), and (listing_id, warning) of bad JSON.
+    """(listing_id, attrs, hotel_text, occupancy, permits, amenities) of listing_folders(), and (listing_id, warning) of bad JSON.
 
     Header attributes, then metadata's, which win. Of the files in order: a permit's first evidence, an amenity's last.
+    Metadata is scanned where a key says text or permits (SCANNED), other files up to the host's details; hotel_text
+    has those whole.
     """
     kind = T.MapType(T.StringType(), T.StringType())
     rows = files.withColumn("meta", F.when(F.col("name") == "metadata.json", F.from_json("text", kind)))
     bad = rows.where((F.col("name") == "metadata.json") & (F.col("meta").isNull() | ~F.ltrim("text").startswith("{"))).select("listing_id", F.lit("metadata is no JSON object").alias("warning"))
     attrs = F.when(F.col("name") == "metadata.json", F.col("meta")).when(F.col("name") == "details.txt", tx.header(F.col("text")))
-    plain = tx.nfkc(F.when(F.col("name") == "metadata.json", F.coalesce(F.col("meta")["description"], F.lit(""))).otherwise(F.col("text")))
-    rows = rows.select("listing_id", "ordinal", attrs.alias("attrs"), F.col("name").alias("file"), plain.alias("plain"))
+    plain = F.when(F.col("name") == "metadata.json", F.coalesce(text_of_keys(F.col("meta"), SCANNED, keyed=True), F.lit(""))).otherwise(before_marker(F.col("text")))
+    told = F.struct("ordinal", F.concat(F.lit("\n"), "text").alias("text"))
+    narrative = files.where("name <> 'metadata.json'").groupBy("listing_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda w: w.text), "").alias("hotel_text"))
+    rows = settled(rows.select("listing_id", "ordinal", attrs.alias("attrs"), plain.alias("plain"))).withColumn("plain", tx.nfkc(F.col("plain")))  # read three times below
     rows = rows.select("listing_id", "ordinal", "attrs", tx.occupancy(F.col("plain")).alias("occupancy"), tx.permits(F.col("plain")).alias("permits"), tx.amenities(F.col("plain")).alias("amenities"))
     prefer = F.when(F.col("attrs").isNotNull(), -F.col("ordinal"))  # metadata over header
     entries = rows.select("listing_id", prefer.alias("p"), F.explode("attrs")).groupBy("listing_id", "key").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("p"))).alias("value"))
@@ -68,7 +76,7 @@ def scanned_listings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = rows.select("listing_id", "ordinal", F.explode("amenities")).groupBy("listing_id", "key").agg(F.max_by("value", "ordinal").alias("value"))
     found = found.groupBy("listing_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("amenities"))
     guests = rows.groupBy("listing_id").agg(F.max_by("occupancy", F.when(F.col("occupancy").isNotNull(), F.col("ordinal"))).alias("occupancy"))
-    return guests.join(folded, "listing_id", "left").join(permits, "listing_id", "left").join(found, "listing_id", "left"), bad
+    return guests.join(narrative, "listing_id", "left").join(folded, "listing_id", "left").join(permits, "listing_id", "left").join(found, "listing_id", "left"), bad
 
 
 RINGS = "array<array<array<double>>>"

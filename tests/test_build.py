@@ -53,6 +53,21 @@ def test_build(spark, root):
     assert {r.parcel: r.status for r in made["parcels"].collect()} == {"00000000001": "current", "00000000002": "expired"}
 
 
+def test_what_is_scanned(spark, tmp_path):
+    """Metadata by its keys, files up to the host's details; the hotel text has all of the files."""
+    from rentlens.sources import tables
+
+    folder = tmp_path / "listing_results" / "7"
+    folder.mkdir(parents=True)
+    meta = {"license_number": "2023000001", "house_rules": "no karaoke", "summary": "license 2023000009, pool", "Title": "Flat"}
+    (folder / "metadata.json").write_text(json.dumps(meta))
+    (folder / "details.txt").write_text("guest_count: 5\n----------------------------------------\nPermit 2023000002. 5 guests · 2 bedrooms\n=== HOST DETAILS ===\nlicense 2023000003, hot tub")
+    rows, bad = tables.scanned_listings(tables.listing_folders(spark, f"file://{tmp_path}/listing_results"))
+    r = rows.first()
+    assert {p.number for p in r.permits} == {"2023000001", "2023000002"} and set(r.amenities) == {"karaoke"}
+    assert tuple(r.occupancy) == (5, 2) and "HOST DETAILS" in r.hotel_text and r.attrs["summary"].endswith("pool") and bad.count() == 0
+
+
 def test_command_line(spark, root, tmp_path):
     cli.main([f"file://{root}", "--output", f"file://{tmp_path}/out", "--as-of", "2024-05-01"], spark)
     assert spark.read.parquet(f"file://{tmp_path}/out/listings").count() == 3

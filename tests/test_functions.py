@@ -204,6 +204,45 @@ def test_hotels(spark, fields, reported, tip, want):
     assert (got.likely_hotel, got.rule) == want
 
 
+def test_windows_count_code_points(spark):
+    lead = "\U0001f3e0" * 30
+    got = one(spark, text.first_hit(F.col("s"), "pool", 5, 6), s=f"{lead}abcde pool fghij klm")
+    assert got == "bcde pool fghij"
+    h = one(spark, hotels.classify({"description": F.col("s")}, F.lit(False), F.lit(False)), s=f"{lead} Welcome to us, a short walk to the Hilton")
+    assert not h.likely_hotel
+
+
+def test_hotel_hits_have_field_match_and_rule(spark):
+    fields = {"title": c("The Old Inn by a Hilton hotel"), "location_name": c("Inn Street, a hotel"), "hotel_text": c("Stay at our hotel. Rooms.\n=== HOST DETAILS === an inn")}
+    h = one(spark, hotels.classify(fields, F.lit(False), F.lit(False)))
+    assert [(x.field, x.match, x.rule) for x in h.hits] == [("title", "Inn", "inn_default"), ("title", "Hilton", "hotel_words"), ("hotel_text", "hotel", "hotel_words")]
+    assert h.hits[0].evidence.startswith("Inn mentioned in listing; default hotel classification. The Old Inn") and h.evidence == h.hits[0].evidence
+    assert not one(spark, hotels.classify({"location_name": c("a hotel, welcome to it"), "host_details": c("inn")}, F.lit(False), F.lit(False))).likely_hotel
+
+
+@pytest.mark.parametrize(("raw", "want"), [("4 guests · 2 bedrooms", (4, 2)), ("4 guests, 2 bedrooms", None), ("14guests · 2 bedrooms", None), ("16+ guests | 5 bedrooms", (16, 5)), ("4 guests · 2 bedroomsx", None)])
+def test_occupancy_header(spark, raw, want):
+    assert one(spark, text.occupancy(c(raw))) == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "unit", "want"),
+    [
+        ("12 Oak Tpke Savannah GA 31401", "", ("12 OAK TPKE", "", "Normalized", "")),
+        ("12 Oak Causeway NW Apt 4 Savannah Georgia 31401", "", ("12 OAK CSWY NW", "4", "Normalized", "")),
+        ("12 Oak St B Unit 4 Savannah GA 31401", "", ("12 OAK ST", "4", "Needs review", address.TWO_UNITS)),
+        ("12 East Oak GA 31401", "", ("12 EAST OAK", "", "Needs review", f"{address.NO_CITY}; {address.NO_SUFFIX}")),
+        ("Oak Village Center", "", ("OAK VILLAGE CTR", "", "Needs review", f"{address.NO_LOCALITY}; {address.NO_HOUSE}")),
+        ("12\u20136A St. John\u2019s Way Suite", "9", ("12\u20136A ST JOHNS WAY", "9", "Needs review", f"{address.NO_LOCALITY}; {address.NO_HOUSE}")),
+        ("12 Oak Way Suite 5", "9", ("12 OAK WAY", "9", "Needs review", f"{address.NO_LOCALITY}; {address.UNITS_DIFFER}")),
+        ("12 E St Savannah GA 31401", "", ("12 E ST", "", "Normalized", "")),
+    ],
+)
+def test_address_notes(raw, unit, want):
+    got = dict(zip(address.FIELDS, address.Normalizer()(raw, unit), strict=True))
+    assert (got["match_key"], got["unit"], got["status"], got["notes"]) == want
+
+
 def test_geometry(spark):
     square = geo.box(0, 0, 100, 100)
     donut = F.concat(square, geo.box(25, 25, 75, 75))
