@@ -40,7 +40,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         state = "waiting"
         if (now := _signature(spark, a.root)) != seen:
             try:
-                build.publish(build.build(spark, a.root, a.as_of), output)
+                build.publish(build.build(spark, a.root, a.as_of, cache=f"{output}/.cache"), output)
                 seen, state = now, "built"
             except Exception as e:
                 if not a.watch:

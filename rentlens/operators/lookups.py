@@ -26,7 +26,8 @@ def bounds_meet(west, south, east, north, x0, y0, x1, y1) -> Column:
 
 def with_neighbor(left: DataFrame, right: DataFrame, metres: float = REACH_M, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat")) -> DataFrame:
     """Rows of ``left`` with a point of ``right`` within ``metres``."""
-    a, b = spatial.with_cells(left, *left_xy, metres), spatial.with_cells(right.select(*right_xy), *right_xy, metres, around=True)
+    cells = spatial.grid(metres, spatial.highest_lat((left, left_xy[1]), (right, right_xy[1])))
+    a, b = spatial.with_cells(left, *left_xy, cells), spatial.with_cells(right.select(*right_xy), *right_xy, cells, around=True)
     near = geo.haversine(F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1])) <= metres
     b = b.withColumnsRenamed({"__cx": "__rx", "__cy": "__ry"})
     return a.join(b, (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry")) & near, "left_semi").drop("__cx", "__cy")
@@ -128,3 +129,13 @@ def sized_groups(df: DataFrame, group: str, order: str) -> DataFrame:
     """``df`` with the size of each row's group and its place in it, from 0."""
     w = Window.partitionBy(group)
     return df.withColumns({"size": F.count("*").over(w), "place": F.row_number().over(w.orderBy(order)) - 1})
+
+
+def by_distance(rows: DataFrame, key: str, distance: str, address: str) -> DataFrame:
+    """(key, addresses) of each key, nearest first, then by address."""
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(distance).alias("d"), F.col(address).alias("a")))), lambda x: x.a).alias("addresses"))
+
+
+def collated(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows in the order that readers expect, whatever case and marks: by the Unicode collation."""
+    return rows.orderBy(*(F.collate(F.col(n), "UNICODE") for n in names))

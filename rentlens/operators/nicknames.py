@@ -89,3 +89,9 @@ def insert_statements(df: DataFrame, table: str) -> DataFrame:
 
 def create_statement(df: DataFrame, table: str) -> str:
     return f"CREATE TABLE {table} ({', '.join(f'{c} VARCHAR' for c in df.columns)});"
+
+
+def sql_views(edges: DataFrame, table: str = "name_relationships", pairs: str = "nicknames") -> None:
+    """Temporary views for ``spark.sql``: the triples, and (canonical_name, nickname) of them, lower case and trimmed."""
+    edges.createOrReplaceTempView(table)
+    NickNamer(edges).edges.select(F.col("name1").alias("canonical_name"), F.col("name2").alias("nickname")).createOrReplaceTempView(pairs)

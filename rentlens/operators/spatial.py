@@ -12,56 +12,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.sinks import settled
 
-METRES_PER_DEGREE = 111_000.0
+#: Mean radius of the earth, as of geo.haversine(); half of its girth is the greatest distance there is.
+EARTH_M = 6_371_008.8
+FARTHEST_M = math.pi * EARTH_M
 
 
-def _around(c: Column, reach: int = 1) -> Column:
-    return F.sequence(c - reach, c + reach)
+def grid(metres: float, most_lat: float) -> tuple[float, int]:
+    """Height of a cell in degrees, and how many cells go around the earth, for a radius at latitudes up to ``most_lat``.
+
+    Cells go around without a seam; where three of them are too narrow, as near a pole, there is one.
+    """
+    reach = min(metres / EARTH_M, math.pi)
+    wide = math.sin(min(reach, math.pi) / 2) / max(math.cos(math.radians(min(most_lat, 90))), 1e-12)
+    if reach >= math.pi / 2 or wide >= 1:
+        return max(math.degrees(reach) * 1.0001, 1e-9), 1
+    around = int(360 / max(math.degrees(2 * math.asin(wide)) * 1.0001, 1e-9))
+    return max(math.degrees(reach) * 1.0001, 1e-9), around if around >= 3 else 1
+
+
+def highest_lat(*sides: tuple[DataFrame, str]) -> float:
+    """The latitude farthest from the equator; 0 without points."""
+    return max([0.0, *(df.agg(F.max(F.abs(c))).first()[0] or 0.0 for df, c in sides)])
 
 
-def with_cells(points: DataFrame, lon: str, lat: str, metres: float, around: bool = False, most_lat: float = 60.0) -> DataFrame:
-    """``points`` with __cx, __cy; around: copied to the nine cells around each. For latitudes up to ``most_lat``."""
-    dlat = metres / METRES_PER_DEGREE
-    dlon = dlat / math.cos(math.radians(most_lat))
-    cx, cy = F.floor(F.col(lon) / dlon), F.floor(F.col(lat) / dlat)
+def with_cells(points: DataFrame, lon: str, lat: str, cells: tuple[float, int], around: bool = False) -> DataFrame:
+    """``points`` with __cx, __cy of a grid(); around: copied to the nine cells around each, across 180 degrees too."""
+    high, n = cells
+    cx, cy = F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / (360.0 / n)), F.floor(F.col(lat) / high)
     if not around:
-        return points.withColumns({"__cx": cx, "__cy": cy})
-    return points.withColumn("__cx", F.explode(_around(cx))).withColumn("__cy", F.explode(_around(cy)))
+        return points.withColumns({"__cx": F.least(cx, F.lit(n - 1)), "__cy": cy})
+    near = F.array_distinct(F.transform(F.sequence(cx - 1, cx + 1), lambda c: F.pmod(c, F.lit(n))))
+    return points.withColumn("__cx", F.explode(near)).withColumn("__cy", F.explode(F.sequence(cy - 1, cy + 1)))
 
 
-def within_radius(left: DataFrame, right: DataFrame, metres: float, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat"), distance: str = "distance_m") -> DataFrame:
-    """Pairs no farther apart than ``metres`` on the sphere; points that are null pair with nothing."""
-    a, b = with_cells(left, *left_xy, metres), with_cells(right, *right_xy, metres, around=True)
+def within_radius(left: DataFrame, right: DataFrame, metres: float, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat"), distance: str = "distance_m", most_lat: float | None = None) -> DataFrame:
+    """Pairs no farther apart than ``metres`` on the sphere; points that are null pair with nothing.
+
+    most_lat: the latitude farthest from the equator, if it is known; else both sides are asked.
+    """
+    cells = grid(metres, highest_lat((left, left_xy[1]), (right, right_xy[1])) if most_lat is None else most_lat)
+    a, b = with_cells(left, *left_xy, cells), with_cells(right, *right_xy, cells, around=True)
     d = geo.haversine(F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1]))
     return a.join(b, ["__cx", "__cy"]).withColumn(distance, d).where(F.col(distance) <= metres).drop("__cx", "__cy")
 
 
 def without_neighbor(left: DataFrame, right: DataFrame, metres: float, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat")) -> DataFrame:
     """Rows of ``left`` with no point of ``right`` within ``metres``."""
-    a, b = with_cells(left, *left_xy, metres), with_cells(right.select(*right_xy), *right_xy, metres, around=True)
+    cells = grid(metres, highest_lat((left, left_xy[1]), (right, right_xy[1])))
+    a, b = with_cells(left, *left_xy, cells), with_cells(right.select(*right_xy), *right_xy, cells, around=True)
     near = geo.haversine(F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1])) <= metres
     b = b.withColumnsRenamed({"__cx": "__rx", "__cy": "__ry"})
     return a.join(b, (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry")) & near, "left_anti").drop("__cx", "__cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, metres: float, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat"), rounds: int = 12) -> DataFrame:
+def _all_found(rounds: list[DataFrame]) -> DataFrame:
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, metres: float, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat")) -> DataFrame:
     """(key, nearest, distance_m) of the nearest point of ``right``, ties to the least right_key.
 
-    The radius doubles for the rows that found nothing; a row that found one is settled, as every point within the
-    radius was seen. Rows with null points, or nothing within 2 ** rounds radii, are left out.
+    The radius doubles for the rows that found nothing, until all have or the earth is seen; a row that found one is
+    settled, as every point within the radius was seen. A round is written out, so none is computed again. Rows with
+    null points are left out, and all rows where ``right`` has no point. Keys have to differ.
     """
-    todo, out = left.where(F.col(left_xy[0]).isNotNull() & F.col(left_xy[1]).isNotNull()), None
-    for _ in range(rounds):
-        pairs = within_radius(todo, right, metres, left_xy, right_xy)
+    left = left.select(key, *left_xy).where(F.col(left_xy[0]).isNotNull() & F.col(left_xy[1]).isNotNull())
+    right = right.select(right_key, *right_xy).where(F.col(right_xy[0]).isNotNull() & F.col(right_xy[1]).isNotNull())
+    most_lat = highest_lat((left, left_xy[1]), (right, right_xy[1]))
+    todo, rounds = left, []
+    while True:
+        pairs = within_radius(todo, right, metres, left_xy, right_xy, most_lat=most_lat)
         best = pairs.groupBy(key).agg(F.min(F.struct("distance_m", F.col(right_key).alias("id"))).alias("b"))
-        best = best.select(key, F.col("b.id").alias("nearest"), F.col("b.distance_m").alias("distance_m"))
-        out = best if out is None else out.unionByName(best)
-        todo = left.join(out.select(key), key, "left_anti").where(F.col(left_xy[0]).isNotNull() & F.col(left_xy[1]).isNotNull())
-        if todo.isEmpty():
-            break
+        rounds.append(settled(best.select(key, F.col("b.id").alias("nearest"), F.col("b.distance_m").alias("distance_m"))))
+        todo = settled(todo.join(rounds[-1].select(key), key, "left_anti"))
+        if metres >= FARTHEST_M or todo.isEmpty() or right.isEmpty():
+            return _all_found(rounds)
         metres *= 2
-    return out
 
 
 def polygons_at(points: DataFrame, polygons: DataFrame, x: str, y: str, rings: str, size: float, reach: float = 0.0) -> DataFrame:
@@ -105,18 +136,30 @@ def polygons_within(points: DataFrame, polygons: DataFrame, x: str, y: str, ring
     return found.withColumn(distance, geo.polygon_distance(F.col(x), F.col(y), F.col(rings))).where(F.col(distance) <= reach)
 
 
-def nearest_polygon(points: DataFrame, polygons: DataFrame, key: str, polygon_key: str, x: str, y: str, rings: str, reach: float, rounds: int = 12) -> DataFrame:
-    """(key, nearest, distance_m) of the nearest polygon; equal points are measured once."""
+def nearest_polygon(points: DataFrame, polygons: DataFrame, key: str, polygon_key: str, x: str, y: str, rings: str, reach: float) -> DataFrame:
+    """(key, nearest, distance_m) of the nearest polygon, ties to the least key; equal points are measured once.
+
+    The reach doubles for the points that found nothing, until all have or it spans everything. A round is written out.
+    Points that are null are left out, and all points where there is no polygon.
+    """
     spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("__x"), F.col(y).alias("__y")).distinct()
-    todo, out = spots, None
-    for _ in range(rounds):
+    box = geo.bbox(F.col(rings))
+    p = polygons.where(F.size(rings) > 0).select(box.alias("b")).agg(F.min("b.x0"), F.min("b.y0"), F.max("b.x1"), F.max("b.y1")).first()
+    q = spots.agg(F.min("__x"), F.min("__y"), F.max("__x"), F.max("__y")).first()
+    if p[0] is None or q[0] is None:
+        widest = 0.0
+    else:
+        widest = math.hypot(max(p[2], q[2]) - min(p[0], q[0]), max(p[3], q[3]) - min(p[1], q[1]))
+    todo, rounds = spots, []
+    while True:
         pairs = polygons_within(todo, polygons, "__x", "__y", rings, reach)
         best = pairs.groupBy("__x", "__y").agg(F.min(F.struct("distance_m", F.col(polygon_key).alias("id"))).alias("b"))
-        out = best if out is None else out.unionByName(best)
-        todo = spots.join(out, ["__x", "__y"], "left_anti")
-        if todo.isEmpty():
+        rounds.append(settled(best))
+        todo = settled(todo.join(rounds[-1].select("__x", "__y"), ["__x", "__y"], "left_anti"))
+        if reach >= widest or todo.isEmpty():
             break
         reach *= 2
+    out = _all_found(rounds)
     return points.join(out.withColumnsRenamed({"__x": x, "__y": y}), [x, y]).select(key, F.col("b.id").alias("nearest"), F.col("b.distance_m").alias("distance_m"))
 
 

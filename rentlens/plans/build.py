@@ -15,6 +15,7 @@ from ..functions import coerce, geo, hotels, names, rules, text
 from ..operators import candidates, merge, nicknames, screening, spatial
 from ..sources import sinks, tables
 from ..sources.sinks import settled
+from ..streaming import watch
 
 FIELDS = ("url", "title", "name", "description", "host_name", "host_user_id", "host_profile_url", "rental_type", "property_type", "room_type", "accommodation_type", "location_name", "host_details", "permit_number")
 NUMBERS = ("bedrooms", "occupancy", "latitude", "longitude", "privacy_radius_meters")
@@ -52,7 +53,12 @@ def _source(df: DataFrame, get) -> DataFrame:
     return df.select("listing_id", *(get(c).cast("string").alias(c) for c in FIELDS), *(coerce.number(get(c)).cast("string").alias(c) for c in NUMBERS)).where("listing_id is not null")
 
 
-def listings(spark: SparkSession, root: str, at: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _signed(spark: SparkSession, *globs: str) -> tuple:
+    """What files there are, in what state: two equal ones hold equal inputs."""
+    return (watch.SCANNER_VERSION, *watch.signature(tables.whole_files(spark, *globs)).first())
+
+
+def listings(spark: SparkSession, root: str, at: Inputs, cache: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Listings of all sources, what folders changed in the tables' values, and warnings."""
     columns = [*FIELDS, *NUMBERS]
     held = lambda df: lambda c: F.col(c) if c in df.columns else F.lit(None)
@@ -60,7 +66,7 @@ def listings(spark: SparkSession, root: str, at: Inputs) -> tuple[DataFrame, Dat
     details = tables.csv_table(spark, f"{root}/{at.details}", ["url", "listing_id"])
     first = [_source(df.withColumn("listing_id", coerce.listing_id(F.col("url"), held(df)("listing_id").cast("string"))), held(df)) for df in (urls, details)]
     scanned, warnings = tables.scanned_listings(tables.listing_folders(spark, f"{root}/{at.folders}"))
-    scanned = settled(scanned)
+    scanned = sinks.memoised(spark, cache, "scanned", _signed(spark, f"{root}/{at.folders}/*/*") if cache else None, lambda: scanned)
     own = _source(scanned, lambda c: F.col("attrs")[c])
     header = scanned.select("listing_id", *(F.lit(None).cast("string").alias(c) for c in FIELDS), F.col("occupancy.bedrooms").cast("string").alias("bedrooms"), F.col("occupancy.guests").cast("string").alias("occupancy"), *(F.lit(None).cast("string").alias(c) for c in NUMBERS[2:]))
     reports = [tables.registry(tables.csv_table(spark, f"{root}/{p}", ["url"]), s) for p, s in ((at.hotels, "manual"), (at.not_hotels, "not_hotel"))]
@@ -89,11 +95,14 @@ def projected(rings: Column) -> Column:
     return F.transform(rings, lambda r: F.transform(r, one))
 
 
-def build(spark: SparkSession, root: str, as_of: str, at: Inputs | None = None) -> dict[str, DataFrame]:
-    """The tables of a build, and its one-row report."""
+def build(spark: SparkSession, root: str, as_of: str, at: Inputs | None = None, cache: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a build, and its one-row report.
+
+    cache: a folder that remembers scans of unchanged folders, and distances of unchanged points to unchanged parcels.
+    """
     at = at or Inputs()
     p = permits(spark, root, as_of, at)
-    rows, changes, warnings = listings(spark, root, at)
+    rows, changes, warnings = listings(spark, root, at, cache)
     matched = merge.matched_permits(rows, p.where("permit_number is not null").select("id", "permit_number", "status"))
     rows = rows.join(matched.withColumnRenamed("permits", "matched_permits"), "listing_id", "left")
     statuses = F.coalesce(F.transform("matched_permits", lambda m: m.status), F.array().cast("array<string>"))
@@ -120,9 +129,12 @@ def build(spark: SparkSession, root: str, as_of: str, at: Inputs | None = None)
         held = spatial.containing(spots, parcel.where("address <> ''"), "listing_id", "x", "y", "xy", ["parcel", "address"], 100.0)
         rows = rows.join(held.select("listing_id", F.col("parcel").alias("own_parcel"), F.col("address").alias("own_address")), "listing_id", "left")
         licensed = settled(parcel.join(best.where("status = 'current'").select("parcel"), "parcel", "left_semi"))
+        key = (*_signed(spark, *paths), tuple(spots.agg(F.count("*"), F.bit_xor(F.xxhash64("listing_id", "x", "y", "host_name"))).first()), tuple(licensed.agg(F.count("*"), F.bit_xor(F.xxhash64("id"))).first())) if cache else None
         near = spatial.nearest_polygon(spots, licensed, "listing_id", "parcel", "x", "y", "xy", RADIUS_M).select("listing_id", F.round("distance_m", 3).alias("nearest_licensed_parcel_m")) if not licensed.isEmpty() else spark.createDataFrame([], "listing_id string, nearest_licensed_parcel_m double")
+        near = sinks.memoised(spark, cache, "nearest", key, lambda near=near: near)
         rows = rows.join(near, "listing_id", "left")
-        close = settled(spatial.polygons_within(spots, parcel, "x", "y", "xy", RADIUS_M).select("listing_id", "id", F.round("distance_m", 3).alias("distance_m"), names.tokens(F.col("host_name")).alias("host_tokens")))
+        made = (spatial.polygons_within(spots, parcel, "x", "y", "xy", RADIUS_M).select("listing_id", "id", F.round("distance_m", 3).alias("distance_m"), names.tokens(F.col("host_name")).alias("host_tokens")))
+        close = sinks.memoised(spark, cache, "close", key, lambda: made)
         edges = nicknames.token_map(tables.names(spark, f"{root}/{at.names}"))
         nick = F.create_map(*(v for k, ns in edges.items() for v in (F.lit(k), F.array(*map(F.lit, ns))))) if edges else F.create_map().cast("map<string,array<string>>")
         owned = p.select("parcel", names.tokens(F.col("owner")).alias("owner_tokens"), F.col("id").alias("permit_id"), F.col("id").alias("ordinal"))

@@ -53,12 +53,12 @@ def property_permit_records(spark, sf_dir):
     return lookups.property_records(properties, permits)
 
 
-@query("""WITH b AS (SELECT l_partkey, min(l_quantity)::DOUBLE * 20 AS d FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1)
+@query("""WITH b AS (SELECT l_partkey - l_partkey % 3 AS l_partkey, min(l_quantity)::DOUBLE * 20 AS d FROM lineitem GROUP BY 1)
 SELECT p_partkey AS id, round(coalesce(d, 6371008.8 * radians(p_size / 10000.0)), 3) AS distance_m, CASE WHEN d IS NULL THEN 'permit point' ELSE 'parcel boundary' END AS distance_basis
 FROM part LEFT JOIN b ON l_partkey = p_partkey WHERE coalesce(d, 6371008.8 * radians(p_size / 10000.0)) <= 550""")
 def permit_boundary_distances(spark, sf_dir):
     permits = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("parcel"), F.lit("").alias("owner"), F.lit(0.0).alias("lon"), (F.col("p_size") / 10000.0).alias("lat"))
-    parcels = table(spark, sf_dir, "lineitem").where("l_partkey % 3 <> 0").select(F.col("l_partkey").alias("parcel"), F.lit("o").alias("owner"), (F.col("l_quantity").cast("double") * 20).alias("distance_m"))
+    parcels = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") - F.col("l_partkey") % 3).alias("parcel"), F.lit("o").alias("owner"), (F.col("l_quantity").cast("double") * 20).alias("distance_m"))
     return lookups.permit_distances(permits, parcels, F.lit(0.0), F.lit(0.0)).select("id", F.round("distance_m", 3).alias("distance_m"), "distance_basis")
 
 

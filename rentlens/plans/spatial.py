@@ -6,59 +6,58 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, names, rules
 from ..operators import candidates, spatial
+from .fixtures import POINTS, points
 from .registry import query, table
 
-_POINTS = "p AS (SELECT vec_id, label, -86.78 + 0.05 * embedding[1]::DOUBLE AS lon, 36.16 + 0.05 * embedding[2]::DOUBLE AS lat FROM embeddings)"
-_LEFT = "a AS (SELECT * FROM p WHERE vec_id % 2 = 0), b AS (SELECT vec_id AS r_id, lon AS r_lon, lat AS r_lat FROM p WHERE vec_id % 2 = 1)"
+#: Each point is a listing, and a property some steps to the east.
+_LEFT = "a AS (SELECT * FROM p), b AS (SELECT vec_id AS r_id, lon + 0.0013 AS r_lon, lat AS r_lat FROM p)"
 _HAVERSINE = "2 * 6371008.8 * asin(sqrt(least(1, sin(radians(r_lat - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(r_lat)) * sin(radians(r_lon - lon) / 2) ** 2)))"
 METRES = 550.0
 
 
-def points(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    at = lambda i, c, k: F.lit(c) + F.lit(0.05) * F.col("embedding")[i].cast("double")  # noqa: E731, ARG005
-    return e.select("vec_id", "label", at(0, -86.78, 0).alias("lon"), at(1, 36.16, 0).alias("lat"))
-
-
 def sides(spark, sf_dir):
     p = points(spark, sf_dir)
-    return p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1").select(F.col("vec_id").alias("r_id"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    return p, p.select(F.col("vec_id").alias("r_id"), (F.col("lon") + 0.0013).alias("r_lon"), F.col("lat").alias("r_lat"))
 
 
-@query(f"WITH {_POINTS}, {_LEFT} SELECT vec_id, r_id, round({_HAVERSINE}, 3) AS distance_m FROM a, b WHERE {_HAVERSINE} <= 550")
+@query(f"WITH {POINTS}, {_LEFT} SELECT vec_id, r_id, round({_HAVERSINE}, 3) AS distance_m FROM a, b WHERE {_HAVERSINE} <= 550")
 def haversine_radius_join(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     return spatial.within_radius(a, b, METRES).select("vec_id", "r_id", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query(f"WITH {_POINTS}, {_LEFT} SELECT vec_id, arg_min(r_id, {_HAVERSINE}) AS nearest, round(min({_HAVERSINE}), 3) AS distance_m FROM a, b GROUP BY vec_id")
+@query(f"WITH {POINTS}, {_LEFT} SELECT vec_id, arg_min(r_id, {_HAVERSINE}) AS nearest, round(min({_HAVERSINE}), 3) AS distance_m FROM a, b GROUP BY vec_id")
 def nearest_k1(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     return spatial.nearest(a, b, "vec_id", "r_id", METRES).select("vec_id", "nearest", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query(f"WITH {_POINTS}, {_LEFT} SELECT vec_id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_HAVERSINE} <= 250)")
+@query(f"WITH {POINTS}, {_LEFT} SELECT vec_id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_HAVERSINE} <= 250)")
 def outside_coverage(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     return spatial.without_neighbor(a, b, 250.0).select("vec_id")
 
 
-_CELLS = f"{_POINTS}, c AS (SELECT vec_id, floor(lon / 0.005)::BIGINT AS cx, floor(lat / 0.005)::BIGINT AS cy FROM p)"
+_CELLS = f"{POINTS}, c AS (SELECT vec_id, floor(lon / 0.005)::BIGINT AS cx, floor(lat / 0.005)::BIGINT AS cy FROM p)"
 
 
 def _cells(spark, sf_dir):
     p = points(spark, sf_dir).select("vec_id", F.floor(F.col("lon") / 0.005).alias("cx"), F.floor(F.col("lat") / 0.005).alias("cy"))
-    return p.where("vec_id % 3 > 0").withColumnRenamed("vec_id", "listing_id"), p.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "parcel")
+    listed = p.select(F.col("vec_id").alias("listing_id"), "cx", "cy")
+    return listed, p.select((F.col("vec_id") - F.col("vec_id") % 3).alias("parcel"), "cx", "cy")  # three points a parcel
 
 
-@query(f"WITH {_CELLS} SELECT cx, cy, count(*) FILTER (vec_id % 3 > 0) AS listings, count(*) FILTER (vec_id % 3 = 0) AS permits, count(*) FILTER (vec_id % 3 > 0) - count(*) FILTER (vec_id % 3 = 0) AS difference FROM c GROUP BY cx, cy")
+_PARCELS = "q AS (SELECT c.cx, c.cy FROM (SELECT min(struct_pack(cx := cx, cy := cy)) AS c FROM c GROUP BY vec_id - vec_id % 3)), o AS (SELECT cx, cy, 1 AS l, 0 AS m FROM c UNION ALL SELECT cx, cy, 0, 1 FROM q)"
+
+
+@query(f"WITH {_CELLS}, {_PARCELS} SELECT cx, cy, sum(l)::BIGINT AS listings, sum(m)::BIGINT AS permits, (sum(l) - sum(m))::BIGINT AS difference FROM o GROUP BY cx, cy")
 def grid_cells_balance(spark, sf_dir):
     return spatial.balance(*_cells(spark, sf_dir))
 
 
-@query(f"""WITH {_CELLS}, d AS (SELECT unnest([-1, 0, 1]) AS dx), e AS (SELECT unnest([-1, 0, 1]) AS dy),
-n AS (SELECT vec_id, cx + dx AS cx, cy + dy AS cy FROM c, d, e WHERE dx * dx + dy * dy <= 1)
-SELECT cx, cy, count(*) FILTER (vec_id % 3 > 0) AS listings, count(*) FILTER (vec_id % 3 = 0) AS permits, count(*) FILTER (vec_id % 3 > 0) - count(*) FILTER (vec_id % 3 = 0) AS difference FROM n GROUP BY cx, cy""")
+@query(f"""WITH {_CELLS}, {_PARCELS}, d AS (SELECT unnest([-1, 0, 1]) AS dx), e AS (SELECT unnest([-1, 0, 1]) AS dy),
+n AS (SELECT l, m, cx + dx AS cx, cy + dy AS cy FROM o, d, e WHERE dx * dx + dy * dy <= 1)
+SELECT cx, cy, sum(l)::BIGINT AS listings, sum(m)::BIGINT AS permits, (sum(l) - sum(m))::BIGINT AS difference FROM n GROUP BY cx, cy""")
 def neighbourhood_balance(spark, sf_dir):
     return spatial.balance(*_cells(spark, sf_dir), size=500.0, reach=500.0)
 
@@ -73,7 +72,7 @@ def _boxes(spark, sf_dir, wider=0.0):
 _BOXES = "x AS (SELECT n_nationkey, -86.80 + n_nationkey * 0.0015 AS x0, 36.14 + (n_nationkey % 7) * 0.004 AS y0, 0.006 + (n_nationkey % 4) * 0.0015 AS w FROM nation)"
 
 
-@query(f"""WITH {_POINTS}, {_BOXES} SELECT vec_id, n_nationkey FROM (SELECT vec_id, n_nationkey, row_number() OVER (PARTITION BY vec_id ORDER BY n_nationkey % 4, n_nationkey) AS r
+@query(f"""WITH {POINTS}, {_BOXES} SELECT vec_id, n_nationkey FROM (SELECT vec_id, n_nationkey, row_number() OVER (PARTITION BY vec_id ORDER BY n_nationkey % 4, n_nationkey) AS r
   FROM p JOIN x ON lon BETWEEN x0 AND x0 + w AND lat BETWEEN y0 AND y0 + w) WHERE r = 1""")
 def point_in_box_smallest_area(spark, sf_dir):
     boxes = _boxes(spark, sf_dir).withColumn("size_class", F.col("n_nationkey") % 4)
@@ -83,14 +82,14 @@ def point_in_box_smallest_area(spark, sf_dir):
     return best.select("vec_id", "b.n_nationkey")
 
 
-@query(f"""WITH {_POINTS}, {_BOXES}, d AS (SELECT vec_id, n_nationkey, sqrt(greatest(x0 - lon, 0, lon - x0 - w) ** 2 + greatest(y0 - lat, 0, lat - y0 - w) ** 2) AS d FROM p, x)
+@query(f"""WITH {POINTS}, {_BOXES}, d AS (SELECT vec_id, n_nationkey, sqrt(greatest(x0 - lon, 0, lon - x0 - w) ** 2 + greatest(y0 - lat, 0, lat - y0 - w) ** 2) AS d FROM p, x)
 SELECT vec_id, round(min(d), 8) AS distance FROM d GROUP BY vec_id""")
 def nearest_polygon_distance(spark, sf_dir):
     found = spatial.nearest_polygon(points(spark, sf_dir), _boxes(spark, sf_dir), "vec_id", "n_nationkey", "lon", "lat", "rings", 0.005)
     return found.select("vec_id", F.round("distance_m", 8).alias("distance"))
 
 
-@query(f"""WITH {_POINTS}, {_BOXES} SELECT vec_id, n_nationkey, round(sqrt(greatest(x0 - lon, 0, lon - x0 - w) ** 2 + greatest(y0 - lat, 0, lat - y0 - w) ** 2), 8) AS distance FROM p, x
+@query(f"""WITH {POINTS}, {_BOXES} SELECT vec_id, n_nationkey, round(sqrt(greatest(x0 - lon, 0, lon - x0 - w) ** 2 + greatest(y0 - lat, 0, lat - y0 - w) ** 2), 8) AS distance FROM p, x
 WHERE sqrt(greatest(x0 - lon, 0, lon - x0 - w) ** 2 + greatest(y0 - lat, 0, lat - y0 - w) ** 2) <= 0.003""")
 def polygons_within_reach(spark, sf_dir):
     found = spatial.polygons_within(points(spark, sf_dir), _boxes(spark, sf_dir), "lon", "lat", "rings", 0.003)
@@ -109,7 +108,7 @@ _EDGE = """CASE WHEN lon BETWEEN -86.79 AND -86.77 AND lat BETWEEN 36.15 AND 36.
   ELSE -sqrt(greatest(-86.79 - lon, 0, lon + 86.77) ** 2 + greatest(36.15 - lat, 0, lat - 36.17) ** 2) END"""
 
 
-@query(f"WITH {_POINTS} SELECT vec_id, round({_EDGE}, 9) AS edge FROM p")
+@query(f"WITH {POINTS} SELECT vec_id, round({_EDGE}, 9) AS edge FROM p")
 def signed_edge_distance(spark, sf_dir):
     rings = geo.box(-86.79, 36.15, -86.77, 36.17)
     return points(spark, sf_dir).select("vec_id", F.round(geo.signed_edge_distance(F.col("lon"), F.col("lat"), rings), 9).alias("edge"))
@@ -140,7 +139,7 @@ _EAST = " + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a i
 _NORTH = " + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))
 
 
-@query(f"""WITH {_POINTS}, t AS (SELECT vec_id, radians(lat) AS phi, radians(lon + 87) AS lam FROM p),
+@query(f"""WITH {POINTS}, t AS (SELECT vec_id, radians(lat) AS phi, radians(lon + 87) AS lam FROM p),
 u AS (SELECT vec_id, sinh(atanh(sin(phi)) - {_E!r} * atanh({_E!r} * sin(phi))) AS t, lam FROM t),
 v AS (SELECT vec_id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM u)
 SELECT vec_id, round(500000 + {0.9996 * _RADIUS!r} * (eta + {_EAST}), 3) AS x, round({0.9996 * _RADIUS!r} * (xi + {_NORTH}), 3) AS y FROM v""")
@@ -149,7 +148,7 @@ def utm_projection(spark, sf_dir):
     return points(spark, sf_dir).select("vec_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query(f"WITH {_POINTS} SELECT floor(lon * 100)::BIGINT || '_' || floor(lat * 100)::BIGINT AS tile, count(*) AS n, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM p GROUP BY 1")
+@query(f"WITH {POINTS} SELECT floor(lon * 100)::BIGINT || '_' || floor(lat * 100)::BIGINT AS tile, count(*) AS n, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM p GROUP BY 1")
 def tile_manifest(spark, sf_dir):
     p = points(spark, sf_dir)
     return p.groupBy(geo.tile_key(F.col("lon"), F.col("lat")).alias("tile")).agg(F.count("*").alias("n"), F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"))
@@ -174,7 +173,7 @@ def _matches(spark, sf_dir):
     return pairs.select(F.col("vec_id").alias("listing_id"), F.concat(F.lit("P"), "r_id").alias("parcel"), kind.alias("type"), "distance_m")
 
 
-_MATCHES = f"""{_POINTS}, {_LEFT}, m AS (SELECT vec_id AS listing_id, 'P' || r_id AS parcel, CASE r_id % 7 WHEN 0 THEN 'license_number' WHEN 1 THEN 'owner_nickname' ELSE 'distance' END AS type,
+_MATCHES = f"""{POINTS}, {_LEFT}, m AS (SELECT vec_id AS listing_id, 'P' || r_id AS parcel, CASE r_id % 7 WHEN 0 THEN 'license_number' WHEN 1 THEN 'owner_nickname' ELSE 'distance' END AS type,
   round({_HAVERSINE}, 3) AS distance_m FROM a, b WHERE {_HAVERSINE} <= 550)"""
 
 
@@ -202,24 +201,6 @@ def best_candidate(spark, sf_dir):
     return candidates.best_of(_matches(spark, sf_dir).withColumn("score", score), "listing_id", columns=("parcel",))
 
 
-@query(f"""WITH {_POINTS}, {_LEFT}, n AS (SELECT p_partkey, p_name FROM part)
-SELECT vec_id AS listing_id, 'P' || r_id AS parcel, CASE WHEN h.p_name = o.p_name THEN CASE WHEN r_id % 3 = 0 THEN 'permit_owner_name' ELSE 'owner_name' END ELSE 'distance' END AS type, round({_HAVERSINE}, 3) AS distance_m
-FROM a JOIN b ON {_HAVERSINE} <= 550 JOIN n h ON h.p_partkey = vec_id % 200 JOIN n o ON o.p_partkey = r_id % 200
-WHERE h.p_name = o.p_name OR NOT list_has_any(string_split(h.p_name, ' '), string_split(o.p_name, ' '))""")
-def typed_candidate_matches(spark, sf_dir):
-    a, b = sides(spark, sf_dir)
-    words = table(spark, sf_dir, "part").select("p_partkey", names.ascii_tokens(F.col("p_name")).alias("w"))
-    near = spatial.within_radius(a, b, METRES).select(F.col("vec_id").alias("listing_id"), F.col("r_id").alias("id"), F.round("distance_m", 3).alias("distance_m"))
-    near = near.join(words.select(F.col("p_partkey").alias("k"), F.col("w").alias("host_tokens")), F.col("listing_id") % 200 == F.col("k")).drop("k")
-    owners = b.join(words.select(F.col("p_partkey").alias("k"), F.col("w").alias("owner_tokens")), F.col("r_id") % 200 == F.col("k"))
-    properties = owners.select(F.col("r_id").alias("id"), F.concat(F.lit("P"), "r_id").alias("parcel"), "owner_tokens")
-    permit = properties.where("id % 3 = 0").select("parcel", "owner_tokens", F.col("id").alias("permit_id"), F.lit(0).alias("ordinal"))
-    found = candidates.typed_matches(near, properties, permit, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>")))
-    # Pairs whose names share a word only are left to the unit tests.
-    both = found.join(near.select("listing_id", "id", "host_tokens").withColumn("parcel", F.concat(F.lit("P"), "id")), ["listing_id", "parcel"]).join(properties.select("parcel", "owner_tokens"), "parcel")
-    return both.where((F.col("host_tokens") == F.col("owner_tokens")) | ~F.arrays_overlap("host_tokens", "owner_tokens")).select("listing_id", "parcel", "type", "distance_m")
-
-
 #: Given names that stand for hosts and owners, and each one's nicknames and full names.
 _GIVEN = sorted({t.lower() for line in names.VARIANTS.split("\n") for t in line.split()})
 
@@ -235,9 +216,21 @@ def nickname_map() -> dict[str, list[str]]:
     return {k: sorted(v) for k, v in out.items()}
 
 
-@query()
+_NICK = ", ".join(f"('{k}', '{v}')" for k, vs in nickname_map().items() for v in vs)
+_HOST = "CASE vec_id % 3 WHEN 0 THEN [x.g] || coalesce(w.w, []) WHEN 1 THEN [x.g] ELSE [x.g] || coalesce(w.w[2:], []) END"
+
+
+@query(f"""WITH {POINTS}, {_LEFT}, k(a, b) AS (VALUES {_NICK}), given AS (SELECT {_GIVEN!r}::VARCHAR[] AS g),
+z AS (SELECT min(p_partkey) AS least, max(p_partkey) - min(p_partkey) + 1 AS n FROM part), w AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part),
+x AS (SELECT vec_id, lon, lat, g[vec_id % len(g) + 1] AS g, vec_id % n + least AS k FROM a, given, z),
+y AS (SELECT r_id, r_lon, r_lat, g[r_id % len(g) + 1] AS g, r_id % n + least AS k FROM b, given, z),
+h AS (SELECT vec_id, lon, lat, {_HOST} AS h FROM x LEFT JOIN w ON k = p_partkey),
+o AS (SELECT r_id, r_lon, r_lat, [y.g] || coalesce(w.w, []) AS o FROM y LEFT JOIN w ON k = p_partkey),
+m AS (SELECT vec_id, r_id, round({_HAVERSINE}, 3) AS distance_m, CASE WHEN h = o OR len(h) > 1 AND list_has_all(o, h) THEN 'owner_name' WHEN len(h) = 1 AND list_contains(o, h[1]) THEN 'owner_first_name'
+  WHEN (len(h) = 1 OR list_has_any(h, o)) AND EXISTS (SELECT 1 FROM k WHERE list_contains(h, k.a) AND list_contains(o, k.b)) THEN 'owner_nickname' END AS kind FROM h JOIN o ON {_HAVERSINE} <= 550)
+SELECT vec_id AS listing_id, 'P' || r_id AS parcel, CASE WHEN kind IS NULL THEN 'distance' WHEN r_id % 3 = 0 THEN 'permit_' || kind ELSE kind END AS type, distance_m FROM m""")
 def typed_candidate_matches_whole(spark, sf_dir):
-    """Every typed match, without SQL. A host goes by given name and part name, the given name, or both without the adjective."""
+    """Every typed match. A host goes by given name and part name, the given name, or both without the adjective."""
     a, b = sides(spark, sf_dir)
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), names.ascii_tokens(F.col("p_name")).alias("w"))
     least, n = parts.agg(F.min("k"), F.max("k") - F.min("k") + 1).first()

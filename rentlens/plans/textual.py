@@ -17,11 +17,14 @@ def _edges(spark):
     return spark.createDataFrame(list(NICKNAMES), "name1 string, relationship string, name2 string")
 
 
-@query(r"""SELECT doc_id, strpos(lower(text), 'license') > 0 AS hit,
+_LEAD = "\U0001f3e0" * 30  #: characters of two UTF-16 units, before every text
+
+
+@query(rf"""SELECT doc_id, strpos(lower(text), 'license') > 0 AS hit,
   CASE WHEN strpos(lower(text), 'license') > 0 THEN trim(substr(text, greatest(strpos(lower(text), 'license') - 55, 1),
-    strpos(lower(text), 'license') - greatest(strpos(lower(text), 'license') - 55, 1) + 7 + 80)) END AS evidence FROM documents""")
+    strpos(lower(text), 'license') - greatest(strpos(lower(text), 'license') - 55, 1) + 7 + 80)) END AS evidence FROM (SELECT doc_id, '{_LEAD}' || text AS text FROM documents)""")
 def keyword_first_hit_window(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.first_hit(F.col("text"), "license").alias("evidence"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.first_hit(F.concat(F.lit(_LEAD), "text"), "license").alias("evidence"))
     return d.select("doc_id", F.col("evidence").isNotNull().alias("hit"), "evidence")
 
 
@@ -31,14 +34,14 @@ def keyword_counts(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Permit 20' || lpad(CAST(doc_id AS VARCHAR), 8, '0') WHEN 1 THEN 'permit 2021-' || doc_id || ' issued'
-    WHEN 2 THEN 'call 20' || lpad(CAST(doc_id AS VARCHAR), 8, '0') ELSE 'license T20' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '7' END AS s FROM documents)
+    WHEN 2 THEN 'call 20' || lpad(CAST(doc_id AS VARCHAR), 8, '0') ELSE 'license T20' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '7' END AS s FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN regexp_extract(s, '(^|[^0-9])(20[0-9]{8})($|[^0-9])', 2) ELSE '2021' || lpad(regexp_extract(s, '2021-([0-9]+)', 1), 6, '0') END AS number,
   CASE doc_id % 4 WHEN 0 THEN 'exact' ELSE 'formatted' END AS method FROM t WHERE doc_id % 4 < 2""")
 def permit_number_extract(spark, sf_dir):
     i = F.col("doc_id")
     eight = F.lpad(i.cast("string"), 8, "0")
     s = F.when(i % 4 == 0, F.concat(F.lit("Permit 20"), eight)).when(i % 4 == 1, F.concat(F.lit("permit 2021-"), i, F.lit(" issued"))).when(i % 4 == 2, F.concat(F.lit("call 20"), eight)).otherwise(F.concat(F.lit("license T20"), eight, F.lit("7")))
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.permits(s)).alias("p"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.permits(F.concat(s, F.lit("\n" + " " * 120), "text"))).alias("p"))
     return found.select("doc_id", "p.number", "p.method")
 
 
@@ -130,10 +133,20 @@ def hotel_rules(spark, sf_dir):
     return p.select("p_partkey", hotels.classify(fields, k == 2, k == 1).alias("h")).select("p_partkey", "h.likely_hotel", "h.rule")
 
 
-@query("""SELECT c_custkey, c_custkey || ' E OAK ' || CASE c_custkey % 3 WHEN 0 THEN 'ST' WHEN 1 THEN 'AVE' ELSE 'XRDS' END AS match_key, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE '' END AS unit, '31401' AS zip FROM customer""")
+_SUFFIX = [(alias, row.split()[0]) for row in address.SUFFIXES.split("\n") for alias in row.split()]
+_SUFFIX_ROWS = ", ".join(f"({i}, '{a}', '{s}')" for i, (a, s) in enumerate(_SUFFIX))
+
+
+@query(f"""WITH s(i, alias, short) AS (VALUES {_SUFFIX_ROWS})
+SELECT c_custkey, c_custkey || ' E OAK ' || short AS match_key, CASE WHEN c_custkey % 4 = 0 THEN 'A' ELSE '' END AS unit, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '31401' END AS zip,
+  CASE WHEN c_custkey % 3 = 0 THEN 'Needs review' WHEN c_custkey % 3 = 1 THEN 'Needs review' ELSE 'Normalized' END AS status,
+  CASE WHEN c_custkey % 3 = 0 THEN 'Unrecognized city/state/ZIP ending' WHEN c_custkey % 3 = 1 THEN 'Missing city in source' ELSE '' END AS notes
+FROM customer JOIN s ON c_custkey % {len(_SUFFIX)} = i""")
 def address_normalise(spark, sf_dir):
+    """Every alias of every suffix, with and without a unit, and the ways a locality can lack."""
     k = F.col("c_custkey")
-    street = F.when(k % 3 == 0, "Street").when(k % 3 == 1, "Avenue").otherwise("Crossroads")
-    raw = F.concat(k, F.lit(" East  Oak "), street, F.when(k % 2 == 0, F.lit(" # A")).otherwise(F.lit("")), F.lit(", Savannah GA 31401"))
+    alias = F.initcap(F.element_at(F.array(*(F.lit(a) for a, _ in _SUFFIX)), (k % len(_SUFFIX) + 1).cast("int")))
+    end = F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.lit(", Georgia 31401")).otherwise(F.lit(", Savannah GA 31401"))
+    raw = F.concat(k, F.lit(" East  Oak "), alias, F.when(k % 4 == 0, F.lit(" # A")).otherwise(F.lit("")), end)
     rows = table(spark, sf_dir, "customer").select("c_custkey", address.normalized(raw).alias("a"))
-    return rows.select("c_custkey", "a.match_key", "a.unit", "a.zip")
+    return rows.select("c_custkey", "a.match_key", "a.unit", "a.zip", "a.status", "a.notes")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +36,40 @@ def write_archive(df: DataFrame, path: str, per_part: int = 250) -> None:
     write_chunks(df, path, per_part)
 
 
+def key_union(df: DataFrame, cells: str, fields: list[str] | None = None) -> DataFrame:
+    """One column for each key that any row's map has, in order, or for each of ``fields``; other keys are ignored.
+
+    The keys of a table's maps are its header: they go to the driver.
+    """
+    names = fields or sorted(r[0] for r in df.select(F.explode(F.map_keys(cells))).distinct().collect())
+    return df.select(*(c for c in df.columns if c != cells), *(F.try_element_at(cells, F.lit(n)).alias(n) for n in names))
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """``df``, which fails where a number is not finite: JSON has none such."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    bad = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    return df.withColumns({c: F.when(bad(F.col(c)), F.raise_error(F.lit(f"{c} is not finite"))).otherwise(F.col(c)) for c in floats})
+
+
 def publish(tables: dict[str, DataFrame], report: DataFrame, path: str) -> None:
-    """Tables first, the report last: it marks a complete publication."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    report.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+    """Tables first, written beside the old ones and swapped in, the report last: it marks a complete publication.
+
+    The old report goes before the first swap, so that whoever finds a report finds its tables.
+    """
+    spark = report.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    made = {**tables, "report": report.coalesce(1)}
+    beside = f"{path}/.next-{uuid.uuid4().hex}"
+    for name, df in made.items():
+        without_nan(df).write.json(f"{beside}/{name}") if name == "report" else df.write.parquet(f"{beside}/{name}")
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(fs_path(f"{path}/report"), True)
+    for name in made:
+        fs.delete(fs_path(f"{path}/{name}"), True)
+        if not fs.rename(fs_path(f"{beside}/{name}"), fs_path(f"{path}/{name}")):
+            raise OSError(f"cannot replace {path}/{name}")
+    fs.delete(fs_path(beside), True)
 
 
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
@@ -68,13 +102,34 @@ def oversized(files: DataFrame, most: int = 100 * 1024 * 1024) -> DataFrame:
     return files.where(F.col("size") > most).select("path", "size")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where one JVM is all there is (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="rentlens-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the folder of ``spark.checkpoint.dir`` and read back: one computation, a short plan."""
-    import tempfile
-    import uuid
-
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rentlens-")
-    path = f"{base}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def memoised(spark: SparkSession, folder: str | None, name: str, key: object, make) -> DataFrame:
+    """What ``make`` returns, written under the hash of ``key``: a later build of the same inputs reads it. No folder, no memory.
+
+    A result that was not written to its end lacks its mark and is made again.
+    """
+    if folder is None:
+        return settled(make())
+    path = f"{folder}/{name}-{hashlib.sha256(repr(key).encode()).hexdigest()[:24]}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -147,3 +147,14 @@ def renamed(df: DataFrame, names: dict[str, str], defaults: tuple[str, ...] = ()
         raise ValueError(f"both old and new columns exist: {clash}")
     df = df.withColumnsRenamed(names)
     return df.withColumns({c: F.lit(None).cast("string") for c in defaults if c not in df.columns})
+
+
+def shard(spark: SparkSession, path: str, bucket: str, value: str) -> DataFrame:
+    """One shard of what sinks.write_sharded() wrote; a missing path is an error, a missing shard has no rows."""
+    return spark.read.json(path).where(F.col(bucket).cast("string") == value).drop(bucket)  # only that folder is read
+
+
+def inspected(df: DataFrame) -> DataFrame:
+    """(rows, columns, first): how many rows there are, the columns' names and types, and one row as JSON."""
+    kinds = F.array(*(F.lit(f"{f.name} {f.dataType.simpleString()}") for f in df.schema.fields))
+    return df.agg(F.count("*").alias("rows"), F.min(F.to_json(F.struct("*"))).alias("first")).select("rows", kinds.alias("columns"), "first")

@@ -202,7 +202,7 @@ def test_every_typed_match_has_a_row(spark):
         g, w = given[i % len(given)], part[i % len(part)]
         host = ([g, *w], [g], [g, *w[1:]])[i % 3]
         for j, y in spots:
-            if i % 2 or not j % 2 or haversine(x, y) > 550:
+            if haversine(x, (y[0] + 0.0013, y[1])) > 550:
                 continue
             owner = [given[j % len(given)], *part[j % len(part)]]
             if host == owner or (len(host) > 1 and set(host) <= set(owner)):
@@ -219,3 +219,52 @@ def test_every_typed_match_has_a_row(spark):
     rows = QUERIES["typed_candidate_matches_whole"](spark, sf).collect()
     assert len(rows) == len(want) and {(r.listing_id, r.parcel, r.type) for r in rows} == want
     assert {"distance", "owner_first_name", "owner_nickname", "permit_owner_nickname"} <= kinds
+
+
+@pytest.mark.parametrize(("lon", "lat"), [(-86.78, 36.16), (10.0, 75.0), (179.9999, 10.0), (-179.9999, -60.0), (5.0, 89.9), (0.0, 90.0), (120.0, -89.9999)])
+def test_radius_at_any_latitude_and_across_the_seam(spark, lon, lat):
+    import math
+    import random
+
+    rng = random.Random(7)
+    spread = lambda: ((lon + rng.uniform(-0.02, 0.02) / max(math.cos(math.radians(lat)), 0.001) + 540) % 360 - 180, max(-90.0, min(90.0, lat + rng.uniform(-0.012, 0.012))))
+    a, b = ([(i, *spread()) for i in range(40)] for _ in range(2))
+    far = lambda p, q: 2 * spatial.EARTH_M * math.asin(min(1, math.sqrt(math.sin(math.radians(q[2] - p[2]) / 2) ** 2 + math.cos(math.radians(p[2])) * math.cos(math.radians(q[2])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2)))
+    left, right = spark.createDataFrame(a, "id int, lon double, lat double"), spark.createDataFrame(b, "r_id int, r_lon double, r_lat double")
+    want = {(p[0], q[0]) for p in a for q in b if far(p, q) <= 550}
+    assert want and {(r.id, r.r_id) for r in spatial.within_radius(left, right, 550).collect()} == want
+    assert {r.id for r in spatial.without_neighbor(left, right, 550).collect()} == {p[0] for p in a} - {x for x, _ in want}
+
+
+def test_nearest_has_no_end_of_its_radius(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 170.0, -80.0), (3, None, 1.0)], "id int, lon double, lat double")
+    right = spark.createDataFrame([(7, 179.0, 1.0), (8, -179.5, 0.5)], "r_id int, r_lon double, r_lat double")
+    got = {r.id: (r.nearest, round(r.distance_m)) for r in spatial.nearest(left, right, "id", "r_id", 1.0).collect()}
+    assert set(got) == {1, 2} and got[1][0] == 7 and got[1][1] > 19_000_000
+    assert spatial.nearest(left, right.limit(0), "id", "r_id", 1.0).count() == 0
+    square = spark.createDataFrame([(5, [[[1e6, 1e6], [1e6 + 1, 1e6], [1e6 + 1, 1e6 + 1], [1e6, 1e6]]])], "pid int, rings array<array<array<double>>>")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0)], "id int, x double, y double")
+    assert [(r.id, r.nearest, round(r.distance_m)) for r in spatial.nearest_polygon(points, square, "id", "pid", "x", "y", "rings", 0.5).collect()] == [(1, 5, 1414214)]
+    assert spatial.nearest_polygon(points, square.limit(0), "id", "pid", "x", "y", "rings", 0.5).count() == 0
+
+
+def test_writers_and_memory(spark, tmp_path):
+    from rentlens.operators import lookups
+    from rentlens.sources import sinks, tables
+
+    df = spark.createDataFrame([("b", "x", 1.0), ("A", "y", 2.0), ("é", "x", 3.0), ("f", "y", 4.0)], "name string, bucket string, n double")
+    assert [r.name for r in lookups.collated(df, "name").collect()] == ["A", "b", "é", "f"]
+    sinks.write_sharded(df, f"file://{tmp_path}/shards", "bucket")
+    one = tables.shard(spark, f"file://{tmp_path}/shards", "bucket", "y")
+    assert {r.name for r in one.collect()} == {"A", "f"} and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="n is not finite"):
+        sinks.without_nan(df.withColumn("n", F.lit(float("nan")))).collect()
+    out, report = f"file://{tmp_path}/out", spark.createDataFrame([(1,)], "rows int")
+    for n in (1, 2):
+        sinks.publish({"t": df.limit(n)}, report, out)
+        assert spark.read.parquet(f"{out}/t").count() == n and spark.read.json(f"{out}/report").count() == 1
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["report", "t"]
+    made = []
+    for key in (1, 1, 2):
+        assert sinks.memoised(spark, f"file://{tmp_path}/cache", "x", key, lambda: made.append(1) or df).count() == 4
+    assert len(made) == 2
