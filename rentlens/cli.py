@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import functools
+import threading
 import time
+from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +23,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--as-of", default=datetime.date.today().isoformat(), help="day that expiry is judged by")
     p.add_argument("--watch", action="store_true", help="build again whenever an input changes; stop with a file ROOT/STOP")
     p.add_argument("--skip-initial-build", action="store_true", help="with --watch: if a report is there already")
+    p.add_argument("--archive", action="store_true", help="also write what is out of scope to OUTPUT/archive, 250 rows a file")
+    p.add_argument("--serve", type=int, metavar="PORT", help="with --watch: show a local OUTPUT at this port")
     p.add_argument("--interval", type=float, default=30.0, help="seconds between looks")
     return p
 
@@ -29,18 +34,31 @@ def _signature(spark: SparkSession, root: str):
     return watch.signature(files).first()
 
 
+def serve(output: str, port: int) -> ThreadingHTTPServer:
+    """A local folder at 127.0.0.1, from another thread; stop with shutdown()."""
+    folder = output.removeprefix("file://")
+    server = ThreadingHTTPServer(("127.0.0.1", port), functools.partial(SimpleHTTPRequestHandler, directory=folder))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(args)
     if a.interval < watch.LEAST_INTERVAL_S:
         parser().error(f"--interval has to be {watch.LEAST_INTERVAL_S} or more")
     spark = spark or SparkSession.builder.appName("rentlens").getOrCreate()
     output = a.output or f"{a.root}/out"
+    if a.serve:
+        serve(output, a.serve)
     seen = _signature(spark, a.root) if a.watch and a.skip_initial_build and tables.exists(spark, f"{output}/report/_SUCCESS") else None
     while True:
         state = "waiting"
         if (now := _signature(spark, a.root)) != seen:
             try:
-                build.publish(build.build(spark, a.root, a.as_of, cache=f"{output}/.cache"), output)
+                made = build.build(spark, a.root, a.as_of, cache=f"{output}/.cache")
+                build.publish(made, output)
+                if a.archive:
+                    sinks.write_archive(spark.read.parquet(f"{output}/out_of_scope"), f"{output}/archive")
                 seen, state = now, "built"
             except Exception as e:
                 if not a.watch:

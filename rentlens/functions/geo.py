@@ -194,3 +194,32 @@ def penetration_yards(spark, wkt: str, other: str, steps: int = 18) -> float:
         middle = (lo + hi) / 2
         lo, hi = (middle, hi) if a.intersects(b.buffer(-middle)) and not b.buffer(-middle).isEmpty() else (lo, middle)
     return round(lo / 0.9144, 1)
+
+
+def dissolved(spark, wkts: list[str]) -> str:
+    """WKT of the union of some polygons, invalid ones mended; for boundaries, on the driver."""
+    jts = spark._jvm.org.locationtech.jts
+    reader, shapes = jts.io.WKTReader(), spark._jvm.java.util.ArrayList()
+    for wkt in wkts:
+        shapes.add(jts.geom.util.GeometryFixer.fix(reader.read(wkt)))
+    made = jts.operation.union.UnaryUnionOp.union(shapes)
+    return made.toText() if made is not None else "GEOMETRYCOLLECTION EMPTY"
+
+
+def interior_point(spark, wkt: str) -> tuple[float, float]:
+    """A point that lies inside a shape, where its middle may not."""
+    p = spark._jvm.org.locationtech.jts.io.WKTReader().read(wkt).getInteriorPoint()
+    return p.getX(), p.getY()
+
+
+def depths_near(spark, areas: dict[str, str], places: dict[str, str], reach: float) -> dict[str, dict[str, float]]:
+    """For each area (WKT, in metres) no farther than ``reach`` from the union of the places: how deep it goes into each
+    place that it meets, in yards. In order of the areas' names; for tables of boundaries, on the driver."""
+    reader = spark._jvm.org.locationtech.jts.io.WKTReader()
+    edge = reader.read(dissolved(spark, list(places.values()))).buffer(float(reach))
+    out = {}
+    for name, wkt in sorted(areas.items()):
+        area = reader.read(wkt)
+        if area.intersects(edge):
+            out[name] = {p: penetration_yards(spark, wkt, w) for p, w in places.items() if area.intersects(reader.read(w))}
+    return out

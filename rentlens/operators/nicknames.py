@@ -28,11 +28,16 @@ def token_map(edges: DataFrame) -> dict[str, list[str]]:
 
 
 class NickNamer:
-    """Lookups over a table of edges; names ignore case and white space around them, and are not followed twice."""
+    """Lookups over a table of edges; names ignore case and white space around them, and are not followed twice.
+
+    A subclass may say otherwise what makes names alike: normal(), of a column.
+    """
+
+    normal = staticmethod(normal)
 
     def __init__(self, edges: DataFrame):
         known = edges.where(F.col("relationship") == RELATION)
-        self.edges = known.select(normal(F.col("name1")).alias("name1"), normal(F.col("name2")).alias("name2")).distinct()
+        self.edges = known.select(self.normal(F.col("name1")).alias("name1"), self.normal(F.col("name2")).alias("name2")).distinct()
 
     @classmethod
     def from_triplets(cls, spark: SparkSession, rows: Iterable[tuple[str, str, str]]) -> NickNamer:
@@ -55,7 +60,7 @@ class NickNamer:
     def _of(self, name: str, table: DataFrame) -> set[str]:
         if not isinstance(name, str):
             raise TypeError("a name has to be a string")
-        row = table.where(F.col("name") == name.strip().lower()).first()
+        row = table.where(F.col("name") == self.normal(F.lit(name))).first()
         return set(row["names"]) if row else set()
 
     def nicknames_of(self, name: str) -> set[str]:

@@ -268,3 +268,33 @@ def test_writers_and_memory(spark, tmp_path):
     for key in (1, 1, 2):
         assert sinks.memoised(spark, f"file://{tmp_path}/cache", "x", key, lambda: made.append(1) or df).count() == 4
     assert len(made) == 2
+
+
+def test_unions_interior_points_and_depths(spark):
+    box = lambda x, y, w, h: f"POLYGON (({x} {y}, {x + w} {y}, {x + w} {y + h}, {x} {y + h}, {x} {y}))"
+    both = geo.dissolved(spark, [box(0, 0, 100, 100), box(100, 0, 100, 100)])
+    assert geo.buffers(spark, both, [0])[0][2] == 20_000 and both.startswith("POLYGON")
+    ring = "POLYGON ((0 0, 100 0, 100 100, 0 100, 0 0), (10 10, 90 10, 90 90, 10 90, 10 10))"
+    x, y = geo.interior_point(spark, ring)
+    assert not (10 < x < 90 and 10 < y < 90) and 0 < x < 100 and 0 < y < 100
+    got = geo.depths_near(spark, {"b": box(150, 0, 200, 100), "a": box(-20, 0, 30, 100), "far": box(5000, 0, 10, 10)}, {"west": box(0, 0, 100, 100), "east": box(100, 0, 100, 100)}, 1609.344)
+    assert list(got) == ["a", "b"] and set(got["a"]) == {"west"} and abs(got["a"]["west"] - 10 / 0.9144) < 0.2 and abs(got["b"]["east"] - 50 / 0.9144) < 0.2
+
+
+def test_names_made_alike_in_another_way(spark):
+    class Plain(nicknames.NickNamer):
+        normal = staticmethod(lambda c: F.upper(F.replace(c, F.lit("-"))))
+
+    names = Plain.from_triplets(spark, [("jo-anne", nicknames.RELATION, "jo")])
+    assert names.nicknames_of("Joanne") == {"JO"} and names.canonicals_of("j-o") == {"JOANNE"}
+
+
+def test_archive_and_preview(spark, tmp_path):
+    import urllib.request
+
+    from rentlens import cli
+
+    (tmp_path / "x.txt").write_text("here")
+    server = cli.serve(f"file://{tmp_path}", 0)
+    assert urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/x.txt").read() == b"here"
+    server.shutdown()
