@@ -29,11 +29,11 @@ from pyspark.sql import types as T
 from .scratch import as_row, partitions, store
 from .textkernel import Block, U, block_of, blocks, lean, mix, packed, rolled, row_key, unpacked
 
-WIDTH, MER, HOT_SHARE = 35, 8, 4096
+WIDTH, MER, HOT_SHARE = 35, 6, 4096
 #: Bytes of text whose super-k-mers are packed together; words of the corpus for each task that counts, at most.
 SENT_BYTES, TASK_WORDS = 8 << 20, 8_000_000
 #: Of the compression of what travels.
-LEVEL = 3
+LEVEL = 6
 _TOP = U(1 << 63)
 
 
