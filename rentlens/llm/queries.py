@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprints, licenses, metric_join, mixing, ngram_jaccard, packing, substring_dedup, subword_quality, toxicity
+from . import chat_format, exact_dedup, fingerprints, licenses, metric_join, mixing, ngram_jaccard, packing, substring_dedup, subword_quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_fingerprints": op2_fingerprints,
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 ORACLES = {
@@ -125,4 +130,11 @@ kept AS (
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(k.n_kept, 0))::BIGINT AS n_removed,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept k USING (doc_id)""",
+    "op12_exact_dedup": r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
+g AS (
+  SELECT doc_id, bare, count(*) OVER (PARTITION BY bare) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY bare ORDER BY n DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM g""",
 }
