@@ -189,7 +189,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
             first = np.repeat(b.first[:-1], p[2])
             inner = np.arange(len(first)) - np.repeat(np.cumsum(p[2]) - p[2], p[2])
             for to, salt in ((one, 1), (two, 2)):
-                to.append(rolled(b.hashes, width, salt)[first + inner])
+                to.append(rolled(b.hashes if salt == 1 else b.second, width, salt)[first + inner])
             string.append(np.repeat(np.arange(len(p[1])) + x, p[2]).astype(np.int32))
             place.append(inner.astype(np.int32))
         h, g, string, place = map(np.concatenate, (one, two, string, place))

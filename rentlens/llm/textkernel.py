@@ -1,7 +1,9 @@
 """Vectorised words and word hashes over Arrow text columns.
 
-Words are the runs ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes. A word's hash is a polynomial over a table of random
-64-bit values, computed for all words of a block at once from one running sum; no word becomes a Python object.
+Words are the runs ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes. A span's hash takes in eight bytes a step, for all spans of
+a block at once, and mixes after each; no word becomes a Python object. A word has two such chains of unlike make, with
+128 bits between them, and its two hashes each depend on both. Spans of over LONG bytes take BLAKE2b instead. Nothing
+here is a polynomial of the bytes, whose hashes of some long, regular words agree whatever the base.
 """
 
 from __future__ import annotations
@@ -41,13 +43,13 @@ def _random_words(name: str, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u8")[:n].copy()
 
 
-_TABLE = _random_words("byte", 256)
-_LOWER = _TABLE.copy()
-_LOWER[65:91] = _TABLE[97:123]
-_BASE = int(_random_words("base", 1)[0]) | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes up to which a span is hashed step by step.
+LONG = 256
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 _ROLL = _random_words("roll", 64) | U(1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -71,12 +73,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def _mix_other(h: np.ndarray) -> np.ndarray:
+    """Another such bijection (the finaliser of MurmurHash3)."""
+    h = h ^ (h >> U(33))
+    h *= U(0xFF51AFD7ED558CCD)
+    h ^= h >> U(33)
+    h *= U(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> U(33))
+
+
 @dataclass
 class Block:
     """Some consecutive texts: their bytes, word bounds and word hashes.
 
     rows: place of the first text in its column; text_at: byte offsets of the texts (one more than texts);
-    start, end: byte bounds of each word; hashes: of each word; first: word offsets of the texts.
+    start, end: byte bounds of each word; hashes, second: two hashes of each word; first: word offsets of the texts;
+    folded: the bytes that are hashed; eights: the eight of them from each place on, as one number.
     """
 
     rows: int
@@ -84,9 +96,9 @@ class Block:
     text_at: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    hashes: np.ndarray
     first: np.ndarray
-    sums: np.ndarray
+    folded: np.ndarray
+    eights: np.ndarray
 
     @property
     def texts(self) -> int:
@@ -95,10 +107,40 @@ class Block:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.texts), np.diff(self.first))
 
+    def _chain(self, start: np.ndarray, end: np.ndarray, other: bool) -> np.ndarray:
+        size = end - start
+        h = _mix_other(size.astype(U) + U(0x632BE59BD9B4E019)) if other else mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+        who, at, left = np.arange(len(size)), start, size
+        if len(size) and size.max() > LONG:
+            for i in np.flatnonzero(size > LONG).tolist():
+                raw = hashlib.blake2b(self.folded[start[i] : end[i]], digest_size=16).digest()
+                h[i] = int.from_bytes(raw[8 * other : 8 * other + 8], "little")
+            who = np.flatnonzero(size <= LONG)
+            at, left = start[who], size[who]
+        while len(who):
+            x = self.eights[at] & _FIRST[np.minimum(left, 8)]
+            h[who] = _mix_other(h[who] * U(0x9FB21C651E98DF25) + x) if other else mix(h[who] ^ x)
+            more = left > 8
+            who, at, left = who[more], at[more] + 8, left[more] - 8
+        return h
+
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte spans, by the table that the words were hashed with."""
-        h = (self.sums[end] - self.sums[start]) * _power(_INVERSE, len(self.sums))[start]
-        return mix(h + U(0x9E3779B97F4A7C15) * (end - start).astype(U))
+        """Hashes of byte spans, for features: one chain."""
+        return self._chain(start, end, False)
+
+    @functools.cached_property
+    def _chains(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._chain(self.start, self.end, False), self._chain(self.start, self.end, True)
+
+    @functools.cached_property
+    def hashes(self) -> np.ndarray:
+        one, two = self._chains
+        return mix(one + mix(two))
+
+    @functools.cached_property
+    def second(self) -> np.ndarray:
+        one, two = self._chains
+        return _mix_other(two ^ _mix_other(one * U(0x9FB21C651E98DF25)))
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +153,19 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def block_of(data: np.ndarray, text_at: np.ndarray, rows: int = 0, lower: bool = False) -> Block:
-    """The block of the texts whose bytes are ``data``; text_at starts at 0 and ends at len(data)."""
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a little-endian number; zeros behind the end."""
+    x = np.zeros(len(data) + 8, U)
+    x[: len(data)] = data
+    for k in (1, 2, 4):
+        x[:-k] |= x[k:] << U(8 * k)
+    return x
+
+
+def block_of(data: np.ndarray, text_at: np.ndarray, rows: int = 0, lower: bool = False, space: np.ndarray = _SPACE) -> Block:
+    """The block of the texts whose bytes are ``data``; text_at starts at 0 and ends at len(data). space: what parts words."""
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     starts, ends = inside.copy(), inside.copy()
     if n:
         starts[1:] &= ~inside[:-1]
@@ -123,21 +174,18 @@ def block_of(data: np.ndarray, text_at: np.ndarray, rows: int = 0, lower: bool =
         starts[edge] = inside[edge]
         ends[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, U)
-    np.cumsum((_LOWER if lower else _TABLE)[data] * _power(_BASE, n + 1)[:n], out=sums[1:])
-    block = Block(rows, data, text_at, start, end, np.zeros(0, U), np.searchsorted(start, text_at), sums)
-    block.hashes = block.span_hash(start, end)
-    return block
+    folded = _LOWER[data] if lower else data
+    return Block(rows, data, text_at, start, end, np.searchsorted(start, text_at), folded, _eights(folded))
 
 
-def blocks(column: pa.Array, lower: bool = False, most: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array, lower: bool = False, most: int = BLOCK_BYTES, space: np.ndarray = _SPACE) -> Iterator[Block]:
     """The column in blocks of about ``most`` bytes; a longer text is a block of its own."""
     data, offsets = _bytes_of(column)
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         j = min(j, n)
-        yield block_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i, lower)
+        yield block_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i, lower, space)
         i = j
 
 

@@ -45,7 +45,8 @@ _MASK = (1 << 20) - 1
 
 def _lexicon(words: tuple[str, ...]) -> np.ndarray:
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
-    return np.sort(block_of(data, np.array([0, len(data)]), lower=True).hashes)
+    b = block_of(data, np.array([0, len(data)]), lower=True)
+    return np.sort(b.span_hash(b.start, b.end))
 
 
 def _letters(b: Block) -> tuple[np.ndarray, np.ndarray]:
