@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, fingerprints, licenses, metric_join, mixing, ngram_jaccard, packing, substring_dedup, subword_quality, toxicity
+from . import chat_format, exact_dedup, fingerprints, licenses, metric_join, mixing, ngram_jaccard, packing, phrases, substring_dedup, subword_quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
 
 
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_phrase_collocation": op11_phrase_collocation,
     "op12_exact_dedup": op12_exact_dedup,
 }
 
@@ -130,6 +135,35 @@ kept AS (
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(k.n_kept, 0))::BIGINT AS n_removed,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept k USING (doc_id)""",
+    "op11_phrase_collocation": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+s AS (SELECT id, lang, unnest(words) AS x, unnest(generate_series(1, len(words))) AS i FROM w),
+g AS (SELECT lang, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM s WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS (
+  SELECT lang, 1 AS k, x AS phrase, x AS first1, NULL AS rest1, NULL AS first2, NULL AS rest2, count(*) AS f FROM g GROUP BY lang, x
+  UNION ALL SELECT lang, 2, x || ' ' || y, x, y, NULL, NULL, count(*) FROM g WHERE y IS NOT NULL GROUP BY lang, x, y
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, x, y || ' ' || z, x || ' ' || y, z, count(*) FROM g WHERE z IS NOT NULL GROUP BY lang, x, y, z),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+u AS (
+  SELECT lang, phrase, max(f) AS over FROM (
+    SELECT lang, first2 AS phrase, f FROM c WHERE k = 3
+    UNION ALL SELECT lang, rest1 AS phrase, f FROM c WHERE k = 3) GROUP BY ALL),
+parts AS (
+  SELECT lang, phrase, f AS a, 1 AS k, first1 AS head, rest1 AS tail FROM c UNION ALL SELECT lang, phrase, f, 2, first2, rest2 FROM c WHERE k = 3),
+cuts AS (
+  SELECT t.lang, t.phrase, t.a, t.k, l.f AS l, r.f AS r, ((1000000::HUGEINT * t.a * t.a) // (l.f::HUGEINT * r.f)) AS score
+  FROM parts t JOIN f l ON l.lang = t.lang AND l.phrase = t.head JOIN f r ON r.lang = t.lang AND r.phrase = t.tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT best.*, n.n FROM best JOIN n ON n.lang = best.lang LEFT JOIN u ON u.lang = best.lang AND u.phrase = best.phrase
+  WHERE u.over IS NULL OR 100 * u.over < 50 * best.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
     "op12_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
