@@ -26,11 +26,7 @@ def bounds_meet(west, south, east, north, x0, y0, x1, y1) -> Column:
 
 def with_neighbor(left: DataFrame, right: DataFrame, metres: float = REACH_M, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat")) -> DataFrame:
     """Rows of ``left`` with a point of ``right`` within ``metres``."""
-    cells = spatial.grid(metres, spatial.highest_lat((left, left_xy[1]), (right, right_xy[1])))
-    a, b = spatial.with_cells(left, *left_xy, cells), spatial.with_cells(right.select(*right_xy), *right_xy, cells, around=True)
-    near = geo.haversine(F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1])) <= metres
-    b = b.withColumnsRenamed({"__cx": "__rx", "__cy": "__ry"})
-    return a.join(b, (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry")) & near, "left_semi").drop("__cx", "__cy")
+    return spatial.with_neighbor(left, right, metres, left_xy, right_xy)
 
 
 def address_options(options: DataFrame, prefix: str) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Spatial joins: grid cells as equi keys, exact predicates behind them.
+"""Spatial joins: cells as equi keys, exact predicates behind them.
 
-A cell is at least as wide as the radius, so partners lie in the nine cells around a point. One side is copied to
-those nine cells; the other has one row. Both are shuffled by cell, and Spark splits crowded cells in a skewed join.
+On the sphere one side's points lie in one cell each, and the other side's are copied to the cells that the radius
+touches; see cells. Both are shuffled by cell. Polygons are copied to the cells of their boxes, on a grid of their size.
 """
 
 from __future__ import annotations
@@ -13,58 +13,38 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.sinks import settled
+from .cells import EARTH_M, FARTHEST_M, KEY, Cells, cells, on_earth  # noqa: F401
 
-#: Mean radius of the earth, as of geo.haversine(); half of its girth is the greatest distance there is.
-EARTH_M = 6_371_008.8
-FARTHEST_M = math.pi * EARTH_M
 
+def within_radius(left: DataFrame, right: DataFrame, metres: float, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat"), distance: str = "distance_m", made: Cells | None = None) -> DataFrame:
+    """Pairs no farther apart than ``metres`` on the sphere; points that are null, or beyond a pole, pair with nothing.
 
-def grid(metres: float, most_lat: float) -> tuple[float, int]:
-    """Height of a cell in degrees, and how many cells go around the earth, for a radius at latitudes up to ``most_lat``.
-
-    Cells go around without a seam; where three of them are too narrow, as near a pole, there is one.
+    made: cells() of ``left``, if there are some; else they are made, which counts its rows.
     """
-    reach = min(metres / EARTH_M, math.pi)
-    wide = math.sin(min(reach, math.pi) / 2) / max(math.cos(math.radians(min(most_lat, 90))), 1e-12)
-    if reach >= math.pi / 2 or wide >= 1:
-        return max(math.degrees(reach) * 1.0001, 1e-9), 1
-    around = int(360 / max(math.degrees(2 * math.asin(wide)) * 1.0001, 1e-9))
-    return max(math.degrees(reach) * 1.0001, 1e-9), around if around >= 3 else 1
-
-
-def highest_lat(*sides: tuple[DataFrame, str]) -> float:
-    """The latitude farthest from the equator; 0 without points."""
-    return max([0.0, *(df.agg(F.max(F.abs(c))).first()[0] or 0.0 for df, c in sides)])
-
-
-def with_cells(points: DataFrame, lon: str, lat: str, cells: tuple[float, int], around: bool = False) -> DataFrame:
-    """``points`` with __cx, __cy of a grid(); around: copied to the nine cells around each, across 180 degrees too."""
-    high, n = cells
-    cx, cy = F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / (360.0 / n)), F.floor(F.col(lat) / high)
-    if not around:
-        return points.withColumns({"__cx": F.least(cx, F.lit(n - 1)), "__cy": cy})
-    near = F.array_distinct(F.transform(F.sequence(cx - 1, cx + 1), lambda c: F.pmod(c, F.lit(n))))
-    return points.withColumn("__cx", F.explode(near)).withColumn("__cy", F.explode(F.sequence(cy - 1, cy + 1)))
-
+    made = made or cells(left, metres, *left_xy)
+    a, b = made.home(left, *left_xy), made.touched(right, *right_xy)
+    d = geo.haversine(F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1]))
+    return a.join(b, list(KEY)).withColumn(distance, d).where(F.col(distance) <= metres).drop(*KEY)
 
-def within_radius(left: DataFrame, right: DataFrame, metres: float, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat"), distance: str = "distance_m", most_lat: float | None = None) -> DataFrame:
-    """Pairs no farther apart than ``metres`` on the sphere; points that are null pair with nothing.
 
-    most_lat: the latitude farthest from the equator, if it is known; else both sides are asked.
-    """
-    cells = grid(metres, highest_lat((left, left_xy[1]), (right, right_xy[1])) if most_lat is None else most_lat)
-    a, b = with_cells(left, *left_xy, cells), with_cells(right, *right_xy, cells, around=True)
-    d = geo.haversine(F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1]))
-    return a.join(b, ["__cx", "__cy"]).withColumn(distance, d).where(F.col(distance) <= metres).drop("__cx", "__cy")
+def _by_neighbor(left: DataFrame, right: DataFrame, metres: float, left_xy, right_xy, how: str) -> DataFrame:
+    made = cells(left, metres, *left_xy)
+    a, b = made.home(left, *left_xy), made.touched(right.select(*right_xy), *right_xy)
+    b = b.withColumnsRenamed({k: f"__r{k}" for k in KEY})
+    near = geo.haversine(F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1])) <= metres
+    for k in KEY:
+        near &= F.col(k) == F.col(f"__r{k}")
+    return a.join(b, near, how).drop(*KEY)
 
 
 def without_neighbor(left: DataFrame, right: DataFrame, metres: float, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat")) -> DataFrame:
     """Rows of ``left`` with no point of ``right`` within ``metres``."""
-    cells = grid(metres, highest_lat((left, left_xy[1]), (right, right_xy[1])))
-    a, b = with_cells(left, *left_xy, cells), with_cells(right.select(*right_xy), *right_xy, cells, around=True)
-    near = geo.haversine(F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1])) <= metres
-    b = b.withColumnsRenamed({"__cx": "__rx", "__cy": "__ry"})
-    return a.join(b, (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry")) & near, "left_anti").drop("__cx", "__cy")
+    return _by_neighbor(left, right, metres, left_xy, right_xy, "left_anti")
+
+
+def with_neighbor(left: DataFrame, right: DataFrame, metres: float, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat")) -> DataFrame:
+    """Rows of ``left`` with a point of ``right`` within ``metres``."""
+    return _by_neighbor(left, right, metres, left_xy, right_xy, "left_semi")
 
 
 def _all_found(rounds: list[DataFrame]) -> DataFrame:
@@ -78,15 +58,16 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, metres:
     """(key, nearest, distance_m) of the nearest point of ``right``, ties to the least right_key.
 
     The radius doubles for the rows that found nothing, until all have or the earth is seen; a row that found one is
-    settled, as every point within the radius was seen. A round is written out, so none is computed again. Rows with
-    null points are left out, and all rows where ``right`` has no point. Keys have to differ.
+    settled, as every point within the radius was seen. Where ``right`` is crowded the first radius is smaller, halved
+    for each split of its most crowded cell, so that rows there meet few points. A round is written out, so none is
+    computed again. Rows with null points are left out, and all rows where ``right`` has no point. Keys have to differ.
     """
-    left = left.select(key, *left_xy).where(F.col(left_xy[0]).isNotNull() & F.col(left_xy[1]).isNotNull())
-    right = right.select(right_key, *right_xy).where(F.col(right_xy[0]).isNotNull() & F.col(right_xy[1]).isNotNull())
-    most_lat = highest_lat((left, left_xy[1]), (right, right_xy[1]))
-    todo, rounds = left, []
+    left = left.select(key, *left_xy).where(on_earth(*left_xy))
+    right = settled(right.select(right_key, *right_xy).where(on_earth(*right_xy)))
+    metres /= 2 ** max([0, *cells(right, metres, *right_xy).deep.values()])
+    todo, rounds = settled(left), []
     while True:
-        pairs = within_radius(todo, right, metres, left_xy, right_xy, most_lat=most_lat)
+        pairs = within_radius(todo, right, metres, left_xy, right_xy)
         best = pairs.groupBy(key).agg(F.min(F.struct("distance_m", F.col(right_key).alias("id"))).alias("b"))
         rounds.append(settled(best.select(key, F.col("b.id").alias("nearest"), F.col("b.distance_m").alias("distance_m"))))
         todo = settled(todo.join(rounds[-1].select(key), key, "left_anti"))
@@ -95,32 +76,61 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, metres:
         metres *= 2
 
 
+def _boxed(polygons: DataFrame, rings: str, size: float, reach: float = 0.0, name: str = "__b") -> DataFrame:
+    """Polygons with their boxes, wider by ``reach``, and the level of the grid (cells of size * 2 ** level) where a box touches four cells at most."""
+    b = geo.bbox(F.col(rings))
+    wide = F.struct(*((b[k] - reach).alias(k) for k in ("x0", "y0")), *((b[k] + reach).alias(k) for k in ("x1", "y1")))
+    p = polygons.withColumn(name, wide).where(F.col(f"{name}.x0").isNotNull())
+    extent = F.greatest(F.col(f"{name}.x1") - F.col(f"{name}.x0"), F.col(f"{name}.y1") - F.col(f"{name}.y0"))
+    return p.withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent / size, F.lit(1e-300))))).cast("int"))
+
+
+def _touched(boxed: DataFrame, size: float, name: str = "__b") -> DataFrame:
+    wide = size * F.pow(2.0, F.col("__level"))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(f"{name}.{lo}") / wide), F.floor(F.col(f"{name}.{hi}") / wide))
+    return boxed.withColumn("__cx", F.explode(span("x0", "x1"))).withColumn("__cy", F.explode(span("y0", "y1")))
+
+
+def _levels(boxed: DataFrame) -> list[int]:
+    """The levels that there are: no more than a number has binary orders."""
+    return sorted(r[0] for r in boxed.select("__level").distinct().collect())
+
+
 def polygons_at(points: DataFrame, polygons: DataFrame, x: str, y: str, rings: str, size: float, reach: float = 0.0) -> DataFrame:
     """Pairs of a point and a polygon whose box, wider by ``reach``, holds it: the candidates for exact predicates.
 
-    A polygon is copied to the cells of ``size`` that its box touches.
+    A polygon goes to the grid of its size, where its box touches four cells at most, and a point to one cell of each
+    grid that there is, from cells of ``size`` up.
     """
-    b = geo.bbox(F.col(rings))
-    p = polygons.withColumn("__b", b)
-    span = lambda lo, hi: F.sequence(F.floor((F.col(f"__b.{lo}") - reach) / size), F.floor((F.col(f"__b.{hi}") + reach) / size))
-    p = p.withColumn("__cx", F.explode(span("x0", "x1"))).withColumn("__cy", F.explode(span("y0", "y1")))
-    q = points.withColumns({"__cx": F.floor(F.col(x) / size), "__cy": F.floor(F.col(y) / size)})
-    held = F.col(x).between(F.col("__b.x0") - reach, F.col("__b.x1") + reach) & F.col(y).between(F.col("__b.y0") - reach, F.col("__b.y1") + reach)
-    return q.join(p, ["__cx", "__cy"]).where(held).drop("__cx", "__cy", "__b")
+    boxed = _boxed(polygons, rings, size, reach)
+    levels = _levels(boxed)
+    q = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    wide = size * F.pow(2.0, F.col("__level"))
+    q = q.withColumns({"__cx": F.floor(F.col(x) / wide), "__cy": F.floor(F.col(y) / wide)})
+    held = F.col(x).between(F.col("__b.x0"), F.col("__b.x1")) & F.col(y).between(F.col("__b.y0"), F.col("__b.y1"))
+    return q.join(_touched(boxed, size), ["__level", "__cx", "__cy"]).where(held).drop("__level", "__cx", "__cy", "__b")
 
 
 def polygon_pairs(left: DataFrame, right: DataFrame, rings: str, right_rings: str, size: float) -> DataFrame:
-    """Pairs of polygons that share a point, once each. Both are copied to the cells of ``size`` that their boxes touch."""
-    def at(df: DataFrame, name: str, p: str) -> DataFrame:
-        b = df.withColumn(p, geo.bbox(F.col(name)))
-        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{p}.{lo}") / size), F.floor(F.col(f"{p}.{hi}") / size))
-        return b.withColumn("__cx", F.explode(span("x0", "x1"))).withColumn("__cy", F.explode(span("y0", "y1")))
+    """Pairs of polygons that share a point, once each.
+
+    A polygon goes to the grid of its size; each side also goes to the coarser grids that the other side uses, so the
+    smaller of two meets the larger on the larger's grid, in the cell of their boxes' common corner.
+    """
+    a, b = _boxed(left, rings, size, name="__a"), _boxed(right, right_rings, size, name="__b")
+    levels = sorted({*_levels(a), *_levels(b)})
+    at = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+
+    def on_grids(boxed: DataFrame, name: str) -> DataFrame:
+        up = boxed.withColumnRenamed("__level", f"{name}_own").withColumn("__level", F.explode(F.filter(at, lambda v: v >= F.col(f"{name}_own"))))
+        return _touched(up, size, name)
 
-    pairs = at(left, rings, "__a").join(at(right, right_rings, "__b"), ["__cx", "__cy"])
+    pairs = on_grids(a, "__a").join(on_grids(b, "__b"), ["__level", "__cx", "__cy"]).where(F.col("__level") == F.greatest("__a_own", "__b_own"))
+    wide = size * F.pow(2.0, F.col("__level"))
     x, y = F.greatest("__a.x0", "__b.x0"), F.greatest("__a.y0", "__b.y0")
-    one = (F.floor(x / size) == F.col("__cx")) & (F.floor(y / size) == F.col("__cy"))  # the cell of the boxes' common corner
+    one = (F.floor(x / wide) == F.col("__cx")) & (F.floor(y / wide) == F.col("__cy"))
     boxes = (x <= F.least("__a.x1", "__b.x1")) & (y <= F.least("__a.y1", "__b.y1"))
-    return pairs.where(one & boxes).where(geo.intersects(F.col(rings), F.col(right_rings))).drop("__a", "__b", "__cx", "__cy")
+    return pairs.where(one & boxes).where(geo.intersects(F.col(rings), F.col(right_rings))).drop("__a", "__b", "__a_own", "__b_own", "__level", "__cx", "__cy")
 
 
 def containing(points: DataFrame, polygons: DataFrame, key: str, x: str, y: str, rings: str, order: list[str], size: float) -> DataFrame:
