@@ -30,7 +30,7 @@ from .textkernel import _SPACE, U, block_of, blocks, lean, mix, packed, unpacked
 
 MOST, LEAST, SUBSUMED, TOP = 3, 10, 50, 2000  # words of a phrase; occurrences; per cent; phrases a language
 #: Bytes of text of a shard; of the corpus for each bucket.
-SHARD_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+SHARD_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[46, 44, 59, 58, 33, 63, 10, 11, 12, 13]] = True
 _PARTS = _SPACE | _BREAK
@@ -108,7 +108,7 @@ def _pieces(texts: pa.Array, langs: list[str], number: Callable[[str], int]) ->
         data = b.folded[np.minimum(source, len(b.data) - 1)]
         data[ends - 1] = 32
         own = np.array([number(x) for x in langs[b.rows : b.rows + b.texts]], np.int64)
-        yield len(b.data), data, size, b.hashes, before, own[doc]
+        yield len(b.data), data, size.astype(np.int32), b.hashes, before.astype(np.int32), own[doc].astype(np.int32)
 
 
 def _name_hashes(names: list[str]) -> np.ndarray:
@@ -120,10 +120,11 @@ def _name_hashes(names: list[str]) -> np.ndarray:
 def _shard(held: list[tuple], most: int, names: list[str]) -> tuple[np.ndarray, ...]:
     """Bytes, lengths, counts, languages and deal hashes of a shard's distinct phrases; a language's words count as the phrase ''."""
     data, size, hashes, before, lang = (np.concatenate([h[i] for h in held]) for i in range(1, 6))
+    held.clear()
     own = mix(hashes ^ mix(lang.astype(U) + U(1)))  # a word of another language is another word
     _, word = np.unique(own, return_inverse=True)
-    end, words, count = Automaton(word + 1, before, most).phrases()
-    ends = np.cumsum(size)
+    end, words, count = Automaton((word + 1).astype(np.int32), before, most).phrases()
+    ends = np.cumsum(size, dtype=np.int64)
     stop = ends[end] - 1  # without the space behind
     start = (ends - size)[end - words + 1]
     length = stop - start
@@ -170,7 +171,7 @@ def counts(docs: DataFrame, most: int = MOST, least: int = LEAST, lang_col: str
                 held.append(piece)
                 if (taken := taken + piece[0]) >= SHARD_BYTES:
                     yield sealed(held, list(numbers))
-                    held, taken, numbers = [], 0, {}
+                    taken, numbers = 0, {}
         if held:
             yield sealed(held, list(numbers))
 
