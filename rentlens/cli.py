@@ -6,13 +6,14 @@ import argparse
 import datetime
 import functools
 import threading
-import time
+import uuid
 from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .plans import build
-from .sources import sinks, tables
+from .sources import sinks, tables, versions
 from .streaming import watch
 
 
@@ -24,14 +25,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--watch", action="store_true", help="build again whenever an input changes; stop with a file ROOT/STOP")
     p.add_argument("--skip-initial-build", action="store_true", help="with --watch: if a report is there already")
     p.add_argument("--archive", action="store_true", help="also write what is out of scope to OUTPUT/archive, 250 rows a file")
+    p.add_argument("--versions", action="store_true", help="publish immutable versions under OUTPUT, the current one named by OUTPUT/CURRENT")
     p.add_argument("--serve", type=int, metavar="PORT", help="with --watch: show a local OUTPUT at this port")
     p.add_argument("--interval", type=float, default=30.0, help="seconds between looks")
     return p
 
 
 def _signature(spark: SparkSession, root: str):
-    files = tables.whole_files(spark, f"{root}/*.csv", f"{root}/*.geojson", f"{root}/geography/*", f"{root}/listing_results/*/*")
-    return watch.signature(files).first()
+    globs = [g for g in (f"{root}/*.csv", f"{root}/*.geojson", f"{root}/geography/*", f"{root}/listing_results/*/*") if tables.exists(spark, g)]
+    if not globs:
+        return None
+    files = spark.read.format("binaryFile").load(globs)  # none is opened
+    return watch.signature(files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))).first()
 
 
 def serve(output: str, port: int) -> ThreadingHTTPServer:
@@ -50,24 +55,38 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     output = a.output or f"{a.root}/out"
     if a.serve:
         serve(output, a.serve)
-    seen = _signature(spark, a.root) if a.watch and a.skip_initial_build and tables.exists(spark, f"{output}/report/_SUCCESS") else None
-    while True:
+    have = versions.current(spark, output) if a.versions else tables.exists(spark, f"{output}/report/_SUCCESS")
+    seen = _signature(spark, a.root) if a.watch and a.skip_initial_build and have else None
+
+    def tell(state: str) -> None:
+        row = (state, datetime.datetime.now(datetime.UTC).isoformat(), a.interval)
+        sinks.replace_text(spark, f"{output}/scanner_status.json", spark.createDataFrame([row], "state string, checked_at string, interval_seconds double").toJSON().first())
+
+    def look(*_) -> None:
+        """Build if an input has changed since the last time; what fails is tried again at the next look."""
+        nonlocal seen
         state = "waiting"
         if (now := _signature(spark, a.root)) != seen:
             try:
                 made = build.build(spark, a.root, a.as_of, cache=f"{output}/.cache")
-                build.publish(made, output)
+                build.publish(made, output, a.versions)
                 if a.archive:
-                    sinks.write_archive(spark.read.parquet(f"{output}/out_of_scope"), f"{output}/archive")
+                    sinks.write_archive(made["out_of_scope"], f"{output}/archive")
                 seen, state = now, "built"
             except Exception as e:
                 if not a.watch:
                     raise
                 state = f"failed, to be tried again: {e}"[:500]
-        sinks.replace_text(spark, f"{output}/scanner_status.json", spark.createDataFrame([(state, datetime.datetime.now(datetime.UTC).isoformat(), a.interval)], "state string, checked_at string, interval_seconds double").toJSON().first())
-        if not a.watch or tables.exists(spark, f"{a.root}/STOP"):
-            return
-        time.sleep(a.interval)
+        tell(state)
+
+    look()
+    if not a.watch:
+        return
+    query = watch.watch(watch.ticks(spark), look, f"{sinks.shared_dir(spark)}/watch-{uuid.uuid4().hex}", a.interval)
+    while query.isActive and not tables.exists(spark, f"{a.root}/STOP"):
+        query.awaitTermination(min(a.interval, 5))
+    query.stop()
+    tell("stopped")
 
 
 if __name__ == "__main__":

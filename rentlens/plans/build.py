@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce, geo, hotels, names, rules, text
-from ..operators import candidates, merge, nicknames, screening, spatial
-from ..sources import sinks, tables
+from ..operators import candidates, delta, merge, nicknames, screening, spatial
+from ..sources import sinks, tables, versions
 from ..sources.sinks import settled
-from ..streaming import watch
+from ..streaming import keyed, watch
 
 FIELDS = ("url", "title", "name", "description", "host_name", "host_user_id", "host_profile_url", "rental_type", "property_type", "room_type", "accommodation_type", "location_name", "host_details", "permit_number")
 NUMBERS = ("bedrooms", "occupancy", "latitude", "longitude", "privacy_radius_meters")
@@ -53,9 +53,20 @@ def _source(df: DataFrame, get) -> DataFrame:
     return df.select("listing_id", *(get(c).cast("string").alias(c) for c in FIELDS), *(coerce.number(get(c)).cast("string").alias(c) for c in NUMBERS)).where("listing_id is not null")
 
 
-def _signed(spark: SparkSession, *globs: str) -> tuple:
-    """What files there are, in what state: two equal ones hold equal inputs."""
-    return (watch.SCANNER_VERSION, *watch.signature(tables.whole_files(spark, *globs)).first())
+def scanned(spark: SparkSession, folders: str, cache: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """tables.scanned_listings() of folders, and warnings. With a cache only folders that changed, or failed, are opened.
+
+    A folder that fails keeps what it had, and is tried again at the next build.
+    """
+    files = tables.listing_files(spark, folders)
+    now = keyed.folder_signatures(files, "listing_id", watch.SCANNER_VERSION)
+
+    def scan(asked: DataFrame) -> DataFrame:
+        rows, bad = tables.scanned_listings(tables.texts_of(files.join(asked, "listing_id", "left_semi"), folders))
+        return rows.join(bad.select("listing_id", F.lit(True).alias("failed")), "listing_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+
+    state = keyed.remembered(now, cache, "scanned", "listing_id", scan)
+    return state, state.where("signature is null").select("listing_id", F.lit("metadata is no JSON object").alias("warning"))
 
 
 def listings(spark: SparkSession, root: str, at: Inputs, cache: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -65,16 +76,15 @@ def listings(spark: SparkSession, root: str, at: Inputs, cache: str | None = Non
     urls = tables.csv_table(spark, f"{root}/{at.urls}", ["url"])
     details = tables.csv_table(spark, f"{root}/{at.details}", ["url", "listing_id"])
     first = [_source(df.withColumn("listing_id", coerce.listing_id(F.col("url"), held(df)("listing_id").cast("string"))), held(df)) for df in (urls, details)]
-    scanned, warnings = tables.scanned_listings(tables.listing_folders(spark, f"{root}/{at.folders}"))
-    scanned = sinks.memoised(spark, cache, "scanned", _signed(spark, f"{root}/{at.folders}/*/*") if cache else None, lambda: scanned)
-    own = _source(scanned, lambda c: F.col("attrs")[c])
-    header = scanned.select("listing_id", *(F.lit(None).cast("string").alias(c) for c in FIELDS), F.col("occupancy.bedrooms").cast("string").alias("bedrooms"), F.col("occupancy.guests").cast("string").alias("occupancy"), *(F.lit(None).cast("string").alias(c) for c in NUMBERS[2:]))
+    found, warnings = scanned(spark, f"{root}/{at.folders}", cache)
+    own = _source(found, lambda c: F.col("attrs")[c])
+    header = found.select("listing_id", *(F.lit(None).cast("string").alias(c) for c in FIELDS), F.col("occupancy.bedrooms").cast("string").alias("bedrooms"), F.col("occupancy.guests").cast("string").alias("occupancy"), *(F.lit(None).cast("string").alias(c) for c in NUMBERS[2:]))
     reports = [tables.registry(tables.csv_table(spark, f"{root}/{p}", ["url"]), s) for p, s in ((at.hotels, "manual"), (at.not_hotels, "not_hotel"))]
     known = [r.select("listing_id").distinct() for r in reports]
     before = settled(merge.merge_sources(first, "listing_id", columns))
     merged = settled(merge.merge_sources([header, *first, own, *known], "listing_id", columns))  # a header fills what nothing else has
     changes = merge.repairs(before, merged.join(before.select("listing_id"), "listing_id", "left_semi"), "listing_id", columns)
-    rows = merged.join(scanned.select("listing_id", F.col("permits").alias("found"), "amenities", "hotel_text", F.lit(True).alias("text_scanned")), "listing_id", "left")
+    rows = merged.join(found.select("listing_id", F.col("permits").alias("found"), "amenities", "hotel_text", F.lit(True).alias("text_scanned")), "listing_id", "left")
     rows = rows.join(known[0].withColumn("reported", F.lit(True)), "listing_id", "left").join(known[1].withColumn("tipped", F.lit(True)), "listing_id", "left")
     said = text.permits(text.nfkc(F.concat_ws("\n", "title", "description", F.concat(F.lit("permit "), "permit_number"))))
     rows = rows.withColumn("evidence", F.concat(F.coalesce("found", F.array().cast("array<struct<number:string,raw:string,method:string,evidence:string>>")), said))
@@ -98,7 +108,8 @@ def projected(rings: Column) -> Column:
 def build(spark: SparkSession, root: str, as_of: str, at: Inputs | None = None, cache: str | None = None) -> dict[str, DataFrame]:
     """The tables of a build, and its one-row report.
 
-    cache: a folder that remembers scans of unchanged folders, and distances of unchanged points to unchanged parcels.
+    cache: a folder that remembers scans of unchanged folders, and the distances of unchanged points to unchanged parcels:
+    a changed folder, point or parcel costs its own share.
     """
     at = at or Inputs()
     p = permits(spark, root, as_of, at)
@@ -129,12 +140,12 @@ def build(spark: SparkSession, root: str, as_of: str, at: Inputs | None = None,
         held = spatial.containing(spots, parcel.where("address <> ''"), "listing_id", "x", "y", "xy", ["parcel", "address"], 100.0)
         rows = rows.join(held.select("listing_id", F.col("parcel").alias("own_parcel"), F.col("address").alias("own_address")), "listing_id", "left")
         licensed = settled(parcel.join(best.where("status = 'current'").select("parcel"), "parcel", "left_semi"))
-        key = (*_signed(spark, *paths), tuple(spots.agg(F.count("*"), F.bit_xor(F.xxhash64("listing_id", "x", "y", "host_name"))).first()), tuple(licensed.agg(F.count("*"), F.bit_xor(F.xxhash64("id"))).first())) if cache else None
-        near = spatial.nearest_polygon(spots, licensed, "listing_id", "parcel", "x", "y", "xy", RADIUS_M).select("listing_id", F.round("distance_m", 3).alias("nearest_licensed_parcel_m")) if not licensed.isEmpty() else spark.createDataFrame([], "listing_id string, nearest_licensed_parcel_m double")
-        near = sinks.memoised(spark, cache, "nearest", key, lambda near=near: near)
+        kept = lambda name: f"{cache}/{name}" if cache else None
+        near = delta.kept_up(spark, kept("nearest"), delta.nearest, spots, licensed, RADIUS_M, "xy")
+        near = spots.join(near, ["x", "y"]).select("listing_id", F.round("distance_m", 3).alias("nearest_licensed_parcel_m"))
         rows = rows.join(near, "listing_id", "left")
-        made = (spatial.polygons_within(spots, parcel, "x", "y", "xy", RADIUS_M).select("listing_id", "id", F.round("distance_m", 3).alias("distance_m"), names.tokens(F.col("host_name")).alias("host_tokens")))
-        close = sinks.memoised(spark, cache, "close", key, lambda: made)
+        close = delta.kept_up(spark, kept("close"), delta.within, spots, parcel, RADIUS_M, "xy")
+        close = settled(spots.join(close, ["x", "y"]).select("listing_id", "id", F.round("distance_m", 3).alias("distance_m"), names.tokens(F.col("host_name")).alias("host_tokens")))
         edges = nicknames.token_map(tables.names(spark, f"{root}/{at.names}"))
         nick = F.create_map(*(v for k, ns in edges.items() for v in (F.lit(k), F.array(*map(F.lit, ns))))) if edges else F.create_map().cast("map<string,array<string>>")
         owned = p.select("parcel", names.tokens(F.col("owner")).alias("owner_tokens"), F.col("id").alias("permit_id"), F.col("id").alias("ordinal"))
@@ -161,6 +172,10 @@ def build(spark: SparkSession, root: str, as_of: str, at: Inputs | None = None,
     return out
 
 
-def publish(made: dict[str, DataFrame], output: str) -> None:
+def publish(made: dict[str, DataFrame], output: str, versioned: bool = False) -> None:
+    """The tables under ``output``; versioned: as an immutable version there, which a pointer makes the current one."""
     made = dict(made)
+    if versioned:
+        versions.commit(made["report"].sparkSession, output, {k: sinks.without_nan(v) if k == "report" else v for k, v in made.items()})
+        return
     sinks.publish({k: v for k, v in made.items() if k != "report"}, made["report"], output)

@@ -42,14 +42,45 @@ def whole_files(spark: SparkSession, *globs: str) -> DataFrame:
     return df.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("folder"), F.element_at(F.split(path, "/"), -1).alias("name"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("text"))
 
 
+_FILES = ("metadata.json", "details.txt", "description.txt")
+#: Paths that are read by name; more are read as their folders, and then chosen.
+BY_NAME = 10_000
+
+
+def _in_order(files: DataFrame, *columns: str) -> DataFrame:
+    order = F.array_position(F.array(*map(F.lit, _FILES)), F.col("name"))
+    return files.where(F.col("folder").rlike(r"^\d+$")).select(F.col("folder").alias("listing_id"), order.alias("ordinal"), *columns)
+
+
 def listing_folders(spark: SparkSession, *roots: str) -> DataFrame:
     """(listing_id, ordinal, name, size, mtime, text): the files of folders named by digits.
 
     ordinal: metadata.json, details.txt, description.txt, in that order.
     """
-    files = whole_files(spark, *(f"{r}/*/{{metadata.json,details.txt,description.txt}}" for r in roots))
-    order = F.array_position(F.array(F.lit("metadata.json"), F.lit("details.txt"), F.lit("description.txt")), F.col("name"))
-    return files.where(F.col("folder").rlike(r"^\d+$")).select(F.col("folder").alias("listing_id"), order.alias("ordinal"), "name", "size", "mtime", "text")
+    return _in_order(whole_files(spark, *_folder_globs(roots)), "name", "size", "mtime", "text")
+
+
+def _folder_globs(roots: tuple[str, ...]) -> list[str]:
+    return [f"{r}/*/{{{','.join(_FILES)}}}" for r in roots]
+
+
+def listing_files(spark: SparkSession, *roots: str) -> DataFrame:
+    """(listing_id, ordinal, path, name, size, mtime) of the same files; none is opened."""
+    have = [g for g in _folder_globs(roots) if exists(spark, g)]
+    if not have:
+        return spark.createDataFrame([], "listing_id string, ordinal long, path string, name string, size long, mtime timestamp")
+    df = spark.read.format("binaryFile").load(have).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    parts = F.split("path", "/")
+    return _in_order(df.withColumns({"folder": F.element_at(parts, -2), "name": F.element_at(parts, -1)}), "path", "name", "size", "mtime")
+
+
+def texts_of(files: DataFrame, *roots: str) -> DataFrame:
+    """listing_folders() of some of listing_files(): few are opened by name, of many the folders are read and chosen from."""
+    spark = files.sparkSession
+    paths = [r[0] for r in files.select("path").limit(BY_NAME + 1).collect()]
+    if len(paths) <= BY_NAME:
+        return _in_order(whole_files(spark, *paths), "name", "size", "mtime", "text")
+    return listing_folders(spark, *roots).join(files.select("listing_id", "name"), ["listing_id", "name"], "left_semi")
 
 
 def scanned_listings(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -59,6 +59,11 @@ def watch(source: DataFrame, rebuild: Callable[[DataFrame, int], None], checkpoi
     return writer.start()
 
 
+def ticks(spark: SparkSession) -> DataFrame:
+    """A stream that has something new at every look, for watch()."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+
 def heartbeat(query: StreamingQuery) -> dict:
     """State, time of the last progress and rows a second of a query."""
     p = query.lastProgress
