@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import blank
+from .ordered import parts, size_chunks  # noqa: F401
 
 
 def first_by(df: DataFrame, keys: list[str], order: list, last: bool = False) -> DataFrame:
@@ -62,32 +63,6 @@ def latest_submission(submissions: DataFrame, key: str, kind: str, stamp: str, p
     return first_by(submissions.withColumn("__p", (F.col(kind) == pinned).cast("int")), [key], [F.desc("__p"), F.desc(stamp)]).drop("__p")
 
 
-def parts(df: DataFrame, order: str, size: int, per: list[str] | None = None) -> DataFrame:
-    """``df`` with part: rows numbered in order within ``per``, ``size`` to a part. Without ``per`` all rows meet in one task: for small tables."""
-    w = Window.partitionBy(*(per or [F.lit(0)])).orderBy(order)
-    return df.withColumn("part", F.floor((F.row_number().over(w) - 1) / F.lit(size)))
-
-
-def size_chunks(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """``df`` with chunk: rows of a group in order, a new chunk where the next row would pass ``most``.
-
-    A larger row has a chunk of its own. The fold runs within each group, which has to fit into a task.
-    """
-    from pyspark.sql import types as T
-
-    def fold(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        chunk, total, out = 0, 0, []
-        for n in pdf[size].tolist():
-            if total and total + n > most:
-                chunk, total = chunk + 1, 0
-            total += n
-            out.append(chunk)
-        return pdf.assign(chunk=out)
-
-    return df.groupBy(group).applyInPandas(fold, T.StructType([*df.schema.fields, T.StructField("chunk", T.LongType())]))
-
-
 def same_partition(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     """Rows where ``keep`` holds or is unknown, and the others."""
     return df.where(F.coalesce(keep, F.lit(True))), df.where(~F.coalesce(keep, F.lit(True)))

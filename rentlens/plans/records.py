@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coerce, geo, labels, rules
-from ..operators import candidates, lookups, merge, nicknames
+from ..operators import candidates, lookups, merge, nicknames, ordered
 from ..sources import sinks, tables
-from ..streaming import watch
+from ..streaming import keyed, watch
 from .fixtures import POINTS, points
 from .registry import query, table
 
@@ -205,3 +205,65 @@ def nickname_sql(spark, sf_dir):
 def inspected_digest(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.lit(1).alias("a"), F.lit(2).alias("b"), "n_nationkey", "n_name", "n_regionkey")
     return tables.inspected(n).select("rows", F.size("columns").alias("columns"), F.contains("first", F.lit('"n_nationkey":0')).alias("has_first"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT o_orderkey, o_orderkey % 90 + 1 AS w, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders),
+f AS (SELECT o_orderkey, n, 0 AS chunk, w AS total FROM r WHERE n = 1
+  UNION ALL SELECT r.o_orderkey, r.n, f.chunk + (total + w > 1000)::INT, CASE WHEN total + w > 1000 THEN w ELSE total + w END FROM f JOIN r ON r.n = f.n + 1)
+SELECT o_orderkey, chunk::BIGINT AS chunk FROM f""")
+def chunks_of_one_group(spark, sf_dir):
+    """All orders are one group, which no task holds whole."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("all").alias("g"), (F.col("o_orderkey") % 90 + 1).alias("w"))
+    return ordered.size_chunks(rows, "g", "o_orderkey", "w", 1000).select("o_orderkey", "chunk")
+
+
+@query("SELECT o_orderkey, floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 250)::BIGINT AS part FROM orders")
+def parts_of_the_whole(spark, sf_dir):
+    return ordered.parts(table(spark, sf_dir, "orders"), "o_orderkey", 250).select("o_orderkey", "part")
+
+
+_TREE = """v AS (SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n FROM customer),
+l0 AS (SELECT c_nationkey, 0 AS level, n // 10 AS block, count(*) AS rows, sha256(string_agg(c_name, chr(10) ORDER BY n)) AS sha256 FROM v GROUP BY c_nationkey, n // 10),
+l1 AS (SELECT c_nationkey, 1 AS level, block // 3 AS block, sum(rows) AS rows, sha256(string_agg(sha256, chr(10) ORDER BY block)) AS sha256 FROM l0
+  WHERE c_nationkey IN (SELECT c_nationkey FROM l0 WHERE block > 0) GROUP BY c_nationkey, block // 3),
+l2 AS (SELECT c_nationkey, 2 AS level, block // 3 AS block, sum(rows) AS rows, sha256(string_agg(sha256, chr(10) ORDER BY block)) AS sha256 FROM l1
+  WHERE c_nationkey IN (SELECT c_nationkey FROM l1 WHERE block > 0) GROUP BY c_nationkey, block // 3),
+l3 AS (SELECT c_nationkey, 3 AS level, block // 3 AS block, sum(rows) AS rows, sha256(string_agg(sha256, chr(10) ORDER BY block)) AS sha256 FROM l2
+  WHERE c_nationkey IN (SELECT c_nationkey FROM l2 WHERE block > 0) GROUP BY c_nationkey, block // 3),
+l4 AS (SELECT c_nationkey, 4 AS level, block // 3 AS block, sum(rows) AS rows, sha256(string_agg(sha256, chr(10) ORDER BY block)) AS sha256 FROM l3
+  WHERE c_nationkey IN (SELECT c_nationkey FROM l3 WHERE block > 0) GROUP BY c_nationkey, block // 3),
+l5 AS (SELECT c_nationkey, 5 AS level, block // 3 AS block, sum(rows) AS rows, sha256(string_agg(sha256, chr(10) ORDER BY block)) AS sha256 FROM l4
+  WHERE c_nationkey IN (SELECT c_nationkey FROM l4 WHERE block > 0) GROUP BY c_nationkey, block // 3)"""
+
+
+@query(f"WITH {_TREE} SELECT c_nationkey, level, block::BIGINT AS block, rows::BIGINT AS rows, sha256 FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2 UNION ALL FROM l3 UNION ALL FROM l4 UNION ALL FROM l5)")
+def block_checksums(spark, sf_dir):
+    return ordered.hash_tree(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", "c_name", 10, 3)
+
+
+@query("""SELECT c_nationkey, (n // 10)::BIGINT AS block FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n FROM customer)
+GROUP BY ALL HAVING bool_or(c_custkey % 97 = 0)""")
+def tampered_blocks(spark, sf_dir):
+    """The blocks that hold a changed value, by their checksums alone."""
+    c = table(spark, sf_dir, "customer")
+    changed = c.withColumn("c_name", F.when(F.col("c_custkey") % 97 == 0, F.upper("c_name")).otherwise(F.col("c_name")))
+    a, b = (ordered.hash_tree(t, "c_nationkey", "c_custkey", "c_name", 10) for t in (c, changed))
+    return ordered.tampered(a, b, "c_nationkey")
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 1 THEN len(html) + 1 WHEN 3 THEN len(html) ELSE len(html) END::BIGINT AS value,
+  CASE page_id % 4 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS run, page_id % 4 = 2 AS again FROM pages WHERE page_id % 5 <> 0 OR page_id % 4 = 1""")
+def incremental_scan(spark, sf_dir):
+    """Two looks at pages: some change and are scanned again, some change and fail, some are gone; the others are left alone."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.char_length("html").cast("long").alias("size"))
+    k = F.col("page_id") % 4
+    one = p.select("page_id", F.xxhash64("size").alias("signature"))
+    later = p.withColumn("size", F.when(k.isin(1, 2), F.col("size") + 1).otherwise(F.col("size"))).where((F.col("page_id") % 5 != 0) | (k == 1))
+    two = later.select("page_id", F.xxhash64("size").alias("signature"))
+
+    def scan(pages, failing):
+        return lambda asked: pages.join(asked, "page_id", "left_semi").select("page_id", F.col("size").alias("value"), failing.alias("failed"))
+
+    state = keyed.update(one, None, "page_id", scan(p, F.lit(False)), 1)
+    after = keyed.update(two, state, "page_id", scan(later, k == 2), 2)
+    return after.select("page_id", "value", "run", F.col("signature").isNull().alias("again"))

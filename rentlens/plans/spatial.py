@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, names, rules
-from ..operators import candidates, spatial
+from ..operators import candidates, delta, spatial
 from .fixtures import POINTS, points
 from .registry import query, table
 
@@ -104,6 +104,33 @@ def polygons_meeting(spark, sf_dir):
     return spatial.polygon_pairs(boxes.withColumnRenamed("n_nationkey", "a"), other, "rings", "b_rings", 0.005).where("a < b").select("a", "b")
 
 
+#: Boxes of an earlier look: some were elsewhere, some not there; and points of it.
+def _earlier(spark, sf_dir):
+    now = _boxes(spark, sf_dir).select(F.col("n_nationkey").cast("string").alias("id"), "rings", "n_nationkey")
+    moved = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p[0] + 0.002, p[1])))
+    old = now.where("n_nationkey % 5 <> 0").withColumn("rings", F.when(F.col("n_nationkey") % 5 == 1, moved).otherwise(F.col("rings")))
+    p = points(spark, sf_dir).select("vec_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return p.where("vec_id % 3 > 0"), old, p, now
+
+
+_KEPT_UP = f"""WITH {POINTS}, {_BOXES}, d AS (SELECT vec_id, n_nationkey, sqrt(greatest(x0 - lon, 0, lon - x0 - w) ** 2 + greatest(y0 - lat, 0, lat - y0 - w) ** 2) AS d FROM p, x)"""
+
+
+@query(f"{_KEPT_UP} SELECT vec_id, n_nationkey::VARCHAR AS id, round(d, 8) AS distance FROM d WHERE d <= 0.003")
+def pairs_kept_up(spark, sf_dir):
+    """Pairs of an earlier look, brought up to date: equal to the whole join."""
+    p0, old, p, now = _earlier(spark, sf_dir)
+    found = delta.within(delta.within(None, p0, old, 0.003), p, now, 0.003).results
+    return p.join(found, ["x", "y"]).select("vec_id", "id", F.round("distance_m", 8).alias("distance"))
+
+
+@query(f"{_KEPT_UP} SELECT vec_id, round(min(d), 8) AS distance FROM d GROUP BY vec_id")
+def nearest_kept_up(spark, sf_dir):
+    p0, old, p, now = _earlier(spark, sf_dir)
+    found = delta.nearest(delta.nearest(None, p0, old, 0.005), p, now, 0.005).results
+    return p.join(found, ["x", "y"]).select("vec_id", F.round("distance_m", 8).alias("distance"))
+
+
 _EDGE = """CASE WHEN lon BETWEEN -86.79 AND -86.77 AND lat BETWEEN 36.15 AND 36.17 THEN least(lon + 86.79, -86.77 - lon, lat - 36.15, 36.17 - lat)
   ELSE -sqrt(greatest(-86.79 - lon, 0, lon + 86.77) ** 2 + greatest(36.15 - lat, 0, lat - 36.17) ** 2) END"""
 
