@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: lexicons of words and of word beginnings, found on labelled rows; fixed lexicons; and
-patterns of both. A generative model of their votes, fitted to labelled and unlabelled documents without their labels,
-of a few latent classes estimates each voter's rates, and so how far voters repeat each other, by expectation
-maximisation. Labels say which of its classes are the toxic ones, and nothing else there. A linear classifier on words, beginnings and votes then
-learns the model's posterior labels and scores every text.
+patterns of both. A generative model of their votes, of a few latent classes, estimates each voter's rates, and so how
+far voters repeat each other, by expectation maximisation without labels. It is fitted to the votes for every document:
+what it needs of them is how often each pattern of votes occurs, copies counted once, which Spark counts. Labels say
+which of its classes are the toxic ones, and nothing else there. A linear classifier on words, beginnings and votes
+then learns the model's posterior labels on the sampled labelled rows, and scores every text.
 """
 
 from __future__ import annotations
@@ -19,17 +20,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import chosen_labels, first_of_copies, fit_logistic, held_out, sampled_shares, sigmoid
-from .scratch import as_row
+from .scratch import as_row, store
 from .textkernel import Block, U, block_of, blocks, lean, mix, packed, rolled, unpacked
 
-#: Labelled rows to learn from at most, clean and toxic; unlabelled ones, about.
-SAMPLE, UNLABELLED = (6000, 3000), 3000
+#: Labelled rows to learn from at most, clean and toxic; patterns of votes that the driver takes, where more stay apart.
+SAMPLE, PATTERNS_HERE = (6000, 3000), 1 << 18
 #: Bytes of a word's beginning that count as a feature; 0 is the whole word. Each is a kind of lexicon, in BANDS by
 #: how much its entries say.
 STEMS = (0, 4, 5, 6)
 BANDS = 3
 #: Latent classes of the label model.
-CLASSES = 12
+CLASSES = 16
 #: Fixed lexicons, lower case.
 INSULTS = ("idiot", "moron", "loser", "scum", "clown", "trash", "imbecile", "jerk", "fool", "vermin")
 CONTEMPT = ("stupid", "worthless", "pathetic", "disgusting", "dumb", "ugly", "filthy", "useless", "vile", "despicable")
@@ -107,13 +108,28 @@ def _pattern_votes(b: Block, words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """known: sorted features; band: lexicon of each; weight, bias: the linear classifier's; lexicons: how many."""
+    """known: sorted features; band: lexicon of each; weight, bias: the linear classifier's; lexicons: how many.
+
+    labels: the label model of the votes; toxic: which of its classes are.
+    """
 
     known: np.ndarray
     band: np.ndarray
     weight: np.ndarray
     bias: float
     lexicons: int
+    labels: LabelModel | None = None
+    toxic: np.ndarray | None = None
+
+    def estimates(self) -> list[tuple[str, float, float, float]]:
+        """Of each voter: name, how often it votes for clean and for toxic texts, greatest correlation with another among toxic ones."""
+        if self.labels is None:
+            return []
+        rates, correlations = self.labels.voters(self.toxic)
+        kinds = [f"words from {k} bytes" if k else "words" for k in STEMS]
+        names = [*(f"{k}, band {i}" for k in kinds for i in range(BANDS)), *(f"{k}, often" for k in kinds), *PATTERNS]
+        most = (correlations[1] - np.eye(len(names))).max(1)
+        return [(x, float(a), float(b), float(c)) for x, a, b, c in zip(names, *rates, most, strict=True)]
 
     @property
     def voters(self) -> int:
@@ -189,17 +205,77 @@ def label_model(votes: np.ndarray, classes: int = CLASSES, rounds: int = 100) ->
     with votes that are frequent and far from each other, the most frequent first.
     """
     seen, times = np.unique(votes, axis=0, return_counts=True)
-    v, n = seen.astype(float), times.astype(float)
-    begin = [int(np.argmax(n))]
-    far = np.abs(v - v[begin[0]]).sum(1)
-    while len(begin) < classes and far.max() > 0:
-        begin.append(int(np.argmax(far * np.sqrt(n))))
-        far = np.minimum(far, np.abs(v - v[begin[-1]]).sum(1))
-    model = LabelModel(np.full(len(begin), 1 / len(begin)), 0.1 + 0.8 * v[begin])
+    return fitted(_Here(seen, times.astype(float)), classes, rounds)
+
+
+class _Here:
+    """Patterns of votes and how often each occurs, in memory."""
+
+    def __init__(self, seen: np.ndarray, times: np.ndarray):
+        self.seen, self.times = seen.astype(float), times
+
+    def sums(self, model: LabelModel) -> tuple[np.ndarray, np.ndarray]:
+        """Expected texts of each class, and their votes."""
+        w = model.members(self.seen) * self.times[:, None]
+        return w.sum(0), w.T @ self.seen
+
+    def next_begin(self, begun: list[np.ndarray]) -> np.ndarray | None:
+        """The most frequent pattern; then the one that is far from all of those and frequent."""
+        if not begun:
+            return self.seen[int(np.argmax(self.times))]
+        far = np.min([np.abs(self.seen - x).sum(1) for x in begun], axis=0)
+        at = int(np.argmax(far * np.sqrt(self.times)))
+        return self.seen[at] if far[at] > 0 else None
+
+
+class _Apart:
+    """The same over a table (pattern, n) of more patterns than the driver takes: a job a round, some numbers a task."""
+
+    def __init__(self, table: DataFrame, voters: int):
+        self.table, self.voters = table, voters
+
+    def _folded(self, one, schema: str) -> list:
+        voters = self.voters
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield one(_Here(_bits(batch.column(0).to_numpy(), voters), batch.column(1).to_numpy().astype(float)), batch.column(0).to_numpy())
+
+        return self.table.mapInArrow(lean(go), schema).collect()
+
+    def sums(self, model: LabelModel) -> tuple[np.ndarray, np.ndarray]:
+        def one(here: _Here, _: np.ndarray) -> pa.RecordBatch:
+            size, ones = here.sums(model)
+            return pa.RecordBatch.from_arrays([pa.array([size.tolist()]), pa.array([ones.ravel().tolist()])], ["size", "ones"])
+
+        got = self._folded(one, "size array<double>, ones array<double>")
+        return sum(np.array(r["size"]) for r in got), sum(np.array(r["ones"]) for r in got).reshape(-1, self.voters)
+
+    def next_begin(self, begun: list[np.ndarray]) -> np.ndarray | None:
+        def one(here: _Here, pattern: np.ndarray) -> pa.RecordBatch:
+            far = np.min([np.abs(here.seen - x).sum(1) for x in begun], axis=0) if begun else np.ones(len(here.seen))
+            score = far * np.sqrt(here.times)
+            at = np.lexsort((pattern, -score))[:1]
+            return pa.RecordBatch.from_arrays([pa.array(score[at]), pa.array(pattern[at])], ["score", "pattern"])
+
+        got = sorted(((-r["score"], r["pattern"]) for r in self._folded(one, "score double, pattern long")))
+        return _bits(np.array([got[0][1]]), self.voters)[0].astype(float) if got and got[0][0] < 0 else None
+
+
+def _bits(pattern: np.ndarray, voters: int) -> np.ndarray:
+    """Votes of patterns: the first voter is the highest bit, so that numbers are ordered as votes are."""
+    return (pattern[:, None] >> np.arange(voters - 1, -1, -1)) & 1 == 1
+
+
+def fitted(given: _Here | _Apart, classes: int = CLASSES, rounds: int = 100) -> LabelModel:
+    """label_model() of patterns and their numbers."""
+    begun: list[np.ndarray] = []
+    while len(begun) < classes and (x := given.next_begin(begun)) is not None:
+        begun.append(x)
+    model = LabelModel(np.full(len(begun), 1 / len(begun)), 0.1 + 0.8 * np.array(begun))
     for _ in range(rounds):
-        w = model.members(seen) * n[:, None]
-        size = w.sum(0)
-        before, model = model, LabelModel((size + 1) / (size.sum() + len(begin)), np.clip((w.T @ v + 0.5) / (size[:, None] + 1), 1e-4, 1 - 1e-4))
+        size, ones = given.sums(model)
+        before, model = model, LabelModel((size + 1) / (size.sum() + len(begun)), np.clip((ones + 0.5) / (size[:, None] + 1), 1e-4, 1 - 1e-4))
         if np.abs(before.rate - model.rate).max() < 1e-6:
             break
     return model
@@ -237,11 +313,17 @@ def _lexicons(parts: list, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return known.astype(U), lexicon
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, label: str, sample: tuple[int, int], unlabelled: int, id_col: str, text_col: str) -> tuple[np.ndarray, list, np.ndarray]:
-    """Labels (-1 for none), distinct features and pattern votes of the sample, from one pass over the documents.
+def _marks(b: Block) -> list[int]:
+    """A hash that copies, and most near copies, of a text share."""
+    grams, out = rolled(b.hashes, 5), []
+    for i, j in zip(b.first[:-1].tolist(), b.first[1:].tolist(), strict=True):
+        own = grams[i : max(j - 4, i)]
+        out.append(int((own.min() if len(own) else b.hashes[i:j].sum(dtype=U)).view(np.int64)))
+    return out
 
-    Unlabelled documents are chosen by a hash of the text, and not from those held out; copies count once.
-    """
+
+def _sampled(docs: DataFrame, labels: DataFrame, label: str, sample: tuple[int, int], id_col: str, text_col: str) -> tuple[np.ndarray, list, np.ndarray]:
+    """Labels, distinct features and pattern votes of the sampled labelled rows; copies count once."""
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,25 +331,17 @@ def _sampled(docs: DataFrame, labels: DataFrame, label: str, sample: tuple[int,
             for b in blocks(batch.column(2), lower=True):
                 doc, seen, words = features(b)
                 votes = _pattern_votes(b, words)
-                grams = rolled(b.hashes, 5)
                 order = np.argsort(doc, kind="stable")
                 cut = np.searchsorted(doc[order], np.arange(b.texts + 1))
-                for i in range(b.texts):
-                    blobs.append(packed(np.unique(seen[order[cut[i] : cut[i + 1]]]).astype(np.uint32), votes[i]))
-                    own = grams[b.first[i] : max(b.first[i + 1] - 4, b.first[i])]
-                    marks.append(int((own.min() if len(own) else b.hashes[b.first[i] : b.first[i + 1]].sum(dtype=U)).view(np.int64)))
+                blobs += [packed(np.unique(seen[order[cut[i] : cut[i + 1]]]).astype(np.uint32), votes[i]) for i in range(b.texts)]
+                marks += _marks(b)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary()), pa.array(marks, pa.int64())], ["id", "y", "blob", "mark"])
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    share = min(1.0, unlabelled / max(1, docs.count()))
     ours = chosen_labels(labels, label, sample, id_col).select(F.col("id").cast("string").alias("id"), "y")
-    some = ~held_out("id") & (F.pmod(F.xxhash64(F.lit("unlabelled"), "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    rows = rows.join(F.broadcast(ours), "id", "left").where(F.col("y").isNotNull() | some)  # no more labels than the sample's bound
-    # Of rows that repeat, a few leave each task and one the next.
-    made = rows.select("id", "y", "text").mapInArrow(lean(shrink), "id string, y int, blob binary, mark long")
-    taught = made.where("y is not null").groupBy("id", "y").agg(F.min(F.struct("mark", "blob")).alias("one"))
-    others = made.where("y is null").groupBy("mark").agg(F.min("blob").alias("blob")).orderBy("mark").limit(2 * unlabelled)
-    got = taught.select("y", "one.mark", "one.blob").union(others.select(F.lit(-1).alias("y"), "mark", "blob")).toArrow()
+    rows = rows.join(F.broadcast(ours), "id").select("id", "y", "text")  # no more labels than the sample's bound
+    made = rows.mapInArrow(lean(shrink), "id string, y int, blob binary, mark long")  # of rows that repeat, a few leave each task
+    got = made.groupBy("id", "y").agg(F.min(F.struct("mark", "blob")).alias("one")).select("y", "one.mark", "one.blob").toArrow()
     y, marks = np.array(got.column("y").to_pylist(), np.int64), np.array(got.column("mark").to_pylist(), np.int64)
     keep = first_of_copies(marks, y)
     blobs = got.column("blob")
@@ -275,29 +349,47 @@ def _sampled(docs: DataFrame, labels: DataFrame, label: str, sample: tuple[int,
     return y[keep], [p[0] for p in parts], np.array([p[1] for p in parts], bool).reshape(len(parts), len(PATTERNS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[int, int] = SAMPLE, unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model, learnt on the driver from samples of labelled and unlabelled rows; see SAMPLE."""
-    y, parts, patterns = _sampled(docs, labels, label, sample, unlabelled, id_col, text_col)
+def vote_patterns(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(pattern, n): how often each pattern of votes occurs among all texts, copies counted once; the voters are its bits."""
+    power = 1 << np.arange(model.voters - 1, -1, -1, dtype=np.int64)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch.column(0), lower=True):
+                votes = model.votes(b.texts, *model.found(b))
+                yield pa.RecordBatch.from_arrays([pa.array(votes @ power), pa.array(_marks(b), pa.int64())], ["pattern", "mark"])
+
+    found = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(lean(go), "pattern long, mark long")
+    return store(found.groupBy("mark").agg(F.max("pattern").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model: lexicons and classifier from a sample of labelled rows, see SAMPLE, the label model from all rows' votes."""
+    y, parts, patterns = _sampled(docs, labels, label, sample, id_col, text_col)
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     if not n1 or not n0:  # nothing to learn from: the fixed lexicons decide
         return Model(np.zeros(0, U), np.zeros(0, np.int64), np.full(len(PATTERNS), 4.0), -3.0, 0)
     known, lexicon = _lexicons(parts, y)
     model = Model(known, lexicon, np.zeros(0), 0.0, len(STEMS) * BANDS)
+    seen = vote_patterns(docs, model, text_col)
+    few = seen.limit(PATTERNS_HERE + 1).toArrow()
+    if few.num_rows <= PATTERNS_HERE:
+        order = np.argsort(few.column("pattern").to_numpy())
+        given = _Here(_bits(few.column("pattern").to_numpy()[order], model.voters), few.column("n").to_numpy()[order].astype(float))
+    else:
+        given = _Apart(seen, model.voters)
+    model.labels = fitted(given)
     hits = [np.searchsorted(known, p[_is_in(known, p.astype(U))]) for p in parts]
     doc, feature = np.repeat(np.arange(len(parts)), [len(h) for h in hits]), np.concatenate(hits).astype(np.int64)
     votes = model.votes(len(parts), doc, feature, patterns)
-    taught = y >= 0
-    made = label_model(votes)
-    members = made.members(votes)
-    q = members @ made.named(members, y)  # labels name the classes
-    # The classes of the labelled rows are sampled apart; unlabelled rows are thinned to match.
-    shares = sampled_shares(labels, label, sample, id_col)
-    often = np.where(q >= 0.5, shares[1], shares[0]) / max(shares.values())
-    use = np.flatnonzero(taught | (mix(np.arange(len(y)).astype(U)) / 2.0**64 < often))
+    members = model.labels.members(votes)
+    model.toxic = model.labels.named(members, y)  # labels name the classes
     n = len(known)
-    rows = [np.append(hits[i], np.flatnonzero(votes[i]) + n) for i in use.tolist()]
-    weight, bias = fit_logistic(rows, n + votes.shape[1], q[use])
-    model.weight, model.bias = weight, bias + float(np.log(shares[0] / shares[1]))
+    rows = [np.append(h, np.flatnonzero(v) + n) for h, v in zip(hits, votes, strict=True)]
+    model.weight, bias = fit_logistic(rows, n + votes.shape[1], members @ model.toxic)
+    # The classes of the labelled rows are sampled apart.
+    shares = sampled_shares(labels, label, sample, id_col)
+    model.bias = bias + float(np.log(shares[0] / shares[1]))
     return model
 
 

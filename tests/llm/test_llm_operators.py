@@ -133,17 +133,79 @@ def test_label_model_steps_as_plain_loops():
 
 
 def test_posteriors_without_labels_beat_each_voter(spark):
+    """The label model sees the votes for all documents, each copy's once, and no label."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    y, parts, patterns = toxicity._sampled(docs, labels, "toxic", toxicity.SAMPLE, toxicity.UNLABELLED, "doc_id", "text")
+    y, parts, patterns = toxicity._sampled(docs, labels, "toxic", toxicity.SAMPLE, "doc_id", "text")
     known, lexicon = toxicity._lexicons(parts, y)
     model = toxicity.Model(known, lexicon, np.zeros(0), 0.0, len(toxicity.STEMS) * toxicity.BANDS)
     hits = [np.searchsorted(known, p[toxicity._is_in(known, p.astype("u8"))]) for p in parts]
     votes = model.votes(len(parts), np.repeat(np.arange(len(parts)), [len(h) for h in hits]), np.concatenate(hits).astype(int), patterns)
-    assert votes.shape[1] == model.voters > 20 and (y < 0).sum() > 1000
-    made = toxicity.label_model(votes)
+    assert votes.shape[1] == model.voters > 20
+    seen = toxicity.vote_patterns(docs, model).toPandas().sort_values("pattern")
+    texts = [r.text for r in docs.select("text").collect()]
+    first = next(blocks(pa.array(texts[:50]), lower=True, most=1 << 30))
+    alone = model.votes(first.texts, *model.found(first)) @ (1 << np.arange(model.voters - 1, -1, -1))
+    assert set(alone.tolist()) <= set(seen.pattern.tolist()) and 4000 < seen.n.sum() <= len(texts)
+    made = toxicity.fitted(toxicity._Here(toxicity._bits(seen.pattern.to_numpy(), model.voters), seen.n.to_numpy().astype(float)))
     members = made.members(votes)
-    q, taught = members @ made.named(members, y) > 0.5, y >= 0
-    assert (q[taught] == y[taught]).mean() > max((votes[taught, i] == y[taught]).mean() for i in range(votes.shape[1]))
+    q = members @ made.named(members, y) > 0.5
+    assert (q == y).mean() > max((votes[:, i] == y).mean() for i in range(votes.shape[1]))
+
+
+def test_patterns_that_stay_apart_give_the_same_model(spark):
+    rng = np.random.default_rng(2)
+    votes = rng.random((3000, 9)) < np.where(rng.random(3000) < 0.3, 0.6, 0.1)[:, None]
+    seen, times = np.unique(votes, axis=0, return_counts=True)
+    pattern = seen @ (1 << np.arange(8, -1, -1))
+    assert (toxicity._bits(pattern, 9) == seen).all()
+    table = spark.createDataFrame(list(zip(pattern.tolist(), times.tolist(), strict=True)), "pattern long, n long").repartition(3)
+    a, b = toxicity.label_model(votes, classes=4, rounds=3), toxicity.fitted(toxicity._Apart(table, 9), 4, 3)
+    assert np.allclose(a.share, b.share) and np.allclose(a.rate, b.rate)
+
+
+def _plain_words(text):
+    """A text's words as the classifier sees them: lower case, without marks around them."""
+    import re
+
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", text) if w]
+    return [re.sub(r"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+$", "", w) or w[-1:] for w in words]
+
+
+def test_pattern_votes_as_plain_python():
+    rng = random.Random(5)
+    pool = ["you", "Your", "idiot", "IDIOT!", "stupid,", "damn", "(kill)", "hate", "the", "a", "calm", "scum?", "vile", "Burn!", "...", "you're"]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(0, 9))) for _ in range(400)]
+    (b,) = blocks(pa.array(texts), lower=True)
+    got = toxicity._pattern_votes(b, toxicity.features(b)[2])
+    for text, votes in zip(texts, got.tolist(), strict=True):
+        raw, words = text.split(), [w.lower() for w in _plain_words(text)]
+        hits = [[w in x for w in words] for x in toxicity.LEXICONS]
+        bad = [any(h) for h in zip(*hits[:3], strict=True)]
+        second = [w in toxicity.SECOND_PERSON for w in words]
+        before = [any(second[max(0, i - 3) : i]) for i in range(len(words))]
+        after = [any(second[i + 1 : i + 4]) for i in range(len(words))]
+        loud = [2 * sum(c.isupper() for c in w) > len(w) for w in raw]
+        want = [any(h) for h in hits]
+        want += [any(x and y for x, y in zip(bad, before)), any(x and y for x, y in zip(bad, loud)), any(hits[0]) and any(hits[1]), sum(hits[0]) > 2, sum(map(any, hits)) > 2]
+        want += [any(t and (p or q) for t, p, q in zip(hits[3], before, after)), any(x and w[-1] == "!" for x, w in zip(bad, raw))]
+        assert votes == want, text
+
+
+def test_scores_as_plain_sums(spark):
+    """The linear classifier's scores, from the model's weights, by sets of words and beginnings of each text alone."""
+    docs, labels = (spark.read.parquet(f"{SF1}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert len(model.estimates()) == model.voters and all(0 <= x <= 1 for _, *r in model.estimates() for x in r[:2])
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).select("doc_id", "score").collect()}
+    known = {int(f): i for i, f in enumerate(model.known)}
+    for r in docs.limit(200).collect():
+        (b,) = blocks(pa.array([r.text]), lower=True, most=1 << 30)
+        _, seen, words = toxicity.features(b)
+        found = {known[int(f)] for f in seen if int(f) in known}
+        lexicons = [sum(model.band[i] == k for i in found) for k in range(model.lexicons)]
+        votes = [n > 0 for n in lexicons] + [sum(lexicons[k : k + toxicity.BANDS]) > 1 for k in range(0, model.lexicons, toxicity.BANDS)] + toxicity._pattern_votes(b, words)[0].tolist()
+        z = model.bias + sum(model.weight[i] for i in found) + sum(w for w, v in zip(model.weight[len(known) :], votes, strict=True) if v)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-9
 
 
 def test_trie_of_long_sets_stays_small():
