@@ -3,7 +3,9 @@
 1. Every text becomes the set of hashes of its n-grams. Texts with one set form a class, named by a hash of the set.
 2. All (n-gram, class) pairs are dealt by n-gram, as packed arrays. Where they meet, n-grams of a single class go:
    they can be in no intersection. The rest return to their class with their document frequency. The pairs of very
-   common n-grams are dealt by class too: such an n-gram stays whatever its count, and comes last in the order.
+   common n-grams are dealt by class too: such an n-gram stays whatever its count, and comes last in the order. Very
+   common are n-grams of a certain share of all, and all n-grams of heavy buckets, whose load is counted beforehand: as
+   buckets keep their size while the corpus grows, an n-gram far below the share can fill one.
 3. A class links only if its repeated n-grams reach ``share`` of its set; the others are done.
 4. One order holds for all n-grams: by (frequency, hash), rarest first. Two sets that link share an n-gram of their
    prefixes (all but the last ``ceil(share * size) - 1`` n-grams), so components over shared prefix n-grams hold all
@@ -32,10 +34,12 @@ from .textkernel import Block, U, blocks, lean, mix, packed, rolled, row_key, un
 
 N, SHARE = 5, 80  # words; per cent
 #: Sets in a chunk that others are compared with, and about the n-grams of all of them; bytes of text whose sets are
-#: packed together; n-grams of a bucket.
-CHUNK, CHUNK_GRAMS, SENT_BYTES, BUCKET_GRAMS = 128, 1 << 20, 8 << 20, 6_000_000
+#: packed together.
+CHUNK, CHUNK_GRAMS, SENT_BYTES = 128, 1 << 20, 8 << 20
 #: N-grams that make up over 1 / HOT_SHARE of all are very common, and count as of this frequency.
 HOT_SHARE, HOT = 4096, (1 << 31) - 1
+#: A bucket is heavy with this many times the mean of n-grams; bytes of text for each bucket.
+HEAVY, BUCKET_BYTES = 4, 36 << 20
 
 
 def _sets(b: Block, n: int) -> Iterator[np.ndarray]:
@@ -60,14 +64,34 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def shingle_classes(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray, int]:
-    """(doc_id, key, mark, n_shingles, class) of every text, written out; the very common n-grams; the n-grams of all.
+class Common:
+    """Which n-grams are dealt by class: the very common ones, and those of heavy buckets."""
 
-    class is null where there are no words. At most 2 * HOT_SHARE n-grams are very common, as each is that share.
+    def __init__(self, hot: np.ndarray, heavy: np.ndarray, dealt: int):
+        self.hot, self.heavy, self.dealt = np.sort(hot), np.sort(heavy), dealt
+
+    def has(self, grams: np.ndarray) -> np.ndarray:
+        found = _among(self.hot, grams)
+        return found | _among(self.heavy, grams % U(self.dealt)) if len(self.heavy) else found
+
+
+def shingle_classes(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", dealt: int = 1) -> tuple[DataFrame, Common]:
+    """(doc_id, key, mark, n_shingles, class) of every text, written out; and what is common among ``dealt`` buckets.
+
+    class is null where there are no words. At most 2 * HOT_SHARE n-grams are very common, as each is that share, and
+    at most 1 / HEAVY of the buckets heavy.
     """
-    kind = "doc_id long, key long, mark long, n_shingles long, class long, gram long, times long"
+    kind = "doc_id long, key long, mark long, n_shingles long, class long, gram long, times long, bucket int"
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = np.zeros(dealt, np.int64)
+
+        def sealed(columns: list, grams: np.ndarray, times: np.ndarray, buckets: pa.Array) -> pa.RecordBatch:
+            rows, extra = len(columns[0]), len(grams)
+            columns = [pa.concat_arrays([c.cast(pa.int64()), pa.nulls(extra, pa.int64())]) for c in columns]
+            own = [pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(x.view(np.int64))]) for x in (grams, times)]
+            return pa.RecordBatch.from_arrays([*columns, *own, pa.concat_arrays([pa.nulls(rows, pa.int32()), buckets])], [c.split()[0] for c in kind.split(", ")])
+
         for batch in batches:
             sizes, names, often = [], [], []
             for b in blocks(batch.column(3), lower=True):
@@ -75,22 +99,25 @@ def shingle_classes(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_co
                 sizes += [len(s) for s in sets]
                 names += [_name(s) for s in sets]
                 values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, U), return_counts=True)
+                loads += np.bincount((values % U(dealt)).astype(np.int64), weights=counts, minlength=dealt).astype(np.int64)
                 much = counts >= max(2, int(counts.sum()) // (2 * HOT_SHARE))
                 often.append((values[much], counts[much]))
             none = np.array(sizes) == 0
-            rows, hot = len(sizes), (np.concatenate([x[k] for x in often] or [np.zeros(0, np.int64)]) for k in (0, 1))
-            grams, times = hot
-            more = lambda column, kind=pa.int64(): pa.concat_arrays([column.cast(kind), pa.nulls(len(grams), kind)])
-            columns = [more(batch.column(i)) for i in range(3)] + [more(pa.array(sizes, pa.int64())), more(pa.array(np.array(names, U).view(np.int64), mask=none))]
-            own = [pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(x.astype(U).view(np.int64))]) for x in (grams, times)]
-            yield pa.RecordBatch.from_arrays([*columns, *own], [c.split()[0] for c in kind.split(", ")])
+            grams, times = (np.concatenate([np.zeros(0, np.int64), *(x[k].view(np.int64) for x in often)]) for k in (0, 1))
+            own = [pa.array(sizes, pa.int64()), pa.array(np.array(names, U).view(np.int64), mask=none)]
+            yield sealed([*(batch.column(i) for i in range(3)), *own], grams, times, pa.nulls(len(grams), pa.int32()))
+        full = np.flatnonzero(loads)
+        yield sealed([pa.nulls(0, pa.int64())] * 5, np.zeros(len(full), np.int64), loads[full], pa.array(full.astype(np.int32)))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
     made = store(rows.mapInArrow(lean(go), kind))
-    found = made.where("key is not null").drop("gram", "times")
+    found = made.where("key is not null").drop("gram", "times", "bucket")
     total = found.agg(F.sum("n_shingles")).first()[0] or 0
-    hot = made.where("key is null").groupBy("gram").agg(F.sum("times").alias("n")).where(F.col("n") >= max(64, total // (2 * HOT_SHARE)))
-    return found, np.sort(np.array([r[0] for r in hot.select("gram").collect()], np.int64).view(U)), total
+    some = made.where("key is null and bucket is null").groupBy("gram").agg(F.sum("times").alias("n")).where(F.col("n") >= max(64, total // (2 * HOT_SHARE)))
+    hot = np.array([r[0] for r in some.select("gram").collect()], np.int64).view(U)
+    load = made.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("n")).where(F.col("n") > HEAVY * total / dealt)
+    heavy = np.array([r[0] for r in load.select("bucket").collect()], np.int64).view(U)
+    return found, Common(hot, heavy, dealt)
 
 
 def _among(sorted_set: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -102,15 +129,15 @@ def _ranges(order_key: np.ndarray, dealt: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(order_key[order], np.arange(dealt + 1))
 
 
-def _repeated(docs: DataFrame, n: int, text_col: str, hot: np.ndarray, dealt: int) -> DataFrame:
-    """(bucket, blob) of class, size, run, n-grams and frequencies, for the n-grams of two classes or more, and for ``hot``."""
+def shipped(docs: DataFrame, n: int, text_col: str, common: Common, dealt: int) -> DataFrame:
+    """(bucket, blob) of class, size, run and n-grams: every n-gram of every class, as a map batch has them."""
 
     def seal(names: list, sets: list) -> pa.RecordBatch:
         name, one = np.unique(np.array(names, U), return_index=True)
         sets = [sets[i] for i in one.tolist()]
         sizes = np.array([len(s) for s in sets])
         grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        to = np.where(_among(hot, grams), mix(grams ^ name[owner]), grams) % U(dealt)
+        to = np.where(common.has(grams), mix(grams ^ name[owner]), grams) % U(dealt)
         order, cut = _ranges(to.astype(np.uint32 if dealt > 65535 else np.uint16), dealt)
         grams, owner = grams[order], owner[order]
         keys, blobs = [], []
@@ -136,6 +163,12 @@ def _repeated(docs: DataFrame, n: int, text_col: str, hot: np.ndarray, dealt: in
             if sets:
                 yield seal(names, sets)
 
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(ship), "bucket int, blob binary")
+
+
+def _repeated(docs: DataFrame, n: int, text_col: str, common: Common, dealt: int) -> DataFrame:
+    """(bucket, blob) of class, size, run, n-grams and frequencies, for the n-grams of two classes or more, and common ones."""
+
     def meet(blobs: list[bytes]) -> pa.RecordBatch | None:
         parts = [unpacked(x, "<u8", "<i4", "<i4", "<u8") for x in blobs]
         name, size, run, grams = (np.concatenate([p[i] for p in parts]) for i in range(4))
@@ -145,7 +178,7 @@ def _repeated(docs: DataFrame, n: int, text_col: str, hot: np.ndarray, dealt: in
         tied = np.zeros(len(g), bool)
         tied[1:] = g[1:] == g[:-1]
         tied[:-1] |= tied[1:]
-        tied |= _among(hot, g)
+        tied |= common.has(g)
         g, owner = g[tied], owner[order[tied]]
         order = np.lexsort((name[owner], g))
         g, owner = g[order], owner[order]
@@ -155,7 +188,7 @@ def _repeated(docs: DataFrame, n: int, text_col: str, hot: np.ndarray, dealt: in
         if not len(g):
             return None
         group = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1
-        often = np.where(_among(hot, g), HOT, np.bincount(group)[group]).astype(np.int32)
+        often = np.where(common.has(g), HOT, np.bincount(group)[group]).astype(np.int32)
         g, owner, often = g[often > 1], owner[often > 1], often[often > 1]
         if not len(g):
             return None
@@ -171,7 +204,7 @@ def _repeated(docs: DataFrame, n: int, text_col: str, hot: np.ndarray, dealt: in
             out.append(packed(who[at][begins], size[owner[at][begins]], np.diff(np.append(begins, len(at))).astype(np.int32), g[at], often[at]))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(ship), "bucket int, blob binary")
+    sent = shipped(docs, n, text_col, common, dealt)
     sent = sent.repartitionById(dealt, "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(lean(_by_bucket(meet)), "bucket int, blob binary")
 
@@ -351,10 +384,11 @@ def similar_groups(docs: DataFrame, n: int = N, share: int = SHARE, id_col: str
     their own; a null id takes part, but names no component unless alone. key and mark are a 128-bit hash of id and
     text. Other columns are not used. No rows give no rows.
     """
-    found, hot, total = shingle_classes(docs, n, id_col, text_col)
-    dealt = partitions(docs.sparkSession, total, BUCKET_GRAMS)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    dealt = partitions(docs.sparkSession, size, BUCKET_BYTES)
+    found, common = shingle_classes(docs, n, id_col, text_col, dealt)
     classes = store(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    candidates = _candidates(_repeated(docs, n, text_col, hot, dealt), share, dealt)
+    candidates = _candidates(_repeated(docs, n, text_col, common, dealt), share, dealt)
     candidates = store(candidates.join(classes.select("class", "copies"), "class"))
     links = store(_links(candidates, share, dealt))
     full = class_components(classes, links)

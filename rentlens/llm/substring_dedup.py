@@ -7,6 +7,9 @@ so that equal windows meet in one bucket whatever surrounds them; there all wind
 Runs that are very common would draw their neighbourhood into one bucket. They rank last among the minimisers, so
 only windows that consist of them alone use them, and such strings are equal, shipped once for each map batch.
 What counts as very common is a share of all runs, so at most ``2 * HOT_SHARE`` of them exist in any corpus.
+Runs below that share may still fill a bucket, as buckets keep their size while the corpus grows. So the words that each
+bucket would get are counted beforehand, and the windows of a heavy one are dealt by a second minimiser too, under
+another order: by what surrounds the common run. Equal windows have both minimisers in common and still meet.
 
 A string that a map batch holds twice repeats, whatever others hold: all of its windows do. Its places stay there and
 only the string travels, to be counted. So a passage of every text brings one string a batch to its bucket.
@@ -30,18 +33,24 @@ from .scratch import as_row, partitions, store
 from .textkernel import Block, U, block_of, blocks, lean, mix, packed, rolled, row_key, unpacked
 
 WIDTH, MER, HOT_SHARE = 35, 6, 4096
-#: Bytes of text whose super-k-mers are packed together; words of the corpus for each task that counts, at most.
-SENT_BYTES, TASK_WORDS = 8 << 20, 8_000_000
+#: Bytes of text whose super-k-mers are packed together; bytes of the corpus for each task that counts.
+SENT_BYTES, TASK_BYTES = 8 << 20, 48 << 20
 #: Of the compression of what travels.
 LEVEL = 6
-_TOP = U(1 << 63)
+#: A bucket is heavy with this many times the mean of words.
+HEAVY = 4
+_TOP, _OTHER = U(1 << 63), U(0xD1B54A32D192ED03)
 
 
-def _hot_runs(rows: DataFrame, mer: int) -> tuple[np.ndarray, int]:
-    """Runs that make up over 1 / HOT_SHARE of all runs (any such run has half that share in some map task); all runs' number."""
+def _surveyed(rows: DataFrame, width: int, mer: int, dealt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that make up over 1 / HOT_SHARE of all runs (any such run has half that share in some map task); heavy buckets.
+
+    A bucket is heavy if its words, copies and all, are over HEAVY times the mean: at most 1 / HEAVY of them are.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, kept = 0, []
+        total, kept, loads = 0, [], np.zeros(dealt, np.int64)
+        none = np.zeros(0, U)
         for batch in batches:
             for b in blocks(batch.column(0)):
                 h = rolled(b.hashes, mer)
@@ -49,18 +58,23 @@ def _hot_runs(rows: DataFrame, mer: int) -> tuple[np.ndarray, int]:
                 values, counts = np.unique(h, return_counts=True)
                 often = counts >= max(2, len(h) // (2 * HOT_SHARE))
                 kept.append((values[often], counts[often]))
+                _, _, n, deal = _super_kmers(b, width, mer, none, none, dealt)
+                loads += np.bincount((deal % U(dealt)).astype(np.int64), weights=n + width - 1, minlength=dealt).astype(np.int64)
         if total:
-            values = np.concatenate([v for v, _ in kept] + [np.zeros(1, U)])
-            counts = np.concatenate([c for _, c in kept] + [np.array([total])])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(np.arange(len(values)) == len(values) - 1)],
-                ["run", "n", "is_total"],
-            )
-
-    found = store(rows.select("text").mapInArrow(lean(counted), "run long, n long, is_total boolean").groupBy("run", "is_total").agg(F.sum("n").alias("n")))
-    total = found.where("is_total").agg(F.sum("n")).first()[0] or 0
-    hot = found.where(~F.col("is_total") & (F.col("n") >= max(64, total // (2 * HOT_SHARE)))).select("run").collect()
-    return np.sort(np.array([r[0] for r in hot], np.int64).view(U)), total
+            full = np.flatnonzero(loads)
+            values = np.concatenate([v for v, _ in kept] + [np.zeros(1, U), full.astype(U)])
+            counts = np.concatenate([c for _, c in kept] + [np.array([total]), loads[full]])
+            kind = np.zeros(len(values), np.int32)
+            kind[len(values) - len(full) - 1 :] = 2
+            kind[len(values) - len(full) - 1] = 1
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(kind)], ["run", "n", "kind"])
+
+    found = store(rows.select("text").mapInArrow(lean(counted), "run long, n long, kind int").groupBy("run", "kind").agg(F.sum("n").alias("n")))
+    total = found.where("kind = 1").agg(F.sum("n")).first()[0] or 0
+    hot = found.where((F.col("kind") == 0) & (F.col("n") >= max(64, total // (2 * HOT_SHARE)))).select("run").collect()
+    mean = (found.where("kind = 2").agg(F.sum("n")).first()[0] or 0) / dealt
+    heavy = found.where((F.col("kind") == 2) & (F.col("n") > HEAVY * mean)).select("run").collect()
+    return np.sort(np.array([r[0] for r in hot], np.int64).view(U)), np.sort(np.array([r[0] for r in heavy], np.int64).view(U))
 
 
 def _least_of(keys: np.ndarray, k: int) -> np.ndarray:
@@ -72,16 +86,22 @@ def _least_of(keys: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(out[: len(keys) - k + 1], out[k - have :]) if k > have else out
 
 
-def _super_kmers(b: Block, width: int, mer: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word, windows and minimiser of each super-k-mer of a block."""
+def _among(sorted_set: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, x), len(sorted_set) - 1)] == x if len(sorted_set) else np.zeros(len(x), bool)
+
+
+def _super_kmers(b: Block, width: int, mer: int, hot: np.ndarray, heavy: np.ndarray, dealt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word, windows and deal hash of each super-k-mer of a block: of the minimiser, in heavy buckets of two."""
     if len(b.hashes) < width:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),)
     runs = rolled(b.hashes, mer)
     keys = runs >> U(1)
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, runs), len(hot) - 1)
-        keys = np.where(hot[at] == runs, keys | _TOP, keys)
-    least = _least_of(keys, width - mer + 1)
+        keys = np.where(_among(hot, runs), keys | _TOP, keys)
+    least = mix(_least_of(keys, width - mer + 1))
+    if len(heavy):
+        crowded = _among(heavy, least % U(dealt))
+        least = np.where(crowded, mix(least ^ mix(_least_of(mix(runs ^ _OTHER), width - mer + 1))), least)
     doc = b.doc_of_word()
     inside = doc[: len(least)] == doc[width - 1 :]
     begins = inside.copy()
@@ -140,7 +160,7 @@ class _Batch:
             yield int(mix(one[0][:1].view(U))[0] % U(dealt)), zip_.compress(blob), True
         place = np.empty(len(strings), np.int64)  # of the one place of a string that is here once
         place[which] = np.arange(len(which))
-        bucket = (mix(least) % U(dealt)).astype(np.int64)
+        bucket = (least % U(dealt)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(dealt + 1))
         sizes = np.fromiter(map(len, strings), np.int32, len(strings))
@@ -152,11 +172,9 @@ class _Batch:
             yield k, zip_.compress(packed(text, sizes[own], windows[own].astype(np.int32), single, key[of], mark[of], at[of].astype(np.int32))), False
 
 
-def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataFrame:
-    """(key, mark, start, stop): word spans of ``rows`` (key, mark, text) that repeated windows cover."""
-    hot, total = _hot_runs(rows, mer)
-    tasks = partitions(rows.sparkSession, total, TASK_WORDS)
-    dealt = 4 * tasks  # a task has four buckets, one after the other
+def shipped(rows: DataFrame, width: int, mer: int, dealt: int) -> DataFrame:
+    """(bucket, blob, spans): the super-k-mers of ``rows`` by bucket, and spans that are known to repeat."""
+    hot, heavy = _surveyed(rows, width, mer, dealt)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(held: _Batch) -> Iterator[pa.RecordBatch]:
@@ -172,11 +190,20 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
                 if held.size + len(b.data) > SENT_BYTES:
                     yield from sent(held)
                     held = _Batch()
-                doc, first, n, least = _super_kmers(b, width, mer, hot)
+                doc, first, n, least = _super_kmers(b, width, mer, hot, heavy, dealt)
                 if len(first):
                     held.add(b, width, doc, first, n, least, keys, marks)
         yield from sent(held)
 
+    return rows.select("key", "mark", "text").mapInArrow(lean(ship), "bucket int, blob binary, spans boolean")
+
+
+def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataFrame:
+    """(key, mark, start, stop): word spans of ``rows`` (key, mark, text) that repeated windows cover."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = partitions(rows.sparkSession, size, TASK_BYTES)
+    dealt = 4 * tasks  # a task has four buckets, one after the other
+
     def count(blobs: list[bytes]) -> pa.RecordBatch | None:
         open_ = zstandard.ZstdDecompressor()
         parts = [unpacked(open_.decompress(x), "u1", "<i4", "<i4", "?", "<i8", "<i8", "<i4") for x in blobs]
@@ -233,7 +260,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, mer: int = MER) -> DataF
         if held and (found := count(held)) is not None:
             yield found
 
-    sent = rows.select("key", "mark", "text").mapInArrow(lean(ship), "bucket int, blob binary, spans boolean")
+    sent = shipped(rows, width, mer, dealt)
     # A task gets four buckets, whatever their numbers hash to.
     sent = sent.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
     return sent.mapInArrow(lean(reduce), "key long, mark long, start int, stop int")

@@ -66,7 +66,7 @@ def test_substrings_of_few_words(spark):
 
 
 def test_common_runs_rank_last(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "_hot_runs", lambda rows, mer: (np.sort(_runs(rows, mer)), 1))
+    monkeypatch.setattr(substring_dedup, "_surveyed", lambda rows, width, mer, dealt: (np.sort(_runs(rows, mer)), np.zeros(0, "<u8")))
     rows = _texts(3, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, substring_dedup.digest(substring_dedup.dedup(df)).collect())) == sorted(substring_dedup.brute_force(rows))
@@ -235,7 +235,7 @@ def test_jaccard_with_very_common_ngrams(spark, monkeypatch):
     common = " ".join(f"c{i}" for i in range(12))
     rows = [(i, f"{common} " + " ".join(rng.choices("abcdefgh", k=rng.randint(0, 40)))) for i in range(200)] + [(300 + i, common) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert len(ngram_jaccard.shingle_classes(df)[1])
+    assert len(ngram_jaccard.shingle_classes(df)[1].hot)
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.similar_groups(df).collect())
     assert got == sorted(ngram_jaccard.brute_force(rows))
 
