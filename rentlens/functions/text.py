@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -64,27 +63,43 @@ def amenities(text: Column, patterns: dict[str, str] | None = None) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e.value.isNotNull()))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("number", "raw", "method", "evidence")])))
-def permits(s: pd.Series) -> pd.Series:
-    """Permit numbers of a text with their evidence, exact ones first, each number once.
+def hits(text: Column, pattern: str) -> Column:
+    """Array of struct(raw, at): every hit of a pattern, and the code points before it. A hit has a character at least."""
+    p = f"(?iuU)(?:{pattern})"
+    raw, gaps = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
+    sized = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda total, x: total + F.char_length(x))
+    return F.transform(raw, lambda r, i: F.struct(r.alias("raw"), (sized(gaps, i + 1) + sized(raw, i)).alias("at")))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space at its ends, whatever its kind."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def _numbers(text: Column, pattern: str, method: str) -> Column:
+    """Hits of a pattern as struct(number, raw, method, evidence)."""
+    digits = lambda h: F.regexp_replace(h.raw, r"(?U)\D", "")
+    whole = lambda d: F.concat(F.substring(d, 1, 4), F.lpad(F.substring(d, 5, 6), 6, "0"))
+    number = lambda d: F.when(F.char_length(d).between(5, 10), whole(d)).otherwise(d) if method == "formatted" else d
+    start = lambda h: F.greatest(h["at"] - PERMIT_WINDOW, F.lit(0))
+    around = lambda h: trimmed(text.substr(start(h) + 1, h["at"] - start(h) + F.char_length(h.raw) + PERMIT_WINDOW))
+    return F.transform(hits(text, pattern), lambda h: F.struct(number(digits(h)).alias("number"), h.raw.alias("raw"), F.lit(method).alias("method"), around(h).alias("evidence")))
 
-    A hit needs a permit word within PERMIT_WINDOW characters. Year and serial make ten digits together.
+
+def permits(text: Column) -> Column:
+    """Array of struct(number, raw, method, evidence): permit numbers of a text, exact ones first, each number once.
+
+    A number is 20 and eight digits; year and serial stand for ten digits together. Its evidence is PERMIT_WINDOW
+    characters on either side, and has to hold a permit word. A null text has none.
     """
-    exact, formatted, near = re.compile(EXACT, re.I), re.compile(FORMATTED, re.I), re.compile(PERMIT_WORDS, re.I)
-
-    def of(text: str | None) -> list[dict]:
-        found: dict[str, dict] = {}
-        for method, pattern in (("exact", exact), ("formatted", formatted)):
-            for hit in pattern.finditer(text or ""):
-                around = text[max(0, hit.start() - PERMIT_WINDOW) : hit.end() + PERMIT_WINDOW].strip()
-                digits = "".join(c for c in hit[0] if c.isdecimal())
-                if method == "formatted" and 5 <= len(digits) <= 10:
-                    digits = digits[:4] + digits[4:].rjust(6, "0")
-                if near.search(around) and re.fullmatch(r"20\d{8}", digits):
-                    found.setdefault(digits, {"number": digits, "raw": hit[0], "method": method, "evidence": around})
-        return list(found.values())
-
-    return s.map(of)
+
+    def good(t: Column) -> Column:
+        found = F.concat(_numbers(t, EXACT, "exact"), _numbers(t, FORMATTED, "formatted"))
+        return F.filter(found, lambda n: n.number.rlike(r"(?U)^20\d{8}$") & n.evidence.rlike(f"(?iuU){PERMIT_WORDS}"))
+
+    once = lambda known: F.filter(known, lambda n, i: F.array_position(F.transform(known, lambda m: m.number), n.number) == i + 1)
+    # Each step is named by an array of one, so that it is evaluated once, and may come from Python.
+    return F.transform(F.transform(F.array(F.coalesce(text, F.lit(""))), good), once)[0]
 
 
 def room_ids(text: Column) -> Column:
