@@ -135,3 +135,49 @@ def classify(host: Column, business: Column, host_tokens: Column, business_token
     ):
         out = out.when(rule, kind)
     return out
+
+
+def _edits(length: Column) -> Column:
+    """Edits that leave two tokens, the longer of this length, as similar as a fuzzy match asks."""
+    return F.floor(length * (1 - FUZZY_ALL) + 1e-9).cast("int")
+
+
+def fuzzy_keys(token: Column, longer: bool) -> Column:
+    """Keys of a token, such that two that fuzzy matches may take for one share a key: one's as the longer, the other's not.
+
+    Among k edits one of k + 1 even pieces of the shorter token stays whole, and lies in the longer one within k places
+    of where it was. Keys hold both lengths, the piece's number, and its letters.
+    """
+    length = F.char_length(token)
+    key = lambda m, n, i, text: F.concat_ws(":", m, n, i, text)
+    begin = lambda n, i, k: F.floor(i * n / (k + 1)).cast("int")
+    numbers = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+    def of_longer(n: Column) -> Column:  # n: the shorter's length
+        k = _edits(length)
+
+        def piece(i: Column) -> Column:
+            at, size = begin(n, i, k), begin(n, i + 1, k) - begin(n, i, k)
+            return F.transform(numbers(F.greatest(at - k, F.lit(0)), F.least(at + k, length - size)), lambda p: key(length, n, i, token.substr(p + 1, size)))
+
+        return F.flatten(F.transform(numbers(F.lit(0), k), piece))
+
+    def of_shorter(m: Column) -> Column:  # m: the longer's length
+        k = _edits(m)
+        return F.transform(numbers(F.lit(0), k), lambda i: key(m, length, i, token.substr(begin(length, i, k) + 1, begin(length, i + 1, k) - begin(length, i, k))))
+
+    if longer:
+        return F.flatten(F.transform(numbers(F.greatest(length - _edits(length), F.lit(1)), length), of_longer))
+    widest = F.ceil(length / FUZZY_ALL).cast("int")
+    return F.flatten(F.transform(F.filter(numbers(length, widest), lambda m: m - length <= _edits(m)), of_shorter))
+
+
+def pair_keys(token_array: Column, host: bool) -> Column:
+    """Keys of a name by its meaningful tokens: a host and a business that classify() matches share one.
+
+    Rules want a token in common, whole, by its first four letters or as a variant, or tokens that are nearly equal.
+    """
+    tagged = lambda tag, keys: F.transform(keys, lambda x: F.concat(F.lit(tag), x))
+    begins = F.transform(F.filter(token_array, lambda t: F.char_length(t) >= 4), lambda t: F.substring(t, 1, 4))
+    near = [F.flatten(F.transform(token_array, lambda t: fuzzy_keys(t, longer))) for longer in (host, not host)]  # noqa: B023
+    return F.array_distinct(F.concat(tagged("t", token_array), tagged("b", begins), tagged("v", canonical(token_array)), tagged("x", near[0]), tagged("y", near[1])))

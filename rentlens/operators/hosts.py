@@ -36,3 +36,16 @@ def match_hosts(listings: DataFrame, licenses: DataFrame, researched: DataFrame
 
 def match_histogram(matched: DataFrame) -> DataFrame:
     return matched.groupBy(F.coalesce("match_type", F.lit("none")).alias("match_type")).agg(F.count("*").alias("n"))
+
+
+def matched_names(left: DataFrame, right: DataFrame, host: str, business: str) -> DataFrame:
+    """(host, business, match_type, confidence, score) of the distinct normal names that names.classify() matches.
+
+    Names meet by the keys of their tokens, and pairs are judged once; names without a meaningful token match nothing.
+    """
+    keyed = lambda df, c, is_host: df.select(F.col(c).alias("name")).distinct().withColumn("tokens", names.meaningful(F.col("name"))).withColumn("key", F.explode(names.pair_keys(F.col("tokens"), is_host)))
+    a, b = keyed(left, host, True), keyed(right, business, False)
+    a, b = (df.select("key", F.col("name").alias(c)) for df, c in ((a, "h"), (b, "b")))
+    pairs = a.join(b, "key").select("h", "b").distinct()
+    found = names.classify(F.col("h"), F.col("b"), names.meaningful(F.col("h")), names.meaningful(F.col("b")))
+    return pairs.withColumn("__m", found).where("__m is not null").select(F.col("h").alias(host), F.col("b").alias(business), "__m.*")

@@ -120,6 +120,20 @@ class Facets:
         return self.apply(df, skip=facet).groupBy(F.coalesce(F.col(column), F.lit("")).alias(column)).agg(F.count("*").alias("n"))
 
 
+    def all_counts(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
+        """(facet, value, n): counts() of several facets, each by its own column, in one pass over the rows.
+
+        A row that fails no condition counts for every facet; one that fails a single condition counts for the facet
+        of that condition alone, as its counts skip it; others count nowhere. columns: facet to column.
+        """
+        tests = self.conditions()
+        marks = [F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in tests.items()] or [F.lit(None).cast("string")]
+        cells = F.array(*(F.struct(F.lit(f).alias("facet"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for f, c in columns.items()))
+        rows = df.select(F.filter(F.array(*marks), lambda x: x.isNotNull()).alias("failed"), cells.alias("cells")).where(F.size("failed") <= 1)
+        mine = F.filter("cells", lambda x: (F.size("failed") == 0) | (F.get("failed", F.lit(0)) == x.facet))
+        return rows.select(F.explode(mine).alias("cell")).groupBy("cell.facet", "cell.value").agg(F.count("*").alias("n"))
+
+
 def hosts(df: DataFrame, key: str = "host_key") -> DataFrame:
     """Counts of each host's listings."""
     yes = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))

@@ -136,13 +136,20 @@ def scan_refreshed(spark, sf_dir):
     return watch.refreshed(cache, again, f.where("doc_id % 3 = 1").select("path")).select("path", "size", "version")
 
 
-@query("SELECT count(*) AS files, true AS same FROM documents")
+@query("""SELECT coalesce(source, '') AS source, count(*) AS files, bool_or(doc_id % 97 = 5) OR bool_or(doc_id % 89 = 3) OR bool_or(doc_id % 83 = 1) AS changed
+FROM documents GROUP BY 1""")
 def input_signature(spark, sf_dir):
-    """The signature does not depend on the order of files, and does on their sizes."""
-    f = _files(spark, sf_dir)
-    a, b, c = (watch.signature(x) for x in (f, f.orderBy(F.desc("path")), f.withColumn("size", F.col("size") + (F.col("doc_id") % 7 == 0).cast("int"))))
-    both = a.join(b.withColumnsRenamed({x: f"b_{x}" for x in b.columns})).join(c.withColumnsRenamed({x: f"c_{x}" for x in c.columns}))  # of one row each
-    return both.select("files", ((F.col("xor") == F.col("b_xor")) & (F.col("sum") == F.col("b_sum")) & (F.col("sum") != F.col("c_sum"))).alias("same"))
+    """Whether the signatures of a source's files differ between two looks, in which a few were written, touched or renamed."""
+    by = F.coalesce("source", F.lit("")).alias("source")
+    f = _files(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", by), "doc_id")
+    later = f.withColumns({
+        "size": F.when(F.col("doc_id") % 97 == 5, F.col("size") + 1).otherwise(F.col("size")),
+        "mtime": F.when(F.col("doc_id") % 89 == 3, F.col("mtime") + F.expr("interval 1 second")).otherwise(F.col("mtime")),
+        "path": F.when(F.col("doc_id") % 83 == 1, F.concat("path", F.lit("x"))).otherwise(F.col("path")),
+    }).orderBy(F.desc("path"))  # the order of files does not count
+    a, b = watch.signature(f, "source").alias("a"), watch.signature(later, "source").alias("b")
+    same = (F.col("a.xor") == F.col("b.xor")) & (F.col("a.sum") == F.col("b.sum")) & (F.col("a.files") == F.col("b.files"))
+    return a.join(b, "source").select("source", "a.files", (~same).alias("changed"))
 
 
 @query("SELECT 'f' || doc_id AS path, n_chars AS size FROM documents WHERE n_chars > 5000")
@@ -183,14 +190,17 @@ def utm_round_trip(spark, sf_dir):
     return p.select("vec_id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
-@query(f"WITH {POINTS} SELECT vec_id, 41 AS vertices, true AS closed, 250.0 AS least, 250.0 AS most FROM p")
+_RING = "radians(lat) AS f, radians(lon) AS g, (100.0 + vec_id % 400) / 6371008.8 AS d, i * pi() / 20 AS b"
+
+
+@query(f"""WITH {POINTS}, v AS (SELECT vec_id, i, {_RING} FROM p, (SELECT unnest(generate_series(0, 40)) AS i)),
+w AS (SELECT vec_id, i, g, b, d, f, asin(sin(f) * cos(d) + cos(f) * sin(d) * cos(b)) AS y FROM v)
+SELECT vec_id, i::INT AS vertex, round(degrees(g + atan2(sin(b) * sin(d) * cos(f), cos(d) - sin(f) * sin(y))), 7) AS lon, round(degrees(y), 7) AS lat FROM w""")
 def privacy_rings(spark, sf_dir):
-    """Every vertex of a ring is as far from its middle as its radius says."""
-    ring = geo.geodesic_ring(F.col("lon"), F.col("lat"), F.lit(250.0))
-    p = points(spark, sf_dir).withColumn("ring", ring)
-    far = F.transform("ring", lambda v: F.round(geo.haversine(F.col("lon"), F.col("lat"), v[0], v[1]), 4))
-    closed = F.sqrt(F.pow(F.col("ring")[0][0] - F.col("ring")[40][0], 2) + F.pow(F.col("ring")[0][1] - F.col("ring")[40][1], 2)) < 1e-9
-    return p.select("vec_id", F.size("ring").alias("vertices"), closed.alias("closed"), F.array_min(far).alias("least"), F.array_max(far).alias("most"))
+    """Every vertex of the rings around all points, whose radii differ."""
+    ring = geo.geodesic_ring(F.col("lon"), F.col("lat"), 100.0 + F.col("vec_id") % 400)
+    p = points(spark, sf_dir).select("vec_id", F.posexplode(ring).alias("vertex", "v"))
+    return p.select("vec_id", "vertex", F.round(F.col("v")[0], 7).alias("lon"), F.round(F.col("v")[1], 7).alias("lat"))
 
 
 @query("SELECT DISTINCT lower(p_brand) AS canonical_name, count(DISTINCT lower(p_type)) AS n FROM part GROUP BY 1")
@@ -201,10 +211,12 @@ def nickname_sql(spark, sf_dir):
     return spark.sql("SELECT canonical_name, count(*) AS n FROM nicknames GROUP BY canonical_name")
 
 
-@query("SELECT count(*) AS rows, 5 AS columns, list_contains(list(n_nationkey), 0) AS has_first FROM nation")
+@query("""SELECT o_orderstatus, count(*) AS rows, ['o_orderkey bigint', 'o_custkey bigint', 'o_orderstatus string'] AS columns,
+  min('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS first FROM orders GROUP BY o_orderstatus""")
 def inspected_digest(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.lit(1).alias("a"), F.lit(2).alias("b"), "n_nationkey", "n_name", "n_regionkey")
-    return tables.inspected(n).select("rows", F.size("columns").alias("columns"), F.contains("first", F.lit('"n_nationkey":0')).alias("has_first"))
+    """Rows, columns and the first row of the orders of each status."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return tables.inspected(o, "o_orderstatus")
 
 
 @query("""WITH RECURSIVE r AS (SELECT o_orderkey, o_orderkey % 90 + 1 AS w, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders),

@@ -197,6 +197,20 @@ def facet_counts_skip_self(spark, sf_dir):
     return f.counts(listings(spark, sf_dir), "rental_type", "rental_type")
 
 
+_LISTED = "l AS (SELECT p_type, p_brand, p_partkey % 4 = 0 AS party, greatest(0, p_size - 20) AS overage, p_partkey % 3 = 0 AS likely FROM part)"
+
+
+@query(f"""WITH {_LISTED}
+SELECT 'rental_type' AS facet, coalesce(p_type, '') AS value, count(*) AS n FROM l WHERE p_brand = 'Brand#13' AND overage >= 3 AND NOT party GROUP BY ALL
+UNION ALL SELECT 'host', coalesce(p_brand, ''), count(*) FROM l WHERE p_type = 'ECONOMY' AND overage >= 3 AND NOT party GROUP BY ALL
+UNION ALL SELECT 'party', party::VARCHAR, count(*) FROM l WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#13' AND overage >= 3 GROUP BY ALL
+UNION ALL SELECT 'likely_unlicensed', likely::VARCHAR, count(*) FROM l WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#13' AND overage >= 3 AND NOT party GROUP BY ALL""")
+def facet_counts_at_once(spark, sf_dir):
+    """The counts of four facets, one of them without a condition, from one scan."""
+    f = screening.Facets(rental_type="ECONOMY", host="Brand#13", least_overage=3.0, party=False)
+    return f.all_counts(listings(spark, sf_dir), {"rental_type": "rental_type", "host": "host_key", "party": "party", "likely_unlicensed": "likely"})
+
+
 @query("""SELECT p_brand AS host_key, count(*) AS total, count(*) FILTER (p_partkey % 3 = 0) AS likely, count(*) FILTER (p_partkey % 4 = 0) AS party,
   count(*) FILTER (p_size > 20) AS over FROM part GROUP BY 1""")
 def host_rollup_sorted(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import address, coerce, hotels, names, text
-from ..operators import nicknames
+from ..operators import hosts, nicknames
 from .registry import query, table
 
 #: Invented nicknames for words of part names.
@@ -83,38 +83,71 @@ def name_match_types(spark, sf_dir):
     return p.select("p_partkey", names.name_match(F.col("h"), F.col("o"), edges).alias("kind"))
 
 
-@query(f"WITH e(a, b) AS (VALUES {_VALUES}) SELECT a AS name1, b AS name2 FROM e UNION SELECT b, a FROM e")
+def _part_edges(spark, sf_dir):
+    """Brands as names, and the types and words of their parts as nicknames."""
+    p = table(spark, sf_dir, "part")
+    words = F.explode(F.concat(F.array("p_type"), F.split("p_name", " ")))
+    return p.select(F.col("p_brand").alias("name1"), F.lit(nicknames.RELATION).alias("relationship"), words.alias("name2")).distinct()
+
+
+_PART_EDGES = "e AS (SELECT DISTINCT p_brand AS a, unnest([p_type] || string_split(p_name, ' ')) AS b FROM part)"
+
+
+@query(f"WITH {_PART_EDGES} SELECT a AS name1, b AS name2 FROM e UNION SELECT b, a FROM e")
 def nickname_edges_symmetric(spark, sf_dir):
-    return nicknames.symmetric(_edges(spark))
+    return nicknames.symmetric(_part_edges(spark, sf_dir))
 
 
-@query(f"WITH e(a, b) AS (VALUES {_VALUES}) SELECT b AS name, list(DISTINCT a ORDER BY a) AS names FROM e GROUP BY b")
+@query(f"WITH {_PART_EDGES} SELECT lower(b) AS name, list(DISTINCT lower(a) ORDER BY lower(a)) AS names FROM e GROUP BY lower(b)")
 def nickname_invert(spark, sf_dir):
-    return nicknames.NickNamer(_edges(spark)).canonicals()
+    return nicknames.NickNamer(_part_edges(spark, sf_dir)).canonicals()
 
 
-@query(f"WITH e(a, b) AS (VALUES {_VALUES}), l AS (SELECT a, list(DISTINCT b ORDER BY b) AS n FROM e GROUP BY a) SELECT a AS canonical_name, n[1] AS nickname_1, n[2] AS nickname_2, n[3] AS nickname_3 FROM l")
+@query(f"WITH {_PART_EDGES}, l AS (SELECT a, list(DISTINCT b ORDER BY b) AS n FROM e GROUP BY a) SELECT a AS canonical_name, n[1] AS nickname_1, n[2] AS nickname_2, n[3] AS nickname_3 FROM l")
 def nickname_pivot(spark, sf_dir):
-    return nicknames.wide(_edges(spark), 3)
+    return nicknames.wide(_part_edges(spark, sf_dir), 3)
 
 
-@query(f"WITH e(a, b) AS (VALUES {_VALUES}) SELECT 'INSERT INTO names (name1, relationship, name2) VALUES (''' || a || ''', ''has_nickname'', ''' || b || ''');' AS statement FROM e")
+@query(f"WITH {_PART_EDGES} SELECT 'INSERT INTO names (name1, relationship, name2) VALUES (''' || a || ''', ''has_nickname'', ''' || b || ''');' AS statement FROM e")
 def nickname_insert_statements(spark, sf_dir):
-    return nicknames.insert_statements(_edges(spark), "names")
-
-
-@query("""WITH p AS (SELECT DISTINCT upper(p_name) AS n FROM part), q AS (SELECT DISTINCT upper(p_name) || ' X' AS n FROM part),
-t AS (SELECT p.n AS a, q.n AS b, list_filter(string_split(p.n, ' '), lambda x: len(x) >= 3) AS h, list_filter(string_split(q.n, ' '), lambda x: len(x) >= 3) AS o FROM p, q)
-SELECT a, b, CASE WHEN starts_with(b, a || ' ') THEN 0.97 WHEN list_has_all(o, h) THEN 0.94
-  WHEN len(list_filter(h, lambda x: len(x) >= 4 AND len(list_filter(o, lambda y: len(y) >= 4 AND (starts_with(x, y) OR starts_with(y, x)))) > 0)) = len(h) THEN 0.86
-  WHEN len(list_filter(h, lambda x: len(x) >= 4 AND list_contains(o, x))) > 0 THEN 0.66 END::DOUBLE AS score FROM t""")
+    return nicknames.insert_statements(_part_edges(spark, sf_dir), "names")
+
+
+#: Invented hosts and businesses from the words of parts: whole, turned, cut, misspelt, and by a short name.
+_NEAR = "t[1:1] || 'X' || t[3:]"
+_HOSTS = f"[x || ' ' || y, y || ' ' || x, y, left(t, len(t) - 1), {_NEAR}, 'BILL ' || y, 'BILL', {_NEAR} || ' ROD', left(x, len(x) - 1) || ' ' || left(y, len(y) - 1)]"
+_BUSINESSES = "[x || ' ' || y, x || ' ' || y || ' ' || t, 'WILLIAM ' || y || ' CO', t || ' ROD', t || ' ' || y || ' LLC']"
+_VARIANT = ", ".join(f"('{t}', '{line.split()[0]}')" for line in names.VARIANTS.split("\n") for t in line.split())
+_SAYING = f"list_filter(string_split(NAME, ' '), lambda x: len(x) >= 3 AND NOT list_contains({names.IGNORED!r}, x))"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS x, upper(split_part(p_name, ' ', 2)) AS y, p_type AS t FROM part),
+v AS (SELECT DISTINCT ON (a) a, c FROM (VALUES {_VARIANT}) AS k(a, c)), m AS (SELECT map(list(a), list(c)) AS m FROM v),
+a AS (SELECT a, {_SAYING.replace("NAME", "a")} AS h FROM (SELECT DISTINCT unnest({_HOSTS}) AS a FROM p)),
+b AS (SELECT b, {_SAYING.replace("NAME", "b")} AS o FROM (SELECT DISTINCT unnest({_BUSINESSES}) AS b FROM p)),
+c AS (SELECT a, b, h, o, len(h) AS n, list_transform(h, lambda x: coalesce(m[x], x)) AS hc, list_transform(o, lambda x: coalesce(m[x], x)) AS oc,
+  list_transform(h, lambda x: list_max(list_transform(o, lambda y: 1 - levenshtein(x, y) / greatest(len(x), len(y))))) AS s,
+  list_transform(h, lambda x: len(list_filter(o, lambda y: len(x) >= 4 AND len(y) >= 4 AND (starts_with(x, y) OR starts_with(y, x)))) > 0) AS pre FROM a, b, m),
+d AS (SELECT a, b, CASE WHEN n = 0 OR len(o) = 0 THEN NULL WHEN a = b THEN 'exact_full_name' WHEN len(a) >= 5 AND contains(' ' || b || ' ', ' ' || a || ' ') THEN 'complete_name_in_license'
+  WHEN n >= 2 AND list_has_all(o, h) THEN 'all_host_name_tokens' WHEN n = 1 AND len(h[1]) >= 4 AND list_has_all(o, h) THEN 'one_name_match'
+  WHEN n = 1 AND list_bool_or(pre) THEN 'one_name_prefix_match' WHEN n >= 2 AND list_bool_and(pre) THEN 'all_name_prefix_matches'
+  WHEN n = 1 AND list_has_all(oc, hc) THEN 'one_name_variant_match' WHEN n >= 2 AND list_has_all(oc, hc) THEN 'all_name_variants_match'
+  WHEN len(list_filter(h, lambda x: len(x) >= 4 AND list_contains(o, x))) > 0 THEN 'partial_name_match'
+  WHEN n >= 2 AND list_min(s) >= 0.84 AND list_sum(s) / n >= 0.9 THEN 'fuzzy_name_match' WHEN n = 1 AND len(h[1]) >= 5 AND s[1] >= 0.86 THEN 'fuzzy_one_name_match' END AS match_type, list_sum(s) / n AS mean FROM c)
+SELECT a, b, match_type, CASE match_type WHEN 'exact_full_name' THEN 1 WHEN 'complete_name_in_license' THEN 0.97 WHEN 'all_host_name_tokens' THEN 0.94 WHEN 'one_name_match' THEN 0.78
+  WHEN 'one_name_prefix_match' THEN 0.74 WHEN 'all_name_prefix_matches' THEN 0.86 WHEN 'one_name_variant_match' THEN 0.75 WHEN 'all_name_variants_match' THEN 0.9 WHEN 'partial_name_match' THEN 0.66
+  ELSE round(mean, 4) END::DOUBLE AS score FROM d WHERE match_type IS NOT NULL""")
 def fuzzy_name_scores(spark, sf_dir):
-    """All pairs of the distinct part names: a closed vocabulary of two-word names, however many parts there are."""
-    words = table(spark, sf_dir, "part").select("p_name").distinct()
-    left = words.select(names.normal_name(F.col("p_name"), True).alias("a"))
-    right = words.select(names.normal_name(F.concat("p_name", F.lit(" X")), True).alias("b"))
-    pairs = left.withColumn("h", names.meaningful(F.col("a"))).join(right.withColumn("o", names.meaningful(F.col("b"))))
-    return pairs.select("a", "b", names.classify(F.col("a"), F.col("b"), F.col("h"), F.col("o"))["score"].alias("score"))
+    """Hosts and businesses that any of the rules matches, met by the keys of their tokens."""
+    p = table(spark, sf_dir, "part").select(F.upper(F.split("p_name", " ")[0]).alias("x"), F.upper(F.split("p_name", " ")[1]).alias("y"), F.col("p_type").alias("t")).distinct()
+    x, y, t = F.col("x"), F.col("y"), F.col("t")
+    less = lambda c: c.substr(F.lit(1), F.char_length(c) - 1)
+    said = lambda *cs: F.concat_ws(" ", *cs)
+    near = F.concat(F.substring(t, 1, 1), F.lit("X"), t.substr(F.lit(3), F.char_length(t)))
+    made = [said(x, y), said(y, x), y, less(t), near, said(F.lit("BILL"), y), F.lit("BILL"), said(near, F.lit("ROD")), said(less(x), less(y))]
+    other = [said(x, y), said(x, y, t), said(F.lit("WILLIAM"), y, F.lit("CO")), said(t, F.lit("ROD")), said(t, y, F.lit("LLC"))]
+    left, right = (p.select(F.explode(F.array(*cs)).alias(c)) for cs, c in ((made, "a"), (other, "b")))
+    return hosts.matched_names(left, right, "a", "b").select("a", "b", "match_type", "score")
 
 
 @query("""SELECT c_custkey, round(1 - levenshtein(c_name, 'Customer#000000123') / greatest(len(c_name), 18), 6)::DOUBLE AS similarity FROM customer""")

@@ -185,7 +185,8 @@ def shard(spark: SparkSession, path: str, bucket: str, value: str) -> DataFrame:
     return spark.read.json(path).where(F.col(bucket).cast("string") == value).drop(bucket)  # only that folder is read
 
 
-def inspected(df: DataFrame) -> DataFrame:
-    """(rows, columns, first): how many rows there are, the columns' names and types, and one row as JSON."""
+def inspected(df: DataFrame, *by: str) -> DataFrame:
+    """(rows, columns, first): how many rows there are, the columns' names and types, and one row as JSON; of each group, if asked."""
     kinds = F.array(*(F.lit(f"{f.name} {f.dataType.simpleString()}") for f in df.schema.fields))
-    return df.agg(F.count("*").alias("rows"), F.min(F.to_json(F.struct("*"))).alias("first")).select("rows", kinds.alias("columns"), "first")
+    found = df.groupBy(*by).agg(F.count("*").alias("rows"), F.min(F.to_json(F.struct(*df.columns))).alias("first"))
+    return found.select(*by, "rows", kinds.alias("columns"), "first")

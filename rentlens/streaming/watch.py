@@ -13,10 +13,10 @@ SCANNER_VERSION = 1
 LEAST_INTERVAL_S, REFRESH_S = 5, 300
 
 
-def signature(files: DataFrame) -> DataFrame:
-    """One row: a hash over (path, size, mtime) in any order, and the number of files."""
+def signature(files: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each group: a hash over (path, size, mtime) in any order, and the number of files."""
     row = F.xxhash64("path", "size", "mtime")
-    return files.agg(F.count("*").alias("files"), F.bit_xor(row).alias("xor"), F.sum(row.cast("decimal(38,0)")).alias("sum"))
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.bit_xor(row).alias("xor"), F.sum(row.cast("decimal(38,0)")).alias("sum"))
 
 
 def to_scan(files: DataFrame, cache: DataFrame, version: int = SCANNER_VERSION) -> DataFrame:

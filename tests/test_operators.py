@@ -298,3 +298,43 @@ def test_archive_and_preview(spark, tmp_path):
     server = cli.serve(f"file://{tmp_path}", 0)
     assert urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/x.txt").read() == b"here"
     server.shutdown()
+
+
+def test_names_meet_as_all_pairs_do(spark):
+    """Matched names by their keys equal those of all pairs, without a cartesian product; every rule is hit."""
+    import random
+
+    from rentlens.functions import names
+    from rentlens.operators import hosts
+
+    rng = random.Random(3)
+    words = ["STANDARD", "ECONOMY", "ADMINISTRATION", "ROD", "WIDGET", "BILL", "WILLIAM", "SUSIE", "SUSANNE", "POE", "ANN", "CHRISTOPHERSON", "INTERNATIONALISATION", "RINGO", "LLC", "OF", "AB"]
+
+    def typo(w):
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            i = rng.randrange(len(w))
+            w = rng.choice([w[:i] + "Q" + w[i + 1 :], w[:i] + w[i + 1 :] or "Z", w[:i] + "K" + w[i:]])
+        return w
+
+    made = lambda n: sorted({" ".join(typo(rng.choice(words)) for _ in range(rng.choice([1, 1, 2, 3]))) for _ in range(n)} | {""})
+    a, b = (spark.createDataFrame([(x,) for x in made(220)], f"{c} string") for c in ("h", "b"))
+    got = hosts.matched_names(a, b, "h", "b")
+    judged = a.crossJoin(b).withColumn("m", names.classify(F.col("h"), F.col("b"), names.meaningful(F.col("h")), names.meaningful(F.col("b")))).where("m is not null").select("h", "b", "m.*")
+    want = {tuple(r) for r in judged.collect()}
+    assert {tuple(r) for r in got.collect()} == want
+    assert {r[2] for r in want} >= {"one_name_prefix_match", "one_name_variant_match", "fuzzy_name_match", "fuzzy_one_name_match", "partial_name_match", "exact_full_name"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_facet_counts_at_once_equal_each(spark):
+    from rentlens.operators import screening
+
+    df = spark.createDataFrame([(["a", "b", None][i % 3], f"h{i % 5}", i % 4 == 0, float(i % 9)) for i in range(300)], "rental_type string, host_key string, party boolean, overage double")
+    f = screening.Facets(rental_type="a", host="h2", party=False, least_overage=4.0)
+    columns = {"rental_type": "rental_type", "host": "host_key", "party": "party", "least_overage": "overage"}
+    got = {(r.facet, r.value): r.n for r in f.all_counts(df, columns).collect()}
+    want = {(facet, str(r[0]).lower() if facet == "party" else str(r[0])): r.n for facet, c in columns.items() for r in f.counts(df.withColumn(c, F.col(c).cast("string")) if facet != "party" and facet != "least_overage" else df.withColumn("as_text", F.col(c).cast("string")), facet, c if facet not in ("party", "least_overage") else "as_text").collect()}
+    assert got == want
+    plan = f.all_counts(df.repartition(2), columns)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
