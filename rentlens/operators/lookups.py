@@ -9,6 +9,8 @@ from ..functions import buckets, coerce, geo
 from . import spatial
 
 REACH_M = 550.0
+#: Tiles of views that are sent to all tasks, at most.
+MOST_ASKED = 100_000
 
 
 def view_tiles(views: DataFrame, tiles: DataFrame, per_degree: int = 100) -> DataFrame:
@@ -18,6 +20,22 @@ def view_tiles(views: DataFrame, tiles: DataFrame, per_degree: int = 100) -> Dat
     return rows.withColumn("tile", F.concat_ws("_", "__x", "__y")).drop("__x", "__y").join(tiles, "tile")
 
 
+def in_views(views: DataFrame, path: str, lon: str = "lon", lat: str = "lat", per_degree: int = 100) -> DataFrame:
+    """Pairs of a view (west, south, east, north) and a point in it, of a table that sinks.write_tiles() wrote.
+
+    The tiles that views touch are known when the table is read: Spark prunes its folders by them as the join runs, so
+    files of other tiles are not opened, as long as views touch MOST_ASKED tiles or fewer: more are not sent to all
+    tasks. A view that is turned round, or null, holds nothing.
+    """
+    spark = views.sparkSession
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) * per_degree), F.floor(F.col(hi) * per_degree))
+    rows = views.where("west <= east and south <= north").withColumn("__x", F.explode(span("west", "east"))).withColumn("__y", F.explode(span("south", "north")))
+    asked = rows.withColumn("tile", F.concat_ws("_", "__x", "__y")).drop("__x", "__y")
+    asked = F.broadcast(asked) if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED else asked
+    inside = F.col(lon).between(F.col("west"), F.col("east")) & F.col(lat).between(F.col("south"), F.col("north"))
+    return spark.read.parquet(path).join(asked, "tile").where(inside)
+
+
 def bounds_meet(west, south, east, north, x0, y0, x1, y1) -> Column:
     """Whether two boxes touch."""
     c = lambda v: F.col(v) if isinstance(v, str) else v

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, labels
 from ..operators import candidates, lookups
+from ..sources import sinks
+from .fixtures import POINTS, points
 from .registry import query, table
 
 _CUSTOMERS = "SELECT c_custkey, (c_custkey % 97) / 100.0 + 0.003 AS lon, (c_custkey % 53) / 100.0 + 0.004 AS lat FROM customer"
@@ -81,3 +85,15 @@ def match_badges(spark, sf_dir):
     kind = F.when(n == 0, "license_number").when(n == 1, "permit_owner_nickname").when(n == 2, "owner_first_name").when(n == 3, "owner_name").otherwise("distance")
     rows = table(spark, sf_dir, "lineitem").select(labels.match_label(kind).alias("label"), labels.match_color(kind).alias("color"))
     return rows.groupBy("label", "color").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {POINTS}, v AS (SELECT n_nationkey, -86.85 + n_nationkey * 0.005 AS west, 36.10 + (n_nationkey % 6) * 0.02 AS south FROM nation WHERE n_nationkey % 3 = 1)
+SELECT n_nationkey, vec_id FROM v JOIN p ON lon BETWEEN west AND west + 0.008 AND lat BETWEEN south AND south + 0.008""")
+def points_in_views(spark, sf_dir):
+    """Points of the views of some nations, from a table by tiles of which only theirs are opened."""
+    path = f"{sinks.shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    p = points(spark, sf_dir)
+    sinks.write_tiles(p.withColumn("tile", geo.tile_key(F.col("lon"), F.col("lat"))), path)
+    west, south = F.lit(-86.85) + F.col("n_nationkey") * 0.005, F.lit(36.10) + (F.col("n_nationkey") % 6) * 0.02
+    views = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 1").select("n_nationkey", west.alias("west"), south.alias("south"), (west + 0.008).alias("east"), (south + 0.008).alias("north"))
+    return lookups.in_views(views, path).select("n_nationkey", "vec_id")

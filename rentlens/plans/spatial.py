@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, names, rules
-from ..operators import candidates, delta, spatial
+from ..operators import candidates, delta, outlines, spatial
 from .fixtures import POINTS, points
 from .registry import query, table
 
@@ -278,3 +278,48 @@ def typed_candidate_matches_whole(spark, sf_dir):
     near = spatial.within_radius(hosts, b, METRES).select(F.col("vec_id").alias("listing_id"), F.col("r_id").alias("id"), F.round("distance_m", 3).alias("distance_m"), "host_tokens")
     nick = F.create_map(*(v for k, ns in nickname_map().items() for v in (F.lit(k), F.array(*map(F.lit, ns)))))
     return candidates.typed_matches(near, properties, permit, nick).select("listing_id", "parcel", "type", "distance_m")
+
+
+_LOTS = "c AS (SELECT c_custkey % 40 AS i, c_custkey // 40 AS j, c_nationkey % 5 AS district FROM customer)"
+
+
+def _lots(spark, sf_dir):
+    """Customers as lots of a town, side by side, each of a district."""
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).alias("i"), F.floor(F.col("c_custkey") / 40).alias("j"), (F.col("c_nationkey") % 5).alias("district"))
+    x, y = F.col("i") * 30.0, F.col("j") * 20.0
+    return c.select("district", geo.box(x, y, x + 30.0, y + 20.0).alias("rings"))
+
+
+@query(f"""WITH {_LOTS}, s AS (SELECT c.*, EXISTS (FROM c d WHERE d.district = c.district AND d.i = c.i - 1 AND d.j = c.j) AS w, EXISTS (FROM c d WHERE d.district = c.district AND d.i = c.i + 1 AND d.j = c.j) AS e,
+  EXISTS (FROM c d WHERE d.district = c.district AND d.i = c.i AND d.j = c.j - 1) AS s, EXISTS (FROM c d WHERE d.district = c.district AND d.i = c.i AND d.j = c.j + 1) AS n FROM c)
+SELECT district, count(*) * 600.0::DOUBLE AS area, sum(20.0 * ((NOT w)::INT + (NOT e)::INT) + 30.0 * ((NOT s)::INT + (NOT n)::INT))::DOUBLE AS length FROM s GROUP BY district""")
+def dissolved_outlines(spark, sf_dir):
+    """Area and length of the outline of each district's lots, once the edges between them have cancelled."""
+    return outlines.measures(outlines.edges(_lots(spark, sf_dir), "district", "rings"), "district")
+
+
+@query(f"WITH {_LOTS} SELECT district, count(*) * 600.0::DOUBLE AS area FROM c GROUP BY district")
+def dissolved_rings(spark, sf_dir):
+    """The rings of each district, outsides and holes, have its lots' area between them."""
+    return outlines.dissolved(_lots(spark, sf_dir), "district", "rings").groupBy("district").agg(F.sum("area").alias("area"))
+
+
+@query("""SELECT c_custkey, n_nationkey, least(c_custkey % 90, n_nationkey + 10)::DOUBLE AS yards FROM customer JOIN nation ON c_nationkey % 5 = n_regionkey""")
+def overlap_depths(spark, sf_dir):
+    """How deep areas from the west reach into squares, in whole yards; all true depths are some yards and four tenths."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", (2 * (F.col("n_nationkey") + 10.4) * outlines.YARD_M).alias("w"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 5).alias("n_regionkey"), ((F.col("c_custkey") % 90 + 0.4) * outlines.YARD_M).alias("deep"))
+    pairs = c.join(n, "n_regionkey").select("c_custkey", "n_nationkey", geo.box(-50, -10, F.col("deep"), 100).alias("a"), geo.box(0, 0, F.col("w"), F.col("w")).alias("b"))
+    return outlines.depths(pairs, "a", "b").select("c_custkey", "n_nationkey", F.round("depth_yards").alias("yards"))
+
+
+@query("SELECT c_custkey, round(c_custkey + (c_custkey % 7 + 3) / 6, 9)::DOUBLE AS x, round((c_custkey % 11 + 3) * 2 / 3, 9)::DOUBLE AS y FROM customer")
+def inner_points(spark, sf_dir):
+    """Points within shapes like an L, whose middles lie outside."""
+    w, h = (F.col("c_custkey") % 7 + 3).cast("double"), (F.col("c_custkey") % 11 + 3).cast("double")
+    x = F.col("c_custkey").cast("double")
+    at = lambda a, b: F.array(x + a, F.lit(0.0) + b)
+    zero = F.lit(0.0)
+    ring = F.array(at(zero, zero), at(w, zero), at(w, h / 3), at(w / 3, h / 3), at(w / 3, h), at(zero, h), at(zero, zero))
+    p = outlines.inner_point(F.array(ring))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(p["x"], 9).alias("x"), F.round(p["y"], 9).alias("y"))

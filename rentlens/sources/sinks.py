@@ -36,6 +36,11 @@ def write_archive(df: DataFrame, path: str, per_part: int = 250) -> None:
     write_chunks(df, path, per_part)
 
 
+def write_tiles(df: DataFrame, path: str, tile: str = "tile") -> None:
+    """Rows in a folder for each tile, so that readers open the tiles that they ask for; a crowded tile has several files."""
+    df.hint("rebalance", F.col(tile)).write.mode("overwrite").partitionBy(tile).parquet(path)
+
+
 def key_union(df: DataFrame, cells: str, fields: list[str] | None = None) -> DataFrame:
     """One column for each key that any row's map has, in order, or for each of ``fields``; other keys are ignored.
 

@@ -119,3 +119,40 @@ def test_names_tool(spark, tmp_path):
     (tmp_path / "n.csv").write_text("a,b\n")
     with pytest.raises(SystemExit):
         run("normalize")
+
+
+def test_only_tiles_of_the_views_are_opened(spark, tmp_path):
+    from rentlens.functions import geo
+    from rentlens.operators import lookups
+    from rentlens.sources import sinks
+
+    path = f"file://{tmp_path}/tiles"
+    rows = spark.range(400).selectExpr("id", "-86 + (id % 20) * 0.01 + 0.005 as lon", "36 + floor(id / 20) * 0.01 + 0.005 as lat").coalesce(1)
+    sinks.write_tiles(rows.withColumn("tile", geo.tile_key(F.col("lon"), F.col("lat"))), path)
+    views = spark.createDataFrame([(1, -85.978, 36.012, -85.962, 36.028), (2, 5.0, 5.0, 4.0, 6.0), (3, None, 0.0, 1.0, 1.0)], "view int, west double, south double, east double, north double")
+    found = lookups.in_views(views, path)
+    got = {r.id for r in found.collect()}
+    assert got == {r.id for r in rows.collect() if -85.978 <= r.lon <= -85.962 and 36.012 <= r.lat <= 36.028} and got
+    plan = found._jdf.queryExecution()
+    assert "dynamicpruning" in plan.toString().lower()
+    leaves = plan.executedPlan().toString()
+    assert "FileScan parquet" in leaves
+    scans = [n for n in _nodes(plan.executedPlan()) if n.nodeName().startswith("Scan parquet")]
+    opened = [n.metrics().apply("numFiles").value() for n in scans]
+    assert sum(opened) <= 9 < len(list((tmp_path / "tiles").glob("tile=*")))
+
+
+def _nodes(plan):
+    """A physical plan's nodes, those of its final adaptive stages too."""
+    out, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        out.append(p)
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        else:
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out
