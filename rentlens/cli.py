@@ -73,6 +73,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
                 if a.archive:
                     sinks.write_archive(made["out_of_scope"], f"{output}/archive")
                 seen, state = now, "built"
+                sinks.clear(spark)  # nothing of this build is read again
             except Exception as e:
                 if not a.watch:
                     raise

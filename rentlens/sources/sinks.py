@@ -122,10 +122,23 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the folder of ``spark.checkpoint.dir`` and read back: one computation, a short plan."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what settled() has written so far, once nothing reads it any more; how many tables that were."""
+    for path in (gone := _written[:]):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _written.remove(path)
+    return len(gone)
+
+
 def memoised(spark: SparkSession, folder: str | None, name: str, key: object, make) -> DataFrame:
     """What ``make`` returns, written under the hash of ``key``: a later build of the same inputs reads it. No folder, no memory.
 

@@ -132,3 +132,13 @@ def test_watch_stops_and_publishes_versions(spark, tmp_path):
     assert [r.listing_id for r in versions.table(spark, out, "listings").collect()] == ["7"]
     assert versions.table(spark, out, "report").first().listings == 1
     assert json.loads((tmp_path / "out" / "scanner_status.json").read_text())["state"] == "stopped"
+
+
+def test_written_tables_are_cleared(spark, tmp_path, monkeypatch):
+    from rentlens.sources import sinks
+
+    monkeypatch.setattr(sinks, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(sinks, "_written", [])
+    assert [sinks.settled(spark.range(3)).count(), sinks.settled(spark.range(4)).count()] == [3, 4]
+    assert len(list(tmp_path.iterdir())) == 2 and sinks.clear(spark) == 2
+    assert not list(tmp_path.iterdir()) and sinks.clear(spark) == 0
