@@ -29,10 +29,23 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what store() has written so far, once no result that reads it is needed any more; how many tables that were."""
+    for path in (gone := _written[:]):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _written.remove(path)
+    return len(gone)
+
+
 def partitions(spark: SparkSession, size: float = 0, each: float = 1) -> int:
     """Parts to deal rows to: as the session says, and enough for ``each`` of ``size`` a part."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-size // each)))

@@ -60,3 +60,12 @@ def test_no_two_of_many_words_agree():
     words = [f"{i:x}" for i in range(200_000)] + [hashlib.md5(str(i).encode()).hexdigest() for i in range(100_000)]
     b = _block(*words)
     assert len(np.unique(b.hashes)) == len(np.unique(b.second)) == len(words)
+
+
+def test_stored_tables_are_cleared(spark, tmp_path, monkeypatch):
+    from rentlens.llm import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(scratch, "_written", [])
+    assert scratch.store(spark.range(3)).count() == 3
+    assert scratch.clear(spark) == 1 and not list(tmp_path.iterdir())
