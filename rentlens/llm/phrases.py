@@ -31,6 +31,8 @@ from .textkernel import _SPACE, U, block_of, blocks, lean, mix, packed, unpacked
 MOST, LEAST, SUBSUMED, TOP = 3, 10, 50, 2000  # words of a phrase; occurrences; per cent; phrases a language
 #: Bytes of text of a shard; of the corpus for each bucket.
 SHARD_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+#: Entries that a bucket holds before it merges them, at least.
+MERGE_ROWS = 1 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[46, 44, 59, 58, 33, 63, 10, 11, 12, 13]] = True
 _PARTS = _SPACE | _BREAK
@@ -176,7 +178,7 @@ def counts(docs: DataFrame, most: int = MOST, least: int = LEAST, lang_col: str
             yield sealed(held, list(numbers))
 
     def add_up(blobs: list[bytes]) -> pa.RecordBatch:
-        open_, numbers, tables = zstandard.ZstdDecompressor(), {}, []
+        open_, numbers, tables, waiting, had = zstandard.ZstdDecompressor(), {}, [], 0, 0
         for x in blobs:
             names, size, text, n, count, lang = unpacked(open_.decompress(x), "u1", "<i4", "u1", "<i4", "<i4", "<i4")
             at, raw = np.cumsum([0, *size.tolist()]).tolist(), names.tobytes()
@@ -185,8 +187,10 @@ def counts(docs: DataFrame, most: int = MOST, least: int = LEAST, lang_col: str
             np.cumsum(n, out=offsets[1:])
             phrase = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text)))
             tables.append(pa.table({"lang": own[lang], "phrase": phrase, "f": count.astype(np.int64)}))
-            if len(tables) >= 16:  # what is held grows with the distinct phrases
-                tables = [merged(tables)]
+            waiting += len(n)
+            if waiting > max(had, MERGE_ROWS):  # what is held grows with the distinct phrases, and each is merged a few times
+                tables, waiting = [merged(tables)], 0
+                had = len(tables[0])
         found = merged(tables)
         found = found.filter(pa.compute.or_(pa.compute.greater_equal(found["f"], least), pa.compute.equal(found["phrase"], "")))
         names = pa.array(list(numbers), pa.string()).take(found["lang"].combine_chunks())

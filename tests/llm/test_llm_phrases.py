@@ -55,6 +55,7 @@ def _texts(seed, n):
 def test_matches_brute_force(spark, monkeypatch, seed, shard):
     monkeypatch.setattr(phrases, "SHARD_BYTES", shard)
     monkeypatch.setattr(phrases, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(phrases, "MERGE_ROWS", 50)
     rows = _texts(seed, 400) + [("en", None), (None, ""), ("de", "solo " * 3000), ("en", "x" * 5000 + " y z")]
     df = spark.createDataFrame([(*r, 1, "c") for r in rows], "lang string, text string, f int, phrase string").repartition(6)
     got = sorted(map(tuple, phrases.collocations(df, top=300).collect()))
