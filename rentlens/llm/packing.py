@@ -32,6 +32,10 @@ STEPS = 100
 _OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-ɏ]|<\\||[^\\s]{400}|\\s{400}")
 
 
+#: Pieces that a task numbers, about.
+TASK_PIECES = 1_000_000
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -191,9 +195,10 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     Other columns pass through, whatever their names; those named as one that is added are replaced.
     """
     spark = cut.sparkSession
-    buckets = 4 * partitions(spark)
     added = ("sequence_id", "offset")
-    cut = store(cut.select(as_row(cut, added), "doc_id", "piece", "ids_crc32", "length", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int").alias("bucket")))
+    cut = store(cut.select(as_row(cut, added), "doc_id", "piece", "ids_crc32", "length"))
+    buckets = 4 * partitions(spark, cut.count(), TASK_PIECES)
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = store(cut.groupBy("bucket", "length").agg(F.count("*").alias("n")))
     have = np.zeros(length + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():

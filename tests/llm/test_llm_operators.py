@@ -360,6 +360,37 @@ def test_packing_plan_uses_every_piece_once(found):
     assert sequences <= 1.7 * bound + 1
 
 
+def _fewest(sizes: tuple[int, ...], room: int) -> int:
+    """Exact bin packing: the fewest bins, by trying every bin for each piece, longest first."""
+    best = [len(sizes)]
+
+    def go(i: int, bins: tuple[int, ...]) -> None:
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] >= sizes[i] and bins[k] not in bins[:k]:
+                go(i + 1, (*bins[:k], bins[k] - sizes[i], *bins[k + 1 :]))
+        go(i + 1, (*bins, room - sizes[i]))
+
+    go(0, ())
+    return best[0]
+
+
+def test_plans_of_few_pieces_against_exact_packing():
+    """Of small inputs, at most one sequence more than there have to be, and mostly none."""
+    rng, exact = random.Random(1), 0
+    for _ in range(300):
+        sizes = tuple(sorted((rng.randint(1, 32) for _ in range(rng.randint(1, 11))), reverse=True))
+        got = sum(n for _, n in packing.packing_plan(np.bincount(sizes, minlength=33), 32))
+        want = _fewest(sizes, 32)
+        assert want <= got <= want + 1
+        exact += got == want
+    assert exact >= 270
+
+
 def test_packing_round_trip(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     cut = packing.pack(packing.pieces(docs, with_ids=True))
@@ -433,3 +464,22 @@ def test_pipeline_stages(spark):
     packed = stage["best_fit_packing"](spark, mixed, SF)
     assert packed.where("piece = 0").count() == mixed.count()
     assert cp.run(spark, SF).count() == packed.count()
+
+
+def test_pipeline_stages_match_brute_force(spark):
+    """The toxicity stage drops what the classifier marks and nothing else; the mixing stage takes what plain draws take."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF1}/documents.parquet")
+    labels = spark.read.parquet(f"{SF1}/labels.parquet")
+    stage = dict(cp.STAGES)
+    marked = {r.doc_id for r in toxicity.toxicity(docs, labels).where("predicted = 1").collect()}
+    kept = [r.doc_id for r in stage["toxicity"](spark, docs, SF1).select("doc_id").collect()]
+    assert marked and sorted([*kept, *marked]) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    clean = {r.doc_id for r in labels.where("toxic = 0").collect()}
+    assert marked & toxic and len(marked & clean) <= 0.01 * len(clean)
+    listed = [(r.doc_id, r.source, r.place, r.size) for r in mixing.sized(docs).collect()]
+    want = {d: n for d, n in mixing.brute_force(listed).items() if n}
+    mixed = {r.doc_id: r["count"] for r in stage["mixing"](spark, docs, SF1).groupBy("doc_id").count().collect()}
+    assert mixed == want
