@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import lookups, records, spatial, tabular, textual  # noqa: E402, F401  they register themselves
+from . import lookups, more, records, spatial, tabular, textual  # noqa: E402, F401  they register themselves
