@@ -202,8 +202,7 @@ def dissolved(spark, wkts: list[str]) -> str:
     reader, shapes = jts.io.WKTReader(), spark._jvm.java.util.ArrayList()
     for wkt in wkts:
         shapes.add(jts.geom.util.GeometryFixer.fix(reader.read(wkt)))
-    made = jts.operation.union.UnaryUnionOp.union(shapes)
-    return made.toText() if made is not None else "GEOMETRYCOLLECTION EMPTY"
+    return jts.geom.GeometryFactory().buildGeometry(shapes).union().toText()
 
 
 def interior_point(spark, wkt: str) -> tuple[float, float]:
