@@ -146,11 +146,11 @@ def size_chunks(df: DataFrame, group: str, order: str, size: str, most: int) ->
     return rows.join(F.broadcast(known), "__range").groupBy("__range").applyInPandas(fold, schema)
 
 
-def hash_tree(df: DataFrame, part: str, order: str, value: str, block: int = 1000, fan: int = 16) -> DataFrame:
+def hash_tree(df: DataFrame, part: str, order: str, value: str, block: int = 1000, fan: int = 16, top: int | None = None) -> DataFrame:
     """(part, level, block, rows, sha256): checksums of each part's values in order, ``block`` rows at a time, and a tree above them.
 
     Level 0 hashes the values of a block, joined by line feeds; each higher one the checksums of ``fan`` blocks below,
-    up to one root a part. A null value counts as empty. Ties of the order are in the order of their values. No task
+    up to one root a part, or up to level ``top`` if given. A null value counts as empty. Ties of the order are in the order of their values. No task
     holds more than a range of rows, or ``fan`` checksums, of a part.
     """
     if block < 1 or fan < 2:
@@ -160,7 +160,7 @@ def hash_tree(df: DataFrame, part: str, order: str, value: str, block: int = 100
     inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "at.v"))), lambda x: x.v), "\n")
     level = settled(placed.groupBy("part", F.floor(F.col("place") / block).alias("block")).agg(F.count("*").alias("rows"), F.sha2(inner, 256).alias("sha256")).withColumn("level", F.lit(0)))
     levels = [level]
-    while (level.agg(F.max("block")).first()[0] or 0) > 0:
+    while (top is None or len(levels) <= top) and (level.agg(F.max("block")).first()[0] or 0) > 0:
         held = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "sha256"))), lambda x: x.sha256), "\n")
         # A part that has its root already is not hashed again.
         wide = level.join(level.where("block > 0").select("part").distinct().withColumnRenamed("part", "__p"), F.col("part").eqNullSafe(F.col("__p")), "left_semi")

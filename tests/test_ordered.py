@@ -83,3 +83,22 @@ def test_hash_tree_names_the_block(spark, monkeypatch):
     found = {tuple(r) for r in ordered.tampered(tree, ordered.hash_tree(bad, "p", "i", "v", 8, 3), "p").collect()}
     at = lambda i: (rows[i][1], [r[0] for r in rows if r[1] == rows[i][1]].index(i) // 8)
     assert found == {at(201), *(at(i) for i in range(295, 300))}
+
+
+def test_hash_tree_ends_at_the_level_that_is_asked_for(spark):
+    df = spark.range(300).selectExpr("id AS i", "'a' AS p", "string(id) AS v")
+    whole, cut = (ordered.hash_tree(df, "p", "i", "v", 8, 3, top) for top in (None, 2))
+    assert {r[0] for r in whole.select("level").distinct().collect()} == {0, 1, 2, 3, 4}
+    assert {tuple(r) for r in cut.collect()} == {tuple(r) for r in whole.where("level <= 2").collect()}
+
+
+def test_block_checksums_of_large_nations_end_where_their_sql_does(spark, tmp_path):
+    import duckdb
+
+    from rentlens.plans import registry
+
+    spark.range(2500).selectExpr("id AS c_custkey", "concat('n', id) AS c_name", "int(3) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.QUERIES["block_checksums"](spark, str(tmp_path)).select("c_nationkey", "level", "block", "rows", "sha256")
+    db = duckdb.connect()
+    db.execute(f"create view customer as from '{tmp_path}/customer.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(db.execute(registry.ORACLES["block_checksums"]).fetchall())
