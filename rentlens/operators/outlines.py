@@ -6,10 +6,11 @@ edge. The rest is chained to rings by pointer jumping, so a long outline takes r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from ..functions import geo
 from ..sources.sinks import settled
 
 YARD_M = 0.9144
+#: Pairs of shapes whose depths a task remembers, about.
+KNOWN = 50_000
 
 
 def _signed_area(ring: Column) -> Column:
@@ -129,20 +132,45 @@ def deepest(a: list, b: list, within: float) -> tuple[float, float, float] | Non
     return (best, float(at[0]), float(at[1])) if best >= 0 else None
 
 
+def _shapes(polygons: pa.Array) -> list[bytes | None]:
+    """Of each polygon, what tells equal ones: the numbers of its rings and points, and the coordinates."""
+    rings = polygons.flatten()
+    points = rings.flatten()
+    sized = [pc.fill_null(pc.list_value_length(a), -1).to_numpy(zero_copy_only=False).astype(np.int32) for a in (polygons, rings, points)]
+    xy = pc.fill_null(points.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+    ends = [np.concatenate([[0], np.cumsum(np.maximum(n, 0))]) for n in sized]
+    out: list[bytes | None] = []
+    for i, n in enumerate(sized[0]):
+        r0, r1 = ends[0][i], ends[0][i + 1]
+        p0, p1 = ends[1][r0], ends[1][r1]
+        out.append(None if n < 0 else b"".join((sized[0][i : i + 1].tobytes(), sized[1][r0:r1].tobytes(), sized[2][p0:p1].tobytes(), xy[ends[2][p0] : ends[2][p1]].tobytes())))
+    return out
+
+
+def _measured(batches: Iterable[pa.RecordBatch], rings: str, other: str, within: float) -> Iterator[pa.RecordBatch]:
+    known: dict[tuple, tuple] = {}
+    for batch in batches:
+        if len(known) > KNOWN:
+            known.clear()
+        found = []
+        for i, pair in enumerate(zip(*(_shapes(batch.column(c)) for c in (rings, other)), strict=True)):
+            if pair not in known:
+                known[pair] = deepest(*(batch.column(c)[i].as_py() for c in (rings, other)), within) or (None, None, None)
+            found.append(known[pair])
+        deep, x, y = zip(*found, strict=True) if found else ((), (), ())
+        made = ([None if v is None else v / YARD_M for v in deep], x, y)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.float64()) for v in made)], names=[*batch.schema.names, "depth_yards", "deep_x", "deep_y"])
+
+
 def depths(pairs: DataFrame, rings: str, other: str, within: float = YARD_M / 4) -> DataFrame:
     """``pairs`` with depth_yards, deep_x, deep_y: how far polygon ``rings`` reaches into ``other`` at its deepest; null where they do not meet.
 
-    One pair is one row, wherever it lies; polygons are in metres. The depth is right to ``within`` metres.
+    One pair is one row, wherever it lies; polygons are in metres. The depth is right to ``within`` metres. Equal pairs
+    of shapes are measured once a task, as long as it remembers them.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", depth_yards double, deep_x double, deep_y double"
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [deepest(a, b, within) or (None, None, None) for a, b in zip(pdf[rings], pdf[other], strict=True)]
-            deep, x, y = (np.array([f[i] for f in found], float) for i in range(3))
-            yield pdf.assign(depth_yards=deep / YARD_M, deep_x=x, deep_y=y)
-
-    return pairs.mapInPandas(go, schema)
+    return pairs.mapInArrow(lambda batches: _measured(batches, rings, other, within), schema)
 
 
 def inner_point(rings: Column) -> Column:

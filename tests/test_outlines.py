@@ -76,3 +76,21 @@ def test_inner_points_lie_inside(spark):
     got = {r.g: (r.p, r.ok) for r in df.select("g", p.alias("p"), geo.inside(p["x"], p["y"], F.col("rings")).alias("ok")).collect()}
     assert all(got[g][1] for g in ("u", "ring", "box")) and tuple(got["box"][0]) == (4.0, 5.0)
     assert got["flat"][0] is None and got["none"][0] is None
+
+
+def test_equal_pairs_of_shapes_are_measured_once(monkeypatch):
+    import pyarrow as pa
+
+    calls, real = [], outlines.deepest
+    monkeypatch.setattr(outlines, "deepest", lambda a, b, within: calls.append(1) or real(a, b, within))
+    box = lambda x, w: [[[x, 0.0], [x + w, 0.0], [x + w, 9.0], [x, 9.0], [x, 0.0]]]
+    shapes = [(box(0, 5), box(2, 9)), (box(0, 5), box(3, 9)), (None, box(2, 9)), ([], box(2, 9)), ([[]], box(2, 9)), (box(0, 5)[0:1] * 2, box(2, 9))]
+    rows = [(i, *shapes[i % 6]) for i in range(600)]
+    kind = pa.list_(pa.list_(pa.list_(pa.float64())))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), *(pa.array([r[k] for r in part], kind) for k in (1, 2))], names=["i", "a", "b"])
+    out = [r for b in outlines._measured([batch(rows[:300]), batch(rows[300:]).slice(0, 300)], "a", "b", 0.1) for r in b.to_pylist()]
+    assert len(calls) == 6
+    for r in out:
+        want = real(r["a"], r["b"], 0.1)
+        assert (r["depth_yards"] is None) == (want is None)
+        assert want is None or r["depth_yards"] == want[0] / outlines.YARD_M and (r["deep_x"], r["deep_y"]) == want[1:]
