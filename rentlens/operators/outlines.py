@@ -179,16 +179,22 @@ def inner_point(rings: Column) -> Column:
     Null for polygons without area. The line avoids all corners, so it crosses edges only.
     """
 
+    # Each step is bound to a name by a lambda: written out in place of it, the heights would be sorted anew at each use.
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
     def of(r: Column) -> Column:
         heights = F.array_sort(F.array_distinct(F.transform(F.flatten(r), lambda p: p[1])))
-        middle = (F.array_min(heights) + F.array_max(heights)) / 2
+        return let(heights, lambda hs: let((F.element_at(hs, 1) + F.element_at(hs, -1)) / 2, lambda middle: at_height(r, hs, middle)))
+
+    def at_height(r: Column, heights: Column, middle: Column) -> Column:
         low = F.array_max(F.filter(heights, lambda h: h <= middle))
         high = F.array_min(F.filter(heights, lambda h: h > middle))
-        y = (low + high) / 2
+        return let((low + high) / 2, lambda y: let(crossed(r, y), lambda spans: let(F.array_max(spans), lambda widest: F.when(widest.wide > 0, F.struct(widest.x.alias("x"), y.alias("y"))))))
+
+    def crossed(r: Column, y: Column) -> Column:
         cross = lambda s: F.when((s.a[1] > y) != (s.b[1] > y), s.a[0] + (y - s.a[1]) * (s.b[0] - s.a[0]) / (s.b[1] - s.a[1]))
-        xs = F.array_sort(F.filter(F.transform(F.flatten(F.transform(r, geo._segments)), cross), lambda x: x.isNotNull()))
-        spans = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 2, F.lit(0)), F.lit(2)), lambda i: F.struct((F.get(xs, i + 1) - F.get(xs, i)).alias("wide"), ((F.get(xs, i) + F.get(xs, i + 1)) / 2).alias("x")))
-        widest = F.array_max(spans)
-        return F.when(widest.wide > 0, F.struct(widest.x.alias("x"), y.alias("y")))
+        crosses = F.array_sort(F.filter(F.transform(F.flatten(F.transform(r, geo._segments)), cross), lambda x: x.isNotNull()))
+        pair = lambda xs, i: F.struct((F.get(xs, i + 1) - F.get(xs, i)).alias("wide"), ((F.get(xs, i) + F.get(xs, i + 1)) / 2).alias("x"))
+        return let(crosses, lambda xs: F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 2, F.lit(0)), F.lit(2)), lambda i: pair(xs, i)))
 
-    return F.transform(F.array(rings), of)[0]
+    return let(rings, of)

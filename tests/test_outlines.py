@@ -94,3 +94,9 @@ def test_equal_pairs_of_shapes_are_measured_once(monkeypatch):
         want = real(r["a"], r["b"], 0.1)
         assert (r["depth_yards"] is None) == (want is None)
         assert want is None or r["depth_yards"] == want[0] / outlines.YARD_M and (r["deep_x"], r["deep_y"]) == want[1:]
+
+
+def test_inner_point_sorts_its_heights_once(spark):
+    ring = F.array(*(F.array(F.col("id") + float(x), F.lit(float(y))) for x, y in ((0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3), (0, 0))))
+    plan = spark.range(1).select(outlines.inner_point(F.array(ring)).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1
