@@ -7,7 +7,11 @@ touches; see cells. Both are shuffled by cell. Polygons are copied to the cells
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,9 @@ from ..functions import geo
 from ..sources.sinks import settled
 from .cells import EARTH_M, FARTHEST_M, KEY, Cells, cells, on_earth  # noqa: F401
 
+#: Pairs of points that a task looks at in one step.
+PAIRS = 1 << 19
+
 
 def within_radius(left: DataFrame, right: DataFrame, metres: float, left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat"), distance: str = "distance_m", made: Cells | None = None) -> DataFrame:
     """Pairs no farther apart than ``metres`` on the sphere; points that are null, or beyond a pole, pair with nothing.
@@ -22,11 +29,82 @@ def within_radius(left: DataFrame, right: DataFrame, metres: float, left_xy=("lo
     made: cells() of ``left``, if there are some; else they are made, which counts its rows.
     """
     made = made or cells(left, metres, *left_xy)
-    a, b = made.home(left, *left_xy), made.touched(right, *right_xy)
+    a, b = (_dealt(df) for df in (made.home(left, *left_xy), made.touched(right, *right_xy)))
     d = geo.haversine(F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1]))
     return a.join(b, list(KEY)).withColumn(distance, d).where(F.col(distance) <= metres).drop(*KEY)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Dealt by cell to as many tasks as the session says: points are few bytes, which would be one task, but much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
+
+
+Fold = Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray, np.ndarray], dict]
+
+
+def folded(left: DataFrame, right: DataFrame, metres: float, fold: Fold, schema: str, order: tuple[str, ...] = (), left_xy=("lon", "lat"), right_xy=("r_lon", "r_lat")) -> DataFrame:
+    """What ``fold`` makes of the pairs of within_radius(), in the task that finds them: pairs are not shuffled, and few are held at once.
+
+    fold(a, b, i, j, d) gets some rows ``a`` of ``left``, all rows ``b`` of ``right`` in reach of their cell, in
+    ``order`` (nulls first), and the pairs: row i of a, row j of b, distance d. Pairs come by i, then j, and all pairs
+    of a row come together. It returns the columns of ``schema``. Rows without pairs are not seen.
+    """
+    made = cells(left, metres, *left_xy)
+    sides = ((made.home(left.where(on_earth(*left_xy)), *left_xy), left, left_xy, "__a"), (made.touched(right, *right_xy), right, right_xy, "__b"))
+    a, b = (rows.select(*KEY, F.col(xy[0]).cast("double").alias("__x"), F.col(xy[1]).cast("double").alias("__y"), F.struct(*(f"`{c}`" for c in of.columns)).alias(name)) for rows, of, xy, name in sides)
+    both = _dealt(a.unionByName(b, allowMissingColumns=True))
+    return both.mapInArrow(lambda batches: _fold_cells(batches, metres, fold, order), schema)
+
+
+def _fold_cells(batches: Iterable[pa.RecordBatch], metres: float, fold: Fold, order: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    sides = []
+    for name in ("__a", "__b"):
+        own = rows.filter(pc.is_valid(rows[name]))
+        own = pa.Table.from_batches([pa.RecordBatch.from_struct_array(c) for c in own[name].chunks], schema=pa.schema(rows.schema.field(name).type)), own
+        if name == "__b" and order:
+            at = pc.sort_indices(own[0], sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
+            own = own[0].take(at), own[1].take(at)
+        key = np.stack([own[1][k].to_numpy() for k in KEY], axis=1) if own[1].num_rows else np.zeros((0, len(KEY)), np.int64)
+        sides.append((own[0].combine_chunks(), key, *(np.radians(own[1][c].to_numpy()) for c in ("__x", "__y"))))
+    (a, a_key, *a_at), (b, b_key, *b_at) = sides
+    cell = np.unique(np.concatenate([a_key, b_key]), axis=0, return_inverse=True)[1].reshape(-1)
+    a_cell, b_cell = cell[: len(a_key)], cell[len(a_key) :]
+    a_by, b_by = (np.argsort(c, kind="stable") for c in (a_cell, b_cell))
+    a_cell, b_cell = a_cell[a_by], b_cell[b_by]
+    unit = lambda x, y: np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)], axis=1)
+    a_unit, b_unit = unit(*a_at), unit(*b_at)
+    least = np.cos(min(metres / EARTH_M, np.pi)) - 4e-15  # a little more than the radius; the distance itself decides
+    for c in np.unique(a_cell):
+        mine, theirs = (by[np.searchsorted(k, c) : np.searchsorted(k, c, "right")] for by, k in ((a_by, a_cell), (b_by, b_cell)))
+        if not len(theirs):
+            continue
+        there, step = b.take(theirs), max(1, PAIRS // len(theirs))
+        other, rx, ry = b_unit[theirs].T, b_at[0][theirs], b_at[1][theirs]
+        for k in range(0, len(mine), step):
+            own = mine[k : k + step]
+            i, j = np.nonzero(a_unit[own] @ other >= least)
+            x, y = a_at[0][own][i], a_at[1][own][i]
+            h = np.sin((ry[j] - y) / 2) ** 2 + np.cos(y) * np.cos(ry[j]) * np.sin((rx[j] - x) / 2) ** 2
+            d = 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+            near = d <= metres
+            if near.any():
+                yield pa.RecordBatch.from_pydict(fold(a.take(own), there, i[near], j[near], d[near]))
+
+
+def first_rows(*by: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Of each run of equal i, the pair that is least by the columns in turn; the first one among equals."""
+    at = np.arange(len(i))
+    for values in by:
+        starts = np.flatnonzero(np.diff(i[at], prepend=-1))
+        runs = np.diff(np.append(starts, len(at)))
+        at = at[values[at] == np.repeat(np.minimum.reduceat(values[at], starts), runs)]
+    return at[np.flatnonzero(np.diff(i[at], prepend=-1))]
+
+
 def _by_neighbor(left: DataFrame, right: DataFrame, metres: float, left_xy, right_xy, how: str) -> DataFrame:
     made = cells(left, metres, *left_xy)
     a, b = made.home(left, *left_xy), made.touched(right.select(*right_xy), *right_xy)
@@ -65,10 +143,16 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, metres:
     left = left.select(key, *left_xy).where(on_earth(*left_xy))
     right = settled(right.select(right_key, *right_xy).where(on_earth(*right_xy)))
     metres /= 2 ** max([0, *cells(right, metres, *right_xy).deep.values()])
+    types = f"k {left.schema[key].dataType.simpleString()}, id {right.schema[right_key].dataType.simpleString()}, d double"
+
+    def closest(a, b, i, j, d):
+        at = first_rows(d, i=i)
+        return {"k": a[key].take(i[at]).combine_chunks(), "id": b[right_key].take(j[at]).combine_chunks(), "d": d[at]}
+
     todo, rounds = settled(left), []
     while True:
-        pairs = within_radius(todo, right, metres, left_xy, right_xy)
-        best = pairs.groupBy(key).agg(F.min(F.struct("distance_m", F.col(right_key).alias("id"))).alias("b"))
+        seen = folded(todo, right, metres, closest, types, (right_key,), left_xy, right_xy)
+        best = seen.groupBy("k").agg(F.min(F.struct("d", "id")).alias("b")).select(F.col("k").alias(key), F.struct(F.col("b.d").alias("distance_m"), "b.id").alias("b"))
         rounds.append(settled(best.select(key, F.col("b.id").alias("nearest"), F.col("b.distance_m").alias("distance_m"))))
         todo = settled(todo.join(rounds[-1].select(key), key, "left_anti"))
         if metres >= FARTHEST_M or todo.isEmpty() or right.isEmpty():
