@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import buckets, coerce, names, rules
+from ..sources.sinks import settled
+from . import spatial
 
 #: Ranks of kinds of match; matches that count only within WEAK_M.
 WEAK = ("partial_name_match", "fuzzy_one_name_match")
@@ -71,11 +75,66 @@ def reverse_index(matches: DataFrame) -> DataFrame:
 
 
 def best_of(scored: DataFrame, key: str, score: str = "score", distance: str = "distance_m", columns: tuple[str, ...] = ()) -> DataFrame:
-    """The candidate of the highest score, nearest first, and how many there are."""
-    best = F.max_by(F.struct(score, distance, *columns), F.struct(F.col(score), -F.col(distance)))
+    """The candidate of the highest score, nearest first, then of the least ``columns``, and how many there are."""
+    best = F.min_by(F.struct(score, distance, *columns), F.struct((-F.col(score)).alias("s"), F.col(distance).alias("d"), *columns))
     return scored.groupBy(key).agg(best.alias("b"), F.count("*").alias("candidate_count")).select(key, "b.*", "candidate_count")
 
 
+def best_near(left: DataFrame, right: DataFrame, key: str, metres: float, score: str, columns: tuple[str, ...] = (), digits: int = 3) -> DataFrame:
+    """best_of() of all points of ``right`` within ``metres`` of each row of ``left``, by the score that ``right`` has.
+
+    Distances are rounded to ``digits``; among equal scores and distances the least ``columns`` count. Rows of a key
+    are one candidate list. Pairs stay in the task that finds them.
+    """
+    types = {f.name: f.dataType.simpleString() for df in (left, right) for f in df.schema}
+    schema = ", ".join(f"`{c}` {t}" for c, t in ((key, types[key]), (score, "double"), ("distance_m", "double"), *((c, types[c]) for c in columns), ("candidate_count", "long")))
+
+    def best(a, b, i, j, d):
+        points, d = b[score].to_numpy(), np.round(d, digits)
+        at = spatial.first_rows(-points[j], d, i=i)
+        n = np.diff(np.append(np.flatnonzero(np.diff(i, prepend=-1)), len(i)))
+        return {key: a[key].take(i[at]).combine_chunks(), score: points[j[at]], "distance_m": d[at], **{c: b[c].take(j[at]).combine_chunks() for c in columns}, "candidate_count": n}
+
+    found = spatial.folded(left, right, metres, best, schema, columns)
+    first = F.min(F.struct((-F.col(score)).alias("s"), "distance_m", *columns)).alias("b")
+    return found.groupBy(key).agg(first, F.sum("candidate_count").alias("candidate_count")).select(key, (-F.col("b.s")).alias(score), "b.distance_m", *(f"b.{c}" for c in columns), "candidate_count")
+
+
+def lists_near(left: DataFrame, right: DataFrame, key: str, item: str, metres: float, rank: str | None = None, digits: int = 3) -> DataFrame:
+    """(key, items): the items of all points of ``right`` within ``metres`` of each row of ``left``, by rank, distance and item.
+
+    Distances are rounded to ``digits``. A list is made in the task that finds its pairs; only keys of several rows have
+    their pairs shuffled.
+    """
+    schema = f"`{key}` {left.schema[key].dataType.simpleString()}, items array<{right.schema[item].dataType.simpleString()}>"
+
+    def listed(a, b, i, j, d):
+        level = np.unique(b[rank].to_numpy(), return_inverse=True)[1] if rank else np.zeros(b.num_rows, np.int64)
+        step = np.rint(d * 10**digits).astype(np.int64)
+        parts = (i, level[j], step, j)
+        bits = [int(p.max()).bit_length() for p in parts]
+        if sum(bits) < 63:  # one number a pair; sorting it sorts them all
+            packed = parts[0].astype(np.int64)
+            for p, n in zip(parts[1:], bits[1:], strict=True):
+                packed = packed << n | p
+            packed.sort()
+            order = packed & ((1 << bits[3]) - 1)
+        else:
+            order = j[np.lexsort((j, step, level[j], i))]
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        items = b[item].combine_chunks().take(order)
+        return {key: a[key].take(i[starts]).combine_chunks(), "items": pa.ListArray.from_arrays(np.append(starts, len(i)).astype(np.int32), items)}
+
+    many = settled(left.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("__k")))
+    if many.isEmpty():
+        return spatial.folded(left, right, metres, listed, schema, (item,))
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    once = spatial.folded(left.join(many, same, "left_anti"), right, metres, listed, schema, (item,))
+    pairs = spatial.within_radius(left.join(many, same, "left_semi"), right, metres)
+    order = F.struct((F.col(rank) if rank else F.lit(0)).alias("r"), F.round("distance_m", digits).alias("d"), F.col(f"`{item}`").alias("i"))
+    return once.unionByName(pairs.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.i).alias("items")))
+
+
 def strong_enough(kind: Column, distance: Column) -> Column:
     return ~kind.isin(*WEAK) | (distance <= WEAK_M)
 
