@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .coerce import before_marker
-from .text import first_hit, nfkc, place_of
+from .text import first_hit, let, nfkc, place_of
 
 #: Hotel brands, and local hotels by name; both can be replaced.
 BRANDS = (
@@ -58,8 +58,10 @@ def _sentence(text: Column, kind: str, named: str) -> Column:
     """The first sentence of a field that says the place is a hotel; kind: type, identity or narrative."""
 
     def says(s: Column) -> Column:
-        # A name goes before a generic word, wherever it stands in the sentence.
-        at = F.coalesce(place_of(s, named), place_of(s, GENERIC))
+        # Most sentences have neither a name nor a word, which one look tells. A name goes before a generic word, wherever it stands.
+        return s.rlike(f"(?iuU)(?:{named}|{GENERIC})") & let(F.coalesce(place_of(s, named), place_of(s, GENERIC)), lambda at: about(s, at))
+
+    def about(s: Column, at: Column) -> Column:
         size = F.char_length(_hit(s, named))
         start = F.greatest(at - BEFORE, F.lit(0))
         around = F.substring(s, start + 1, at - start + size + AFTER)
@@ -100,15 +102,14 @@ def classify(fields: dict[str, Column], reported: Column, not_hotel: Column, bra
     place = first(_found(k, F.regexp_extract(v, rf"(?iuU)\b{override[1]}\b", 0), "host_override", F.when(host == override[0], _windowed(v, rf"\b{override[1]}\b", OVERRIDE_SAYS))) for k, v in own.items())
     kinds = {k: "type" if k in TYPES else "identity" if k in IDENTITY else "narrative" for k in fields if k != "location_name"}
     sentences = {k: _sentence(fields[k], kind, named) for k, kind in kinds.items()}
-    said = F.filter(F.array(*(_found(k, _hit(v, named), "hotel_words", F.substring(F.trim(v), 1, EVIDENCE)) for k, v in sentences.items())), lambda h: h.evidence.isNotNull())
+    said = F.filter(F.array(*(let(v, lambda v, k=k: _found(k, _hit(v, named), "hotel_words", F.substring(F.trim(v), 1, EVIDENCE))) for k, v in sentences.items())), lambda h: h.evidence.isNotNull())
     hits = F.concat(inn, place, said)
-    none = F.slice(hits, 1, 0)
+    none = F.array().cast("array<struct<field:string,match:string,rule:string,evidence:string>>")
     made = lambda hotel, rule, evidence, hits: F.struct(F.lit(hotel).alias("likely_hotel"), rule.alias("rule"), evidence.cast("string").alias("evidence"), hits.alias("hits"))
     no = F.lit(None)
     return (
         F.when(_any(fields, (*TYPES, "title", "name"), TINY), made(False, F.lit("tiny_home"), no, none))
         .when(F.coalesce(not_hotel, F.lit(False)) & ~explicit_room(fields), made(False, F.lit("user_submitted_not_hotel"), no, none))
         .when(F.coalesce(reported, F.lit(False)), made(True, F.lit("hotel_submission"), no, none))
-        .when(F.size(hits) > 0, made(True, hits[0]["rule"], hits[0]["evidence"], hits))
-        .otherwise(made(False, F.lit("none"), no, none))
+        .otherwise(let(hits, lambda h: F.when(F.size(h) > 0, made(True, h[0]["rule"], h[0]["evidence"], h)).otherwise(made(False, F.lit("none"), no, none))))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +43,11 @@ def without_marks(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where the value is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def place_of(text: Column, pattern: str) -> Column:
     """Code points before a pattern's first hit, as substring() counts them; null without one."""
     p = f"(?iuU)(?:{pattern})"

@@ -159,7 +159,8 @@ def name_similarity(spark, sf_dir):
   CASE p_partkey % 6 WHEN 0 THEN 'tiny_home' WHEN 1 THEN 'user_submitted_not_hotel' WHEN 2 THEN 'hotel_submission' WHEN 3 THEN 'inn_default' WHEN 4 THEN 'hotel_words' ELSE 'none' END AS rule FROM part""")
 def hotel_rules(spark, sf_dir):
     k = F.col("p_partkey") % 6
-    p = table(spark, sf_dir, "part")
+    # Few bytes and much work: as many tasks as the session says.
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     title = F.when(k == 0, F.concat(F.lit("Tiny house by a hotel "), "p_name")).when(k == 3, F.concat(F.lit("The "), "p_name", F.lit(" Inn"))).otherwise(F.col("p_name"))
     description = F.when(k == 4, F.lit("Fine rooms. Welcome to our boutique hotel, with a bar.")).when(k == 5, F.lit("A flat near the Hilton. Walk to a resort.")).otherwise(F.lit("A flat."))
     fields = {"title": title, "rental_type": F.lit("Entire home"), "description": description, "host_name": F.lit("Bob")}

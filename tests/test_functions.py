@@ -268,3 +268,14 @@ def test_boundary_buffers(spark):
     assert len(geo.bands(spark, "POLYGON((0 0, 1000 0, 1000 1000, 0 1000, 0 0))", [-100, 0, 100])) == 2
     deep = geo.penetration_yards(spark, "POLYGON((-500 200, 100 200, 100 800, -500 800, -500 200))", "POLYGON((0 0, 1000 0, 1000 1000, 0 1000, 0 0))")
     assert abs(deep - 100 / 0.9144) < 1
+
+
+def test_hotel_rules_look_for_evidence_once(spark):
+    from rentlens.functions import hotels
+
+    df = spark.createDataFrame([("A flat. Welcome to our hotel", "Bob")], "description string, host_name string")
+    h = hotels.classify({c: F.col(c) for c in df.columns}, F.lit(False), F.lit(False))
+    out = df.select(h.alias("h"))
+    assert out.first().h.rule == "hotel_words"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 12 and plan.count("filter(") <= 8
