@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +76,62 @@ def name_match(host: Column, owner: Column, nicknames: Column) -> Column:
     return F.when(off, None).when(whole, "owner_name").when(first, "owner_first_name").when(nick & ((F.size(host) == 1) | F.arrays_overlap(host, owner)), "owner_nickname")
 
 
+class Owners:
+    """name_match() of many hosts with some owners at once, in a task. Each is a list of names: the owner's, then those of permits."""
+
+    def __init__(self, lists: list[list[list[str | None] | None]], nicknames: dict[str, list[str]]):
+        self.nicknames = nicknames
+        number: dict[tuple, int] = {}
+        known = [[number.setdefault(tuple(n), len(number)) if n else -1 for n in names] for names in lists]
+        self.names = number
+        self.off = np.array([not set(n).isdisjoint(CORPORATE) for n in number], bool)
+        having: dict[str | None, list[int]] = {}
+        for k, n in enumerate(number):
+            for t in set(n):
+                having.setdefault(t, []).append(k)
+        self.having = {t: np.array(k) for t, k in having.items()}
+        self.owner = np.array([k[0] for k in known], np.int64)
+        permits: list[tuple[list[int], list[int]]] = []
+        for row, k in enumerate(known):
+            for n, x in enumerate(dict.fromkeys(x for x in k[1:] if x >= 0)):
+                if n == len(permits):
+                    permits.append(([], []))
+                permits[n][0].append(row)
+                permits[n][1].append(x)
+        self.permits = [tuple(map(np.array, p)) for p in permits]
+
+    def kinds(self, hosts: list[list[str | None] | None]) -> np.ndarray:
+        """By host and list, and a row more for no host: 0 none, 1 to 3 by the owner's name, 4 to 6 by the first permit that matches."""
+        by_name = np.zeros((len(hosts) + 1, len(self.names) + 1), np.int32)  # the last name matches nothing
+        for row, host in zip(by_name, hosts, strict=False):
+            if host:
+                row[:-1] = self._of(host)
+        out = by_name[:, self.owner]
+        for lists, found in reversed(self.permits):
+            m = by_name[:, found]
+            out[:, lists] = np.where(m > 0, m + 3, out[:, lists])
+        return out
+
+    def _of(self, host: list[str | None]) -> np.ndarray:
+        shared, nick = np.zeros(len(self.names), np.int32), np.zeros(len(self.names), bool)
+        own = {t for t in host if t is not None}
+        for t in own & self.having.keys():
+            shared[self.having[t]] += 1
+        for t in {n for h in own for n in self.nicknames.get(h, ())} & self.having.keys():
+            nick[self.having[t]] = True
+        one, some = len(host) == 1, shared > 0
+        whole = (shared == len(own)) & (not one)
+        if None in host and not one:
+            null = np.zeros(len(self.names), bool)
+            null[self.having.get(None, [])] = True
+            whole &= null
+        if (same := self.names.get(tuple(host))) is not None:
+            whole[same] = True
+        out = np.select([whole, some & one, nick & (some | one)], [1, 2, 3], 0)
+        out[self.off] = 0
+        return out
+
+
 def normal_name(name: Column, ascii_only: bool = False) -> Column:
     """Upper-case letters and digits in single spaces, & as AND."""
     c = F.coalesce(name, F.lit(""))

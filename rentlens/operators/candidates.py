@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +38,43 @@ def typed_matches(candidates: DataFrame, properties: DataFrame, permits: DataFra
     return out.select("listing_id", "parcel", F.coalesce(F.concat(F.lit("permit_"), "m"), "kind").alias("type"), "distance_m", "permit_ids")
 
 
+#: Kinds of names.name_match() by number; those of permits come after them.
+_KINDS = ("distance", "owner_name", "owner_first_name", "owner_nickname")
+
+
+def typed_near(listings: DataFrame, properties: DataFrame, permits: DataFrame, nicknames: dict[str, list[str]], metres: float, columns: tuple[str, ...] = ("parcel",), digits: int = 3) -> DataFrame:
+    """(listing_id, ``columns``, type, distance_m) like typed_matches(), of all ``properties`` within ``metres`` of each listing.
+
+    listings: listing_id, lon, lat, host_tokens. properties: parcel, r_lon, r_lat, owner_tokens, and what ``columns``
+    names; permit_ids can be among them. nicknames: small, it goes to all tasks. Permits are looked up before properties
+    are paired. Pairs leave the task that finds them; a name is judged once for all pairs that have it at that step.
+    """
+    plain = F.regexp_replace("parcel", "[^0-9A-Za-z]", "")
+    held = F.transform(F.array_sort(F.collect_list(F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", F.col("owner_tokens").alias("t"))))), lambda x: x.t)
+    owned = permits.groupBy(plain.alias("__k")).agg(held.alias("__held"), F.array_sort(F.collect_set("permit_id")).alias("permit_ids"))
+    found = properties.withColumn("__k", plain).join(owned, "__k", "left")
+    names_of = F.concat(F.array("owner_tokens"), F.coalesce("__held", F.array().cast("array<array<string>>")))
+    right = found.select(*dict.fromkeys(columns), "r_lon", "r_lat", F.to_json(names_of).alias("__names"))
+    left = listings.select("listing_id", "lon", "lat", F.to_json("host_tokens").alias("__host"))
+    types = {f.name: f.dataType.simpleString() for df in (left, right) for f in df.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in ("listing_id", *columns)) + ", __kind int, distance_m double"
+
+    def typed(a, ready, i, j, d):
+        b, owners, at = ready
+        hosts = a["__host"].combine_chunks().dictionary_encode()
+        kinds = owners.kinds([h and json.loads(h) for h in hosts.dictionary.to_pylist()])
+        host = hosts.indices.fill_null(len(hosts.dictionary)).to_numpy()  # the last row of kinds is that of no host
+        return {"listing_id": a["listing_id"].take(i).combine_chunks(), **{c: b[c].take(j).combine_chunks() for c in columns}, "__kind": kinds[host[i], at[j]], "distance_m": spatial.rounded(d, digits)}
+
+    def ready(b):
+        rows = b["__names"].combine_chunks().dictionary_encode()
+        return b, names.Owners([json.loads(x) for x in rows.dictionary.to_pylist()], nicknames), rows.indices.to_numpy()
+
+    pairs = spatial.folded(left, right, metres, typed, schema, ready=ready, parts=spatial.PARTS)
+    kind = F.element_at(F.array(*map(F.lit, (*_KINDS, *(f"permit_{k}" for k in _KINDS[1:])))), F.col("__kind") + 1)
+    return pairs.select("listing_id", *columns, kind.alias("type"), "distance_m")
+
+
 def license_matches(matched: DataFrame, permits: DataFrame) -> DataFrame:
     """Rows like typed_matches() for the permits that a listing's own numbers name. matched: merge.matched_permits()."""
     pairs = matched.select("listing_id", F.explode("permits.id").alias("permit_id")).join(permits.select(F.col("id").alias("permit_id"), "parcel"), "permit_id")

@@ -72,3 +72,34 @@ def test_best_matches_are_the_first_of_the_lists(spark):
         c = columns if done is not None else [x for x in columns if x != "researched"]
         want, got = (sorted(map(tuple, f(listings, licences, done).select(c).collect()), key=repr) for f in (hosts.match_hosts, hosts.best_matches))
         assert got == want and any(x[-1] > 1 for x in got)
+
+
+@pytest.mark.parametrize("pairs", [1 << 19, 40])
+def test_types_of_near_points_are_those_of_candidates(spark, monkeypatch, pairs):
+    monkeypatch.setattr(spatial, "PAIRS", pairs)
+    r = random.Random(8)
+    words = ["bob", "robert", "rob", "oak", "ash", "llc", None]
+    some = lambda most: None if r.random() < 0.05 else r.choices(words, [4, 4, 2, 4, 4, 1, 1], k=r.randint(0, most))
+    at = lambda: (r.gauss(-86.78, 0.004), r.gauss(36.16, 0.004))
+    listings = spark.createDataFrame([(f"l{i}", some(3), *at()) for i in range(90)] + [("none", ["bob"], None, 36.16), ("far", ["bob"], 0.0, 0.0)], "listing_id string, host_tokens array<string>, lon double, lat double")
+    parcels = [None if i == 7 else f"P-{i}" for i in range(80)]
+    properties = spark.createDataFrame([(i, parcels[i], some(3), *at()) for i in range(80)], "id int, parcel string, owner_tokens array<string>, r_lon double, r_lat double")
+    owned = [(f"P{i % 60}", some(3), i, None if i % 11 == 0 else 500 - i) for i in range(200)] + [("P 5", ["bob", "oak"], None, 900)]
+    permits = spark.createDataFrame(owned, "parcel string, owner_tokens array<string>, permit_id int, ordinal int")
+    nick = {"bob": ["robert"], "robert": ["bob", "rob"], "rob": ["robert"]}
+    near = spatial.within_radius(listings, properties.select("id", "r_lon", "r_lat"), 550.0).select("listing_id", "id", F.round("distance_m", 3).alias("distance_m"), "host_tokens")
+    want = candidates.typed_matches(near, properties, permits, F.create_map(*(v for k, ns in nick.items() for v in (F.lit(k), F.array(*map(F.lit, ns))))))
+    counts = candidates.typed_near(listings, properties, permits, nick, 550.0, ("id", "parcel"))
+    rows = sorted(map(tuple, want.select("listing_id", "parcel", "type", "distance_m").collect()), key=repr)
+    assert sorted(map(tuple, counts.select("listing_id", "parcel", "type", "distance_m").collect()), key=repr) == rows
+    assert {x[2] for x in rows} == {p + k for p in ("", "permit_") for k in ("owner_name", "owner_first_name", "owner_nickname")} | {"distance"}
+    ids = candidates.typed_near(listings, properties, permits, nick, 550.0, ("parcel", "permit_ids"))
+    assert sorted(map(tuple, ids.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["typed_candidate_matches_whole"])
+def test_queries_return_pairs_as_they_are_found(spark, name):
+    from rentlens.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan[: plan.index("MapInArrow")] for x in ("Join", "Exchange", "Sort ", "Aggregate"))
