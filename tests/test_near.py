@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,9 +98,20 @@ def test_types_of_near_points_are_those_of_candidates(spark, monkeypatch, pairs)
     assert sorted(map(tuple, ids.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["typed_candidate_matches_whole"])
+@pytest.mark.parametrize("name", ["typed_candidate_matches_whole", "haversine_radius_join"])
 def test_queries_return_pairs_as_they_are_found(spark, name):
     from rentlens.plans.registry import QUERIES
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and not any(x in plan[: plan.index("MapInArrow")] for x in ("Join", "Exchange", "Sort ", "Aggregate"))
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_pairs_near_are_those_of_the_join(spark, points, monkeypatch, parts):
+    monkeypatch.setattr(spatial, "PARTS", parts)
+    monkeypatch.setattr(cells, "FEW", 10)
+    _, _, a, b = points
+    want = spatial.within_radius(a, b, 550.0).select("k", "item", "rank", F.round("distance_m", 3).alias("distance_m"))
+    got = spatial.pairs_near(a, b, 550.0, ("k",), ("item", "rank"))
+    assert got.count() > 1000 and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert spatial.rounded(np.array([0.0005, 549.9994999, 12.0]), 3).tolist() == [0.001, 549.999, 12.0]
