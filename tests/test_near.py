@@ -115,3 +115,45 @@ def test_pairs_near_are_those_of_the_join(spark, points, monkeypatch, parts):
     got = spatial.pairs_near(a, b, 550.0, ("k",), ("item", "rank"))
     assert got.count() > 1000 and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert spatial.rounded(np.array([0.0005, 549.9994999, 12.0]), 3).tolist() == [0.001, 549.999, 12.0]
+
+
+def test_files_of_pairs_are_small_where_points_are_copies(spark, tmp_path):
+    r = random.Random(9)
+    spots = [(r.gauss(-86.78, 0.001), r.gauss(36.16, 0.001)) for _ in range(100)]
+    a = spark.createDataFrame([(i, *spots[i % 100]) for i in range(2000)], "k long, lon double, lat double")
+    b = a.selectExpr("k AS item", "lon AS r_lon", "lat AS r_lat")
+    spatial.pairs_near(a, b, 550.0, ("k",), ("item",)).write.parquet(str(tmp_path / "pairs"))
+    rows = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert rows > 3_900_000 and sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * rows
+
+
+def test_pieces_have_slices_of_both_sides(spark, monkeypatch):
+    r = random.Random(10)
+    near = [(i, r.gauss(-86.78, 0.003), r.gauss(36.16, 0.003)) for i in range(600)]
+    b = spark.createDataFrame(near, "item long, r_lon double, r_lat double")
+    monkeypatch.setattr(cells, "FEW", 10)
+    monkeypatch.setattr(spatial, "SLICE", 50)
+    for rows in (near, [(i, -86.78, 36.16) for i in range(600)]):  # many in one place, too
+        a = spark.createDataFrame(rows, "k long, lon double, lat double")
+        both, pieces = spatial._sliced(a, b, 550.0, ("k",), ("item",), ("lon", "lat"), ("r_lon", "r_lat"))
+        held = both.groupBy(*cells.KEY).agg(F.count("__a").alias("a"), F.count("__b").alias("b")).collect()
+        assert pieces > 100 and max(x.a for x in held) <= 100 and max(x.b for x in held) <= 100
+        assert spatial.pairs_near(a, b, 550.0, ("k",), ("item",)).count() == sum(metres(x[1:], y[1:]) <= 550 for x in rows for y in near)
+
+
+def test_pairs_of_a_tile_come_by_distance(spark, points, monkeypatch):
+    _, _, a, b = points
+    want = spatial.within_radius(a, b, 550.0).select("k", "item", F.round("distance_m", 3))
+    both, _ = spatial._sliced(a, b, 550.0, ("k",), ("item",), ("lon", "lat"), ("r_lon", "r_lat"))
+    batches = both.coalesce(1).sortWithinPartitions(*cells.KEY).toArrow().to_batches(9)
+    whole = [x.to_pydict() for x in spatial._pair_cells(batches, 550.0, 3, "d")]
+    assert all(x["d"] == sorted(x["d"]) for x in whole)
+    monkeypatch.setattr(spatial, "TILE", 7)
+    monkeypatch.setattr(spatial, "PAIRS", 20)
+    parts = [x.to_pydict() for x in spatial._pair_cells(batches, 550.0, 3, "d")]
+    assert max(len(x["d"]) for x in parts) == 20
+    rows = sorted(map(tuple, want.collect()), key=repr)
+    for got in (whole, parts):
+        assert sorted((t for x in got for t in zip(x["k"], x["item"], x["d"], strict=True)), key=repr) == rows
+    with pytest.raises(ValueError, match="digits"):
+        spatial._near(*np.zeros((4, 3)), 550.0, 17)
